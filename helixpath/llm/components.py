@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     that join. A self-edge makes a node of its own component; nulls are dropped; no edges give
     no rows. Each round's table is written to the shared folder.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    edges = saved(edges.select("src", "dst").where("src is not null and dst is not null"), "edges")
     alone = edges.select(F.col("src").alias("node"))
     alone = alone.union(edges.select(F.col("dst").alias("node"))).distinct()
     links = saved(

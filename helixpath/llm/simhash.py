@@ -20,9 +20,11 @@ LEAF_ROWS = 16_384
 #: The trie is cut into about so many nodes at most, whatever the number of fingerprints.
 MOST_NODES = 2_048
 STEP_BITS = 4
-#: Node pairs that one task opens at a time, and comparisons below which it opens no further.
-OPEN_PAIRS = 200_000
+#: Node pairs that one task opens at a time (each of 64 levels may hold four times as many), the
+#: comparisons below which it opens no further, and those made at a time.
+OPEN_PAIRS = 20_000
 SMALL = 32
+COMPARED = 250_000
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -102,7 +104,7 @@ def _compare(a, b, a0, a1, b0, b1, budget):
     ends = np.cumsum(counts)
     start = 0
     while start < len(counts):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COMPARED, side="right")))
         n = counts[start:stop]
         which = np.repeat(np.arange(start, stop), n)
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
