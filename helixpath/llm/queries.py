@@ -4,18 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import licenses, mixing, ogg, simhash, token_counts, token_files, url_rules
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.decode_column(ogg.encode_column(documents(spark, sf_dir)), keep_payload=False).drop("payload")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_ids(spark, path)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return simhash.simhash_classes(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.simhash_classes(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ogg": op2_ogg,
+    "op3_url_rules": op3_url_rules,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
+    "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_rules": r"""
+        with cut as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        parts as (select page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from cut),
+        rules(rhost, rpath, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+        select page_id, host, path,
+               (select rhost || rpath from rules where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) order by length(rhost || rpath) desc limit 1) as rule,
+               coalesce((select v from rules where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) order by length(rhost || rpath) desc limit 1), 'allow') as verdict
+        from parts
+    """,
+}
