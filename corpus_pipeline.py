@@ -1,16 +1,49 @@
-"""A training corpus from documents: stages, each written as Parquet and read again by the next."""
+"""A training corpus from documents: five stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixpath.llm import simhash
+from helixpath.llm import decontam, mixing, simhash, token_files, toxicity
 from helixpath.llm.scratch import saved
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class stays: that of the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources meet their target weights: a document is left out, or stays once or twice."""
+    return mixing.mixed(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, packed in files; a row for each document, read back from them."""
+    return token_files.read_ids(spark, token_files.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
 STAGES = [
-    ("simhash", lambda spark, docs, sf_dir: simhash.keep_one(docs)),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_files", write_token_files),
 ]
 
+#: Neither SimHash, the classifier nor the tokenizer has a SQL form.
 ORACLE_SQL = None
 
 

@@ -132,3 +132,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     out = rows.join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
     out = out.join(t, F.col("source").eqNullSafe(F.col("t")))
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, with all their columns: each row as many times as the mix takes its words, to the nearest whole
+    number (half: up). A document without words costs the mix nothing and stays once. Fully repeated rows share alike."""
+    taken = mix(docs, **how).groupBy("doc_id", "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    copies = F.when(F.col("n") == 0, F.lit(1)).otherwise(F.floor(F.col("t") / F.col("n") + 0.5)).cast("int")
+    taken = saved(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), copies.alias("__copies")), "copies")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (text == F.col("__hash"))
+    rows = docs.join(taken.where("__copies > 0"), same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

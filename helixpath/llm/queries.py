@@ -7,13 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, ogg, simhash, token_counts, token_files, url_rules
+from . import decontam, licenses, mixing, ogg, quality, simhash, token_counts, token_files, toxicity, url_rules
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.train(docs, labels(spark, sf_dir))).drop("evidence")
+
+
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_column(ogg.encode_column(documents(spark, sf_dir)), keep_payload=False).drop("payload")
 
@@ -33,6 +42,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scores(docs, quality.train(docs, labels(spark, sf_dir)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,17 +55,24 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("detections")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ogg": op2_ogg,
     "op3_url_rules": op3_url_rules,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
