@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph, validate
+from ..sources import definitions
+from ..sources.documents import checked
 from . import resources as R
 from .compiler import fhirpath
+from .shared import materialized
 
 #: name: (resources, path, SQL type of the result, its SQL). Each query returns (key, result); the SQL does, too.
 PATHS: dict[str, tuple[Callable, str, str, str]] = {
@@ -56,5 +60,84 @@ def _query(make: Callable, path: str, kind: str) -> Callable[[SparkSession, str]
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make, path, kind) for name, (make, path, kind, _) in PATHS.items()}
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, _, sql) in PATHS.items()}
+def _documents(found: DataFrame, kind: str) -> DataFrame:
+    texts = found.select(F.concat(F.lit(kind + "/"), F.col("key").cast("string")).alias("path"), F.to_json("resource").alias("json"))
+    return checked(texts)
+
+
+def _graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = materialized(graph.resources(docs), "resources")
+    ids = materialized(graph.identities(docs, found), "identities")
+    return found, ids, graph.resolve(graph.references(found), ids, graph.contained(found))
+
+
+def fhir_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each patient's organization, by references between documents."""
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
+    found, _, resolved = _graph(docs)
+    names = found.where("resource_type = 'Organization'").select(F.col("path").alias("target_path"), F.try_variant_get("v", "$.name", "string").alias("result"))
+    rows = resolved.where("owner_type = 'Patient'").join(names, "target_path")
+    return rows.select(F.col("owner_id").cast("long").alias("key"), "result")
+
+
+def fhir_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many references each organization has from other documents."""
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
+    found, ids, resolved = _graph(docs)
+    used = graph.usages(resolved, found, ids).groupBy(F.col("target_path").alias("path")).count()
+    rows = found.where("resource_type = 'Organization'").select("path", "id").join(used, "path", "left")
+    return rows.select("id", F.coalesce("count", F.lit(0)).alias("usages"))
+
+
+def fhir_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of observations to patients that do not exist, by reference."""
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.observations(spark, sf_dir), "e"))
+    _, _, resolved = _graph(docs)
+    rows = graph.unresolved(resolved.where("owner_type = 'Observation'"))
+    return rows.groupBy("raw").agg(F.count("*").alias("n"))
+
+
+def fhir_resolve_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resolve() within an expression: the region of each patient's organization, two references away."""
+    patients, organizations = R.patients(spark, sf_dir), R.organizations(spark, sf_dir)
+    known = organizations.select(F.concat(F.lit("Organization/"), F.col("resource.id")).alias("identity"), "resource")
+    up = organizations.select(F.concat(F.lit("Organization/"), F.col("resource.id")).alias("path"), F.col("resource"), F.col("resource.partOf.reference").alias("raw"))
+    step = graph.resolve_map(up.select("path", "resource"), up.where("raw is not null").select("path", "raw"), known)
+    step = fhirpath(step, "resource", "partOf.resolve().name", "region", errors=None, resolved="resolved")
+    regions = step.select(F.col("path").alias("identity"), F.struct(F.col("region")).alias("resource"))
+    refs = patients.select(F.col("key").alias("path"), F.col("resource.managingOrganization.reference").alias("raw"))
+    rows = graph.resolve_map(patients.withColumnRenamed("key", "path"), refs, regions)
+    rows = fhirpath(rows, "resource", "managingOrganization.resolve().region", errors=None, resolved="resolved")
+    return rows.select(F.col("path").alias("key"), "result")
+
+
+def fhir_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each patient's and organization's row in an outline."""
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
+    return graph.outline(docs).select("identity", "label")
+
+
+def fhir_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by severity and category of patients, to which some defects were added by their key."""
+    p, n = R.patients(spark, sf_dir), F.col("key") % 10
+    p = p.withColumn("resource", F.col("resource").dropFields("extension"))
+    text = F.to_json("resource")
+    text = F.when(n == 1, F.regexp_replace(text, r"\}$", ',"shoeSize":1}')).when(n == 2, F.regexp_replace(text, r'"name":\[(.*?\})\]', '"name":$1'))
+    text = text.when(n == 3, F.regexp_replace(F.to_json("resource"), '"active":(true|false)', '"active":"$1"')).when(n == 4, F.regexp_replace(F.to_json("resource"), r"\}$", ',"birthDate":"17 May"}'))
+    text = text.when(n == 5, F.regexp_replace(F.to_json("resource"), r"\}$", ',"deceased":true}')).when(n == 6, F.regexp_replace(F.to_json("resource"), r"\}$", ',"contact":[{"gender":"male"}]}')).otherwise(F.to_json("resource"))
+    docs = checked(p.select(F.col("key").cast("string").alias("path"), text.alias("json")))
+    found = validate.validate(docs, definitions.bundled(spark))
+    return found.groupBy("severity", "category").agg(F.count("*").alias("issues"))
+
+
+_GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "fhir_resolve": (fhir_resolve, "SELECT c_custkey AS key, n_name AS result FROM customer JOIN nation ON n_nationkey = c_nationkey"),
+    "fhir_usages": (fhir_usages, "SELECT CAST(n_nationkey AS VARCHAR) AS id, count(c_custkey) AS usages FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'R' || r_regionkey, count(n_nationkey) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
+    "fhir_unresolved": (fhir_unresolved, "SELECT 'Patient/' || user_id AS raw, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id"),
+    "fhir_resolve_in_path": (fhir_resolve_in_path, "SELECT c_custkey AS key, r_name AS result FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    "fhir_outline": (fhir_outline, "SELECT 'Patient/' || c_custkey AS identity, '[Patient] A ' || c_name || ' (' || c_custkey || ')' AS label FROM customer UNION ALL SELECT 'Organization/' || n_nationkey, 'Organization/' || n_nationkey FROM nation UNION ALL SELECT 'Organization/R' || r_regionkey, 'Organization/R' || r_regionkey FROM region"),
+    "fhir_validate": (fhir_validate, "SELECT 'error' AS severity, category, count(*) AS issues FROM (SELECT CASE c_custkey % 10 WHEN 1 THEN 'unknown' WHEN 2 THEN 'cardinality' WHEN 3 THEN 'type' WHEN 4 THEN 'format' WHEN 5 THEN 'choice' WHEN 6 THEN 'invariant' END AS category FROM customer) WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT 'warning', 'invariant', count(*) FROM customer"),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make, path, kind) for name, (make, path, kind, _) in PATHS.items()} | {name: q for name, (q, _) in _GRAPH.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, _, sql) in PATHS.items()} | {name: sql for name, (_, sql) in _GRAPH.items()}

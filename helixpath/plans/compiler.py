@@ -481,13 +481,15 @@ def _quoted(x: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
 
 
-def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result", errors: str | None = "error", strict: bool = False, render: bool = False) -> DataFrame:
+def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result", errors: str | None = "error", strict: bool = False, render: bool = False, resolved: str | None = None) -> DataFrame:
     """``df`` with the result of ``expression`` on its struct ``column``.
 
     ``errors``: the name of a boolean column, true for rows in which evaluation fails (their result is null); None adds none.
-    ``strict`` raises instead. ``render`` gives JSON array text for any type of result.
+    ``strict`` raises instead. ``render`` gives JSON array text for any type of result. ``resolved``: the map column of
+    ``operators.graph.resolve_map``, in which resolve() looks references up.
     """
-    found = evaluate(F.col(column), df.schema[column].dataType, expression)
+    known = (F.col(resolved), df.schema[resolved].dataType.valueType) if resolved else (None, None)
+    found = evaluate(F.col(column), df.schema[column].dataType, expression, *known)
     value = rendered(found) if render else native(found)
     if found.error is None:
         out = df.withColumn(output, value)
