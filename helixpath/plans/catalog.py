@@ -65,7 +65,13 @@ def _documents(found: DataFrame, kind: str) -> DataFrame:
     return checked(texts)
 
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Documents are read several times below: parsed once, kept as variants."""
+    return materialized(docs.select("path", "v", "resource_type", "doc_error"), "documents")
+
+
 def _graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _parsed(docs)
     found = materialized(graph.resources(docs), "resources")
     ids = materialized(graph.identities(docs, found), "identities")
     return found, ids, graph.resolve(graph.references(found), ids, graph.contained(found))
@@ -114,7 +120,7 @@ def fhir_resolve_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fhir_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of each patient's and organization's row in an outline."""
     docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
-    return graph.outline(docs).select("identity", "label")
+    return graph.outline(_parsed(docs)).select("identity", "label")
 
 
 def fhir_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
