@@ -154,3 +154,25 @@ def resolve_map(docs: DataFrame, refs: DataFrame, targets: DataFrame, key: str =
     pairs = refs.select(key, "raw").distinct().join(targets.select(F.col("identity").alias("raw"), "resource"), "raw")
     maps = pairs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "resource"))).alias("resolved"))
     return docs.join(maps, key, "left")
+
+
+def owner_path(element_path: Column) -> Column:
+    """The element path of the resource that a place belongs to: a bundle's entry, or the document."""
+    entry = F.regexp_extract(element_path, r"^(Bundle\.entry\[\d+\]\.resource)", 1)
+    return F.when(entry != "", entry).otherwise(F.regexp_extract(element_path, r"^([^.\[]+)", 1))
+
+
+def locate(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """``places`` (path, element_path, ...) with ``found_path``, the deepest part of the place that its document has, ``exact`` and ``node``, its value.
+
+    The resource itself is the least that is found. Documents that are missing give nulls.
+    """
+    d = docs.where("doc_error is null").select(F.col("path").alias("p"), "v")
+    rows = places.join(d, F.col("path") == F.col("p"), "left").drop("p")
+    rows = rows.withColumn("steps", F.regexp_extract_all("element_path", F.lit(r"(\.[^.\[\]]+|\[\d+\])"), F.lit(1)))
+    upto = lambda n: F.array_join(F.slice("steps", F.lit(1), n), "")
+    there = F.filter(F.sequence(F.lit(0), F.size("steps")), lambda n: F.when(n == 0, True).otherwise(F.try_variant_get(F.col("v"), F.concat(F.lit("$"), upto(n)), "variant").isNotNull()))
+    rows = rows.withColumn("deepest", F.when(F.col("v").isNotNull(), F.array_max(there)))
+    node = F.when(F.col("deepest") == 0, F.col("v")).otherwise(F.try_variant_get(F.col("v"), F.concat(F.lit("$"), upto(F.col("deepest"))), "variant"))
+    root = F.regexp_extract("element_path", r"^([^.\[]+)", 1)
+    return rows.select(*places.columns, F.concat(root, upto(F.col("deepest"))).alias("found_path"), (F.col("deepest") == F.size("steps")).alias("exact"), node.alias("node"))

@@ -499,3 +499,18 @@ def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result"
         return df.withColumn(output, F.when(failed, F.raise_error(F.lit(f"evaluation failed: {expression}"))).otherwise(value))
     out = df.withColumn(output, F.when(~failed, value))
     return out.withColumn(errors, failed) if errors else out
+
+
+def evaluate_json(docs: DataFrame, expression: str, column: str = "json", schema: T.StructType | None = None) -> DataFrame:
+    """``docs`` (JSON texts) with ``result``, JSON array text, and ``error``. ``schema``: that of the documents, else it is inferred in a pass over them.
+
+    Texts that are no JSON object have a null result and an error.
+    """
+    from ..sources.documents import inferred_schema, parse_json, typed
+
+    good = F.coalesce(F.schema_of_variant(parse_json(F.col(column))).startswith("OBJECT"), F.lit(False))
+    schema = schema or inferred_schema(docs.where(good), column)
+    if not schema.fields:
+        return docs.withColumns({"result": F.lit(None).cast("string"), "error": F.lit(True)})
+    rows = fhirpath(typed(docs, schema, column, "__document"), "__document", expression, render=True).drop("__document")
+    return rows.withColumns({"result": F.when(good, F.col("result")), "error": F.when(good, F.col("error")).otherwise(True)})

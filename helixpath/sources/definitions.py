@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import r4
 
@@ -54,3 +55,44 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
 
 def saved(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("types", "elements", "constraints", "patterns")}
+
+
+#: Spark types of the primitive types that are no text (fixed values).
+_NUMBERS = {"boolean": "boolean", "integer": "bigint", "positiveInt": "bigint", "unsignedInt": "bigint", "decimal": "decimal(38,12)"}
+
+
+def struct_of(tables: dict[str, DataFrame], type_name: str, depth: int = 4) -> T.StructType:
+    """The struct that holds documents of a type, from the schema tables: no pass over the documents is needed to read them typed.
+
+    Types contain each other (an extension holds extensions), so parts below ``depth`` objects are left out. Contained resources are not typed.
+    """
+    kinds = {r["name"]: r["kind"] for r in tables["types"].collect()}
+    below: dict[tuple[str, str], list] = {}
+    for r in tables["elements"].collect():
+        prefix, _, name = r["path"].rpartition(".")
+        below.setdefault((r["type"], prefix), []).append((name, r))
+
+    def children(type_: str, prefix: str, left: int) -> T.StructType | None:
+        fields = [T.StructField("resourceType", T.StringType())] if kinds.get(type_) == "resource" and not prefix else []
+        for name, r in sorted(below.get((type_, prefix), []), key=lambda x: x[0]):
+            for t in r["types"] if r["choice"] else r["types"][:1]:
+                inner = one(type_, r["path"], t, left)
+                if inner is not None:
+                    fields.append(T.StructField(name + t[0].upper() + t[1:] if r["choice"] else name, T.ArrayType(inner) if r["max_many"] else inner))
+        return T.StructType(fields) if fields else None
+
+    def one(owner: str, path: str, t: str, left: int) -> T.DataType | None:
+        if t.startswith("#"):
+            return children(owner, t.partition(".")[2], left - 1) if left else None
+        if t in ("BackboneElement", "Element"):
+            return children(owner, path, left - 1) if left else None
+        if t == "Resource":
+            return None
+        if kinds.get(t) == "primitive-type":
+            return T._parse_datatype_string(_NUMBERS.get(t, "string"))
+        return children(t, "", left - 1) if left else None
+
+    found = children(type_name, "", depth)
+    if found is None:
+        raise ValueError(f"no definition of {type_name}")
+    return found

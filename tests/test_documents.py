@@ -149,3 +149,27 @@ def test_stream(spark, workspace):
     query.stop()
     assert spark.table("docs_seen").where("doc_error is null").count() == 5
     assert streaming.counts(stream).isStreaming
+
+
+def test_places(docs):
+    from pyspark.sql import functions as F
+
+    rows = [("batch.json", "Bundle.entry[1].resource.intent"), ("batch.json", "Bundle.entry[1].resource.dosage[0].text"), ("batch.json", "Bundle.entry[9]"), ("people/ann.json", "Patient"), ("people/ann.json", "Patient.name[0].given[0]"), ("none", "Patient.x")]
+    places = docs.sparkSession.createDataFrame(rows, "path string, element_path string")
+    got = [(r["found_path"], r["exact"], r["node"], r["owner"]) for r in graph.locate(places, docs).withColumns({"node": F.try_variant_get("node", "$", "string"), "owner": graph.owner_path(F.col("element_path"))}).collect()]
+    entry = "Bundle.entry[1].resource"
+    assert sorted((a, b, d) for a, b, _, d in got if a) == [("Bundle.entry", False, "Bundle"), (entry, False, entry), (entry + ".intent", True, entry), ("Patient", True, "Patient"), ("Patient.name[0].given[0]", True, "Patient")]
+    assert (None, None, None, "Patient") in got and (entry + ".intent", True, "order", entry) in got
+
+
+def test_schema_from_definitions(spark):
+    from helixpath.plans.compiler import evaluate_json, fhirpath
+    from helixpath.sources.documents import typed
+
+    schema = definitions.struct_of(definitions.bundled(spark), "Observation")
+    raw = spark.createDataFrame([(json.dumps(BAD["fine"][0]),)], "json string")
+    row = fhirpath(typed(raw, schema), "resource", "Observation.value.ofType(Quantity).code & code.text").first()
+    assert row["result"] == "mgx" and not row["error"]
+    assert "component" in schema.fieldNames() and schema["component"].dataType.elementType["referenceRange"].dataType.elementType.fieldNames()
+    out = {r["json"]: (r["result"], r["error"]) for r in evaluate_json(spark.createDataFrame([('{"a": [1, 2]}',), ("[1]",), ("{",), (None,)], "json string"), "a.count()").collect()}
+    assert out == {'{"a": [1, 2]}': ("[2]", False), "[1]": (None, True), "{": (None, True), None: (None, True)}
