@@ -5,16 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset, as in tests, a new local folder is set once."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixpath.shared.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-helixpath-", dir="/tmp")
+        spark.conf.set("helixpath.shared.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/helixpath-{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below ``spark.checkpoint.dir`` (a new local folder where that is unset) and reads it back."""
+    """Writes ``df`` as Parquet and reads it back: cuts lineage, and survives the loss of executors.
+
+    The table is deleted when the driver's JVM ends; until then results may read it.
+    """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixpath.shared.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-helixpath-", dir="/tmp")
-        spark.conf.set("helixpath.shared.dir", base)
-    path = f"{base.rstrip('/')}/helixpath-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
