@@ -1,29 +1,6 @@
 """Tables written between the jobs of one operator, in a folder that driver and executors share."""
 
-from __future__ import annotations
+from ..plans.shared import materialized as saved
+from ..plans.shared import new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where it is unset, as in tests, a new local folder is set once."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixpath.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-helixpath-", dir="/tmp")
-        spark.conf.set("helixpath.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/helixpath-{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it back: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "saved", "shared_dir"]

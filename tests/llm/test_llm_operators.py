@@ -437,6 +437,11 @@ def test_classifiers_on_held_out_labels(spark, docs, none, module, label, least)
     same = {r["score"] for r in odd if r["doc_id"] in (7, 8)}
     assert len(same) == 1
     assert module.scores(none, model).count() == 0
+    if module is toxicity:
+        clean = toxicity.without_toxic(docs, model)
+        assert clean.columns == docs.columns
+        assert by_id((r["doc_id"],) for r in clean.collect()) == by_id((r["doc_id"],) for r in odd if not r["predicted"])
+        assert toxicity.without_toxic(none, model).count() == 0
     blank = module.train(docs, labels.where("false"))
     assert len({r["score"] for r in module.scores(docs, blank).collect()}) == 1
 
