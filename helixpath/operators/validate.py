@@ -17,7 +17,7 @@ from ..plans.compiler import Compiler, boolean
 from ..plans.shared import materialized
 from ..plans.syntax import PathError, parse
 from ..plans.values import of_column
-from ..sources.documents import inferred_schema
+from ..sources.documents import schema_of
 
 ISSUES = "path string, element_path string, severity string, category string, message string"
 #: Rows of the elements table that are sent to every task at most; all of R4 has under 10,000.
@@ -73,23 +73,24 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
     nodes = docs.where("doc_error is null").select("path", F.col("resource_type").alias("element_path"), F.col("resource_type").alias("type"), F.lit("").alias("prefix"), "v", F.lit(True).alias("named"))
     issues, walked = [], []
     for _ in range(DEEPEST):
-        level = nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left")
-        unknown = level.where("named and t_kind is null").select("path", "element_path", _issue("unknown", F.concat(F.lit("unknown resource type "), _quoted(F.col("type")))).alias("i"))
-        objects = materialized(level.where("t_kind is not null").drop("t_name", "t_kind", "named"), "objects")
-        if objects.isEmpty():
-            issues.append(unknown)
+        level = materialized(nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name"), "level")
+        if level.isEmpty():
             break
+        issues.append(level.where("named and t_kind is null").select("path", "element_path", _issue("unknown", F.concat(F.lit("unknown resource type "), _quoted(F.col("type")))).alias("i")))
+        objects = level.where("t_kind is not null").drop("t_kind", "named")
         walked.append(objects)
         values, found = _children(objects, spec)
         values = materialized(values, "values")
-        issues += [unknown, found, values.select("path", "element_path", F.explode("issues").alias("i"))]
+        issues += [found, values.select("path", "element_path", F.explode("issues").alias("i"))]
         nodes, found = _descend(values.where("type is not null"), primitive)
         issues.append(found)
     else:
         raise ValueError(f"documents nest deeper than {DEEPEST} levels")
+    if not issues:
+        return docs.sparkSession.createDataFrame([], ISSUES)
     out = reduce(DataFrame.unionByName, issues).select("path", "element_path", "i.severity", "i.category", "i.message")
     if invariants and walked:
-        for part in _invariants(materialized(reduce(DataFrame.unionByName, walked), "walked"), tables["constraints"]):
+        for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"]):
             out = out.unionByName(part)
     return out
 
@@ -180,13 +181,15 @@ def _invariants(walked: DataFrame, constraints: DataFrame) -> list[DataFrame]:
     places: dict[tuple[str, str], list] = {}
     for r in constraints.collect():  # a part of the schema, of a checked size
         places.setdefault((r["type"], r["path"]), []).append(r)
-    present = {(r["type"], r["prefix"]) for r in walked.select("type", "prefix").distinct().collect()}
+    declared = F.array(*(F.lit(f"{t} {p}") for t, p in places))
+    some = walked.where(F.array_contains(declared, F.concat("type", F.lit(" "), "prefix")))
+    held = {(r["type"], r["prefix"]): r["s"] for r in some.groupBy("type", "prefix").agg(F.schema_of_variant_agg("v").alias("s")).collect()}
     out = []
     for (type_, prefix), rules in sorted(places.items()):
-        if (type_, prefix) not in present:
+        if (type_, prefix) not in held:
             continue
+        schema = schema_of(held[type_, prefix])
         some = walked.where((F.col("type") == type_) & (F.col("prefix") == prefix)).select("path", "element_path", F.to_json("v").alias("json"))
-        schema = inferred_schema(some)
         checks = []
         for r in rules:
             failed = _fails(F.col("x"), schema, r["expression"])

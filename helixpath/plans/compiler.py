@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from pyspark.sql import types as T
 from ..functions import temporal
 from .syntax import Binary, Call, Index, Literal, Member, Name, PathError, This, TypeTest, parse
 from .values import (
-    ANY_TYPE, DECIMAL, NUMBER_KINDS, QUANTITY_TYPE, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, kind_of,
-    merged, number_text, of_column, present, scalar, single, size, text_of,
+    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, merged, number_text, of_column, present, scalar,
+    single, text_of,
 )
 
 _TYPES = {"boolean": "Boolean", "integer": "Integer", "decimal": "Decimal", "date": "Date", "datetime": "DateTime", "quantity": "Quantity"}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +63,14 @@ def skipped(docs: DataFrame) -> DataFrame:
 
 def inferred_schema(docs: DataFrame, column: str = "json") -> T.StructType:
     """The schema that holds all documents, from one pass over them. Parts of mixed types become text."""
-    text = docs.select(F.schema_of_variant_agg(parse_json(F.col(column))).alias("s")).first()["s"]
-    ddl = re.sub(r"\bOBJECT<", "STRUCT<", text or "STRUCT<>").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    return schema_of(docs.select(F.schema_of_variant_agg(parse_json(F.col(column))).alias("s")).first()["s"])
+
+
+def schema_of(text: str | None) -> T.StructType:
+    """The struct that the text of a variant's schema describes; one without fields where that is no object."""
+    ddl = text or "OBJECT<>"
+    for found, spark_type in (("OBJECT<", "STRUCT<"), ("VOID", "STRING"), ("VARIANT", "STRING")):  # only where a type stands, not in names
+        ddl = re.sub(rf"(^|: |ARRAY<){found}", rf"\1{spark_type}", ddl)
     ddl = re.sub(r"([<,]\s*)([A-Za-z_][\w\-]*)\s*:", r"\1`\2`:", ddl)
     parsed = T._parse_datatype_string(ddl) if ddl.startswith("STRUCT<") and ddl != "STRUCT<>" else T.StructType()
     return _roomy(parsed)

@@ -173,3 +173,8 @@ def test_schema_from_definitions(spark):
     assert "component" in schema.fieldNames() and schema["component"].dataType.elementType["referenceRange"].dataType.elementType.fieldNames()
     out = {r["json"]: (r["result"], r["error"]) for r in evaluate_json(spark.createDataFrame([('{"a": [1, 2]}',), ("[1]",), ("{",), (None,)], "json string"), "a.count()").collect()}
     assert out == {'{"a": [1, 2]}': ("[2]", False), "[1]": (None, True), "{": (None, True), None: (None, True)}
+
+
+def test_names_that_look_like_types(spark):
+    schema = inferred_schema(spark.createDataFrame([('{"VOIDED": null, "OBJECT": {"VARIANT_x": [null, {"a-b": 1}]}}',)], "json string"))
+    assert schema.simpleString() == "struct<OBJECT:struct<VARIANT_x:array<struct<a-b:bigint>>>,VOIDED:string>"
