@@ -130,7 +130,7 @@ def _starts(points: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, words: b
 class Memo:
     """Values of pre-tokens that one worker has seen, by hash: sorted arrays, emptied when they hold ``most``."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.keys = np.zeros(0, np.uint64)
         self.values = np.zeros(0, np.int64)

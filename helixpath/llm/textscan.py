@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one batch are handled in slices of about so many bytes, to bound memory.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
@@ -29,6 +29,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ class SpanHasher:
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        size = 1 << max(22, n.bit_length())
+        size = 1 << max(20, n.bit_length())
         self._up, self._down = _powers(size)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * self._up[:n], out=sums[1:])
