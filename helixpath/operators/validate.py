@@ -223,3 +223,11 @@ def clean_rate(docs: DataFrame, issues: DataFrame) -> DataFrame:
     bad = issues.where("severity = 'error'").select("path").distinct()
     rows = docs.where("doc_error is null").select("path").join(bad.withColumn("bad", F.lit(True)), "path", "left")
     return rows.agg(F.count("*").alias("resources"), F.count_if(F.col("bad").isNull()).alias("clean")).withColumn("rate", F.col("clean") / F.nullif("resources", F.lit(0)))
+
+
+def invariant_counts(issues: DataFrame) -> DataFrame:
+    """(key, severity, issues, documents, first): how often each invariant failed, and the first place by path."""
+    found = issues.where("category = 'invariant'").withColumn("key", F.substring_index("message", ":", 1))
+    return found.groupBy("key", "severity").agg(
+        F.count("*").alias("issues"), F.count_distinct("path").alias("documents"), F.min_by("element_path", F.struct("path", "element_path")).alias("first")
+    )

@@ -102,6 +102,8 @@ def test_validation_and_repair(spark):
     rate = validate.clean_rate(docs, issues).first()
     assert (rate["resources"], rate["clean"]) == (len(BAD), 1)
     assert {(r["severity"], r["category"]): r["issues"] for r in validate.summary(issues).collect()}["error", "choice"] == 2
+    keys = {r["key"]: (r["severity"], r["issues"], r["first"]) for r in validate.invariant_counts(issues).collect()}
+    assert keys["qty-3"] == ("error", 1, "Observation.valueQuantity") and keys["bdl-1"][:2] == ("error", 1) and keys["dom-6"][0] == "warning" and "dom-3" not in keys
     fixed = {r["path"]: json.loads(r["repaired"]) for r in repair.repair(docs.where("doc_error is null"), issues).collect()}
     assert fixed["keys"] == {"resourceType": "Patient", "_birthDate": {}}
     assert fixed["shape"] == {"resourceType": "Patient", "name": [{"given": "x"}], "gender": "male"}
