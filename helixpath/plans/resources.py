@@ -45,7 +45,7 @@ def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benefits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, resource): an ExplanationOfBenefit for each order, with its lines as items by number."""
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct(
                     F.col("l_linenumber").cast("long").alias("sequence"),
