@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixpath.llm import decontam, mixing, simhash, token_files, toxicity
+from helixpath.llm import decontam, mixing, near_copies, token_files, toxicity
 from helixpath.llm.scratch import saved
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each class of near copies (5-word runs, Jaccard similarity 0.8 or more) stays: that of the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ STAGES = [
     ("token_files", write_token_files),
 ]
 
-#: Neither SimHash, the classifier nor the tokenizer has a SQL form.
+#: Neither the search for near copies, the classifier nor the tokenizer has a SQL form.
 ORACLE_SQL = None
 
 
