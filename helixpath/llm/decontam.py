@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of ASCII letters and digits and of all non-ASCII characters. An item of L words matches a text whose best local
+Words are runs of ASCII letters and digits and of all non-ASCII characters, without differences of case. An item of L words matches a text whose best local
 alignment (match 1, mismatch and gap -1, over words) scores at least ``least`` * L; that is 0.6, which a copy
 with every fifth word replaced still reaches.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, gram_hash, slices
+from .textscan import Words, folded, gram_hash, slices
 
 SEED = 3
 LEAST = 0.6
@@ -123,7 +123,7 @@ def _best(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def matches(items: Items, texts: pa.Array, least: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word) for all matches in a batch."""
-    words = Words(texts)
+    words = Words(folded(texts))
     hits, places = [], []
     for n in items.sizes:
         grams, at = words.grams(n)
@@ -175,7 +175,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     for k in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
         if some.num_rows:
-            w = Words(some.column("text").combine_chunks())
+            w = Words(folded(some.column("text").combine_chunks()))
             yield Items.of(some.column("item_id").to_pylist(), np.split(w.hash, w.first[1:-1]))
 
 
@@ -188,7 +188,7 @@ def _with_rare_seeds(docs: DataFrame, items: Items, least: float) -> Items:
         total = np.zeros(len(block.seeds), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column("text"))
+                words = Words(folded(part.column("text")))
                 for n in block.sizes:
                     grams, at = words.grams(n)
                     seed = block.find(grams)

@@ -121,6 +121,11 @@ LOWER[0x41:0x5B] += 0x20
 LOWER_BYTES = LOWER.tobytes()
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts without differences of case, in any script: upper-cased and then lower-cased, so that a final sigma is a sigma, and sharp s as ss."""
+    return pc.replace_substring(pc.utf8_lower(pc.utf8_upper(pc.fill_null(texts, ""))), "\u00df", "ss")
+
+
 class Words:
     """The words of a batch of texts: ``hash``, ``start``, ``end`` (bytes), ``doc``; ``first[d]:first[d + 1]`` are those of text d."""
 
