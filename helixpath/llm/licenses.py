@@ -94,7 +94,7 @@ def _families() -> list[Rule]:
         ("x11", "x11 license", r"x11 licen[cs]e", 0.7), ("isc", "isc license", r"isc licen[cs]e", 0.7), ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0.95),
         ("bsd-2-clause", "2 clause bsd", r"2 clause bsd(?: licen[cs]e)?", 0.8), ("bsd-3-clause", "3 clause bsd", r"3 clause bsd(?: licen[cs]e)?", 0.8), ("bsd-4-clause", "4 clause bsd", r"4 clause bsd(?: licen[cs]e)?", 0.8),
         ("bsd", "bsd license", r"bsd licen[cs]e", 0.6), ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-        ("bsd-3-clause", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors", 0.9), ("zlib", "zlib license", r"zlib(?: libpng)? licen[cs]e", 0.7),
+        ("bsd-3-clause", "neither the name", r"neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors", 0.9), ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", 0.7),
         ("zlib", "this software is provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors", 0.8),
         ("unlicense", "unlicense", r"(?:the )?unlicense", 0.7), ("unlicense", "released into the public domain", r"free and unencumbered software released into the public domain", 0.95),
         ("wtfpl", "do what the", r"do what the fuck you want to public licen[cs]e", 0.95), ("cc0-1.0", "cc0", r"cc0(?: 1 0)?", 0.8), ("cc0-1.0", "universal", r"creative ?commons (?:cc0 )?(?:1 0 )?universal", 0.8),
@@ -104,7 +104,7 @@ def _families() -> list[Rule]:
         ("vim", "vim license", r"vim licen[cs]e", 0.7), ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?: v?(?:ersion )?1 0)?", 0.9), ("ngpl", "nethack", r"nethack general public licen[cs]e", 0.9),
         ("commercial", "commercial license", r"commercial licen[cs]e (?:agreement|required)", 0.6), ("proprietary", "proprietary", r"proprietary (?:and|or) confidential", 0.7), ("proprietary", "end user", r"end user licen[cs]e agreement", 0.7),
         ("no-redistribution", "redistribution", r"(?:no|unauthorized) redistribution(?: is)?(?: prohibited| permitted)?", 0.6), ("no-reproduction", "reproduc", r"may not be reproduced(?: or)?(?: distributed| transmitted)?", 0.6),
-        ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 0.4), ("copyright", "all rights reserved", r"all rights reserved", 0.4), ("unknown-license", "license", r"(?:licen[cs]ed under|subject to) the terms", 0.3),
+        ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 0.4), ("copyright", "all rights reserved", r"all rights reserved", 0.4), ("unknown-license", "the terms", r"(?:licen[cs]ed under|subject to) the terms", 0.3),
         ("unknown-license", "spdx", r"spdx licen[cs]e identifier \w+", 0.4), ("unknown-license", "see the license", r"see the licen[cs]e for the specific language", 0.4),
     ):
         add(label, key, rf"\b{pattern}\b", 0 if weight >= 0.9 else 2 if weight >= 0.6 else 4, weight)
