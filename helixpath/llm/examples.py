@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
 from .textscan import slices
 
 #: Labelled rows of each class that are learnt from, at most: a sample by a hash of doc_id (the documented bound).
@@ -31,7 +32,7 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Sample:
-    texts: DataFrame  # text, label; at most 2 * PER_CLASS rows
+    texts: DataFrame  # doc_id, label, text; at most 2 * PER_CLASS rows, in the shared folder
     weights: tuple[float, float]  # labelled rows that a sampled one of each class stands for
 
 
@@ -46,11 +47,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
         ids = some if ids is None else ids.union(some)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return Sample(texts.select("text", "label"), tuple(totals.get(k, 0) / max(1, min(per_class, totals.get(k, 0))) for k in (0, 1)))
+    return Sample(saved(texts, "sample"), tuple(totals.get(k, 0) / max(1, min(per_class, totals.get(k, 0))) for k in (0, 1)))
 
 
-def select_terms(s: Sample, terms: Terms, most: int, least_chi2: float) -> tuple[np.ndarray, np.ndarray]:
-    """The terms by which the classes differ most by chi-squared over texts, sorted, and in how many texts each is. At most ``most``."""
+def select_terms(s: Sample, terms: Terms, most: int, least_chi2: float) -> np.ndarray:
+    """The terms by which the classes differ most by chi-squared over texts, sorted. At most ``most``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,10 +74,7 @@ def select_terms(s: Sample, terms: Terms, most: int, least_chi2: float) -> tuple
     both = F.col("n0") + F.col("n1")
     chi2 = (a + b) * (F.col("n0") * b - F.col("n1") * a) ** 2 / (F.lit(a * b) * both * (F.lit(a + b) - both))
     best = counts.where(both >= 3).where(both < a + b).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    rows = best.orderBy(F.desc("chi2"), "term").limit(most).select("term", both.alias("n")).toArrow()
-    keys = rows.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows.column("n").to_numpy()[order]
+    return np.sort(best.orderBy(F.desc("chi2"), "term").limit(most).select("term").toArrow().column("term").to_numpy().view(np.uint64))
 
 
 def frequencies(terms: Terms, vocabulary: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,20 +89,45 @@ def frequencies(terms: Terms, vocabulary: np.ndarray, texts: pa.Array) -> tuple[
     return pairs // len(vocabulary), pairs % len(vocabulary), n
 
 
-def collect_examples(s: Sample, terms: Terms, vocabulary: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Labels, terms and times of the sampled texts, in an order that the content alone decides."""
+def document_frequencies(docs: DataFrame, terms: Terms, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary is, and how many documents there are. A task gives one row for each term it met."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, texts = np.zeros(len(vocabulary), np.int64), 0
+        for batch in batches:
+            texts += batch.num_rows
+            for part in slices(batch, "text"):
+                n += np.bincount(frequencies(terms, vocabulary, part.column("text"))[1], minlength=len(vocabulary))
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(n[met], texts))], ["term", "n"])
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    by_term = dict(zip(counts.column("term").to_pylist(), counts.column("n").to_pylist(), strict=True))
+    return np.array([by_term.get(t, 0) for t in range(len(vocabulary))], np.int64), by_term.get(-1, 0)
+
+
+@dataclass
+class Examples:
+    """The sampled texts, in an order that the content alone decides."""
+
+    names: np.ndarray
+    labels: np.ndarray
+    terms: list[np.ndarray]
+    times: list[np.ndarray]
+
+
+def collect_examples(s: Sample, terms: Terms, vocabulary: np.ndarray) -> Examples:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, term, n = frequencies(terms, vocabulary, part.column("text"))
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, n)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), *lists], ["label", "terms", "times"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "terms", "times"])
 
-    found = s.texts.mapInArrow(rows, "label int, terms array<int>, times array<int>").orderBy("label", "terms", "times").toArrow()
+    found = s.texts.mapInArrow(rows, "doc_id long, label int, terms array<int>, times array<int>").orderBy("label", "terms", "times", "doc_id").toArrow()
     arrays = [[np.array(x, np.int64) for x in found.column(c).to_pylist()] for c in ("terms", "times")]
-    return found.column("label").to_numpy(), *arrays
+    return Examples(found.column("doc_id").to_numpy(), found.column("label").to_numpy(), *arrays)
 
 
 def inverse_frequency(n: np.ndarray, texts: int) -> np.ndarray:

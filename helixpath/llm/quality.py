@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .examples import Calibration, collect_examples, frequencies, held_out, inverse_frequency, sample, select_terms, vote
+from .examples import Calibration, Examples, collect_examples, document_frequencies, frequencies, held_out, inverse_frequency, sample, select_terms, vote
 from .textscan import SpanHasher, mix, slices, spans, table, utf8
 
 K = 25
@@ -64,11 +64,10 @@ class Space:
     calibration: Calibration | None = None
 
     @classmethod
-    def build(cls, vocabulary: np.ndarray, n: np.ndarray, labels: np.ndarray, term: list[np.ndarray], times: list[np.ndarray], weights: tuple[float, float]) -> Space:
-        size, v = len(labels), len(vocabulary)
-        idf = inverse_frequency(n, size)
+    def build(cls, vocabulary: np.ndarray, idf: np.ndarray, e: Examples, weights: tuple[float, float]) -> Space:
+        labels, size, v = e.labels, len(e.labels), len(vocabulary)
         x = np.zeros((size, v))
-        for i, (t, c) in enumerate(zip(term, times, strict=True)):
+        for i, (t, c) in enumerate(zip(e.terms, e.times, strict=True)):
             x[i, t] = _weights(c, np.array([c.sum()]), idf[t])
         # the right singular vectors, by the smaller symmetric matrix
         values, vectors = np.linalg.eigh(x.T @ x) if v else (np.zeros(0), np.zeros((0, 0)))
@@ -121,9 +120,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Broadcast:
     """The latent space and vectors of the labelled sample, of a bounded size, sent to every task."""
     s = sample(docs, labels, label)
-    vocabulary, n = select_terms(s, terms, VOCABULARY, LEAST_CHI2)
-    space = Space.build(vocabulary, n, *collect_examples(s, terms, vocabulary), s.weights)
-    return docs.sparkSession.sparkContext.broadcast(space)
+    vocabulary = select_terms(s, terms, VOCABULARY, LEAST_CHI2)
+    idf = inverse_frequency(*document_frequencies(docs, terms, vocabulary))
+    return docs.sparkSession.sparkContext.broadcast(Space.build(vocabulary, idf, collect_examples(s, terms, vocabulary), s.weights))
 
 
 def scores(docs: DataFrame, space: Broadcast) -> DataFrame:

@@ -20,7 +20,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity.scores(docs, toxicity.train(docs, labels(spark, sf_dir))).drop("evidence")
+    return toxicity.scores(docs, toxicity.train(docs, labels(spark, sf_dir)))
 
 
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,25 +398,90 @@ def test_contamination_finds_all_edited_copies(spark, none):
 # Classifiers
 
 
-def test_index_gives_exact_neighbours():
+def random_examples(rng, v, n):
+    terms = [np.sort(rng.choice(v, rng.integers(0, 8), replace=False)) for _ in range(n)]
+    return examples.Examples(np.arange(n) + 10, rng.integers(0, 2, n), terms, [rng.integers(1, 4, len(t)) for t in terms])
+
+
+def plain_cosines(e, idf):
+    x = np.zeros((len(e.labels), len(idf)))
+    for k, (t, c) in enumerate(zip(e.terms, e.times, strict=True)):
+        x[k, t] = (1 + np.log(c)) * idf[t]
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    return x @ x.T
+
+
+def plain_vote(similarity, labels, weights, prior):
+    """K nearest one by one; examples as near as the last share its place. Equal vectors stand together, others of one similarity by chance."""
+    w = np.where(labels == 1, *weights[::-1]) * similarity**toxicity.POWER
+    base = 0.1**toxicity.POWER
+    return ((w * labels).sum() + base * prior) / (w.sum() + base)
+
+
+def test_index_gives_exact_neighbours_and_votes():
     rng = np.random.default_rng(2)
     v, n = 60, 500
-    terms = [np.sort(rng.choice(v, rng.integers(0, 8), replace=False)) for _ in range(n)]
-    times = [rng.integers(1, 4, len(t)) for t in terms]
-    labels = rng.integers(0, 2, n)
-    index = toxicity.Index.build(np.arange(v, dtype=np.uint64), rng.integers(3, 50, v), labels, terms, times, (2.0, 1.0))
-    dense = np.zeros((n, v))
-    for b in range(index.first.shape[0]):
-        for t in range(v):
-            for p in range(index.first[b, t], index.first[b, t + 1]):
-                dense[b * toxicity.BLOCK + index.example[p], t] = index.weight[p]
-    for t, c in list(zip(terms, times, strict=True))[:80]:
-        q = toxicity.unit(t, c, index.idf)
-        who, similarity = index.nearest(t, q)
-        cosine = dense[:, t] @ q if len(t) else np.zeros(n)
-        best = np.lexsort((np.arange(n), -cosine))[: toxicity.K]
-        best = best[cosine[best] > 0]
-        assert np.allclose(similarity, cosine[best]) and len(who) == len(best)
+    e = random_examples(rng, v, n)
+    idf = rng.uniform(1, 4, v)
+    index = toxicity.Index.build(np.arange(v, dtype=np.uint64), idf, e, (2.0, 1.0))
+    cosine = plain_cosines(e, idf)
+    dense = index._dense(e.terms, [toxicity.unit(t, c, idf) for t, c in zip(e.terms, e.times, strict=True)])
+    who, similarity = index.nearest(dense)
+    assert len(index.posted) > 5
+    for k in range(n):
+        distinct = {(tuple(t), tuple(c)): cosine[k, i] for i, (t, c) in enumerate(zip(e.terms, e.times, strict=True))}
+        want = sorted((x for x in distinct.values() if x > 1e-12), reverse=True)[: toxicity.K]
+        assert np.allclose(similarity[k][who[k] >= 0], want, atol=1e-5) and (who[k] >= 0).sum() == len(want)
+        near = np.argsort(-cosine[k], kind="stable")
+        near = near[cosine[k, near] > 1e-12]
+        cut = cosine[k, near[toxicity.K - 1]] if len(near) >= toxicity.K else 0
+        if len(near) < toxicity.K or (len(near) > toxicity.K and cosine[k, near[toxicity.K]] < cut - 1e-6):  # no tie at the last place
+            near = near[: toxicity.K]
+            voted = index.vote(similarity[k : k + 1], *(index.counts[who[k : k + 1], c] * (who[k : k + 1] >= 0) for c in (0, 1)))
+            assert abs(voted[0] - plain_vote(cosine[k, near], e.labels[near], (2.0, 1.0), index.prior)) < 1e-4
+    left_out, labels, _ = index._left_out(e, [np.flatnonzero([t.tolist() == e.terms[i].tolist() and c.tolist() == e.times[i].tolist() for t, c in zip(e.terms, e.times, strict=True)]).tolist() for i in index.names - 10], [toxicity.unit(e.terms[i], e.times[i], idf) for i in index.names - 10], np.ones(n))
+    for k in range(0, n, 7):
+        others = np.where(np.arange(n) == k, -1, cosine[k])
+        near = np.argsort(-others, kind="stable")[: toxicity.K + 1]
+        if len(e.terms[k]) and others[near[-1]] < others[near[-2]] - 1e-6:
+            near = near[:-1][others[near[:-1]] > 1e-12]
+            assert abs(left_out[k] - plain_vote(others[near], labels[near], (2.0, 1.0), index.prior)) < 1e-4
+
+
+def test_quality_votes_are_those_of_plain_cosines():
+    rng = np.random.default_rng(6)
+    v, n = 40, 300
+    e = random_examples(rng, v, n)
+    idf = rng.uniform(1, 3, v)
+    space = quality.Space.build(np.arange(v, dtype=np.uint64), idf, e, (1.0, 3.0))
+    x = np.zeros((n, v))
+    for k, (t, c) in enumerate(zip(e.terms, e.times, strict=True)):
+        x[k, t] = np.sqrt(c / max(1, c.sum())) * idf[t]
+    _, _, axes = np.linalg.svd(x, full_matrices=False)
+    latent = x @ axes[: quality.DIMENSIONS].T
+    latent /= np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-300)
+    votes = space.votes(space.examples)
+    for k in range(n):
+        cosine = latent @ latent[k]
+        near = np.argsort(-cosine, kind="stable")
+        if cosine[near[quality.K]] < cosine[near[quality.K - 1]] - 1e-6:
+            near = near[: quality.K]
+            w = np.maximum(cosine[near], 0) ** quality.POWER * np.where(e.labels[near] == 1, 3.0, 1.0)
+            base = 0.1**quality.POWER
+            assert abs(votes[k] - ((w * e.labels[near]).sum() + base * space.prior) / (w.sum() + base)) < 1e-6
+
+
+def test_document_frequencies_cover_all_documents(spark, docs, none):
+    texts = [r["text"] for r in docs.select("text").collect()]
+    words = sorted({w for t in texts for w in re.findall("[a-z]+", (t or "").lower())})[:40]
+    vocabulary = np.sort(np.array([h for w in words for h in Words(pa.array([w])).hash], np.uint64))
+    n, size = examples.document_frequencies(docs.repartition(3), toxicity.terms, vocabulary)
+    want = {}
+    for t in texts:
+        for h in set(toxicity.terms(pa.array([t], pa.string()))[1].tolist()) & set(vocabulary.tolist()):
+            want[h] = want.get(h, 0) + 1
+    assert size == len(texts) and {h: c for h, c in zip(vocabulary.tolist(), n.tolist(), strict=True) if c} == want
+    assert examples.document_frequencies(none, toxicity.terms, vocabulary)[1] == 0
 
 
 @pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.7), (quality, "quality", 0.9)])
@@ -438,6 +503,8 @@ def test_classifiers_on_held_out_labels(spark, docs, none, module, label, least)
     assert len(same) == 1
     assert module.scores(none, model).count() == 0
     if module is toxicity:
+        near = toxicity.scores(data, model).join(labels, "doc_id").where("toxic = 1 and size(evidence) > 0").selectExpr("evidence[0] x").select("x.*").collect()
+        assert near and all(0 < r["similarity"] <= 1.000001 and 0 <= r["toxic"] <= r["examples"] and r["doc_id"] is not None for r in near)
         clean = toxicity.without_toxic(docs, model)
         assert clean.columns == docs.columns
         assert by_id((r["doc_id"],) for r in clean.collect()) == by_id((r["doc_id"],) for r in odd if not r["predicted"])
