@@ -4,9 +4,9 @@ Words are runs of ASCII letters and digits and of all non-ASCII characters, with
 alignment (match 1, mismatch and gap -1, over words) scores at least ``least`` * L; that is 0.6, which a copy
 with every fifth word replaced still reaches.
 
-Seeds are runs of SEED words. An alignment that good loses a bounded number of the item's seeds to its edits, so it keeps
-at least ``kept_seeds``, and one of them is among the item's rarest: rarity is counted over all texts, and no match is lost
-by seeding with those only.
+Seeds are runs of SEED words, of fewer in items so short that edits could spoil all of those. An alignment that good loses a bounded number
+of the item's seeds to its edits, so it keeps at least ``kept_seeds``, and one of them is among the item's rarest: rarity is counted over
+all texts, and no match is lost by seeding with those only.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, folded, gram_hash, slices
+from .scratch import saved
+from .textscan import Words, folded, gram_hash, ranges, slices
 
 SEED = 3
 LEAST = 0.6
@@ -33,46 +35,43 @@ def kept_seeds(words: int, n: int, least: float) -> int:
     """How many of an item's runs of n words a match keeps. A replaced word costs two points and n runs, an inserted one costs one
     point and n - 1, a word beyond the alignment costs one of each."""
     lost = max(n / 2, n - 1, 1) * (1 - least) * words
-    return max(1, math.ceil(words - n + 1 - lost - 1e-9))
+    return math.ceil(words - n + 1 - lost - 1e-9)
+
+
+def seed_words(words: int, least: float) -> int:
+    """The longest runs, of up to SEED words, of which a match surely keeps one. Of single words that is so for any item."""
+    return next((n for n in range(min(SEED, words), 1, -1) if kept_seeds(words, n, least) > 0), 1)
 
 
 @dataclass
 class Items:
-    """A block of items: word hashes, and the seeds' postings by seed."""
+    """A block of distinct items: word hashes, the seed at each place of an item, and the items that have a seed among their rarest."""
 
     ids: list[int | None]
+    times: list[int]  # rows of the benchmark that are this item
+    least: float
     words: np.ndarray
-    first: np.ndarray
-    seeds: np.ndarray  # sorted
-    sizes: tuple[int, ...]  # lengths of seeds, in words; items shorter than SEED are one seed
-    seed_first: np.ndarray  # of each seed's postings
-    seed_item: np.ndarray
-    seed_at: np.ndarray
-    rare: np.ndarray  # of postings
+    first: np.ndarray  # of each item's words
+    sizes: np.ndarray  # words of each item's seeds
+    seeds: np.ndarray  # sorted hashes
+    place_seed: np.ndarray
+    place_first: np.ndarray  # of each item's places
+    rare: np.ndarray  # of places
+    rare_item: np.ndarray  # by seed
+    rare_first: np.ndarray  # of each seed's items
 
     @classmethod
-    def of(cls, ids: list[int | None], words: list[np.ndarray]) -> Items:
-        hashes, item, at, sizes = [], [], [], set()
-        for i, w in enumerate(words):
-            n = min(SEED, len(w))
-            if n:
-                sizes.add(n)
-                g = gram_hash([w[k : len(w) - n + 1 + k] for k in range(n)])
-                hashes.append(g)
-                item.append(np.full(len(g), i))
-                at.append(np.arange(len(g)))
-        cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        h, item, at = cat(hashes, np.uint64), cat(item, np.int64), cat(at, np.int64)
-        order = np.argsort(h, kind="stable")
-        seeds, begin = np.unique(h[order], return_index=True)
+    def of(cls, ids: list[int | None], times: list[int], words: list[np.ndarray], least: float) -> Items:
         lengths = np.array([len(w) for w in words], np.int64)
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        return cls(ids, cat(words, np.uint64), first, seeds, tuple(sorted(sizes)), np.append(begin, len(h)), item[order], at[order], np.ones(len(h), bool))
+        sizes = np.array([seed_words(n, least) for n in lengths.tolist()], np.int64)
+        hashes = [gram_hash([w[k : len(w) - n + 1 + k] for k in range(n)]) for w, n in zip(words, sizes.tolist(), strict=True)]
+        seeds, place_seed = np.unique(np.concatenate(hashes), return_inverse=True)
+        none = np.zeros(0, np.int64)
+        offsets = [np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64) for xs in (words, hashes)]
+        return cls(ids, times, least, np.concatenate(words), offsets[0], sizes, seeds, place_seed, offsets[1], np.ones(len(place_seed), bool), none, np.zeros(len(seeds) + 1, np.int64))
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Index of each gram's seed, or -1."""
-        if not len(self.seeds):
-            return np.full(len(grams), -1)
         low = np.uint64((1 << _FILTER_BITS) - 1)
         mask = np.zeros(1 << _FILTER_BITS, bool)
         mask[(self.seeds & low).astype(np.int64)] = True
@@ -84,16 +83,30 @@ class Items:
         out[some[hit]] = at[hit]
         return out
 
-    def keep_rarest(self, frequency: np.ndarray, least: float) -> None:
-        """Marks as rare, of each item's m seeds, the m - kept_seeds + 1 that the fewest texts hold."""
-        often = frequency[np.repeat(np.arange(len(self.seeds)), np.diff(self.seed_first))]
-        order = np.lexsort((self.seed_at, often, self.seed_item))
-        items, begin, count = np.unique(self.seed_item[order], return_index=True, return_counts=True)
-        lengths = np.diff(self.first)
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The seeds in a batch of texts, and the word at which each stands, by that word."""
+        found, places = [], []
+        for n in np.unique(self.sizes).tolist():
+            grams, at = words.grams(n)
+            seed = self.find(grams)
+            there = np.flatnonzero(seed >= 0)
+            found.append(seed[there])
+            places.append(at[there])
+        seed, place = np.concatenate(found), np.concatenate(places)
+        order = np.argsort(place, kind="stable")
+        return seed[order], place[order]
+
+    def keep_rarest(self, frequency: np.ndarray) -> None:
+        """Marks as rare, of each item's m places, the m - kept_seeds + 1 whose seeds the fewest texts hold."""
         self.rare[:] = False
-        for i, b, m in zip(items.tolist(), begin.tolist(), count.tolist(), strict=True):
-            n = min(SEED, int(lengths[i]))
-            self.rare[order[b : b + m - kept_seeds(int(lengths[i]), n, least) + 1]] = True
+        for i, n in enumerate(self.sizes.tolist()):
+            a, b = self.place_first[i : i + 2].tolist()
+            order = np.argsort(frequency[self.place_seed[a:b]], kind="stable")
+            self.rare[a + order[: b - a - kept_seeds(int(self.first[i + 1] - self.first[i]), n, self.least) + 1]] = True
+        item = np.repeat(np.arange(len(self.sizes)), np.diff(self.place_first))
+        pairs = np.unique(self.place_seed[self.rare] * len(self.sizes) + item[self.rare])
+        self.rare_item = pairs % len(self.sizes)
+        self.rare_first = np.searchsorted(pairs // len(self.sizes), np.arange(len(self.seeds) + 1))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -121,66 +134,56 @@ def _best(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, where
 
 
-def matches(items: Items, texts: pa.Array, least: float) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, last word) for all matches in a batch."""
+def matches(items: Items, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, last word) for all matches in a batch. Only rare seeds make pairs of a text and an item; the
+    item's other seeds are then looked up among those of that text."""
     words = Words(folded(texts))
-    hits, places = [], []
-    for n in items.sizes:
-        grams, at = words.grams(n)
-        seed = items.find(grams)
-        found = np.flatnonzero(seed >= 0)
-        hits.append(seed[found])
-        places.append(at[found])
-    if not hits or not sum(map(len, hits)):
-        return []
-    seed, place = np.concatenate(hits), np.concatenate(places)
-    count = np.diff(items.seed_first)[seed]
-    posting = np.repeat(items.seed_first[seed] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    place = np.repeat(place, count)
-    doc, item = words.doc[place], items.seed_item[posting]
-    order = np.lexsort((place, item, doc))
-    doc, item, place, posting = doc[order], item[order], place[order], posting[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    begins = np.append(np.flatnonzero(new), len(doc))
+    seed, place = items.hits(words)
+    doc = words.doc[place]
+    count = np.diff(items.rare_first)[seed]
+    pairs = np.unique(np.repeat(doc, count) * len(items.sizes) + items.rare_item[ranges(items.rare_first[seed], count)])
     out = []
-    for b, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        if not items.rare[posting[b:e]].any():
-            continue
-        d, i = int(doc[b]), int(item[b])
+    for d, i in zip((pairs // len(items.sizes)).tolist(), (pairs % len(items.sizes)).tolist(), strict=True):
+        low, high = np.searchsorted(doc, [d, d + 1])
+        own = slice(items.place_first[i], items.place_first[i + 1])
+        mine, rare = items.place_seed[own], items.place_seed[own][items.rare[own]]
+        there = low + np.flatnonzero(np.isin(seed[low:high], mine))
         target = items.words[items.first[i] : items.first[i + 1]]
         size = len(target)
-        need = kept_seeds(size, min(SEED, size), least)
-        reach = math.ceil(size * (2 - least)) + 1  # no match is longer than this in the text
-        cuts = np.flatnonzero(np.diff(place[b:e]) > reach) + 1
+        need = kept_seeds(size, int(items.sizes[i]), items.least)
+        reach = math.ceil(size * (2 - items.least)) + 1  # no match is longer than this in the text
         best = (0, 0, -1)
-        for at in np.split(np.arange(b, e), cuts):
-            if len(np.unique(items.seed_at[posting[at]])) < need or not items.rare[posting[at]].any():
+        for at in np.split(there, np.flatnonzero(np.diff(place[there]) > reach) + 1):
+            if np.isin(mine, seed[at]).sum() < need or not np.isin(rare, seed[at]).any():
                 continue
-            low = max(int(words.first[d]), int(place[at[0]]) - reach)
-            high = min(int(words.first[d + 1]), int(place[at[-1]]) + reach)
-            score, start, end = align(target, words.hash[low:high])
+            start = max(int(words.first[d]), int(place[at[0]]) - reach)
+            end = min(int(words.first[d + 1]), int(place[at[-1]]) + reach)
+            score, a, b = align(target, words.hash[start:end])
             if score > best[0]:
-                best = (score, start + low - int(words.first[d]), end + low - int(words.first[d]))
-        if best[0] >= least * size - 1e-9:
+                best = (score, a + start - int(words.first[d]), b + start - int(words.first[d]))
+        if best[0] >= items.least * size - 1e-9:
             out.append((d, i, best[0] / size, best[1], best[2]))
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of about BLOCK_WORDS words, dealt out by a hash of id and text. Items without a word match nothing."""
+def item_blocks(benchmark: DataFrame, least: float) -> Iterator[tuple[Items, bool]]:
+    """The benchmark's distinct items in blocks of about BLOCK_WORDS words, dealt out by a hash of id and text, and whether a block is the last one.
+    Items without a word match nothing."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.groupBy("item_id", "text").agg(F.count("*").alias("times"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * BLOCK_WORDS)))
     for k in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
-        if some.num_rows:
-            w = Words(folded(some.column("text").combine_chunks()))
-            yield Items.of(some.column("item_id").to_pylist(), np.split(w.hash, w.first[1:-1]))
+        w = Words(folded(some.column("text").combine_chunks()))
+        split = [(i, n, x) for i, n, x in zip(some.column("item_id").to_pylist(), some.column("times").to_pylist(), np.split(w.hash, w.first[1:-1]), strict=False) if len(x)]
+        if split:
+            ids, times, words = map(list, zip(*split, strict=True))
+            yield Items.of(ids, times, words, least), k == blocks - 1
 
 
-def _with_rare_seeds(docs: DataFrame, items: Items, least: float) -> Items:
-    """Counts, over all texts, how many hold each seed, and marks the rarest. One number for each seed of the block comes back."""
+def _with_rare_seeds(docs: DataFrame, items: Items) -> Broadcast:
+    """Counts, over all texts, how many hold each seed, marks the rarest, and sends the block to every task. One number for each seed comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,20 +192,17 @@ def _with_rare_seeds(docs: DataFrame, items: Items, least: float) -> Items:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(folded(part.column("text")))
-                for n in block.sizes:
-                    grams, at = words.grams(n)
-                    seed = block.find(grams)
-                    found = np.flatnonzero(seed >= 0)
-                    pairs = np.unique(words.doc[at[found]] * len(block.seeds) + seed[found])
-                    total += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
+                seed, place = block.hits(words)
+                pairs = np.unique(words.doc[place] * len(block.seeds) + seed)
+                total += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(items.seeds), np.int64)
     frequency[rows.column("seed").to_numpy()] = rows.column("n").to_numpy()
-    items.keep_rarest(frequency, least)
-    return items
+    items.keep_rarest(frequency)
+    return docs.sparkSession.sparkContext.broadcast(items)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -213,13 +213,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     """
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
     out = None
-    for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs, items, least))
+    for items, _ in item_blocks(benchmark, least):
+        shared = _with_rare_seeds(docs, items)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found = matches(shared.value, part.column("text"), least)
+                    found = [m for m in matches(shared.value, part.column("text")) for _ in range(shared.value.times[m[1]])]
                     d, i, score, first, last = zip(*found, strict=True) if found else ((),) * 5
                     ids = [part.column("doc_id")[k].as_py() for k in d]
                     items_ = [shared.value.ids[k] for k in i]
@@ -232,16 +232,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns; no row moves to another task."""
-    for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_with_rare_seeds(docs, items, least))
+    """The rows of ``docs`` that match no item, with all their columns; no row moves to another task.
+
+    Null and empty texts match nothing and stay; repeated rows stay or go together. Between several blocks of items, what is left is written to the shared folder.
+    """
+    for items, last in item_blocks(benchmark, least):
+        shared = _with_rare_seeds(docs, items)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[m[0] for m in matches(shared.value, part.column("text"), least)]] = False
+                    keep[[m[0] for m in matches(shared.value, part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs if last else saved(docs, "clean")
     return docs
