@@ -28,9 +28,8 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_rules.judge(pages, url_rules.rule_table(spark, url_rules.RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

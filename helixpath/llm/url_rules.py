@@ -2,7 +2,7 @@
 
 A rule (host, path) holds for its host and all subdomains where the url's path starts with the rule's. Its key is
 the host's labels in reverse order, each ended by a character below all others, then a mark and the path;
-everything with that prefix lies in one interval of the sorted keys. A url is a point for each of its
+everything with that prefix lies in one interval of the sorted keys, as a mark within labels and paths is escaped. A url is a point for each of its
 host's suffixes: the suffix's key with the url's path. Prefix intervals are nested or apart, so
 while points and interval borders pass in order, the active rules form a stack; a border carries the stack's top
 after it (the rule itself where it begins, the rule around it where it ends) and each point takes the last border's.
@@ -10,13 +10,13 @@ after it (the rule itself where it begins, the rule around it where it ends) and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
 
-#: Ends a label in a key; ends the host; follows every key that starts with a rule's.
-LABEL, HOST, AFTER = "\x01", "\x02", "\U0010ffff"
+#: Ends a label in a key; ends the host; stands before one of these marks that is a character itself; follows every key that starts with a rule's.
+LABEL, HOST, ESCAPE, AFTER = "\x01", "\x02", "\x03", "\U0010ffff"
 
 #: The rules of the registered query (fixed values): host, path, verdict.
 RULES = [
@@ -38,13 +38,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def _escaped(x: Column) -> Column:
+    return F.regexp_replace(x, f"[{LABEL}{HOST}{ESCAPE}{AFTER}]", f"{ESCAPE}$0")
+
+
 def _key(labels: Column, path: Column) -> Column:
     """``labels``: those of a host, last first."""
     return F.concat(F.concat_ws("", F.transform(labels, lambda x: F.concat(x, F.lit(LABEL)))), F.lit(HOST), path)
 
 
 def _labels(host: Column) -> Column:
-    return F.reverse(F.split(host, r"\."))
+    return F.reverse(F.split(_escaped(host), r"\."))
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A table of (host, path, verdict) from a list, as literals."""
+    rows = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict"), strict=True))) for r in rules))
+    return spark.range(1).select(F.inline(rows))
 
 
 def rule_intervals(rules: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def rule_intervals(rules: DataFrame) -> DataFrame:
     r = rules.where("host is not null and path is not null and verdict is not null")
     r = r.withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     r = r.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    r = r.withColumn("key", _key(_labels(F.col("host")), F.col("path")))
+    r = r.withColumn("key", _key(_labels(F.col("host")), _escaped(F.col("path"))))
     r = r.select("key", F.struct(F.length(F.concat("host", "path")).alias("length"), F.concat("host", "path").alias("rule"), "verdict").alias("top"))
     inner = r.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.substring("key", F.lit(1), n))).alias("prefix"))
     around = inner.join(r.select(F.col("key").alias("prefix"), F.col("top").alias("around")), "prefix")
@@ -78,7 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", parts: i
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).withColumns({"host": host, "path": path})
     labels = _labels(F.col("host"))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _key(F.slice(labels, F.lit(1), n), F.col("path")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _key(F.slice(labels, F.lit(1), n), _escaped(F.col("path"))))
     points = urls.select("page_id", "url", F.posexplode(suffixes).alias("nth", "key"))
     intervals = rule_intervals(rules)
     none = F.lit(None)
