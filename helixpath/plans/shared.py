@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where it is unset, as in tests, a new local folder is set once."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset and Spark runs on this machine alone, as in tests, a new local folder is set once;
+    on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixpath.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-helixpath-", dir="/tmp")
         spark.conf.set("helixpath.shared.dir", found)
     return found.rstrip("/")
@@ -21,14 +24,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/helixpath-{name}-{uuid.uuid4().hex}"
 
 
+def deleted_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: cuts lineage, and survives the loss of executors.
 
     The table is deleted when the driver's JVM ends; until then results may read it.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = deleted_at_end(spark, new_path(spark, name))
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
