@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
@@ -13,57 +13,66 @@ from .scratch import saved
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Rows of a source are numbered within buckets of about so many rows, and slots within chunks of so many.
-BUCKET_ROWS = 20_000
+#: Slots are numbered within chunks of so many.
 CHUNK_SLOTS = 1 << 16
 
 
+def running_sums(rows: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the sum of that column over all rows before in ``order``.
+
+    Rows are dealt out by ranges of the order and summed within each range; one row for each range gives what lies before it. So no key or
+    source is ordered in one task. Written to the shared folder.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items())).join(F.broadcast(parts), "__part")
+    return dealt.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *(f"__{n}" for n in sums))
+
+
+def by_source() -> list[str | Column]:
+    """By code point, null last."""
+    return [F.col("source").isNull(), "source"]
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size): one row each.
+    """(source, source_size, weight, target, before) from (source, source_size): one row each; before: the words of the sources before it.
 
     Sources by code point, null last, take the weights in turn and share ``share`` times all
     words by them; none gets more than ``most`` times its size, and what that leaves is shared
     again. With the sources by size for weight, those up to some point get their most, and the others one
-    rate for each unit of weight: the point is the last one at which that rate is still above
-    their own. The windows run over one row for each source.
+    rate for each unit of weight: the point is the last one at which that rate is still above their own.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    w = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
-    every = Window.partitionBy()
-    w = w.withColumn("total", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
-    tight = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("size_before", F.coalesce(F.sum("source_size").over(tight), F.lit(0)))
-    w = w.withColumn("weight_before", F.coalesce(F.sum("weight").over(tight), F.lit(0)))
-    rate = (F.col("total") * F.lit(share) - F.col("size_before") * F.lit(most)) / (F.col("all_weight") - F.col("weight_before"))
+    w = running_sums(sizes.withColumn("one", F.lit(1)), by_source(), {"nth": "one", "before": "source_size"})
+    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long"))
+    w = w.withColumn("ratio", F.col("source_size") / F.col("weight"))
+    w = running_sums(w, ["ratio", *by_source()], {"size_before": "source_size", "weight_before": "weight"})
+    total, all_weight = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    rate = (F.lit((total or 0) * share) - F.col("size_before") * F.lit(most)) / (F.lit(all_weight or 0) - F.col("weight_before"))
     w = w.withColumn("rate", rate).withColumn("full", F.col("source_size") * F.lit(most) <= F.col("rate") * F.col("weight"))
-    level = F.max(F.when(~F.col("full"), F.col("rate"))).over(every)
-    target = F.when(F.col("full") | level.isNull(), F.col("source_size") * F.lit(most)).otherwise(level * F.col("weight"))
-    return w.select("source", "source_size", "weight", target.cast("double").alias("target"))
+    level = w.where("not full").agg(F.max("rate")).first()[0]
+    every = F.col("source_size") * F.lit(most)
+    target = every if level is None else F.when(F.col("full"), every).otherwise(F.lit(level) * F.col("weight"))
+    return w.select("source", "source_size", "weight", target.cast("double").alias("target"), "before")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, text_hash, size): the words of each whole text (null: 0)."""
+    """(row, doc_id, source, text_hash, size): the words of each whole text (null: 0), and a number for each row. Written to the shared folder,
+    so texts are read once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    return saved(rows, "sized")
 
 
 def _lines(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` with ``start``: where each document's words begin on its source's line of shuffled documents.
+    """``rows`` with ``upto``: how many words stand before each document on the line of all sources, each with its documents shuffled by a hash.
 
-    Documents stand by a hash. Its upper bits are a bucket, of which the number follows the number of rows; sums of buckets
-    and then sums within them give the starts, so no source is ordered in one task.
+    Only full repetitions of a row are ordered by their numbers, and those are alike.
     """
-    buckets = max(1, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
-    rows = rows.withColumn("bucket", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return rows.withColumn("start", F.col("base") + F.col("offset")).drop("s", "b", "base", "offset", "place", "bucket")
+    return running_sums(rows, [*by_source(), "place", "doc_id", "text_hash", "row"], {"upto": "size"}).drop("place")
 
 
 def schedule(spark, targets: DataFrame, block: int) -> DataFrame:
@@ -78,8 +87,7 @@ def schedule(spark, targets: DataFrame, block: int) -> DataFrame:
     q = q.withColumn("passes", F.floor(F.col("words") / F.col("source_size")).cast("long"))
     q = q.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     q = q.withColumn("quota", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(float(block))).cast("long"))
-    upto = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0)
-    q = q.withColumn("high", F.sum("quota").over(upto)).withColumn("low", F.col("high") - F.col("quota"))
+    q = running_sums(q, by_source(), {"low": "quota"}).withColumn("high", F.col("low") + F.col("quota"))
     q = saved(q, "quotas")
     total = q.agg(F.sum("quota")).first()[0] or 0
     point = F.col("slot") * F.lit(GOLDEN)
@@ -118,29 +126,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     documents of their own. Other columns are left out. The rows alone decide the result, so
     reruns agree.
     """
-    rows = saved(_lines(sized(docs), seed), "lines")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = saved(source_targets(sizes, weights, share, most), "targets")
+    rows = sized(docs)
+    targets = saved(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    t = targets.select(F.col("source").alias("t"), "source_size", "target", "before")
+    lines = _lines(rows, seed).join(t, F.col("source").eqNullSafe(F.col("t"))).drop("t")
+    rows = saved(lines.withColumn("start", F.col("upto") - F.col("before")).drop("upto", "before"), "lines")
     slots = schedule(docs.sparkSession, targets, block)
-    some = rows.where("size > 0").select("source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+    some = rows.where("size > 0").select("row", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     taken = slots.groupBy("source", "block", "take").count().select(F.col("source").alias("s"), F.col("block").alias("b"), "take", "count")
     met = some.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     overlap = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take")) - F.greatest("start", F.col("block") * block)
-    met = met.groupBy("source", "start").agg(F.sum(F.greatest(overlap, F.lit(0)) * F.col("count")).alias("taken"))
-    met = met.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken")
-    t = targets.select(F.col("source").alias("t"), "source_size", "target")
-    out = rows.join(met, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
-    out = out.join(t, F.col("source").eqNullSafe(F.col("t")))
+    met = met.groupBy("row").agg(F.sum(F.greatest(overlap, F.lit(0)) * F.col("count")).alias("taken"))
+    out = rows.join(met, "row", "left")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, with all their columns: each row as many times as the mix takes its words, to the nearest whole
-    number (half: up). A document without words costs the mix nothing and stays once. Fully repeated rows share alike."""
+    number (half: up). A document without words costs the mix nothing and stays once. Fully repeated rows share alike. Null ids, sources and
+    texts are values like others."""
     taken = mix(docs, **how).groupBy("doc_id", "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
     copies = F.when(F.col("n") == 0, F.lit(1)).otherwise(F.floor(F.col("t") / F.col("n") + 0.5)).cast("int")
-    taken = saved(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), copies.alias("__copies")), "copies")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (text == F.col("__hash"))
-    rows = docs.join(taken.where("__copies > 0"), same)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = saved(taken.select("doc_id", "source", "text_hash", copies.alias("copies")), "copies").where("copies > 0").alias("taken")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    text = F.xxhash64(F.coalesce(F.col("doc.text").cast("string"), F.lit("")))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("taken.doc_id")) & F.col("doc.source").cast("string").eqNullSafe(F.col("taken.source")) & (text == F.col("taken.text_hash"))
+    rows = whole.join(taken, same)
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
