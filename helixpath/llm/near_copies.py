@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of word runs: MinHash bands give candidates, exact similarities decide.
+"""Near copies by the Jaccard similarity of word runs: SimHash links and MinHash bands give candidates, exact similarities decide.
 
 Two texts are linked where their sets of runs of WORDS words have a Jaccard similarity of LEAST or more; classes are what links connect.
-A pair at 0.8 exactly shares no band with a probability of (1 - 0.8^ROWS)^BANDS, about 3 in a million. No candidate is dropped
-by its band's size, and no pair is linked unless its exact similarity says so.
+Fingerprints of such pairs differ in 4 to 14 of 64 bits, and a trie's self-join that far would open nearly all pairs. So its links of up to 3 bits are
+joined by those of MinHash bands: a pair at 0.8 exactly shares no band with a probability of (1 - 0.8^ROWS)^BANDS, about 3 in a
+million. No candidate is dropped by its band's size, and no pair is linked unless its exact similarity says so.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .scratch import saved
-from .simhash import text_hash
+from .simhash import fingerprint_links, fingerprints, text_hash
 from .textscan import Words, gram_hash, mix, ranges, slices
 
 WORDS = 5
@@ -108,8 +109,8 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("text_hash"))
     bands = saved(texts.mapInArrow(scan, "text_hash long, keys array<long>"), "bands").select("text_hash", F.explode("keys").alias("key"))
     shared = saved(bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key", "low"), "shared")
-    near = bands.join(shared, "key").where("text_hash <> low").select(F.col("text_hash").alias("src"), F.col("low").alias("dst")).distinct()
-    groups = saved(components(near), "candidates")
+    near = bands.join(shared, "key").where("text_hash <> low").select(F.col("text_hash").alias("src"), F.col("low").alias("dst"))
+    groups = saved(components(near.union(fingerprint_copies(docs)).distinct()), "candidates")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")))
@@ -119,20 +120,32 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return dealt.groupBy("root", "a", "b").applyInArrow(compare, "src long, dst long")
 
 
+def fingerprint_copies(docs: DataFrame) -> DataFrame:
+    """(src, dst): edges between text hashes that connect the texts whose SimHash fingerprints are linked."""
+    texts = saved(fingerprints(docs, WORDS).select("fp", "text_hash").distinct(), "fingerprints")
+    first = saved(texts.groupBy("fp").agg(F.min("text_hash").alias("first")), "firsts")
+    same = texts.join(first, "fp").where("text_hash <> first").select(F.col("text_hash").alias("src"), F.col("first").alias("dst"))
+    links = fingerprint_links(first.select("fp"))
+    for end in ("src", "dst"):
+        links = links.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_text")), end)
+    return same.union(links.select("src_text", "dst_text"))
+
+
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest doc_id.
 
-    Of several rows with this doc_id, one stays: that of the least text hash, and of full repetitions the least by the other
-    columns. Null doc_ids come last. Null and blank texts are one class.
+    Of several rows with this doc_id, one stays: that of the least text hash, and of full repetitions the least by the JSON of
+    all columns. Null doc_ids come last. Null and blank texts are one class.
     """
     linked = components(copy_links(docs, least)).select(F.col("node").alias("text_hash"), "root")
     same = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash")).groupBy("doc_id", "text_hash").count()
     same = same.join(linked, "text_hash", "left").withColumn("class", F.coalesce("root", "text_hash"))
     best = same.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash", "count")).alias("x"))
-    best = saved(best.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"), F.col("x.count").alias("__n")), "kept")
-    this = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash"))
-    once = docs.join(best.where("__n = 1"), this, "left_semi")
-    often = docs.join(best.where("__n > 1"), this, "left_semi")
-    parts = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    often = often.groupBy("doc_id", text_hash().alias("__hash")).agg(F.min(parts).alias("x")).select("x.*")
-    return once.unionByName(often)
+    best = saved(best.select("x.doc_id", "x.text_hash", "x.count"), "kept").alias("best")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    hashed = F.xxhash64(F.coalesce(F.col("doc.text").cast("string"), F.lit("")))
+    this = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("best.doc_id")) & (hashed == F.col("best.text_hash"))
+    once = whole.join(best.where("count = 1"), this, "left_semi")
+    often = whole.join(best.where("count > 1"), this, "left_semi")
+    often = often.groupBy("doc.doc_id", hashed.alias("text_hash")).agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
+    return once.union(often).select("doc.*")

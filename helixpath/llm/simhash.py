@@ -8,18 +8,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
 from .scratch import saved
-from .textscan import LOWER_BYTES
+from .textscan import LOWER_BYTES, slices
 
-#: Fingerprints of one side of a trie pair; the trie is cut where nodes are no larger.
+#: Fingerprints that are walked together in one task: those under one node of a trie, at most about so many.
 LEAF_ROWS = 16_384
-#: The trie is cut into about so many nodes at most, whatever the number of fingerprints.
-MOST_NODES = 2_048
-STEP_BITS = 4
 #: Node pairs that one task opens at a time (each of 64 levels may hold four times as many), the
 #: comparisons below which it opens no further, and those made at a time.
 OPEN_PAIRS = 20_000
@@ -51,45 +48,46 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", words) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("text_hash")], ["doc_id", "fp", "text_hash"]
-            )
+            for part in slices(batch, "text"):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                fps = np.array([fingerprint(t or b"", words) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64)), part.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     return rows.mapInArrow(scan, "doc_id long, fp long, text_hash long")
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs of the sorted arrays a and b whose values differ in ``budget`` bits at most.
+def trie_links(values: np.ndarray, first: np.ndarray, last: np.ndarray, level: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs i < j of sorted values within [first, last) of a node at ``level`` that differ in ``budget`` bits at most.
 
-    The tries of both are walked together from their roots. A pair of nodes is a range of each
-    array and the number of bits in which the paths to them differ; it is given up as soon as that
-    exceeds the budget, and compared value by value once both ranges are small.
+    Each node's trie is joined with itself: pairs of its nodes are walked together. A pair is two ranges of the values and the number of bits
+    in which the paths to them differ; it is given up as soon as that exceeds the budget, and compared
+    value by value once both ranges are small.
     """
-    if not len(a) or not len(b):
+    if not len(first):
         return
-    work = [(0, *(np.array([x]) for x in (0, len(a), 0, len(b), 0)))]
+    work = [(level, (first, last, first, last, np.zeros(len(first), np.int64)))]
     while work:
-        level, a0, a1, b0, b1, bits = work.pop()
+        level, pairs = work.pop()
+        a0, a1, b0, b1, bits = pairs
         if len(a0) > OPEN_PAIRS:
             half = len(a0) // 2
-            work += [(level, *(x[:half] for x in (a0, a1, b0, b1, bits))), (level, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
+            work += [(level, tuple(x[:half] for x in pairs)), (level, tuple(x[half:] for x in pairs))]
             continue
         small = ((a1 - a0) * (b1 - b0) <= SMALL) | (level == 64)
         if small.any():
-            yield from _compare(a, b, a0[small], a1[small], b0[small], b1[small], budget)
+            yield from _compare(values, *(x[small] for x in pairs[:4]), budget)
         if small.all():
             continue
-        a0, a1, b0, b1, bits = (x[~small] for x in (a0, a1, b0, b1, bits))
-        am, bm = _middle(a, a0, level), _middle(b, b0, level)
+        a0, a1, b0, b1, bits = (x[~small] for x in pairs)
+        am, bm = _middle(values, a0, level), _middle(values, b0, level)
         am, bm = np.minimum(np.maximum(am, a0), a1), np.minimum(np.maximum(bm, b0), b1)
-        kids = [(a0, am, b0, bm, bits), (am, a1, bm, b1, bits), (a0, am, bm, b1, bits + 1), (am, a1, b0, bm, bits + 1)]
-        a0, a1, b0, b1, bits = (np.concatenate(x) for x in zip(*kids, strict=True))
-        live = (a0 < a1) & (b0 < b1) & (bits <= budget)
+        other = a0 != b0  # of a node with itself, the children meet once
+        kids = [(a0, am, b0, bm, bits), (am, a1, bm, b1, bits), (a0, am, bm, b1, bits + 1), tuple(x[other] for x in (am, a1, b0, bm, bits + 1))]
+        pairs = tuple(np.concatenate(x) for x in zip(*kids, strict=True))
+        live = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3]) & (pairs[4] <= budget)
         if live.any():
-            work.append((level + 1, *(x[live] for x in (a0, a1, b0, b1, bits))))
+            work.append((level + 1, tuple(x[live] for x in pairs)))
 
 
 def _middle(values: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
@@ -99,7 +97,7 @@ def _middle(values: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
     return np.searchsorted(values, (values[first] & above) | bit)
 
 
-def _compare(a, b, a0, a1, b0, b1, budget):
+def _compare(values, a0, a1, b0, b1, budget):
     counts = (a1 - a0) * (b1 - b0)
     ends = np.cumsum(counts)
     start = 0
@@ -110,94 +108,84 @@ def _compare(a, b, a0, a1, b0, b1, budget):
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         wide = (b1 - b0)[which]
         i, j = a0[which] + k // wide, b0[which] + k % wide
-        near = np.bitwise_count(a[i] ^ b[j]) <= budget
+        near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i < j)
         yield i[near], j[near]
         start = stop
 
 
-def _cut(fps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Where to cut the trie: the prefixes (left-aligned) and depths of nodes that hold all fingerprints.
+def _led_by(value: Column, depth: int, part: int, parts: int) -> tuple[Column, int]:
+    """``value`` with one of ``parts`` equal parts of the bits after its first ``depth`` moved up to these, and how many bits that part has."""
+    wide = (64 - depth) // parts
+    between, below = wide * part, 64 - depth - wide * (part + 1)  # bits on both sides of the part
+    bits = lambda at, n: F.shiftrightunsigned(value, at).bitwiseAND((1 << n) - 1)
+    moved = F.shiftleft(bits(below, wide), between + below)
+    if between:
+        moved = moved.bitwiseOR(F.shiftleft(bits(below + wide, between), below))
+    if below:
+        moved = moved.bitwiseOR(bits(0, below))
+    return moved.bitwiseOR(value.bitwiseAND(_mask(depth))), wide
 
-    A node too large is opened STEP_BITS further. Only the counts of its children come to the
-    driver: at most 16 for each large node, of which there are MOST_NODES at most.
-    """
-    total = fps.count()
-    most = max(LEAF_ROWS, total // MOST_NODES)
-    nodes: list[tuple[int, int]] = []
-    large = [(0, 0)] if total > most else []
-    if not large:
-        nodes = [(0, 0)]
-    depth = 0
-    while large:
-        depth += STEP_BITS
-        some = fps
-        if depth > STEP_BITS:
-            keys = fps.sparkSession.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p, _ in large], "prefix long")
-            some = fps.withColumn("prefix", _prefix("fp", depth - STEP_BITS)).join(F.broadcast(keys), "prefix", "left_semi")
-        rows = some.groupBy(_prefix("fp", depth).alias("prefix")).count().collect()
-        found = [(r["prefix"] % (1 << 64), r["count"]) for r in rows]
-        large = [(p, n) for p, n in found if n > most and depth < 64]
-        nodes += [(p, depth) for p, n in found if not (n > most and depth < 64)]
-    nodes.sort()
-    return np.array([p for p, _ in nodes], np.uint64), np.array([d for _, d in nodes], np.int64)
-
-
-def _prefix(column: str, depth: int):
-    mask = ((1 << 64) - 1) ^ ((1 << (64 - depth)) - 1)
-    return F.col(column).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-
-
-def _node_pairs(prefixes: np.ndarray, depths: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of cut nodes (first <= second) whose common part of the path differs in ``budget`` bits at most."""
-    above = np.array([((1 << 64) - 1) ^ ((1 << (64 - d)) - 1) for d in range(65)], np.uint64)
-    left, right = [], []
-    for i in range(len(prefixes)):
-        both = above[np.minimum(depths[i], depths[i:])]
-        j = i + np.flatnonzero(np.bitwise_count((prefixes[i] ^ prefixes[i:]) & both) <= budget)
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+
+def _mask(depth: int) -> int:
+    """The first ``depth`` bits, as a signed long."""
+    return -(1 << (64 - depth)) if depth else 0
 
 
 def fingerprint_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     """(src, dst): edges that connect exactly the fingerprints connected by links of ``budget`` differing bits.
 
-    ``fps`` has distinct fingerprints in ``fp``. The driver cuts the trie into nodes of a bounded
-    size and lists the pairs of nodes within the budget; each pair is one group, in which the walk
-    goes on to the leaves. A group gives a spanning forest of its links, never all pairs.
+    ``fps`` has distinct fingerprints in ``fp``. Of budget + 1 parts of the bits, a link leaves one as it is: so each part leads a trie
+    of its own, and a link lies under one node below that part. All that is under a node meets in one task and is joined with itself. A node
+    of more than LEAF_ROWS is cut in the same way again, by the parts of the bits that are left; every fingerprint
+    is sent budget + 1 times, and that many times again for each such cut. Tasks give spanning forests of their links, never all pairs.
     """
-    spark: SparkSession = fps.sparkSession
-    prefixes, depths = _cut(fps)
-    left, right = _node_pairs(prefixes, depths, budget)
-    groups: list[list[int]] = [[] for _ in prefixes]
-    for g, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        groups[i].append(g)
-        if j != i:
-            groups[j].append(g)
-    rows = [(int(d), int(p) - (1 << 64) if int(p) >> 63 else int(p), k, gs) for k, (p, d, gs) in enumerate(zip(prefixes, depths, groups, strict=True))]
-    nodes = spark.createDataFrame(rows, "depth int, prefix long, node int, groups array<int>")
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix("fp", d).alias("prefix")) for d in sorted({int(x) for x in depths}))))
-    dealt = (
-        fps.select("fp", at.alias("at"))
-        .select("fp", "at.depth", "at.prefix")
-        .join(F.broadcast(nodes), ["depth", "prefix"])
-        .select("fp", "node", F.explode("groups").alias("pair"))
-    )
-
-    def join(key: tuple, group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        node = group.column("node").to_numpy()
-        sides = [np.sort(fp[node == k]) for k in np.unique(node)]
-        a, b = sides[0], sides[-1]
+    parts = budget + 1
+    rows, depth, done = fps.select("fp", F.lit(0).alias("path"), F.col("fp").alias("v")), 0, None
+    while True:
+        led = [_led_by(F.col("v"), depth, k, parts) for k in range(parts)]
+        rows = rows.select("fp", F.explode(F.array(*(F.struct((F.col("path") * parts + k).alias("path"), v.alias("v")) for k, (v, _) in enumerate(led)))).alias("x")).select("fp", "x.*")
+        depth += led[0][1]
+        rows = rows.withColumn("node", F.col("v").bitwiseAND(_mask(depth)))
+        large = saved(rows.groupBy("path", "node").count().where(F.col("count") > LEAF_ROWS).drop("count"), "large")
+        last = 64 - depth < 2 * parts or large.isEmpty()
+        small = rows if last else rows.join(large, ["path", "node"], "left_anti")
+        found = _walked(small, depth, budget)
+        done = found if done is None else done.union(found)
+        if last:
+            return done
+        rows = rows.join(large, ["path", "node"], "left_semi").drop("node")
+
+
+def _walked(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+    """Links within the nodes of ``rows`` (fp, path, v, node), which are the first ``depth`` bits of v."""
+
+    def links(fp: np.ndarray, path: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         src = dst = np.zeros(0, np.uint64)
-        if len(a) and len(b):
-            for i, j in trie_links(a, b, budget):
-                other = a[i] != b[j]
-                if other.any():
-                    src, dst = forest(np.concatenate([src, a[i][other]]), np.concatenate([dst, b[j][other]]))
-        return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
+        cuts = np.flatnonzero(np.diff(path)) + 1
+        for fps, values in zip(np.split(fp, cuts), np.split(v, cuts), strict=True):
+            node = values >> np.uint64(64 - depth)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            last = np.append(first[1:], len(node))
+            many = last - first > 1
+            for i, j in trie_links(values, first[many], last[many], depth, budget):
+                if len(i):
+                    src, dst = forest(np.concatenate([src, fps[i]]), np.concatenate([dst, fps[j]]))
+        return pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], ["src", "dst"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("fp", "path", "v"), strict=True)]
+            node = held[2].view(np.uint64) >> np.uint64(64 - depth)
+            border = np.flatnonzero((held[1][1:] != held[1][:-1]) | (node[1:] != node[:-1])) + 1
+            if len(border):  # the last node may go on in the next batch
+                now, held = [h[: border[-1]] for h in held], [h[border[-1] :] for h in held]
+                yield links(now[0].view(np.uint64), now[1], now[2].view(np.uint64))
+        yield links(held[0].view(np.uint64), held[1], held[2].view(np.uint64))
 
-    return dealt.groupBy("pair").applyInArrow(join, "src long, dst long")
+    unsigned = F.col("v").bitwiseXOR(F.lit(-(1 << 63)))
+    dealt = rows.repartition("path", "node").sortWithinPartitions("path", unsigned).select("fp", F.col("path").cast("long"), "v")
+    return dealt.mapInArrow(walk, "src long, dst long")
 
 
 def simhash_classes(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
@@ -217,25 +205,5 @@ def simhash_classes(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "text_hash", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """``docs`` with one row of each SimHash class: that of the smallest doc_id.
-
-    Of several rows with this doc_id, one stays: that of the least text hash, and of full
-    repetitions the least by the other columns. Null doc_ids come last; where a class has no
-    other, one row of each fingerprint stays.
-    """
-    classes = simhash_classes(docs, words, budget)
-    name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    same = classes.groupBy(name.alias("class"), "doc_id", "text_hash").count()
-    best = same.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash", "count")).alias("x"))
-    best = saved(best.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"), F.col("x.count").alias("__n")), "kept")
-    this = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash"))
-    once = docs.join(best.where("__n = 1"), this, "left_semi")
-    often = docs.join(best.where("__n > 1"), this, "left_semi")
-    parts = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    often = often.groupBy("doc_id", text_hash().alias("__hash")).agg(F.min(parts).alias("x")).select("x.*")
-    return once.unionByName(often)
-
-
 def text_hash():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
