@@ -1,52 +1,86 @@
 """Pre-tokens of a batch of texts, found with numpy, for the two pre-tokenizers of the public vocabularies.
 
-Splits are those of the tokenizers library. Texts that hold a special token's string, or a
-character outside the range for which this module's character classes are known to agree with the
-library's, are not split here: ``plain`` is False for them and callers give them to the library whole.
+Splits are those of the tokenizers library, in all scripts: the classes of characters and their lower-case forms are asked of the library once by
+each worker. Texts with characters that composition may change are composed by the library's normalizer first. Texts that
+hold a special token's string are not split here: ``plain`` is False for them and callers give them to the library whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 from .textscan import SpanHasher, codepoints
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Characters up to here are classed by tables: Latin, Greek, Cyrillic, Hebrew, Arabic, Indic.
-CLASSED = 0x1100
-#: Characters below this one are their own NFC form and have no context in lower-casing.
-SIMPLE = 0x300
-DOTTED_I = 0x130
-_APOSTROPHE, _BLANK = 0x27, 0x20
+#: Characters up to here are classed by tables; none above is a letter, a number or white space.
+CLASSED = 0x40000
+_STEP = 1 << 13
+_DOTTED_I, _APOSTROPHE, _BLANK = 0x130, 0x27, 0x20
+#: Hangul vowels and final consonants, which join the syllable before them (fixed values).
+_JAMO = (range(0x1161, 0x1176), range(0x11A8, 0x11C3))
 #: What may follow an apostrophe at the start of a pre-token, as the patterns of both vocabularies list it (fixed values).
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+def _characters(low: int) -> np.ndarray:
+    points = np.arange(low, low + _STEP, dtype=np.uint32)
+    return points[(points < 0xD800) | (points > 0xDFFF)]
+
+
+def _string(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le")
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    out = np.zeros(CLASSED, np.uint8)
-    for value, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-        for c in range(CLASSED):
-            if regex.match(pattern, chr(c)):
-                out[c] = value
+    """The class of each character below CLASSED by the library's regular expressions."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out = np.zeros(CLASSED + 1, np.uint8)  # the last: all characters above
+    for value, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for low in range(0, CLASSED, _STEP):
+            points = _characters(low)
+            if len(points):
+                for _, (a, b) in found.pre_tokenize_str(_string(points)):
+                    out[points[a:b]] = value
     return out
 
 
 @lru_cache(maxsize=1)
-def known() -> np.ndarray:
-    """Characters that are assigned; the others may be of another class in another Unicode version."""
-    return np.array([regex.match(r"\p{Cn}", chr(c)) is None for c in range(CLASSED)])
+def lower() -> np.ndarray:
+    """Lower-case forms by the library; of the dotted I, which has two characters, none."""
+    from tokenizers import normalizers
+
+    out = np.arange(CLASSED, dtype=np.uint32)
+    for low in range(0, CLASSED, _STEP):
+        points = _characters(low)
+        points = points[points != _DOTTED_I]
+        out[points] = np.frombuffer(normalizers.Lowercase().normalize_str(_string(points)).encode("utf-32-le"), np.uint32)
+    return out
 
 
 @lru_cache(maxsize=1)
-def lower() -> np.ndarray:
-    return np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(SIMPLE)], np.uint32)
+def stable() -> np.ndarray:
+    """Characters that composition leaves as they are next to any others, and that have one lower-case character."""
+    out = np.zeros(CLASSED + 1, bool)
+    second = {c for r in _JAMO for c in r} | {_DOTTED_I}
+    for c in range(CLASSED):
+        x = chr(c)
+        parts = unicodedata.decomposition(x)
+        canonical = parts and parts[0] != "<"
+        if canonical and " " in parts:
+            second.add(int(parts.split()[1], 16))
+        out[c] = not unicodedata.combining(x) and unicodedata.category(x) not in ("Cn", "Cs") and (not canonical or unicodedata.is_normalized("NFC", x))
+    out[list(second)] = False
+    return out
 
 
 @dataclass
@@ -64,26 +98,26 @@ class Pieces:
         return self.points[self.start[i] : self.end[i]].tobytes().decode("utf-32-le")
 
 
-def split(texts: pa.Array, specials: tuple[str, ...], words: bool) -> Pieces:
-    """``words``: lower-cased pre-tokens without white space, digits one by one; else byte-level ones, with the blank before them."""
+def split(texts: pa.Array, specials: tuple[str, ...], words: bool, normalize: Callable[[str], str] = str) -> Pieces:
+    """``words``: lower-cased pre-tokens without white space, digits one by one, of texts that ``normalize`` composes; else byte-level ones, with the
+    blank before them."""
     texts = pc.fill_null(texts, "")
     plain = np.ones(len(texts), bool)
     for s in specials:
         plain &= ~pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-    points, offsets = codepoints(texts)
-    top = SIMPLE if words else CLASSED
-    odd = points >= top
-    odd[~odd] = ~known()[points[~odd]]
-    if words:
-        odd |= points == DOTTED_I
-    if odd.any():
-        plain[np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)] = False
     if not plain.all():
-        points = points[np.repeat(plain, np.diff(offsets))]
-        offsets = np.concatenate([[0], np.cumsum(np.where(plain, np.diff(offsets), 0))])
+        texts = pc.replace_with_mask(texts, pa.array(~plain), pa.scalar("", texts.type))
+    points, offsets = codepoints(texts)
     if words:
-        points = lower()[points]
-    kinds = classes()[points]
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(~stable()[np.minimum(points, CLASSED)]), side="right") - 1)
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([normalize(texts[d].as_py()) for d in odd.tolist()], texts.type))
+            points, offsets = codepoints(texts)
+        known = points < CLASSED
+        points = np.where(known, lower()[np.where(known, points, 0)], points)
+    kinds = classes()[np.minimum(points, CLASSED)]
     n = len(points)
     starts = _starts(points, kinds, offsets, words) if n else np.zeros(0, np.int64)
     ends = np.append(starts[1:], n)

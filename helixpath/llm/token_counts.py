@@ -38,7 +38,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     occurs, and the number of pieces the library makes of it. Written to the shared folder."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = _specials(library(tokenizer))
+        specials, normalize = _specials(library(tokenizer)), library(tokenizer).normalizer.normalize_str
         keys, counts, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
 
         def out() -> pa.RecordBatch:
@@ -46,7 +46,7 @@ def pretoken_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                found = split(piece.column("text"), specials, words=True)
+                found = split(piece.column("text"), specials, True, normalize)
                 new, first, n = np.unique(found.hash, return_index=True, return_counts=True)
                 at = np.searchsorted(keys, new)
                 at[at == len(keys)] = 0
@@ -92,9 +92,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
 
     The counts of the most frequent pre-tokens, a bounded number, go to every task and are summed
     there; the frequencies of all other pre-tokens are joined to their counts by a shuffle, so no
-    frequent key is ever shuffled. A null text is empty and has 0 tokens. Repeated rows stay. Texts
-    that only the library can split (see ``pretokens``) are counted by it whole. Other columns of
-    ``docs`` are left out.
+    frequent key is ever shuffled. A null text is empty and has 0 tokens. Repeated rows stay, each with a number of its own. Texts
+    that hold a special token's string are counted by the library whole. Other columns of ``docs`` are left out.
     """
     vocabulary = pretoken_counts(docs, tokenizer)
     keys, pieces, least = _frequent(vocabulary)
@@ -102,12 +101,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer_ = library(tokenizer)
-        specials = _specials(tokenizer_)
+        specials, normalize = _specials(tokenizer_), tokenizer_.normalizer.normalize_str
         keys, pieces = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")
-                found = split(texts, specials, words=True)
+                found = split(texts, specials, True, normalize)
                 at = np.searchsorted(keys, found.hash)
                 at[at == len(keys)] = 0
                 have = keys[at] == found.hash if len(keys) else np.zeros(len(found.hash), bool)
@@ -123,20 +122,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
                 times = np.diff(np.append(first, len(doc))).astype(np.int32)
                 ends = np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("text_hash"), pc.binary_length(texts).cast(pa.int64()), pa.array(known),
+                    part.column("row"), part.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(known),
                     pa.ListArray.from_arrays(ends, pa.array(rare[first].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times)),
-                ], ["doc_id", "text_hash", "n_bytes", "known", "pretokens", "times"])
+                ], ["row", "doc_id", "n_bytes", "known", "pretokens", "times"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = rows.mapInArrow(frequencies, "doc_id long, text_hash long, n_bytes long, known long, pretokens array<long>, times array<int>")
-    rows = saved(rows, "frequencies")
-    rare = rows.select("text_hash", "n_bytes", F.explode(F.arrays_zip("pretokens", "times")).alias("x"))
-    rare = rare.select("text_hash", "n_bytes", F.col("x.pretokens").alias("pretoken"), F.col("x.times").alias("times"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = saved(rows.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, known long, pretokens array<long>, times array<int>"), "frequencies")
+    rare = rows.select("row", F.explode(F.arrays_zip("pretokens", "times")).alias("x")).select("row", F.col("x.pretokens").alias("pretoken"), "x.times")
     counted = rare.join(vocabulary.where(F.col("n") < F.lit(float(2**least))).select("pretoken", "pieces"), "pretoken")
-    # Rows with the same text hold the same frequencies, so a sum over all of them is that of one, times their number.
-    sums = counted.groupBy("text_hash", "n_bytes").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare"))
-    copies = rows.where(F.size("pretokens") > 0).groupBy("text_hash", "n_bytes").count()
-    sums = sums.join(copies, ["text_hash", "n_bytes"]).select("text_hash", "n_bytes", (F.col("rare") / F.col("count")).cast("long").alias("rare"))
-    out = rows.select("doc_id", "text_hash", "n_bytes", "known").join(sums, ["text_hash", "n_bytes"], "left")
+    sums = counted.groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rare"))
+    out = rows.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left")
     out = out.select("doc_id", "n_bytes", (F.col("known") + F.coalesce("rare", F.lit(0))).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
