@@ -9,7 +9,8 @@ read from its own blocks only. Integers of the header and the indexes are little
     doc_id i8 x n_docs | doc_known u1 x n_docs | doc_end u8 x n_docs | block_offset u8 x (n_blocks + 1) | payload
 
 Segments are rows of a Parquet table in the shared folder, so that they can lie in any store
-Spark writes to. Sorted by (part, part_start) they hold all documents by ascending doc_id.
+Spark writes to. Sorted by (part, part_start) they hold all documents by ascending doc_id. They are stored as they are, without
+compression, each in a page of its own, and are small: a range of ids is read from the pages of its segments, and unpacked from its blocks.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Memo, split
-from .scratch import new_path
+from .scratch import deleted_at_end, new_path
 from .textscan import ranges, slices
 
 MAGIC = b"HXIDS\x00\x00\x01"
 HEADER = np.dtype([("magic", "S8"), ("bits", "<u4"), ("block_ids", "<u4"), ("n_docs", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
 BLOCK_IDS = 4_096
 #: A segment is closed once it has so many ids; it ends with a whole document.
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 1 << 16
+FILES = "part int, part_start long, n_ids long, image binary"
+PAGE_BYTES = 64 << 10
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -124,7 +127,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and the number of each text's ids."""
-        found = split(texts, self.specials, words=False)
+        found = split(texts, self.specials, False)
         keys, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
         _, have = self.memo.find(keys)
         if not have.all():
@@ -155,14 +158,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2) -> str:
-    """Writes the ids of all whole texts (null: empty) by ascending doc_id, nulls first, and returns the folder.
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> str:
+    """Writes the ids of all whole texts (null: empty) by ascending doc_id, nulls first, and returns the folder: ``path``, or a new one in the shared
+    folder, which is deleted when the driver ends.
 
     Equal doc_ids follow each other by their texts' hashes. Rows are dealt out by ranges of (doc_id,
     text hash), so repeated ids do not meet in one task. Other columns are not read. An
     empty table gives a folder without segments.
     """
-    path = new_path(docs.sparkSession, "ids")
+    path = path or deleted_at_end(docs.sparkSession, new_path(docs.sparkSession, "ids"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -180,32 +184,51 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2) -> str:
         for batch in batches:
             for piece in slices(batch, "text"):
                 some, n = encode(piece.column("text"), end_id)
-                doc_ids += piece.column("doc_id").to_pylist()
-                lengths.append(n)
-                ids.append(some)
-                held += len(some)
-                if held >= SEGMENT_IDS:
-                    yield flush()
-                    start, held, doc_ids, lengths, ids = start + held, 0, [], [], []
+                names, ends, at = piece.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(n)]), 0
+                while at < len(n):  # the documents that fill the segment
+                    upto = min(len(n), int(np.searchsorted(ends, ends[at] + SEGMENT_IDS - held)))
+                    doc_ids += names[at:upto]
+                    lengths.append(n[at:upto])
+                    ids.append(some[ends[at] : ends[upto]])
+                    held, at = held + int(ends[upto] - ends[at]), upto
+                    if held >= SEGMENT_IDS:
+                        yield flush()
+                        start, held, doc_ids, lengths, ids = start + held, 0, [], [], []
         if doc_ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    rows.mapInArrow(segments, "part int, part_start long, n_ids long, image binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(segments, FILES).write.options(compression="none", **{"parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": 1}).parquet(path)
     return path
 
 
+def _bases(files: DataFrame) -> list[tuple[int, int, int]]:
+    """(part, ids before it, its ids): one row for each task of the writing job."""
+    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r["n"] for r in totals]).tolist()
+    return [(r["part"], end - r["n"], r["n"]) for r, end in zip(totals, ends, strict=True)]
+
+
+def read_range(spark, path: str, start: int, stop: int) -> np.ndarray:
+    """The ids of [start, stop) of all documents' ids. Only the segments that hold some are read, and only their blocks of it are unpacked."""
+    files = spark.read.schema(FILES).parquet(path)
+    out = []
+    for part, base, n in _bases(files):
+        low, high = max(start - base, 0), min(stop - base, n)
+        if low < high:
+            met = files.where((F.col("part") == part) & (F.col("part_start") < high)).where(F.col("part_start") + F.col("n_ids") > low)
+            first = met.agg(F.min("part_start")).first()[0]
+            for r in files.where((F.col("part") == part) & (F.col("part_start") >= first) & (F.col("part_start") < high)).orderBy("part_start").toLocalIterator():
+                out.append(Segment(r["image"]).ids(max(low - r["part_start"], 0), min(high - r["part_start"], r["n_ids"])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
 def read_ids(spark, path: str) -> DataFrame:
     """One row for each document of the folder's segments: doc_id, start, n_tokens, ids_crc32."""
-    files = spark.read.schema("part int, part_start long, n_ids long, image binary").parquet(path)
-    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("n")).orderBy("part").collect()
-    bases, base = [], 0
-    for r in totals:  # one row for each task of the writing job
-        bases.append((r["part"], base))
-        base += r["n"]
-    bases = spark.createDataFrame(bases, "part int, base long")
+    files = spark.read.schema(FILES).parquet(path)
+    bases = spark.createDataFrame([(part, base) for part, base, _ in _bases(files)], "part int, base long")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
