@@ -109,25 +109,40 @@ def resolve(refs: DataFrame, ids: DataFrame, inside: DataFrame) -> DataFrame:
     """``refs`` with target_path, target_element and candidates (documents that hold the identity): nulls where nothing fits.
 
     Contained references stay in their owner; others look into their own document first, then into all, where the lowest path wins. An
-    absolute one that is not found as it stands is looked up by its last two parts. Every step is an equi-join on the identity.
+    absolute one that is not found as it stands is looked up by its last two parts. Each step takes only the references that it can find and
+    the steps before did not, so no join meets nulls; distinct texts are joined to the identities first, so that a much-used target is one row there.
     """
-    hash_ = F.when(F.col("flavor") == "contained", F.substring("raw", 2, 1_000_000))
-    rows = refs.withColumns({"exact": F.when(F.col("flavor") != "contained", F.col("raw")), "tail": F.when(F.col("flavor") == "absolute", _tail(F.col("raw"))), "part": hash_})
-    own = inside.select(F.col("path").alias("p"), F.col("owner_path").alias("o"), F.col("contained_id").alias("c"), F.col("element_path").alias("within"))
-    rows = rows.join(own, (F.col("path") == F.col("p")) & (F.col("owner_path") == F.col("o")) & (F.col("part") == F.col("c")), "left").drop("p", "o", "c")
-    for name in ("exact", "tail"):
-        local = ids.select(F.col("identity").alias("i"), F.col("path").alias("p"), F.col("element_path").alias(f"local_{name}"))
-        rows = rows.join(local, (F.col(name) == F.col("i")) & (F.col("path") == F.col("p")), "left").drop("i", "p")
-        every = ids.groupBy(F.col("identity").alias("i")).agg(F.min(F.struct("path", "element_path")).alias(f"any_{name}"), F.count("*").alias(f"n_{name}"))
-        rows = rows.join(every, F.col(name) == F.col("i"), "left").drop("i")
-    here = F.coalesce("within", "local_exact", "local_tail")
-    there = F.coalesce("any_exact", "any_tail")
-    return rows.select(
-        *refs.columns,
-        F.when(here.isNotNull(), F.col("path")).otherwise(there["path"]).alias("target_path"),
-        F.coalesce(here, there["element_path"]).alias("target_element"),
-        F.when(here.isNotNull(), 1).otherwise(F.coalesce("n_exact", "n_tail", F.lit(0))).cast("long").alias("candidates"),
-    )
+    name = F.when(F.col("flavor") == "contained", F.substring("raw", 2, 1_000_000)).otherwise(F.col("raw"))
+    left = refs.select(F.struct(*refs.columns).alias("ref"), "path", "owner_path", "flavor", name.alias("name"))
+    own = inside.select("path", "owner_path", F.col("contained_id").alias("name"), F.col("element_path").alias("element"))
+    here = [left.where("flavor = 'contained'").join(own, ["path", "owner_path", "name"], "left").select("ref", F.when(F.col("element").isNotNull(), F.col("path")).alias("target_path"), "element", F.col("element").isNotNull().cast("long").alias("candidates"))]
+    left = left.where("flavor <> 'contained'").select("ref", "path", "name", "flavor")
+    local = ids.select("path", F.col("identity").alias("name"), F.col("element_path").alias("element"))
+    every = ids.groupBy(F.col("identity").alias("name")).agg(F.min(F.struct("path", "element_path")).alias("first"), F.count("*").alias("candidates"))
+    tail = F.col("flavor") == "absolute"
+
+    def step(rows: DataFrame, by_tail: bool, anywhere: bool) -> DataFrame:
+        """What is left of ``rows``; what is found is kept."""
+        if by_tail:
+            rows, other = rows.where(tail & _tail(F.col("name")).isNotNull()), rows.where(~(tail & _tail(F.col("name")).isNotNull()))
+        rows = rows.withColumn("wanted", _tail(F.col("name")) if by_tail else F.col("name"))
+        if anywhere:
+            targets = rows.select("wanted").distinct().join(every.withColumnRenamed("name", "wanted"), "wanted").select("wanted", F.col("first.path").alias("target_path"), F.col("first.element_path").alias("element"), "candidates")
+            met = rows.join(targets, "wanted", "left")
+        else:
+            met = rows.join(local.withColumnRenamed("name", "wanted"), ["path", "wanted"], "left").withColumns({"target_path": F.col("path"), "candidates": F.lit(1).cast("long")})
+        met = materialized(met, "met")
+        here.append(met.where("element is not null").select("ref", "target_path", "element", "candidates"))
+        missed = met.where("element is null").select(*left.columns)
+        return missed.unionByName(other) if by_tail else missed
+
+    rest = left
+    for anywhere in (False, True):
+        for by_tail in (False, True):
+            rest = step(rest, by_tail, anywhere)
+    here.append(rest.select("ref", F.lit(None).cast("string").alias("target_path"), F.lit(None).cast("string").alias("element"), F.lit(0).cast("long").alias("candidates")))
+    out = reduce(DataFrame.unionByName, here)
+    return out.select("ref.*", "target_path", F.col("element").alias("target_element"), "candidates")
 
 
 def usages(resolved: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
