@@ -21,50 +21,61 @@ def _find(root: object, steps: list[str | int]) -> object:
     return root
 
 
+class _Number(str):
+    """A number as it was written."""
+
+
+def _written(x: object) -> str:
+    if isinstance(x, _Number):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_written, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
+
+
 def repaired(text: str, issues: list[tuple[str, str, str]]) -> str:
-    """``text`` with each issue's (element_path, category, message) repair, where there is one and its place still exists.
+    """``text`` with each issue's (element_path, rule, hint) repair, where there is one and its place still exists.
 
     Unknown and empty elements go, missing ones become "", single values and arrays of one are wrapped and unwrapped, bare choices get the typed name that
-    the message suggests. Keys keep their order.
+    the hint gives. Keys keep their order and numbers their digits; white space between them is not kept. A text without a repair stays as it is.
     """
-    root = json.loads(text)
-    for path, category, message in issues:
-        steps = _steps(path)
-        try:
-            parent = _find(root, steps[:-1])
-            _repair(parent, steps[-1], category, message)
-        except (KeyError, IndexError, TypeError):
-            continue
-    return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
-
-
-def _repair(parent: object, key: str | int, category: str, message: str) -> None:
-    if category == "cardinality" and "is missing" in message:
-        if isinstance(parent, dict):
-            parent.setdefault(key, "")
-        return
-    value = parent[key]
-    if category == "unknown" or (category == "cardinality" and "must not be empty" in message):
-        if isinstance(parent, dict):
-            del parent[key]
-    elif category == "cardinality" and "did not expect an array" in message:
-        if isinstance(value, list) and len(value) == 1:
-            parent[key] = value[0]
-    elif category == "cardinality" and "expected an array" in message:
+    root = json.loads(text, parse_float=_Number, parse_int=_Number)
+    done = [_repair(root, _steps(path), rule, hint) for path, rule, hint in issues]
+    return _written(root) if any(done) else text
+
+
+def _repair(root: object, steps: list[str | int], rule: str, hint: str) -> bool:
+    try:
+        parent, key = _find(root, steps[:-1]), steps[-1]
+        if rule == "missing" and isinstance(parent, dict):
+            return parent.setdefault(key, "") == ""
+        value = parent[key]
+    except (KeyError, IndexError, TypeError):
+        return False
+    if rule in ("unknown", "empty") and isinstance(parent, dict):
+        del parent[key]
+    elif rule == "no_array" and isinstance(value, list) and len(value) == 1:
+        parent[key] = value[0]
+    elif rule == "array":
         parent[key] = [value]
-    elif category == "choice" and (hint := re.search(r'\(e\.g\. "(\w+)"\)', message)) and isinstance(parent, dict):
-        entries = [(hint[1] if k == key else k, v) for k, v in parent.items()]
+    elif rule == "bare_choice" and hint and isinstance(parent, dict):
+        entries = [(hint if k == key else k, v) for k, v in parent.items()]
         parent.clear()
         parent.update(entries)
+    else:
+        return False
+    return True
 
 
 def repair(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """``docs`` (path, json, ...) with ``repaired``: the text after all repairs, or the text as it is. An issue's element_path must not be in a bundle's other document."""
-    grouped = issues.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("element_path", "category", "message"))).alias("found"))
+    grouped = issues.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("element_path", "rule", F.coalesce("hint", F.lit("")).alias("hint")))).alias("found"))
 
     @F.pandas_udf("string")
     def fix(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if f is None or not len(f) else repaired(t, [(i["element_path"], i["category"], i["message"]) for i in f]) for t, f in zip(text, found, strict=True)])
+        return pd.Series([t if f is None or not len(f) else repaired(t, [(i["element_path"], i["rule"], i["hint"]) for i in f]) for t, f in zip(text, found, strict=True)])
 
     joined = docs.join(grouped, "path", "left")
     return joined.withColumn("repaired", fix("json", "found")).drop("found")

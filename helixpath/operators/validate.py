@@ -19,7 +19,28 @@ from ..plans.syntax import PathError, parse
 from ..plans.values import of_column
 from ..sources.documents import schema_of
 
-ISSUES = "path string, element_path string, severity string, category string, message string"
+ISSUES = "path string, element_path string, severity string, category string, message string, rule string, hint string"
+#: Each rule's category and message; %s is what the rule fills in. Repairs go by the rule.
+RULES = {
+    "unknown_type": ("unknown", "unknown resource type \"%s\""),
+    "missing": ("cardinality", "required element \"%s\" is missing"),
+    "two_forms": ("choice", "only one form of \"%s\" is allowed (found %s)"),
+    "unknown": ("unknown", "\"%s\" is not an element of %s"),
+    "bare_choice": ("choice", "\"%s\" takes a typed form (e.g. \"%s\")"),
+    "no_array": ("cardinality", "did not expect an array (the element does not repeat)"),
+    "empty": ("cardinality", "arrays must not be empty"),
+    "array": ("cardinality", "expected an array (the element repeats)"),
+    "null": ("type", "null is not allowed here"),
+    "object": ("type", "expected an object"),
+    "resource": ("type", "expected a resource (resourceType is missing)"),
+    "boolean": ("type", "expected true or false"),
+    "integer": ("type", "expected an integer"),
+    "positive": ("type", "expected a positive integer"),
+    "not_negative": ("type", "expected a non-negative integer"),
+    "number": ("type", "expected a number"),
+    "string": ("type", "expected a string"),
+    "format": ("format", "does not match the %s format"),
+}
 #: Rows of the elements table that are sent to every task at most; all of R4 has under 10,000.
 MOST_ELEMENTS = 100_000
 DEEPEST = 64
@@ -48,12 +69,10 @@ def _specification(tables: dict[str, DataFrame]) -> DataFrame:
     return out.select("type", "prefix", F.map_from_entries(fields).alias("fields"), "required", "choices")
 
 
-def _issue(category: str, message: Column | str) -> Column:
-    return F.struct(F.lit("error").alias("severity"), F.lit(category).alias("category"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
-
-
-def _quoted(x: Column) -> Column:
-    return F.concat(F.lit('"'), x, F.lit('"'))
+def _issue(rule: str, *parts: Column, hint: Column | None = None) -> Column:
+    category, message = RULES[rule]
+    text = F.format_string(message, *parts) if parts else F.lit(message)
+    return F.struct(F.lit("error").alias("severity"), F.lit(category).alias("category"), text.alias("message"), F.lit(rule).alias("rule"), (F.lit(None) if hint is None else hint).cast("string").alias("hint"))
 
 
 def _kind(v: Column) -> Column:
@@ -76,7 +95,7 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
         level = materialized(nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name"), "level")
         if level.isEmpty():
             break
-        issues.append(level.where("named and t_kind is null").select("path", "element_path", _issue("unknown", F.concat(F.lit("unknown resource type "), _quoted(F.col("type")))).alias("i")))
+        issues.append(level.where("named and t_kind is null").select("path", "element_path", _issue("unknown_type", F.col("type")).alias("i")))
         objects = level.where("t_kind is not null").drop("t_kind", "named")
         walked.append(objects)
         values, found = _children(objects, spec)
@@ -88,7 +107,7 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
         raise ValueError(f"documents nest deeper than {DEEPEST} levels")
     if not issues:
         return docs.sparkSession.createDataFrame([], ISSUES)
-    out = reduce(DataFrame.unionByName, issues).select("path", "element_path", "i.severity", "i.category", "i.message")
+    out = reduce(DataFrame.unionByName, issues).select("path", "element_path", "i.*")
     if invariants and walked:
         for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"]):
             out = out.unionByName(part)
@@ -105,11 +124,11 @@ def _children(objects: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFrame
     rows = rows.withColumns({"keys": keys, "real": real})
     missing = F.transform(
         F.filter(F.coalesce("required", F.array()), lambda r: ~F.arrays_overlap(r["keys"], F.col("keys"))),
-        lambda r: F.struct(F.concat("element_path", F.lit("."), r["name"]).alias("at"), _issue("cardinality", F.concat(F.lit("required element "), _quoted(r["name"]), F.lit(" is missing"))).alias("i")),
+        lambda r: F.struct(F.concat("element_path", F.lit("."), r["name"]).alias("at"), _issue("missing", r["name"]).alias("i")),
     )
     doubled = F.transform(
         F.filter(F.transform(F.coalesce("choices", F.array()), lambda c: F.struct(c["name"].alias("name"), F.array_sort(F.array_intersect(c["keys"], F.col("real"))).alias("keys"))), lambda c: F.size(c["keys"]) > 1),
-        lambda c: F.struct(F.concat("element_path", F.lit("."), c["name"]).alias("at"), _issue("choice", F.concat(F.lit("only one form of "), _quoted(c["name"]), F.lit(" is allowed (found "), F.array_join(c["keys"], ", "), F.lit(")"))).alias("i")),
+        lambda c: F.struct(F.concat("element_path", F.lit("."), c["name"]).alias("at"), _issue("two_forms", c["name"], F.array_join(c["keys"], ", ")).alias("i")),
     )
     found = rows.select("path", F.explode(F.concat(missing, doubled)).alias("x")).select("path", F.col("x.at").alias("element_path"), "x.i")
     each = rows.select("path", "element_path", "type", "prefix", "fields", F.explode("entries").alias("e"))
@@ -120,12 +139,12 @@ def _children(objects: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFrame
     companion = F.col("key").startswith("_")
     empty = F.size(F.col("value").try_cast("array<variant>")) == 0
     issue = (
-        F.when(F.col("field").isNull(), _issue("unknown", F.concat(_quoted(F.col("key")), F.lit(" is not an element of "), scope)))
+        F.when(F.col("field").isNull(), _issue("unknown", F.col("key"), scope))
         .when(companion, None)
-        .when(F.col("field.bare"), _issue("choice", F.concat(_quoted(F.col("key")), F.lit(' takes a typed form (e.g. "'), F.col("field.hint"), F.lit('")'))))
-        .when((kind == "ARRAY") & ~F.col("field.max_many"), _issue("cardinality", "did not expect an array (the element does not repeat)"))
-        .when((kind == "ARRAY") & empty, _issue("cardinality", "arrays must not be empty"))
-        .when((kind != "ARRAY") & F.col("field.max_many"), _issue("cardinality", "expected an array (the element repeats)"))
+        .when(F.col("field.bare"), _issue("bare_choice", F.col("key"), F.col("field.hint"), hint=F.col("field.hint")))
+        .when((kind == "ARRAY") & ~F.col("field.max_many"), _issue("no_array"))
+        .when((kind == "ARRAY") & empty, _issue("empty"))
+        .when((kind != "ARRAY") & F.col("field.max_many"), _issue("array"))
     )
     walk = F.col("field").isNotNull() & ~companion & ~F.col("field.bare")
     values = each.select(
@@ -153,19 +172,19 @@ def _descend(values: DataFrame, primitive: DataFrame) -> tuple[DataFrame, DataFr
     integer = F.col("type").isin("integer", "positiveInt", "unsignedInt")
     numbers = F.col("shape").isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
     issue = (
-        F.when(F.col("shape") == "VOID", _issue("type", "null is not allowed here"))
+        F.when(F.col("shape") == "VOID", _issue("null"))
         .when(~known, None)
-        .when(~plain & ~is_object, _issue("type", "expected an object"))
-        .when(nested & inner.isNull(), _issue("type", "expected a resource (resourceType is missing)"))
+        .when(~plain & ~is_object, _issue("object"))
+        .when(nested & inner.isNull(), _issue("resource"))
         .when(~plain, None)
-        .when(F.col("type") == "boolean", F.when(F.col("shape") != "BOOLEAN", _issue("type", "expected true or false")))
-        .when(integer & (F.col("shape") != "BIGINT"), _issue("type", "expected an integer"))
-        .when((F.col("type") == "positiveInt") & (number < 1), _issue("type", "expected a positive integer"))
-        .when((F.col("type") == "unsignedInt") & (number < 0), _issue("type", "expected a non-negative integer"))
+        .when(F.col("type") == "boolean", F.when(F.col("shape") != "BOOLEAN", _issue("boolean")))
+        .when(integer & (F.col("shape") != "BIGINT"), _issue("integer"))
+        .when((F.col("type") == "positiveInt") & (number < 1), _issue("positive"))
+        .when((F.col("type") == "unsignedInt") & (number < 0), _issue("not_negative"))
         .when(integer, None)
-        .when(F.col("type") == "decimal", F.when(~numbers, _issue("type", "expected a number")))
-        .when(F.col("shape") != "STRING", _issue("type", "expected a string"))
-        .when(F.col("pattern").isNotNull() & ~F.regexp_like(text, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))), _issue("format", F.concat(F.lit("does not match the "), F.col("type"), F.lit(" format"))))
+        .when(F.col("type") == "decimal", F.when(~numbers, _issue("number")))
+        .when(F.col("shape") != "STRING", _issue("string"))
+        .when(F.col("pattern").isNotNull() & ~F.regexp_like(text, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))), _issue("format", F.col("type")))
     )
     each = each.withColumn("i", issue)
     found = each.where("i is not null").select("path", "element_path", "i")
@@ -176,28 +195,31 @@ def _descend(values: DataFrame, primitive: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _invariants(walked: DataFrame, constraints: DataFrame) -> list[DataFrame]:
-    """Issues of the constraints declared on (type, prefix), for objects walked as that. Every such place is typed by what its objects hold, and all
-    its expressions are evaluated in one pass."""
+    """Issues of the constraints declared on (type, prefix), for objects walked as that. Objects of such places are written once, in a folder for each
+    place; each is typed by what its objects hold, and all its expressions are evaluated in one pass over that folder."""
     places: dict[tuple[str, str], list] = {}
     for r in constraints.collect():  # a part of the schema, of a checked size
         places.setdefault((r["type"], r["path"]), []).append(r)
-    declared = F.array(*(F.lit(f"{t} {p}") for t, p in places))
-    some = walked.where(F.array_contains(declared, F.concat("type", F.lit(" "), "prefix")))
-    held = {(r["type"], r["prefix"]): r["s"] for r in some.groupBy("type", "prefix").agg(F.schema_of_variant_agg("v").alias("s")).collect()}
+    order = sorted(places)
+    number = F.map_from_arrays(F.array(*(F.lit(f"{t} {p}") for t, p in order)), F.array(*(F.lit(k) for k in range(len(order)))))
+    some = walked.withColumn("place", F.try_element_at(number, F.concat("type", F.lit(" "), "prefix"))).where("place is not null")
+    some = materialized(some.select("path", "element_path", "v", "place"), "places", by="place")
+    held = {r["place"]: r["s"] for r in some.groupBy("place").agg(F.schema_of_variant_agg("v").alias("s")).collect()}
     out = []
-    for (type_, prefix), rules in sorted(places.items()):
-        if (type_, prefix) not in held:
+    for place, (type_, prefix) in enumerate(order):
+        if place not in held:
             continue
-        schema = schema_of(held[type_, prefix])
-        some = walked.where((F.col("type") == type_) & (F.col("prefix") == prefix)).select("path", "element_path", F.to_json("v").alias("json"))
+        schema = schema_of(held[place])
+        schema = schema if schema.fields else T.StructType([T.StructField("id", T.StringType())])  # of objects that are all empty
         checks = []
-        for r in rules:
+        for r in places[type_, prefix]:
             failed = _fails(F.col("x"), schema, r["expression"])
             if failed is not None:
-                checks.append(F.when(failed, F.struct(F.lit(r["severity"]).alias("severity"), F.lit("invariant").alias("category"), F.lit(f"{r['key']}: {r['human']}").alias("message"))))
-        if checks and schema.fields:
-            typed = some.select("path", "element_path", F.from_json("json", schema).alias("x"))
-            out.append(typed.select("path", "element_path", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("path", "element_path", "i.severity", "i.category", "i.message"))
+                parts = (("severity", r["severity"]), ("category", "invariant"), ("message", f"{r['key']}: {r['human']}"), ("rule", "invariant"), ("hint", r["key"]))
+                checks.append(F.when(failed, F.struct(*(F.lit(x).alias(n) for n, x in parts))))
+        if checks:
+            typed = some.where(F.col("place") == place).select("path", "element_path", F.from_json(F.to_json("v"), schema).alias("x"))
+            out.append(typed.select("path", "element_path", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("path", "element_path", "i.*"))
     return out
 
 
