@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import compiler as C
-from ..plans.syntax import PathError, as_type_name
+from ..plans.syntax import Literal, PathError, as_type_name
 from ..plans.values import (
-    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, merged, of_column, present, scalar,
+    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, merged, numeric, of_column, present, scalar,
     single, size, text_of,
 )
 from . import temporal
 
 _LIBRARY: dict[tuple[str, int], Callable] = {}
+#: Functions that pass items on as they are, decimals as their source texts.
+_KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType")
 
 
 def call(compiler, name: str, source: Coll, args: tuple, focus: Coll) -> Coll:
@@ -25,7 +28,7 @@ def call(compiler, name: str, source: Coll, args: tuple, focus: Coll) -> Coll:
     found = _LIBRARY.get((name, len(args)))
     if found is None:
         raise PathError(f"unknown function {name} of {len(args)} arguments")
-    return found(compiler, source, args, focus)
+    return found(compiler, source if name in _KEEPING else numeric(source), args, focus)
 
 
 def _function(name: str, *counts: int):
@@ -53,7 +56,7 @@ def register(name: str, count: int, function: Callable) -> None:
 
 def _argument(compiler, node, focus: Coll, kinds: tuple[str, ...]) -> Coll:
     """Exactly one value of one of the kinds; anything else is an error."""
-    got = single(compiler.eval(node, focus))
+    got = numeric(single(compiler.eval(node, focus)))
     if got.kind not in kinds:
         null = scalar(F.lit(None), kinds[0])
         return replace(null, col=null.col.cast(null.dtype)).with_error(got.error, F.lit(True))
@@ -227,8 +230,8 @@ def _repeat(compiler, c, args, focus):
         if c.kind == "Empty":
             break
         error = c.with_error(error).error
-        if found and c.dtype == found[-1].dtype and c.kind not in ("Complex",):
-            raise PathError("repeat() of a projection that never ends")
+        if found and c.dtype == found[-1].dtype and c.kind == found[-1].kind and c.kind != "Complex":
+            return _rounds(compiler, array(C.distinct(found[-1]).col, found[-1]), args[0], found).with_error(error)
         found.append(replace(c, error=None))
         if len(found) > 64:
             raise PathError("repeat() goes deeper than 64 levels")
@@ -239,6 +242,24 @@ def _repeat(compiler, c, args, focus):
     return C.distinct(array(F.concat(*map(items, parts)), parts[0])).with_error(error)
 
 
+#: Rounds of repeat() over values of one type, of which the last must bring nothing new: else it is an error of the row.
+ROUNDS = 16
+
+
+def _rounds(compiler, c: Coll, node, found: list[Coll]) -> Coll:
+    """repeat() where results have the type of what they come from: each round projects the values that the one before brought."""
+    def step(acc: Column, _: Column) -> Column:
+        fresh = merged(_project(compiler, Coll(acc["fresh"], c.dtype, c.kind, True), node))
+        new = F.array_except(F.array_distinct(items(fresh).cast(kind)), acc["seen"])
+        return F.struct(F.concat(acc["seen"], new).cast(kind).alias("seen"), new.cast(kind).alias("fresh"))
+
+    kind = T.ArrayType(c.dtype)
+    before = C.distinct(array(F.concat(*(items(f) for f in found)), found[-1])) if all(f.dtype == c.dtype for f in found) else c
+    start = F.struct(items(before).cast(kind).alias("seen"), items(c).cast(kind).alias("fresh"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return Coll(end["seen"], c.dtype, c.kind, True).with_error(F.size(end["fresh"]) > 0)
+
+
 @_function("iif", 2, 3)
 def _iif(compiler, c, args, focus):
     test, error = C.boolean(compiler.eval(args[0], c))
@@ -364,13 +385,51 @@ _text_function("startsWith", "Boolean", lambda s, p: F.startswith(s, p), "String
 _text_function("endsWith", "Boolean", lambda s, p: F.endswith(s, p), "String")
 _text_function("contains", "Boolean", lambda s, p: F.contains(s, p), "String")
 _text_function("indexOf", "Integer", lambda s, p: (F.call_function("position", p, s) - 1).cast("long"), "String")
-_text_function("matches", "Boolean", lambda s, p: F.regexp_like(s, p), "String")
 _text_function("replace", "String", _replace, "String", "String")
-_text_function("replaceMatches", "String", lambda s, p, r: F.regexp_replace(s, p, F.regexp_replace(r, r"\$\{(\w+)\}", r"\$$1")), "String", "String")
 _text_function("substring", "String", _substring, "Integer")
 _text_function("substring", "String", _substring, "Integer", "Integer")
 
 
+#: Look-around and references back, which the language's expressions do not have: a pattern with one is a bad one.
+_FOREIGN = r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9]|\\k<)"
+
+
+def _pattern(compiler, node, focus: Coll) -> tuple[Coll, Column | None]:
+    """A regular expression, null where it is a bad one, and where that is so. A literal is compiled once, here; others where they are met."""
+    p = _argument(compiler, node, focus, ("String",))
+    if isinstance(node, Literal) and node.kind == "String":
+        try:
+            if re.search(_FOREIGN, node.value):
+                raise ValueError("not of this language")
+            SparkSession.active()._jvm.java.util.regex.Pattern.compile(node.value)
+            return p, None
+        except Exception:  # noqa: BLE001  (of the JVM, any)
+            return replace(p, col=F.lit(None).cast("string")), F.lit(True)
+    good = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p.col).isNotNull() & ~p.col.rlike(_FOREIGN)
+    return replace(p, col=F.when(good, p.col)), p.col.isNotNull() & ~good
+
+
+@_function("matches", 1)
+def _matches(compiler, c, args, focus):
+    text, (p, bad) = _text(c), _pattern(compiler, args[0], focus)
+    found = F.when(p.col.isNotNull(), F.regexp_like(text.col, p.col))
+    return scalar(found, "Boolean", text.error, p.error, None if bad is None else text.col.isNotNull() & bad)
+
+
+@_function("replaceMatches", 2)
+def _replace_matches(compiler, c, args, focus):
+    """References to groups are $1 and ${1}; any other $ or a backslash stands for itself."""
+    text, (p, bad) = _text(c), _pattern(compiler, args[0], focus)
+    by = _argument(compiler, args[1], focus, ("String",))
+    java = F.regexp_replace(F.regexp_replace(by.col, r"\\", r"\\\\"), r"\$\{(\d)\}", r"\$$1")
+    java = F.regexp_replace(java, r"\$(?!\d)", r"\\\$")
+    groups = F.length(F.regexp_replace(F.regexp_replace(p.col, r"\\.|\[[^\]]*\]|\(\?", ""), r"[^(]", ""))
+    for n in range(1, 10):  # groups that the pattern has not are empty
+        java = F.when(groups >= n, java).otherwise(F.replace(java, F.lit(f"${n}"), F.lit("")))
+    found = F.when(p.col.isNotNull(), F.regexp_replace(text.col, p.col, java))
+    return scalar(found, "String", text.error, p.error, by.error, None if bad is None else text.col.isNotNull() & bad)
+
+
 def _texts(col: Column, c: Coll) -> Coll:
     return Coll(F.coalesce(col, F.array().cast("array<string>")), T.StringType(), "String", True, c.error)
 
@@ -434,7 +493,7 @@ def _whole(name: str, make: Callable) -> None:
 _whole("ceiling", F.ceil)
 _whole("floor", F.floor)
 _whole("truncate", lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
-_whole("round", lambda x: F.round(x.cast(DECIMAL), 0))
+_whole("round", lambda x: F.round(x.try_cast(DECIMAL), 0))
 
 
 @_function("round", 1)
@@ -443,8 +502,9 @@ def _round(compiler, c, args, focus):
     # the number of digits may differ between rows: ten to its power is exact in this range
     places = F.least(F.greatest(digits.col, F.lit(0)), F.lit(12)).cast("int")
     by = F.element_at(F.array(*(F.lit(10**k).cast("decimal(14,0)") for k in range(13))), places + 1)
-    scaled = F.round(n.col.cast("decimal(24,12)") * by, 0).cast("decimal(38,0)")
-    return scalar((scaled.cast("decimal(38,12)") / by).cast(DECIMAL), "Decimal", n.error, digits.error)
+    scaled = F.round(n.col.try_cast("decimal(24,12)") * by, 0).try_cast("decimal(38,0)")
+    got = F.try_divide(scaled.try_cast("decimal(38,12)"), by).try_cast(DECIMAL)
+    return scalar(got, "Decimal", n.error, digits.error, n.col.isNotNull() & digits.col.isNotNull() & got.isNull())
 
 
 def _real(name: str, make: Callable, *parameters: tuple[str, ...]) -> None:
@@ -498,7 +558,7 @@ def _to_integer(c: Coll) -> Column:
 
 def _to_decimal(c: Coll) -> Column:
     if c.kind in NUMBER_KINDS:
-        return c.col.cast(DECIMAL)
+        return c.col.try_cast(DECIMAL)
     if c.kind == "Boolean":
         return c.col.cast("int").cast(DECIMAL)
     if c.kind == "String":

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import temporal
+from ..sources.documents import JSON_TEXT, SOURCE_NUMBER
 from .syntax import Binary, Call, Index, Literal, Member, Name, PathError, This, TypeTest, parse
 from .values import (
-    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, merged, number_text, of_column, present, scalar,
+    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, merged, number_text, numeric, of_column, present, scalar,
     single, text_of,
 )
 
@@ -47,7 +48,7 @@ class Compiler:
             source = self.eval(node.source, focus)
             return type_is(source, node.type_name) if node.op == "is" else of_type(source, node.type_name)
         if isinstance(node, Binary):
-            left, right = self.eval(node.left, focus), self.eval(node.right, focus)
+            left, right = (numeric(self.eval(n, focus)) for n in (node.left, node.right))
             unit = node.right.unit if isinstance(node.right, Literal) else None
             return binary(node.op, left, right, unit).with_error(left.error, right.error)
         raise PathError(f"cannot evaluate {node!r}")
@@ -93,6 +94,8 @@ def access(c: Coll, name: str) -> Coll:
         return _choice(found, c.error)
     if c.kind == "Quantity" and isinstance(c.dtype, T.StructType) and name in c.dtype.fieldNames():
         return _field(c, name, None)
+    if c.kind == "Untyped":
+        raise PathError(f"{name} lies deeper than the schema is typed; give struct_of a greater depth")
     if c.kind != "Complex":
         return empty(c.error)
     names = c.dtype.fieldNames()
@@ -123,11 +126,12 @@ def _choice(found: list[Coll], error: Column | None) -> Coll:
 
 def _field(c: Coll, name: str, suffix: str | None) -> Coll:
     dtype = c.dtype[name].dataType
-    if c.many:
-        got = of_column(c.col.getField(name), T.ArrayType(dtype))
-    else:
-        got = of_column(c.col.getField(name), dtype)
+    got = of_column(c.member(name), T.ArrayType(dtype) if c.many else dtype)
     kind = suffix if got.kind == "String" and suffix in ("Date", "DateTime") else got.kind
+    if got.kind == "String" and c.dtype[name].metadata.get(SOURCE_NUMBER):
+        kind = "Decimal"
+    elif c.dtype[name].metadata.get(JSON_TEXT):
+        kind = "Untyped"
     return replace(got, kind=kind, error=c.error, type_name=suffix)
 
 
@@ -219,9 +223,12 @@ def quantity(c: Coll) -> Coll | None:
         return None
     names = c.dtype.fieldNames()
     units = [c.col[n] for n in ("code", "unit") if n in names and isinstance(c.dtype[n].dataType, T.StringType)]
-    if "value" not in names or kind_of(c.dtype["value"].dataType) not in NUMBER_KINDS or not units:
+    if "value" not in names or not units:
+        return None
+    held = _field(c, "value", None)
+    if held.kind not in NUMBER_KINDS or held.many:
         return None
-    value, unit = c.col["value"].cast(DECIMAL), F.coalesce(*units)
+    value, unit = held.col.try_cast(DECIMAL), F.coalesce(*units)
     return scalar(F.when(value.isNotNull() & unit.isNotNull(), F.struct(value.alias("value"), unit.alias("unit"))), "Quantity", c.error)
 
 
@@ -327,7 +334,7 @@ def alike(a: Coll, b: Coll) -> tuple[Coll, Coll]:
     if a.kind == b.kind and a.dtype.simpleString() == b.dtype.simpleString():
         return a, b
     if a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS:
-        widen = lambda c: Coll(F.transform(items(c), lambda x: x.cast(DECIMAL)), DECIMAL, "Decimal", True, c.error)
+        widen = lambda c: Coll(F.transform(items(c), lambda x: x.try_cast(DECIMAL)), DECIMAL, "Decimal", True, c.error)
         if a.kind == b.kind == "Integer":
             widen = lambda c: Coll(F.transform(items(c), lambda x: x.cast("long")), T.LongType(), "Integer", True, c.error)
         return widen(a), widen(b)
@@ -399,14 +406,15 @@ def arithmetic(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
     if qa is not None and qb is not None:
         if op not in "+-":
             return replace(empty(), kind="Empty").with_error(*errors)
-        value = qa.col["value"] + qb.col["value"] if op == "+" else qa.col["value"] - qb.col["value"]
-        return scalar(F.when(qa.col["unit"] == qb.col["unit"], F.struct(value.cast(DECIMAL).alias("value"), qa.col["unit"].alias("unit"))), "Quantity", qa.error, qb.error)
+        value = _decimal(op, qa.col["value"], qb.col["value"]).try_cast(DECIMAL)
+        same = qa.col["unit"] == qb.col["unit"]
+        return scalar(F.when(same & value.isNotNull(), F.struct(value.alias("value"), qa.col["unit"].alias("unit"))), "Quantity", qa.error, qb.error, same & value.isNull())
     if (qa is not None and b.kind in NUMBER_KINDS) or (qb is not None and a.kind in NUMBER_KINDS and op == "*"):
         q, n = (qa, b) if qa is not None else (qb, a)
         if op not in "*/":
             return empty(present(a) & present(b)).with_error(*errors)
         value = _decimal(op, q.col["value"], n.col)
-        return scalar(F.when(value.isNotNull(), F.struct(value.cast(DECIMAL).alias("value"), q.col["unit"].alias("unit"))), "Quantity", *errors)
+        return scalar(F.when(value.isNotNull(), F.struct(value.try_cast(DECIMAL).alias("value"), q.col["unit"].alias("unit"))), "Quantity", *errors)
     if qb is not None and a.kind in NUMBER_KINDS and op == "/":
         return empty().with_error(*errors)
     if a.kind == b.kind == "String" and op == "+":
@@ -416,33 +424,47 @@ def arithmetic(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
     return empty(present(a) & present(b)).with_error(*errors)
 
 
+#: Digits in all and after the point that the operands of a product or quotient are narrowed to, where that loses nothing: the first that fit give the
+#: most digits of the result. Wider operands keep the last ones' digits.
+_PRODUCTS = (((19, 18), (18, 0)), ((18, 0), (19, 18)), ((19, 9), (18, 9)), ((28, 6), (9, 6)), ((9, 6), (28, 6)), ((26, 12), (18, 6)))
+_QUOTIENTS = (((19, 9), (19, 9)), ((25, 6), (12, 3)), ((30, 4), (10, 3)), ((26, 12), (26, 12)))
+
+
 def _decimal(op: str, x: Column, y: Column) -> Column:
-    """Exact arithmetic; the operands are narrowed first, so that the result keeps 12 digits after the point."""
-    if op in ("*", "/"):
-        x, y = x.cast("decimal(26,12)"), y.cast("decimal(18,6)" if op == "*" else "decimal(26,12)")
-    else:
-        x, y = x.cast("decimal(37,12)"), y.cast("decimal(37,12)")
-    return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: (x / F.nullif(y, F.lit(0))).cast(DECIMAL)}[op]()
+    """Arithmetic in decimals; null where a number does not fit."""
+    if op in "+-":
+        x, y = x.try_cast("decimal(37,18)"), y.try_cast("decimal(37,18)")
+        return F.try_add(x, y) if op == "+" else F.try_subtract(x, y)
+    apply, forms = (F.try_multiply, _PRODUCTS) if op == "*" else (F.try_divide, _QUOTIENTS)
+    tried = []
+    for (p, s), (q, t) in forms:
+        a, b = x.try_cast(f"decimal({p},{s})"), y.try_cast(f"decimal({q},{t})")
+        got = apply(a, b).try_cast(DECIMAL)
+        tried.append(got if (p, s) == forms[-1][0] else F.when((a == x) & (b == y), got))
+    return F.coalesce(*tried)
 
 
 def number(op: str, a: Coll, b: Coll) -> Coll:
+    """Empty for a division by zero; a result that does not fit is an error."""
     x, y = a.col, b.col
     whole = a.kind == b.kind == "Integer"
+    there = x.isNotNull() & y.isNotNull()
     if op in ("div", "mod"):
         y = F.nullif(y, F.lit(0))
-        x, y = (x.cast("long"), y.cast("long")) if whole else (x.cast(DECIMAL), y.cast(DECIMAL))
+        x, y = (x.cast("long"), y.cast("long")) if whole else (x.try_cast("decimal(38,18)"), y.try_cast("decimal(38,18)"))
         if op == "mod":
-            return Coll(x % y, T.LongType() if whole else DECIMAL, "Integer" if whole else "Decimal")
-        quotient = F.call_function("div", x, y) if whole else _truncated(x / y)
+            return Coll(F.try_mod(x, y), T.LongType() if whole else DECIMAL, "Integer" if whole else "Decimal")
+        quotient = F.call_function("div", x, y) if whole else _truncated(_decimal("/", x, y))
         return scalar(quotient, "Integer")
     if whole and op != "/":
         apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
         return scalar(apply(x.cast("long"), y.cast("long")), "Integer")
-    return scalar(_decimal(op, x, y).cast(DECIMAL), "Decimal")
+    got = _decimal(op, x, y).try_cast(DECIMAL)
+    return scalar(got, "Decimal", there & got.isNull() & ((y != 0) if op == "/" else F.lit(True)))
 
 
 def _truncated(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast("long")
 
 
 # Entry points
@@ -468,6 +490,8 @@ def rendered(c: Coll) -> Column:
             return F.when(F.array_contains(bare, x["kind"]), x["text"]).otherwise(_quoted(x["text"]))
         if c.kind == "Complex":
             return F.to_json(x)
+        if c.kind == "Untyped":
+            return x
         if c.kind == "Quantity":
             return F.concat(F.lit('{"value":'), number_text(x["value"], DECIMAL), F.lit(',"unit":'), _quoted(x["unit"]), F.lit("}"))
         text = text_of(x, c.kind, c.dtype)

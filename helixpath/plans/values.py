@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ANY_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("type", T.StringType())])
-DECIMAL = T.DecimalType(38, 12)
+DECIMAL = T.DecimalType(38, 18)
 QUANTITY_TYPE = T.StructType([T.StructField("value", DECIMAL), T.StructField("unit", T.StringType())])
 TEXT_KINDS = ("String", "Date", "DateTime")
 NUMBER_KINDS = ("Integer", "Decimal")
@@ -22,7 +22,9 @@ class Coll:
     """A collection. ``many``: an array without nulls, never null itself; else one value, null where empty.
 
     ``error``: true for rows in which evaluation fails. ``alternatives``: the typed forms of a choice element, at most one of which is
-    not empty in a row; ``col`` is not used then. ``kind`` Any has items of ANY_TYPE, of mixed types.
+    not empty in a row; ``col`` is not used then. ``kind`` Any has items of ANY_TYPE, of mixed types. Decimals of JSON documents
+    are their source texts (a dtype of string) until something is computed from them. ``stored``: ``col``, and the array of the table it was made
+    of, of which a member step reads that member only.
     """
 
     col: Column | None
@@ -32,6 +34,11 @@ class Coll:
     error: Column | None = None
     type_name: str | None = None
     alternatives: tuple[Coll, ...] = ()
+    stored: tuple[Column, Column] | None = None
+
+    def member(self, name: str) -> Column:
+        """The field of the items, nulls among them where this is an array."""
+        return (self.stored[1] if self.stored and self.stored[0] is self.col else self.col).getField(name)
 
     def with_error(self, *errors: Column | None) -> Coll:
         found = [e for e in (self.error, *errors) if e is not None]
@@ -73,7 +80,7 @@ def of_column(col: Column, dtype: T.DataType, type_name: str | None = None) -> C
         while isinstance(dtype.elementType, T.ArrayType):
             col, dtype = F.flatten(F.array_compact(col)), dtype.elementType
         some = F.coalesce(F.array_compact(col), F.array().cast(dtype))
-        return Coll(some, dtype.elementType, kind_of(dtype.elementType), True, type_name=type_name)
+        return Coll(some, dtype.elementType, kind_of(dtype.elementType), True, type_name=type_name, stored=(some, col))
     return Coll(col, dtype, kind_of(dtype), type_name=type_name)
 
 
@@ -124,7 +131,7 @@ def as_any(c: Coll) -> Coll:
 
 
 def text_of(x: Column, kind: str, dtype: T.DataType) -> Column:
-    if kind in TEXT_KINDS:
+    if kind in TEXT_KINDS or kind == "Untyped":
         return x
     if kind == "Complex":
         return F.to_json(x)
@@ -135,8 +142,20 @@ def text_of(x: Column, kind: str, dtype: T.DataType) -> Column:
     return number_text(x, dtype) if kind == "Decimal" else x.cast("string")
 
 
+def numeric(c: Coll) -> Coll:
+    """Decimals that are source texts as numbers."""
+    if c.alternatives:
+        return replace(c, alternatives=tuple(map(numeric, c.alternatives)))
+    if c.kind != "Decimal" or not isinstance(c.dtype, T.StringType):
+        return c
+    to = lambda x: x.try_cast(DECIMAL)
+    return replace(c, col=F.array_compact(F.transform(c.col, to)) if c.many else to(c.col), dtype=DECIMAL)
+
+
 def number_text(x: Column, dtype: T.DataType) -> Column:
-    """A decimal without the zeros that its column's scale adds."""
+    """A decimal without the zeros that its column's scale adds; a source text as it is, but for exponents."""
+    if isinstance(dtype, T.StringType):
+        return F.when(F.lower(x).contains("e"), number_text(x.try_cast(DECIMAL), DECIMAL)).otherwise(x)
     text = x.cast(DECIMAL).cast("string") if not isinstance(dtype, T.DecimalType) else x.cast("string")
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 

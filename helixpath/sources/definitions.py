@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import r4
+from .documents import JSON_TEXT, SOURCE_NUMBER
 
 _ELEMENT = """struct<path:string,min:int,max:string,contentReference:string,type:array<struct<code:string,extension:array<struct<url:string,valueString:string,valueUrl:string>>>>,
   constraint:array<struct<key:string,severity:string,human:string,expression:string>>>"""
@@ -58,13 +59,14 @@ def saved(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 #: Spark types of the primitive types that are no text (fixed values).
-_NUMBERS = {"boolean": "boolean", "integer": "bigint", "positiveInt": "bigint", "unsignedInt": "bigint", "decimal": "decimal(38,12)"}
+_NUMBERS = {"boolean": "boolean", "integer": "bigint", "positiveInt": "bigint", "unsignedInt": "bigint"}
 
 
 def struct_of(tables: dict[str, DataFrame], type_name: str, depth: int = 4) -> T.StructType:
     """The struct that holds documents of a type, from the schema tables: no pass over the documents is needed to read them typed.
 
-    Types contain each other (an extension holds extensions), so parts below ``depth`` objects are left out. Contained resources are not typed.
+    Types contain each other (an extension holds extensions), so the objects below ``depth`` others, and resources within this one, are kept as texts of
+    their JSON: nothing of a document is lost, and a path into such a text is an error when it is compiled (``sources.documents.JSON_TEXT``).
     """
     kinds = {r["name"]: r["kind"] for r in tables["types"].collect()}
     below: dict[tuple[str, str], list] = {}
@@ -78,19 +80,20 @@ def struct_of(tables: dict[str, DataFrame], type_name: str, depth: int = 4) -> T
             for t in r["types"] if r["choice"] else r["types"][:1]:
                 inner = one(type_, r["path"], t, left)
                 if inner is not None:
-                    fields.append(T.StructField(name + t[0].upper() + t[1:] if r["choice"] else name, T.ArrayType(inner) if r["max_many"] else inner))
+                    mark = {SOURCE_NUMBER: True} if t == "decimal" else {JSON_TEXT: True} if isinstance(inner, T.StringType) and kinds.get(t) != "primitive-type" else None
+                    fields.append(T.StructField(name + t[0].upper() + t[1:] if r["choice"] else name, T.ArrayType(inner) if r["max_many"] else inner, True, mark))
         return T.StructType(fields) if fields else None
 
     def one(owner: str, path: str, t: str, left: int) -> T.DataType | None:
         if t.startswith("#"):
-            return children(owner, t.partition(".")[2], left - 1) if left else None
+            return children(owner, t.partition(".")[2], left - 1) if left else T.StringType()
         if t in ("BackboneElement", "Element"):
-            return children(owner, path, left - 1) if left else None
+            return children(owner, path, left - 1) if left else T.StringType()
         if t == "Resource":
-            return None
+            return T.StringType()
         if kinds.get(t) == "primitive-type":
             return T._parse_datatype_string(_NUMBERS.get(t, "string"))
-        return children(t, "", left - 1) if left else None
+        return children(t, "", left - 1) if left else T.StringType()
 
     found = children(type_name, "", depth)
     if found is None:

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folders that a scan leaves out, and how many files it takes at most (the default configuration, fixed values).
+#: Folders that a scan leaves out, and how many files an editor's scan takes at most (the default configuration, fixed values).
 IGNORED = ("node_modules", ".git", "target", "dist", "build")
 MOST_FILES = 2_000
+#: Marks, in a field's metadata, texts that are the decimals of a document as they were written.
+SOURCE_NUMBER = "source_number"
+#: Marks texts that are the JSON of an object which is not typed.
+JSON_TEXT = "json_text"
 _NONCE = "1f0c7be2d1"
 
 
@@ -35,10 +39,10 @@ def checked(docs: DataFrame) -> DataFrame:
     return out.withColumns({"resource_type": F.when(kind.startswith("OBJECT"), name), "doc_error": error})
 
 
-def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, most: int | None = MOST_FILES, since: str | None = None) -> tuple[DataFrame, bool]:
+def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, most: int | None = None, since: str | None = None) -> tuple[DataFrame, bool]:
     """(path, modified, json) of all ``*.json`` files below ``root``, and whether some were left out.
 
-    Files below a folder named in ``ignore`` are left out; of more than ``most`` files the first by path stay (None: all). ``since``: only
+    Files below a folder named in ``ignore`` are left out; of more than ``most`` files the first by path stay (None: all; an editor's scan takes MOST_FILES). ``since``: only
     files changed after that time, for a rescan.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -77,14 +81,35 @@ def schema_of(text: str | None) -> T.StructType:
 
 
 def _roomy(dtype: T.DataType) -> T.DataType:
-    """Decimals wide enough for all values of a column, not only those seen to be the widest in digits or in scale."""
+    """Decimals as their source texts, which keep all digits and zeros."""
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(f.name, _roomy(f.dataType)) for f in dtype.fields])
+        return T.StructType([T.StructField(f.name, _roomy(f.dataType), True, {SOURCE_NUMBER: True} if _decimals(f.dataType) else None) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(_roomy(dtype.elementType))
-    return T.DecimalType(38, 12) if isinstance(dtype, T.DecimalType | T.DoubleType) else dtype
+    return T.StringType() if _decimals(dtype) else dtype
+
+
+def _decimals(dtype: T.DataType) -> bool:
+    while isinstance(dtype, T.ArrayType):
+        dtype = dtype.elementType
+    return isinstance(dtype, T.DecimalType | T.DoubleType)
 
 
 def typed(docs: DataFrame, schema: T.StructType | str, column: str = "json", output: str = "resource") -> DataFrame:
     """``docs`` with the documents as a struct column, which paths read by fields: columns that no path needs are not parsed."""
-    return docs.withColumn(output, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
+    exact = isinstance(schema, T.StructType) and SOURCE_NUMBER in schema.json()
+    return docs.withColumn(output, F.from_json(_with_texts(F.col(column)) if exact else F.col(column), schema, {"mode": "PERMISSIVE"}))
+
+
+def _with_texts(text: Column) -> Column:
+    """JSON whose numbers with a fraction or an exponent are texts: the parser would read them as doubles.
+
+    Between quotes stand, by turns, what is outside and inside of texts, once escaped quotes are out of the way: two control characters, which JSON
+    has not, stand for them meanwhile.
+    """
+    slash, quote = "\x01", "\x02"
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
+    number = r"(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))"
+    parts = F.transform(F.split(plain, '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, number, '"$1"')).otherwise(x))
+    joined = F.array_join(parts, '"')
+    return F.when(text.rlike(f"[{slash}{quote}]"), text).otherwise(F.replace(F.replace(joined, F.lit(quote), F.lit('\\"')), F.lit(slash), F.lit("\\\\")))

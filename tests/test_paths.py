@@ -115,3 +115,32 @@ def test_nested_columns_are_pruned(spark, tmp_path):
     typed(raw, inferred_schema(raw)).select("resource").write.parquet(str(tmp_path / "p"))
     plan = fhirpath(spark.read.parquet(str(tmp_path / "p")), "resource", "name.family", errors=None).select("result")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<resource:struct<name:array<struct<family:string>>>>" in plan
+    plan = fhirpath(spark.read.parquet(str(tmp_path / "p")), "resource", "name.family.first()", errors=None).select("result")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<resource:struct<name:array<struct<family:string>>>>" in plan
+
+
+NUMBERS = [
+    ("a", ["0.10"]), ("a + 0.2", ["0.3"]), ("b", ["12345678901234567890.123456789012345678"]), ("many", ["1.50", "-2.0", "3.25"]), ("many.where($this > 0)", ["1.50", "3.25"]), ("a.toString() & 'x'", ['"0.10x"']),
+    ("0.1234567890123456 * 1", ["0.1234567890123456"]), ("100000000000000000.5 * 2", ["200000000000000001"]), ("123456789012345.5 / 3", None), ("b * b", "error"), ("b + b", "error"), ("1 / 0", []), ("a = 0.1", ["true"]), ("a in many", ["false"]), ("(a | 0.1).count()", ["1"]),
+    ("many.distinct().count()", ["3"]), ("t.matches('[')", "error"), ("t.matches('(?=x)')", "error"), ("t.matches(bad)", "error"), ("t.matches(good)", ["true"]), ("t.replaceMatches('(', 'x')", "error"), ("t.replaceMatches(bad, 'x')", "error"), ("nothing.matches('[')", []),
+    ("t.replaceMatches('(b)', '<$1>')", ['"a<b>c"']), ("t.replaceMatches('b', '$1$')", ['"a$c"']), ("t.replaceMatches('(b)', '${1}\\\\')", ['"ab\\\\c"']), ("tags.repeat($this)", ['"x"', '"y"']), ("tags.repeat(iif($this = 'x', 'z', $this))", ['"z"', '"y"']),
+    ("tags.repeat($this & 'x')", "error"), ("q.value", ["1.50"]), ("(q * 2).value", ["3"]), ("q + q", ['{"value":3,"unit":"mg"}']), ("q = q", ["true"]), ("a.round(1)", ["0.1"]), ("b.round(2)", "error"),
+]
+
+
+def test_numbers_keep_their_text_and_errors_stay_in_their_row(spark):
+    doc = '{"a": 0.10, "b": 12345678901234567890.123456789012345678, "many": [1.50, -2.0, 3.25], "t": "abc", "bad": "[a", "good": "^a.c$", "tags": ["x", "y"], "q": {"value": 1.50, "unit": "mg"}}'
+    raw = spark.createDataFrame([(doc,)], "json string")
+    rows, wrong = typed(raw, inferred_schema(raw)), []
+    for k in range(0, len(NUMBERS), 12):
+        out = rows
+        for i, (e, _) in enumerate(NUMBERS[k : k + 12]):
+            out = fhirpath(out, "resource", e, output=f"r{i}", errors=f"e{i}", render=True)
+        row = out.first()
+        for i, (e, want) in enumerate(NUMBERS[k : k + 12]):
+            got = "error" if row[f"e{i}"] else row[f"r{i}"]
+            if want is not None and got != (want if want == "error" else f"[{','.join(want)}]"):
+                wrong.append((e, got, want))
+            if want is None and got == "error":
+                wrong.append((e, got, want))
+    assert not wrong
