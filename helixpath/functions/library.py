@@ -51,6 +51,10 @@ def register(name: str, count: int, function: Callable) -> None:
     _LIBRARY[name, count] = function
 
 
+def unregister(name: str, count: int) -> None:
+    _LIBRARY.pop((name, count))
+
+
 # Arguments
 
 

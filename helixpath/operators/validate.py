@@ -20,13 +20,13 @@ from ..plans.values import of_column
 from ..sources.documents import schema_of
 
 ISSUES = "path string, element_path string, severity string, category string, message string, rule string, hint string"
-#: Each rule's category and message; %s is what the rule fills in. Repairs go by the rule.
+#: Each rule's category and message; {0} and {1} are what the rule fills in. Repairs go by the rule.
 RULES = {
-    "unknown_type": ("unknown", "unknown resource type \"%s\""),
-    "missing": ("cardinality", "required element \"%s\" is missing"),
-    "two_forms": ("choice", "only one form of \"%s\" is allowed (found %s)"),
-    "unknown": ("unknown", "\"%s\" is not an element of %s"),
-    "bare_choice": ("choice", "\"%s\" takes a typed form (e.g. \"%s\")"),
+    "unknown_type": ("unknown", 'unknown resource type "{0}"'),
+    "missing": ("cardinality", 'required element "{0}" is missing'),
+    "two_forms": ("choice", 'only one form of "{0}" is allowed (found {1})'),
+    "unknown": ("unknown", '"{0}" is not an element of {1}'),
+    "bare_choice": ("choice", '"{0}" takes a typed form (e.g. "{1}")'),
     "no_array": ("cardinality", "did not expect an array (the element does not repeat)"),
     "empty": ("cardinality", "arrays must not be empty"),
     "array": ("cardinality", "expected an array (the element repeats)"),
@@ -39,7 +39,7 @@ RULES = {
     "not_negative": ("type", "expected a non-negative integer"),
     "number": ("type", "expected a number"),
     "string": ("type", "expected a string"),
-    "format": ("format", "does not match the %s format"),
+    "format": ("format", "does not match the {0} format"),
 }
 #: Rows of the elements table that are sent to every task at most; all of R4 has under 10,000.
 MOST_ELEMENTS = 100_000
@@ -69,10 +69,11 @@ def _specification(tables: dict[str, DataFrame]) -> DataFrame:
     return out.select("type", "prefix", F.map_from_entries(fields).alias("fields"), "required", "choices")
 
 
-def _issue(rule: str, *parts: Column, hint: Column | None = None) -> Column:
-    category, message = RULES[rule]
-    text = F.format_string(message, *parts) if parts else F.lit(message)
-    return F.struct(F.lit("error").alias("severity"), F.lit(category).alias("category"), text.alias("message"), F.lit(rule).alias("rule"), (F.lit(None) if hint is None else hint).cast("string").alias("hint"))
+def _worded(found: DataFrame) -> DataFrame:
+    """ISSUES of (path, element_path, rule, first, second): what is found is carried as its rule, and worded once, here."""
+    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for name, r in RULES.items() for x in (name, r[k]))), F.col("rule"))
+    message = F.replace(F.replace(pick(1), F.lit("{1}"), F.coalesce("second", F.lit(""))), F.lit("{0}"), F.coalesce("first", F.lit("")))
+    return found.select("path", "element_path", F.lit("error").alias("severity"), pick(0).alias("category"), message.alias("message"), "rule", F.when(F.col("rule") == "bare_choice", F.col("second")).alias("hint"))
 
 
 def _kind(v: Column) -> Column:
@@ -95,19 +96,19 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
         level = materialized(nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name"), "level")
         if level.isEmpty():
             break
-        issues.append(level.where("named and t_kind is null").select("path", "element_path", _issue("unknown_type", F.col("type")).alias("i")))
+        issues.append(level.where("named and t_kind is null").select("path", "element_path", F.lit("unknown_type").alias("rule"), F.col("type").alias("first"), F.lit(None).cast("string").alias("second")))
         objects = level.where("t_kind is not null").drop("t_kind", "named")
         walked.append(objects)
         values, found = _children(objects, spec)
         values = materialized(values, "values")
-        issues += [found, values.select("path", "element_path", F.explode("issues").alias("i"))]
+        issues += [found, values.where("rule is not null").select("path", "element_path", "rule", "first", "second")]
         nodes, found = _descend(values.where("type is not null"), primitive)
         issues.append(found)
     else:
         raise ValueError(f"documents nest deeper than {DEEPEST} levels")
     if not issues:
         return docs.sparkSession.createDataFrame([], ISSUES)
-    out = reduce(DataFrame.unionByName, issues).select("path", "element_path", "i.*")
+    out = _worded(reduce(DataFrame.unionByName, issues))
     if invariants and walked:
         for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"]):
             out = out.unionByName(part)
@@ -124,13 +125,13 @@ def _children(objects: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFrame
     rows = rows.withColumns({"keys": keys, "real": real})
     missing = F.transform(
         F.filter(F.coalesce("required", F.array()), lambda r: ~F.arrays_overlap(r["keys"], F.col("keys"))),
-        lambda r: F.struct(F.concat("element_path", F.lit("."), r["name"]).alias("at"), _issue("missing", r["name"]).alias("i")),
+        lambda r: F.struct(F.concat("element_path", F.lit("."), r["name"]).alias("element_path"), F.lit("missing").alias("rule"), r["name"].alias("first"), F.lit(None).cast("string").alias("second")),
     )
     doubled = F.transform(
         F.filter(F.transform(F.coalesce("choices", F.array()), lambda c: F.struct(c["name"].alias("name"), F.array_sort(F.array_intersect(c["keys"], F.col("real"))).alias("keys"))), lambda c: F.size(c["keys"]) > 1),
-        lambda c: F.struct(F.concat("element_path", F.lit("."), c["name"]).alias("at"), _issue("two_forms", c["name"], F.array_join(c["keys"], ", ")).alias("i")),
+        lambda c: F.struct(F.concat("element_path", F.lit("."), c["name"]).alias("element_path"), F.lit("two_forms").alias("rule"), c["name"].alias("first"), F.array_join(c["keys"], ", ").alias("second")),
     )
-    found = rows.select("path", F.explode(F.concat(missing, doubled)).alias("x")).select("path", F.col("x.at").alias("element_path"), "x.i")
+    found = rows.select("path", F.explode(F.concat(missing, doubled)).alias("x")).select("path", "x.*")
     each = rows.select("path", "element_path", "type", "prefix", "fields", F.explode("entries").alias("e"))
     base = F.regexp_replace("e.key", "^_", "")
     each = each.withColumns({"key": F.col("e.key"), "value": F.col("e.value"), "field": F.try_element_at("fields", base)})
@@ -138,18 +139,15 @@ def _children(objects: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFrame
     kind = _kind(F.col("value"))
     companion = F.col("key").startswith("_")
     empty = F.size(F.col("value").try_cast("array<variant>")) == 0
-    issue = (
-        F.when(F.col("field").isNull(), _issue("unknown", F.col("key"), scope))
-        .when(companion, None)
-        .when(F.col("field.bare"), _issue("bare_choice", F.col("key"), F.col("field.hint"), hint=F.col("field.hint")))
-        .when((kind == "ARRAY") & ~F.col("field.max_many"), _issue("no_array"))
-        .when((kind == "ARRAY") & empty, _issue("empty"))
-        .when((kind != "ARRAY") & F.col("field.max_many"), _issue("array"))
-    )
+    rule = (
+        F.when(F.col("field").isNull(), "unknown").when(companion, None).when(F.col("field.bare"), "bare_choice")
+        .when((kind == "ARRAY") & ~F.col("field.max_many"), "no_array").when((kind == "ARRAY") & empty, "empty").when((kind != "ARRAY") & F.col("field.max_many"), "array")
+    )
     walk = F.col("field").isNotNull() & ~companion & ~F.col("field.bare")
     values = each.select(
         "path", F.concat("element_path", F.lit("."), "key").alias("element_path"), F.col("type").alias("owner"), F.col("field.path").alias("rel"),
-        F.when(walk, F.col("field.type")).alias("type"), F.col("value").alias("v"), F.array_compact(F.array(issue)).alias("issues"),
+        F.when(walk, F.col("field.type")).alias("type"), F.col("value").alias("v"), rule.alias("rule"),
+        F.col("key").alias("first"), F.coalesce("field.hint", scope).alias("second"),
     )
     return values, found
 
@@ -171,23 +169,22 @@ def _descend(values: DataFrame, primitive: DataFrame) -> tuple[DataFrame, DataFr
     known = again | backbone | nested | F.col("t_kind").isNotNull()
     integer = F.col("type").isin("integer", "positiveInt", "unsignedInt")
     numbers = F.col("shape").isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    issue = (
-        F.when(F.col("shape") == "VOID", _issue("null"))
+    rule = (
+        F.when(F.col("shape") == "VOID", "null")
         .when(~known, None)
-        .when(~plain & ~is_object, _issue("object"))
-        .when(nested & inner.isNull(), _issue("resource"))
+        .when(~plain & ~is_object, "object")
+        .when(nested & inner.isNull(), "resource")
         .when(~plain, None)
-        .when(F.col("type") == "boolean", F.when(F.col("shape") != "BOOLEAN", _issue("boolean")))
-        .when(integer & (F.col("shape") != "BIGINT"), _issue("integer"))
-        .when((F.col("type") == "positiveInt") & (number < 1), _issue("positive"))
-        .when((F.col("type") == "unsignedInt") & (number < 0), _issue("not_negative"))
+        .when(F.col("type") == "boolean", F.when(F.col("shape") != "BOOLEAN", "boolean"))
+        .when(integer & (F.col("shape") != "BIGINT"), "integer")
+        .when((F.col("type") == "positiveInt") & (number < 1), "positive")
+        .when((F.col("type") == "unsignedInt") & (number < 0), "not_negative")
         .when(integer, None)
-        .when(F.col("type") == "decimal", F.when(~numbers, _issue("number")))
-        .when(F.col("shape") != "STRING", _issue("string"))
-        .when(F.col("pattern").isNotNull() & ~F.regexp_like(text, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))), _issue("format", F.col("type")))
+        .when(F.col("type") == "decimal", F.when(~numbers, "number"))
+        .when(F.col("shape") != "STRING", "string")
+        .when(F.col("pattern").isNotNull() & ~F.regexp_like(text, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))), "format")
     )
-    each = each.withColumn("i", issue)
-    found = each.where("i is not null").select("path", "element_path", "i")
+    found = each.select("path", "element_path", rule.alias("rule"), F.col("type").alias("first"), F.lit(None).cast("string").alias("second")).where("rule is not null")
     down = each.where(is_object & F.coalesce(known, F.lit(False)) & ~plain & (~nested | inner.isNotNull()))
     target = F.when(again | backbone, F.col("owner")).when(nested, inner).otherwise(F.col("type"))
     prefix = F.when(again, F.regexp_replace("type", r"^#[^.]*\.?", "")).when(backbone, F.col("rel")).otherwise("")

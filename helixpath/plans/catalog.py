@@ -12,6 +12,7 @@ from ..sources import definitions
 from ..sources.documents import checked
 from . import resources as R
 from .compiler import fhirpath
+from .scenarios import SCENARIOS
 from .shared import materialized
 
 #: name: (resources, path, SQL type of the result, its SQL). Each query returns (key, result); the SQL does, too.
@@ -26,7 +27,6 @@ PATHS: dict[str, tuple[Callable, str, str, str]] = {
     "fhir_div_mod": (R.patients, "(id.toInteger() div 7) * 1000 + id.toInteger() mod 7", "bigint", "SELECT c_custkey AS key, (c_custkey // 7) * 1000 + c_custkey % 7 AS result FROM customer"),
     "fhir_iif": (R.patients, "iif(active, 'yes', 'no')", "string", "SELECT c_custkey AS key, CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END AS result FROM customer"),
     "fhir_membership": (R.patients, "'BUILDING' in name.given", "boolean", "SELECT c_custkey AS key, c_mktsegment = 'BUILDING' AS result FROM customer"),
-    "fhir_children": (R.patients, "name.children().count()", "bigint", "SELECT c_custkey AS key, CAST(4 AS BIGINT) AS result FROM customer"),
     "fhir_descendants": (R.patients, "descendants().ofType(string).where($this = 'AUTOMOBILE').count()", "bigint", "SELECT c_custkey AS key, CAST(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 2 ELSE 0 END AS BIGINT) AS result FROM customer"),
     "fhir_string_functions": (R.patients, "name.family.first().lower().replace('customer', 'c').substring(0, 6).length() + id.length()", "bigint", "SELECT c_custkey AS key, CAST(length(substr(replace(lower(c_name), 'customer', 'c'), 1, 6)) + length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS result FROM customer"),
     "fhir_round": (R.patients, "extension('http://example.org/balance').value.first().round(1)", "decimal(18,1)", "SELECT c_custkey AS key, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS result FROM customer"),
@@ -44,13 +44,55 @@ PATHS: dict[str, tuple[Callable, str, str, str]] = {
     "fhir_choice_quantity": (R.observations, "value.ofType(Quantity).value", "decimal(18,2)", "SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS result FROM events"),
     "fhir_quantity_compare": (R.observations, "value > 50 'u'", "boolean", "SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) > 50 END AS result FROM events"),
     "fhir_type_test": (R.observations, "value is Quantity", "boolean", "SELECT event_id AS key, event_id % 2 = 0 AS result FROM events"),
-    "fhir_equivalence": (R.observations, "code.text.upper() ~ code.text", "boolean", "SELECT event_id AS key, true AS result FROM events"),
+    "fhir_equivalence": (R.observations, "(code.text.upper() & ' ') ~ 'click'", "boolean", "SELECT event_id AS key, lower(event_type) = 'click' AS result FROM events"),
     "fhir_datetime_add": (R.observations, "(effective + 90 minutes).toString()", "string", "SELECT event_id AS key, strftime(date_trunc('second', ts) + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M:%S') AS result FROM events"),
     "fhir_matches": (R.communications, "payload.content.first().matches('[0-9]{3}')", "boolean", "SELECT doc_id AS key, regexp_matches(text, '[0-9]{3}') AS result FROM documents"),
     "fhir_split_count": (R.communications, "payload.content.first().split(' ').count()", "bigint", "SELECT doc_id AS key, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(string_split(text, ' ')) AS BIGINT) END AS result FROM documents"),
     "fhir_substring_index": (R.communications, "payload.content.first().indexOf('the')", "bigint", "SELECT doc_id AS key, CAST(strpos(text, 'the') - 1 AS BIGINT) AS result FROM documents"),
 }
 
+#: Fixed names for what the paths below repeat.
+_BALANCE, _SQL_BALANCE = "extension('http://example.org/balance').value.first()", "CAST(c_acctbal AS DECIMAL(18,2))"
+_ACTIVE = "c_acctbal > 0"
+_FIRST_LINE = "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
+
+PATHS |= {
+    "fhir_as": (R.patients, "(extension('http://example.org/segment').value.first() as string).first()", "string", "SELECT c_custkey AS key, c_mktsegment AS result FROM customer"),
+    "fhir_not": (R.patients, "(id.toInteger() mod 3 = 0).not()", "boolean", "SELECT c_custkey AS key, c_custkey % 3 <> 0 AS result FROM customer"),
+    "fhir_or": (R.patients, "active or id.toInteger() mod 2 = 0", "boolean", f"SELECT c_custkey AS key, {_ACTIVE} OR c_custkey % 2 = 0 AS result FROM customer"),
+    "fhir_contains_operator": (R.patients, "name.given contains 'BUILDING'", "boolean", "SELECT c_custkey AS key, c_mktsegment = 'BUILDING' AS result FROM customer"),
+    "fhir_empty": (R.patients, "name.given.where($this = 'BUILDING').empty()", "boolean", "SELECT c_custkey AS key, c_mktsegment <> 'BUILDING' AS result FROM customer"),
+    "fhir_single": (R.patients, "name.given.where($this != 'A').single()", "string", "SELECT c_custkey AS key, c_mktsegment AS result FROM customer"),
+    "fhir_divide": (R.patients, f"{_BALANCE} / 4", "decimal(18,4)", f"SELECT c_custkey AS key, CAST({_SQL_BALANCE} * 0.25 AS DECIMAL(18,4)) AS result FROM customer"),
+    "fhir_string_plus": (R.patients, "name.family.first() + '/' + id", "string", "SELECT c_custkey AS key, c_name || '/' || c_custkey AS result FROM customer"),
+    "fhir_unary": (R.patients, "-id.toInteger() + +5", "bigint", "SELECT c_custkey AS key, 5 - c_custkey AS result FROM customer"),
+    "fhir_trim": (R.patients, "('  ' & name.family.first() & ' ').trim()", "string", "SELECT c_custkey AS key, c_name AS result FROM customer"),
+    "fhir_starts_contains": (R.patients, "name.given.last().startsWith('B') or name.given.last().contains('HOLD')", "boolean", "SELECT c_custkey AS key, c_mktsegment LIKE 'B%' OR c_mktsegment LIKE '%HOLD%' AS result FROM customer"),
+    "fhir_to_chars": (R.patients, "id.toChars().distinct().count()", "bigint", "SELECT c_custkey AS key, CAST(len(list_distinct(string_split(CAST(c_custkey AS VARCHAR), ''))) AS BIGINT) AS result FROM customer"),
+    "fhir_replace_matches": (R.patients, "name.family.first().replaceMatches('0+([1-9])', '<$1>')", "string", r"SELECT c_custkey AS key, regexp_replace(c_name, '0+([1-9])', '<\1>', 'g') AS result FROM customer"),
+    "fhir_abs": (R.patients, f"{_BALANCE}.abs()", "decimal(18,2)", f"SELECT c_custkey AS key, abs({_SQL_BALANCE}) AS result FROM customer"),
+    "fhir_rounding": (R.patients, f"{_BALANCE}.ceiling() * 3 + {_BALANCE}.floor() * 2 + {_BALANCE}.truncate()", "bigint", f"SELECT c_custkey AS key, CAST(ceil({_SQL_BALANCE}) * 3 + floor({_SQL_BALANCE}) * 2 + trunc({_SQL_BALANCE}) AS BIGINT) AS result FROM customer"),
+    "fhir_sqrt": (R.patients, "(id.toInteger() * id.toInteger()).sqrt()", "bigint", "SELECT c_custkey AS key, c_custkey AS result FROM customer"),
+    "fhir_exp_ln": (R.patients, "(id.toInteger() + 1).ln().exp().round(3)", "decimal(18,3)", "SELECT c_custkey AS key, CAST(c_custkey + 1 AS DECIMAL(18,3)) AS result FROM customer"),
+    "fhir_log": (R.patients, "(id.toInteger() + 1).log(10).round(6)", "decimal(18,6)", "SELECT c_custkey AS key, CAST(round(log10(c_custkey + 1), 6) AS DECIMAL(18,6)) AS result FROM customer"),
+    "fhir_power": (R.patients, "id.toInteger().power(2) + 2.power(3)", "bigint", "SELECT c_custkey AS key, c_custkey * c_custkey + 8 AS result FROM customer"),
+    "fhir_to_decimal": (R.patients, "(id & '.25').toDecimal() * 2", "decimal(18,2)", "SELECT c_custkey AS key, CAST(c_custkey * 2 + 0.5 AS DECIMAL(18,2)) AS result FROM customer"),
+    "fhir_to_boolean": (R.patients, "name.given.last().replace('BUILDING', 'true').replace('MACHINERY', '0').toBoolean()", "boolean", "SELECT c_custkey AS key, CASE c_mktsegment WHEN 'BUILDING' THEN true WHEN 'MACHINERY' THEN false END AS result FROM customer"),
+    "fhir_converts": (R.patients, "iif(active, id, 'x').convertsToInteger().toString() & ' ' & iif(active, 'abc', '1.5').convertsToDecimal().toString() & ' ' & iif(active, 'true', 'maybe').convertsToBoolean().toString() & ' ' & id.convertsToString().toString()", "string",
+                      f"SELECT c_custkey AS key, CASE WHEN {_ACTIVE} THEN 'true false true true' ELSE 'false true false true' END AS result FROM customer"),
+    "fhir_converts_dates": (R.patients, "iif(active, '2014-02', 'May').convertsToDate().toString() & ' ' & iif(active, 'May', '2014-02-03T10:00:00Z').convertsToDateTime().toString()", "string", f"SELECT c_custkey AS key, CASE WHEN {_ACTIVE} THEN 'true false' ELSE 'false true' END AS result FROM customer"),
+    "fhir_today": (R.patients, "iif(active, today(), @2000-01-01) > @2001-01-01", "boolean", f"SELECT c_custkey AS key, {_ACTIVE} AS result FROM customer"),
+    "fhir_now": (R.patients, "iif(active, now(), @2000-01-01T00:00:00Z) > @2001-01-01T00:00:00Z", "boolean", f"SELECT c_custkey AS key, {_ACTIVE} AS result FROM customer"),
+    "fhir_repeat": (R.patients, "name.given.repeat(iif($this = 'BUILDING', 'A', 'x')).count()", "bigint", "SELECT c_custkey AS key, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS BIGINT) AS result FROM customer"),
+    "fhir_qualified_type": (R.patients, "iif(active, 'x', 1).first() is System.String", "boolean", f"SELECT c_custkey AS key, {_ACTIVE} AS result FROM customer"),
+    "fhir_keyword_members": (R.patients, "name.is.empty() and name.div.empty() and name.contains.empty() and active", "boolean", f"SELECT c_custkey AS key, {_ACTIVE} AS result FROM customer"),
+    "fhir_children_values": (R.patients, "name.children().ofType(string).where($this = 'BUILDING' or $this = 'official').count()", "bigint", "SELECT c_custkey AS key, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS BIGINT) AS result FROM customer"),
+    "fhir_not_equivalent": (R.observations, "code.text.upper() !~ 'CLICK'", "boolean", "SELECT event_id AS key, lower(event_type) <> 'click' AS result FROM events"),
+    "fhir_quantity_equal": (R.benefits, "item.where(quantity = 25 '1').count()", "bigint", f"SELECT o_orderkey AS key, count(*) FILTER (l_quantity = 25) AS result {_FIRST_LINE}"),
+    "fhir_quantity_plus": (R.benefits, "(item.where(sequence = 1).first().quantity + 5 '1' - 2 '1').value", "decimal(18,2)", f"SELECT o_orderkey AS key, CAST(min(CAST(l_quantity AS DECIMAL(18,2))) FILTER (l_linenumber = 1) + 3 AS DECIMAL(18,2)) AS result {_FIRST_LINE}"),
+    "fhir_quantity_times": (R.benefits, "(item.where(sequence = 1).first().quantity * 3 / 2).value", "decimal(18,2)", f"SELECT o_orderkey AS key, CAST(min(CAST(l_quantity AS DECIMAL(18,2))) FILTER (l_linenumber = 1) * 1.5 AS DECIMAL(18,2)) AS result {_FIRST_LINE}"),
+}
+
 
 def _query(make: Callable, path: str, kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +138,10 @@ def fhir_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fhir_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of observations to patients that do not exist, by reference. Only patients of even keys do."""
-    docs = _documents(R.patients(spark, sf_dir).where("key % 2 = 0"), "p").union(_documents(R.observations(spark, sf_dir), "e"))
+    """References of observations to patients that do not exist, by reference: those of odd events name another type."""
+    reference = F.concat(F.when(F.col("key") % 2 == 1, "Person/").otherwise("Patient/"), F.substring_index("resource.subject.reference", "/", -1))
+    observations = R.observations(spark, sf_dir).withColumn("resource", F.col("resource").withField("subject", F.struct(reference.alias("reference"))))
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(observations, "e"))
     _, _, resolved = _graph(docs)
     rows = graph.unresolved(resolved.where("owner_type = 'Observation'"))
     return rows.groupBy("raw").agg(F.count("*").alias("n"))
@@ -124,26 +168,27 @@ def fhir_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fhir_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues by severity and category of patients, to which some defects were added by their key."""
+    """Issues of patients, to which some defects were added by their key."""
     p, n = R.patients(spark, sf_dir), F.col("key") % 10
-    p = p.withColumn("resource", F.col("resource").dropFields("extension"))
     text = F.to_json("resource")
     text = F.when(n == 1, F.regexp_replace(text, r"\}$", ',"shoeSize":1}')).when(n == 2, F.regexp_replace(text, r'"name":\[(.*?\})\]', '"name":$1'))
     text = text.when(n == 3, F.regexp_replace(F.to_json("resource"), '"active":(true|false)', '"active":"$1"')).when(n == 4, F.regexp_replace(F.to_json("resource"), r"\}$", ',"birthDate":"17 May"}'))
     text = text.when(n == 5, F.regexp_replace(F.to_json("resource"), r"\}$", ',"deceased":true}')).when(n == 6, F.regexp_replace(F.to_json("resource"), r"\}$", ',"contact":[{"gender":"male"}]}')).otherwise(F.to_json("resource"))
-    docs = checked(p.select(F.col("key").cast("string").alias("path"), text.alias("json")))
+    docs = checked(materialized(p.select(F.col("key").cast("string").alias("path"), text.alias("json")), "texts"))
     found = validate.validate(docs, definitions.bundled(spark))
-    return found.groupBy("severity", "category").agg(F.count("*").alias("issues"))
+    return found.select("path", "element_path", "severity", "category")
 
 
 _GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fhir_resolve": (fhir_resolve, "SELECT c_custkey AS key, n_name AS result FROM customer JOIN nation ON n_nationkey = c_nationkey"),
     "fhir_usages": (fhir_usages, "SELECT CAST(n_nationkey AS VARCHAR) AS id, count(c_custkey) AS usages FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'R' || r_regionkey, count(n_nationkey) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
-    "fhir_unresolved": (fhir_unresolved, "SELECT 'Patient/' || user_id AS raw, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id"),
+    "fhir_unresolved": (fhir_unresolved, "SELECT raw, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 1 THEN 'Person/' ELSE 'Patient/' END || user_id AS raw FROM events WHERE event_id % 2 = 1 OR user_id NOT IN (SELECT c_custkey FROM customer)) GROUP BY raw"),
     "fhir_resolve_in_path": (fhir_resolve_in_path, "SELECT c_custkey AS key, r_name AS result FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
     "fhir_outline": (fhir_outline, "SELECT 'Patient/' || c_custkey AS identity, '[Patient] A ' || c_name || ' (' || c_custkey || ')' AS label FROM customer UNION ALL SELECT 'Organization/' || n_nationkey, 'Organization/' || n_nationkey FROM nation UNION ALL SELECT 'Organization/R' || r_regionkey, 'Organization/R' || r_regionkey FROM region"),
-    "fhir_validate": (fhir_validate, "SELECT 'error' AS severity, category, count(*) AS issues FROM (SELECT CASE c_custkey % 10 WHEN 1 THEN 'unknown' WHEN 2 THEN 'cardinality' WHEN 3 THEN 'type' WHEN 4 THEN 'format' WHEN 5 THEN 'choice' WHEN 6 THEN 'invariant' END AS category FROM customer) WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT 'warning', 'invariant', count(*) FROM customer"),
+    "fhir_validate": (fhir_validate, "SELECT path, CASE k WHEN 1 THEN 'Patient.shoeSize' WHEN 2 THEN 'Patient.name' WHEN 3 THEN 'Patient.active' WHEN 4 THEN 'Patient.birthDate' WHEN 5 THEN 'Patient.deceased' WHEN 6 THEN 'Patient.contact[0]' END AS element_path, 'error' AS severity, CASE k WHEN 1 THEN 'unknown' WHEN 2 THEN 'cardinality' WHEN 3 THEN 'type' WHEN 4 THEN 'format' WHEN 5 THEN 'choice' WHEN 6 THEN 'invariant' END AS category FROM (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey % 10 AS k FROM customer) WHERE k BETWEEN 1 AND 6 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'Patient', 'warning', 'invariant' FROM customer"),
 }
 
+_GRAPH |= SCENARIOS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(make, path, kind) for name, (make, path, kind, _) in PATHS.items()} | {name: q for name, (q, _) in _GRAPH.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, _, sql) in PATHS.items()} | {name: sql for name, (_, sql) in _GRAPH.items()}

@@ -436,12 +436,17 @@ def _decimal(op: str, x: Column, y: Column) -> Column:
         x, y = x.try_cast("decimal(37,18)"), y.try_cast("decimal(37,18)")
         return F.try_add(x, y) if op == "+" else F.try_subtract(x, y)
     apply, forms = (F.try_multiply, _PRODUCTS) if op == "*" else (F.try_divide, _QUOTIENTS)
-    tried = []
-    for (p, s), (q, t) in forms:
-        a, b = x.try_cast(f"decimal({p},{s})"), y.try_cast(f"decimal({q},{t})")
-        got = apply(a, b).try_cast(DECIMAL)
-        tried.append(got if (p, s) == forms[-1][0] else F.when((a == x) & (b == y), got))
-    return F.coalesce(*tried)
+
+    def result(pair: Column) -> Column:
+        tried = []
+        for (p, n), (q, m) in forms:
+            a, b = pair["x"].try_cast(f"decimal({p},{n})"), pair["y"].try_cast(f"decimal({q},{m})")
+            got = apply(a, b).try_cast(DECIMAL)
+            tried.append(got if (p, n) == forms[-1][0] else F.when((a == pair["x"]) & (b == pair["y"]), got))
+        return F.coalesce(*tried)
+
+    # of an array of one, so that the operands are computed once
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), result), F.lit(0))
 
 
 def number(op: str, a: Coll, b: Coll) -> Coll:
