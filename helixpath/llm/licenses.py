@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import LOWER_BYTES
+from .textscan import LOWER_BYTES, slices
 
 #: The base phrases and their labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Word characters of a text, before lower-casing (fixed pattern: the words' own, and A-Z).
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, after A-Z are lower-cased (fixed pattern).
 _GAPS = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -157,7 +156,7 @@ _DETECTION = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64
 
 
 def scan_text(text: bytes) -> tuple:
-    """n_base, first_word, last_word, base_labels, labels, score, detections of one text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, detections of one text."""
     words = _GAPS.sub(b" ", text.translate(LOWER_BYTES)).decode().strip(" ")
     places: list[tuple[int, str]] = []
     padded = f" {words} "
@@ -185,7 +184,7 @@ def scan_text(text: bytes) -> tuple:
         doubt *= 0.5
     spans = [{"label": s.rules[i].label, "first_word": word_at(a), "last_word": word_at(b - 1)} for a, b, i in found]
     starts = [p for p, _ in places]
-    return len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), 1.0 - doubt, spans
+    return words.count(" ") + bool(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), 1.0 - doubt, spans
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -197,12 +196,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), _DETECTION]
+        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
         for batch in batches:
-            out = [scan_text(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _DETECTION]
-            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
-            names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *columns], names)
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words")).mapInArrow(rows, SCAN)
+            for part in slices(batch, "text"):
+                out = [scan_text(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, SCAN)
