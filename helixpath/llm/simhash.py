@@ -117,7 +117,7 @@ def _led_by(value: Column, depth: int, part: int, parts: int) -> tuple[Column, i
     """``value`` with one of ``parts`` equal parts of the bits after its first ``depth`` moved up to these, and how many bits that part has."""
     wide = (64 - depth) // parts
     between, below = wide * part, 64 - depth - wide * (part + 1)  # bits on both sides of the part
-    bits = lambda at, n: F.shiftrightunsigned(value, at).bitwiseAND((1 << n) - 1)
+    bits = lambda at, n: F.shiftrightunsigned(value, at).bitwiseAND((1 << n) - 1 if n < 64 else -1)
     moved = F.shiftleft(bits(below, wide), between + below)
     if between:
         moved = moved.bitwiseOR(F.shiftleft(bits(below + wide, between), below))
