@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -25,7 +25,8 @@ WORDS = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 4
-#: Candidates that are compared with each other in one task; of more, each pair of such blocks is a group of its own.
+#: Candidates that are compared with each other in one task. Of more, each block is compared with the first one, and then those outside
+#: the group's largest class with all others, a pair of blocks in a task.
 BLOCK = 1_024
 #: Links that one task holds before it reduces them to a spanning forest.
 HELD = 1_000_000
@@ -111,13 +112,52 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     shared = saved(bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key", "low"), "shared")
     near = bands.join(shared, "key").where("text_hash <> low").select(F.col("text_hash").alias("src"), F.col("low").alias("dst"))
     groups = saved(components(near.union(fingerprint_copies(docs)).distinct()), "candidates")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b")))
-    dealt = groups.join(sizes, "root").withColumn("block", block).select(F.col("node").alias("text_hash"), "root", F.explode(pairs).alias("pair"))
-    members = texts.join(groups.select(F.col("node").alias("text_hash")), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    dealt = dealt.join(members, "text_hash").select("root", "pair.a", "pair.b", "text_hash", "text")
-    return dealt.groupBy("root", "a", "b").applyInArrow(compare, "src long, dst long")
+    members = saved(_first_texts(docs, groups), "members")
+    compared = lambda dealt: dealt.join(members, "text_hash").select("root", "a", "b", "text_hash", "text").groupBy("root", "a", "b").applyInArrow(compare, "src long, dst long")
+    large = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "root")
+    if large.isEmpty():
+        return compared(_with_others(groups.withColumn("main", F.lit(False))))
+    links = saved(compared(_with_first_block(large)), "links")
+    return links.union(compared(_with_others(_main_classes(groups, large, links))))
+
+
+def _first_texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(text_hash, text) once for each node of ``groups``: the text of the smallest doc_id that has it. Rows are joined by text and doc_id, so that a text
+    which a third of all rows hold is no hot key."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("text_hash"))
+    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).join(groups.select(F.col("node").alias("text_hash")), "text_hash", "left_semi")
+    this = (F.col("r.text_hash") == F.col("f.text_hash")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id"))
+    return rows.alias("r").join(first.alias("f"), this, "left_semi").select("text_hash", "text").dropDuplicates(["text_hash"])
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+
+
+def _with_first_block(large: DataFrame) -> DataFrame:
+    """(root, a, b, text_hash): each block of a large group of candidates, with the group's first one."""
+    rows = large.withColumn("b", _block(F.col("blocks")))
+    others = F.when(F.col("b") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("b"))
+    return rows.select("root", F.lit(0).alias("a"), F.explode(others).alias("b"), F.col("node").alias("text_hash"))
+
+
+def _main_classes(groups: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root, main): main for what is in its large group's largest class by ``links``."""
+    classes = large.join(components(links).select("node", F.col("root").alias("class")), "node", "left").select("node", "root", F.coalesce("class", "node").alias("class"))
+    most = classes.groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
+    main = classes.join(most, ["root", "class"], "left_semi").select("node", F.lit(True).alias("main"))
+    return saved(groups.join(main, "node", "left").select("node", "root", F.coalesce("main", F.lit(False)).alias("main")), "classes")
+
+
+def _with_others(rows: DataFrame) -> DataFrame:
+    """(root, a, b, text_hash): pairs of blocks whose texts may still need a link. What is main in its group meets only the rest of it; the rest meets all."""
+    number = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = rows.groupBy("root").agg(number(F.count_if(~F.col("main"))).alias("rest"), number(F.count_if("main")).alias("same")).where("rest > 0")
+    rows = rows.join(sizes, "root")
+    met = F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("main"), 0).otherwise(F.col("same")))
+    block = F.when(F.col("main"), F.col("rest") + _block(F.greatest("same", F.lit(1)))).otherwise(_block(F.col("rest")))
+    rows = rows.select("root", "node", block.alias("block"), F.explode(met).alias("other"))
+    return rows.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("node").alias("text_hash"))
 
 
 def fingerprint_copies(docs: DataFrame) -> DataFrame:

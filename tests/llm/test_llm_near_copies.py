@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixpath.llm import near_copies
@@ -56,6 +57,26 @@ def test_classes_are_those_of_brute_force(spark, monkeypatch, block):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
 
 
+def test_a_large_group_is_not_compared_with_itself(spark, monkeypatch):
+    """One class of 200 texts, and texts that are candidates of it: only the first round and the rest's meetings are dealt."""
+    monkeypatch.setattr(near_copies, "BLOCK", 10)
+    groups = spark.createDataFrame([(k, 0) for k in range(200)], "node long, root long")
+    large = groups.withColumn("blocks", F.lit(20))
+    first = near_copies._with_first_block(large)
+    assert 200 < first.count() < 450 and {r["a"] for r in first.collect()} == {0}
+    linked = spark.createDataFrame([(k, 0) for k in range(1, 195)], "src long, dst long")
+    rows = near_copies._main_classes(groups, large, linked)
+    assert {r["node"] for r in rows.where("not main").collect()} == set(range(195, 200))
+    dealt = [(r["a"], r["b"], r["text_hash"]) for r in near_copies._with_others(rows).collect()]
+    together = {}
+    for a, b, node in dealt:
+        together.setdefault((a, b), set()).add(node)
+    met = {frozenset((x, y)) for t in together.values() for x in t for y in t if x != y}
+    assert all(frozenset((x, y)) in met for x in range(195, 200) for y in range(200) if x != y) and len(dealt) < 320
+    whole = spark.createDataFrame([(k, 0) for k in range(1, 200)], "src long, dst long")
+    assert near_copies._with_others(near_copies._main_classes(groups, large, whole)).count() == 0
+
+
 def test_stage_on_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
