@@ -95,3 +95,15 @@ def test_bands_meet_pairs_at_the_bound():
         keys = near_copies.band_keys(*near_copies.shingles(pa.array([" ".join(words), " ".join(other)])))
         missed += not np.any(keys[0] == keys[1])
     assert missed == 0
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (None, base), (None, base + " end"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, ""), (7, "only"), (7, "only"), (8, "ONLY")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(1) for c in ("text_hash", "root", "a", "b", "doc", "id", "fp", "key", "main", "best", "count")}).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()]
+    assert len(got) == 4 and {(5, "a b c d e f"), (7, "only"), (None, "")} < set(got)
+    assert [t for i, t in got if i is None and t][0] in (base, base + " end")
