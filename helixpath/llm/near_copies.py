@@ -179,8 +179,10 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     linked = components(copy_links(docs, least)).select(F.col("node").alias("text_hash"), "root")
     same = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash")).groupBy("doc_id", "text_hash").count()
-    same = same.join(linked, "text_hash", "left").withColumn("class", F.coalesce("root", "text_hash"))
-    best = same.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash", "count")).alias("x"))
+    # the first row of each text before that of its class: a text which a third of all rows hold is one row when it is joined
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_hash", "count"))
+    first = same.groupBy("text_hash").agg(least_row.alias("x")).join(linked, "text_hash", "left")
+    best = first.groupBy(F.coalesce("root", "text_hash").alias("class")).agg(F.min("x").alias("x"))
     best = saved(best.select("x.doc_id", "x.text_hash", "x.count"), "kept").alias("best")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     hashed = F.xxhash64(F.coalesce(F.col("doc.text").cast("string"), F.lit("")))
