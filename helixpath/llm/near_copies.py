@@ -108,7 +108,8 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return pa.table({"src": names[src], "dst": names[dst]})
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("text_hash"))
-    bands = saved(texts.mapInArrow(scan, "text_hash long, keys array<long>"), "bands").select("text_hash", F.explode("keys").alias("key"))
+    once = texts.mapInArrow(scan, "text_hash long, keys array<long>").dropDuplicates(["text_hash"])
+    bands = saved(once, "bands").select("text_hash", F.explode("keys").alias("key"))
     shared = saved(bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key", "low"), "shared")
     near = bands.join(shared, "key").where("text_hash <> low").select(F.col("text_hash").alias("src"), F.col("low").alias("dst"))
     groups = saved(components(near.union(fingerprint_copies(docs)).distinct()), "candidates")
