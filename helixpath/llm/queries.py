@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, licenses, mixing, ogg, quality, simhash, token_counts, token_files, toxicity, url_rules
+from .scratch import saved
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.decode_column(ogg.encode_column(documents(spark, sf_dir)), keep_payload=False).drop("payload")
+    return ogg.decode_column(saved(ogg.encode_column(documents(spark, sf_dir)), "media"), keep_payload=False).drop("payload")
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
