@@ -156,9 +156,10 @@ def plain_alignment(rows):
             if b"".join(spell_a) == b"".join(spell_b) == (" " + text).encode():
                 at = lambda spelled: np.cumsum([len(s) for s in spelled]).tolist()
                 ends_a, ends_b = at(spell_a), at(spell_b)
+                place_a, place_b = ({e: i + 1 for i, e in enumerate(ends)} for ends in (ends_a, ends_b))
                 low_a = low_b = 0
                 for cut in sorted(set(ends_a) & set(ends_b)):
-                    high_a, high_b = ends_a.index(cut) + 1, ends_b.index(cut) + 1
+                    high_a, high_b = place_a[cut], place_b[cut]
                     groups.append((ids_a[low_a:high_a], ids_b[low_b:high_b]))
                     low_a, low_b = high_a, high_b
         texts.append((i, groups))
