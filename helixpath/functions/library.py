@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..plans import compiler as C
 from ..plans.syntax import Literal, PathError, as_type_name
 from ..plans.values import (
-    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, merged, numeric, of_column, present, scalar,
+    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, let, merged, numeric, of_column, present, scalar,
     single, size, text_of,
 )
 from . import temporal
@@ -60,7 +60,7 @@ def unregister(name: str, count: int) -> None:
 
 def _argument(compiler, node, focus: Coll, kinds: tuple[str, ...]) -> Coll:
     """Exactly one value of one of the kinds; anything else is an error."""
-    got = numeric(single(compiler.eval(node, focus)))
+    got = numeric(single(compiler.operand(node, focus)))
     if got.kind not in kinds:
         null = scalar(F.lit(None), kinds[0])
         return replace(null, col=null.col.cast(null.dtype)).with_error(got.error, F.lit(True))
@@ -71,7 +71,7 @@ def _criterion(compiler, node) -> tuple[Callable[[Coll], Column], Callable[[Coll
     """The truth of a criterion for an item (empty: false), and the same as a collection with its errors."""
 
     def truth(item: Coll) -> Coll:
-        value, error = C.boolean(compiler.eval(node, item))
+        value, error = C.boolean(compiler.of_item(node, item))
         return scalar(F.coalesce(value, F.lit(False)), "Boolean", error)
 
     return (lambda item: truth(item).col), truth
@@ -152,8 +152,9 @@ def _where(compiler, c, args, focus):
         return c
     truth, full = _criterion(compiler, args[0])
     if not c.many:
-        got = full(_item(c, c.col))
-        return replace(c, col=F.when(got.col, c.col)).with_error(c.col.isNotNull() & F.coalesce(got.error, F.lit(False)) if got.error is not None else None)
+        failed = full(_item(c, c.col)).error
+        some = let(c.col, lambda x: F.when(truth(_item(c, x)), x))
+        return replace(c, col=some).with_error(c.col.isNotNull() & F.coalesce(failed, F.lit(False)) if failed is not None else None)
     return array(F.filter(c.col, lambda x: truth(_item(c, x))), c, item_errors(c, full))
 
 
@@ -167,11 +168,11 @@ def _project(compiler, c: Coll, node) -> Coll:
         return C._choice([got for a in c.alternatives if (got := _project(compiler, a, node)).kind != "Empty"], c.error)
     if c.kind == "Empty":
         return c
-    make = lambda item: merged(compiler.eval(node, item))
+    make = lambda item: merged(compiler.of_item(node, item))
     if not c.many:
         got = make(_item(c, c.col))
         none = F.array().cast(T.ArrayType(got.dtype)) if got.many else None
-        return replace(got, col=F.when(c.col.isNotNull(), got.col).otherwise(none)).with_error(c.error)
+        return replace(got, col=let(c.col, lambda x: F.when(x.isNotNull(), make(_item(c, x)).col).otherwise(none))).with_error(c.error)
     nested, like = for_each(c, make)
     return array(nested, replace(like, error=None), c.error, item_errors(c, make))
 
@@ -214,10 +215,9 @@ def _part(c: Coll, skip: Column, take: Column | None) -> Coll:
     c = merged(c)
     if c.kind == "Empty":
         return c
-    xs = items(c)
-    bounded = lambda n: F.least(F.greatest(F.coalesce(n, F.lit(0)).cast("long"), F.lit(0)), F.size(xs).cast("long")).cast("int")
-    length = F.size(xs) if take is None else bounded(take)
-    return array(F.slice(xs, bounded(skip) + 1, length), c)
+    bounded = lambda n, xs: F.least(F.greatest(F.coalesce(n, F.lit(0)).cast("long"), F.lit(0)), F.size(xs).cast("long")).cast("int")
+    part = lambda xs: F.slice(xs, bounded(skip, xs) + 1, F.size(xs) if take is None else bounded(take, xs))
+    return array(let(items(c), part), c)
 
 
 @_function("single", 0)
@@ -266,8 +266,8 @@ def _rounds(compiler, c: Coll, node, found: list[Coll]) -> Coll:
 
 @_function("iif", 2, 3)
 def _iif(compiler, c, args, focus):
-    test, error = C.boolean(compiler.eval(args[0], c))
-    yes, no = compiler.eval(args[1], c), compiler.eval(args[2], c) if len(args) == 3 else empty()
+    test, error = C.boolean(compiler.operand(args[0], c))
+    yes, no = compiler.operand(args[1], c), compiler.operand(args[2], c) if len(args) == 3 else empty()
     chosen = F.coalesce(test, F.lit(False))
     errors = [error]
     for branch, taken in ((yes, chosen), (no, ~chosen)):
@@ -365,20 +365,23 @@ def _text_function(name: str, kind: str, make: Callable, *parameters: str) -> No
     def run(compiler, c, args, focus):
         text = _text(c)
         values = [_argument(compiler, a, focus, (p,)) for a, p in zip(args, parameters, strict=True)]
-        return scalar(make(text.col, *(v.col for v in values)), kind, text.error, *(v.error for v in values))
+        return scalar(let(text.col, lambda s: make(s, *(v.col for v in values))), kind, text.error, *(v.error for v in values))
 
     _LIBRARY[name, len(parameters)] = run
 
 
 def _replace(s: Column, a: Column, b: Column) -> Column:
-    between = F.concat(b, F.array_join(F.split(s, ""), "\x00"), b)
-    between = F.when(s == "", b).otherwise(F.replace(between, F.lit("\x00"), b))
-    return F.when(a == "", between).otherwise(F.replace(s, a, b))
+    def replaced(a: Column, b: Column) -> Column:
+        between = F.concat(b, F.array_join(F.split(s, ""), "\x00"), b)
+        between = F.when(s == "", b).otherwise(F.replace(between, F.lit("\x00"), b))
+        return F.when(a == "", between).otherwise(F.replace(s, a, b))
+
+    return let(a, lambda x: let(b, lambda y: replaced(x, y)))
 
 
 def _substring(s: Column, start: Column, n: Column | None = None) -> Column:
     length = F.length(s) if n is None else F.least(F.greatest(n, F.lit(0)), F.length(s).cast("long"))
-    return F.when((start >= 0) & (start < F.length(s)), F.substr(s, (start + 1).cast("int"), length.cast("int")))
+    return let(start, lambda at: F.when((at >= 0) & (at < F.length(s)), F.substr(s, (at + 1).cast("int"), length.cast("int"))))
 
 
 _text_function("length", "Integer", lambda s: F.length(s).cast("long"))
@@ -441,15 +444,15 @@ def _texts(col: Column, c: Coll) -> Coll:
 @_function("toChars", 0)
 def _to_chars(compiler, c, args, focus):
     text = _text(c)
-    return _texts(F.when(text.col == "", F.array().cast("array<string>")).otherwise(F.split(text.col, "")), text)
+    return _texts(let(text.col, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))), text)
 
 
 @_function("split", 1)
 def _split(compiler, c, args, focus):
     text, by = _text(c), _argument(compiler, args[0], focus, ("String",))
-    letters = F.concat(F.array(F.lit("")), F.when(text.col == "", F.array().cast("array<string>")).otherwise(F.split(text.col, "")), F.array(F.lit("")))
+    letters = lambda s: F.concat(F.array(F.lit("")), F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, "")), F.array(F.lit("")))
     quoted = F.concat(F.lit("\\Q"), F.replace(by.col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return _texts(F.when(by.col == "", letters).otherwise(F.split(text.col, quoted, -1)), text).with_error(by.error)
+    return _texts(let(text.col, lambda s: F.when(by.col == "", letters(s)).otherwise(F.split(s, quoted, -1))), text).with_error(by.error)
 
 
 @_function("join", 1)
@@ -459,7 +462,7 @@ def _join(compiler, c, args, focus):
         return scalar(F.lit(""), "String", c.error, by.error)
     if c.kind not in TEXT_KINDS:
         return scalar(F.when(~present(c), ""), "String", c.error, by.error, present(c))
-    return scalar(_joined(items(c), by.col), "String", c.error, by.error)
+    return scalar(let(items(c), lambda xs: _joined(xs, by.col)), "String", c.error, by.error)
 
 
 def _joined(xs: Column, by: Column) -> Column:
@@ -496,7 +499,7 @@ def _whole(name: str, make: Callable) -> None:
 
 _whole("ceiling", F.ceil)
 _whole("floor", F.floor)
-_whole("truncate", lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
+_whole("truncate", lambda n: let(n, lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))))
 _whole("round", lambda x: F.round(x.try_cast(DECIMAL), 0))
 
 
@@ -515,8 +518,8 @@ def _real(name: str, make: Callable, *parameters: tuple[str, ...]) -> None:
     def run(compiler, c, args, focus):
         n = _number(c)
         values = [_argument(compiler, a, focus, p) for a, p in zip(args, parameters, strict=True)]
-        got = make(n.col.cast("double"), *(v.col.cast("double") for v in values))
-        return scalar(F.when(~F.isnan(got), got).try_cast(DECIMAL), "Decimal", n.error, *(v.error for v in values))
+        got = let(n.col.cast("double"), lambda x: make(x, *(v.col.cast("double") for v in values)))
+        return scalar(let(got, lambda x: F.when(~F.isnan(x), x)).try_cast(DECIMAL), "Decimal", n.error, *(v.error for v in values))
 
     _LIBRARY[name, len(parameters)] = run
 
@@ -530,8 +533,8 @@ _real("log", lambda x, b: F.when((x > 0) & (b > 0) & (b != 1), F.ln(x) / F.nulli
 @_function("power", 1)
 def _power(compiler, c, args, focus):
     n, e = _number(c), _argument(compiler, args[0], focus, NUMBER_KINDS)
-    x, y = n.col.cast("double"), e.col.cast("double")
-    got = F.when((x >= 0) | (y == F.floor(y)), F.when((x != 0) | (y >= 0), F.pow(x, y)))
+    raised = lambda x, y: F.when((x >= 0) | (y == F.floor(y)), F.when((x != 0) | (y >= 0), F.pow(x, y)))
+    got = let(n.col.cast("double"), lambda x: let(e.col.cast("double"), lambda y: raised(x, y)))
     if n.kind == e.kind == "Integer":
         whole = got.try_cast("decimal(38,0)").try_cast("long")
         if isinstance(getattr(args[0], "value", None), int) and args[0].value >= 0:
@@ -584,11 +587,11 @@ def _to_boolean(c: Coll) -> Column:
 def _conversion(kind: str, make: Callable) -> None:
     def convert(compiler, c, args, focus):
         one = single(c)
-        return scalar(make(one), kind, one.error)
+        return scalar(make(one) if one.kind == "Empty" else let(one.col, lambda x: make(replace(one, col=x))), kind, one.error)
 
     def converts(compiler, c, args, focus):
         one = single(c)
-        return empty(one.error) if one.kind == "Empty" else scalar(F.when(one.col.isNotNull(), make(one).isNotNull()), "Boolean", one.error)
+        return empty(one.error) if one.kind == "Empty" else scalar(let(one.col, lambda x: F.when(x.isNotNull(), make(replace(one, col=x)).isNotNull())), "Boolean", one.error)
 
     _LIBRARY[f"to{kind}", 0], _LIBRARY[f"convertsTo{kind}", 0] = convert, converts
 
@@ -604,8 +607,8 @@ def _shape(kind: str, pattern: str) -> None:
         one = single(c)
         if one.kind == "Empty":
             return empty(one.error)
-        ok = one.col.rlike(pattern) if one.kind in TEXT_KINDS else F.lit(False)
-        return scalar(F.when(one.col.isNotNull(), ok), "Boolean", one.error)
+        ok = lambda x: x.rlike(pattern) if one.kind in TEXT_KINDS else F.lit(False)
+        return scalar(let(one.col, lambda x: F.when(x.isNotNull(), ok(x))), "Boolean", one.error)
 
     _LIBRARY[f"convertsTo{kind}", 0] = converts
 

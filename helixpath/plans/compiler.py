@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from ..functions import temporal
 from ..sources.documents import JSON_TEXT, SOURCE_NUMBER
 from .syntax import Binary, Call, Index, Literal, Member, Name, PathError, This, TypeTest, parse
 from .values import (
-    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, merged, number_text, numeric, of_column, present, scalar,
-    single, text_of,
+    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, let, merged, number_text, numeric, of_column, present, scalar,
+    simple, single, text_of,
 )
 
 _TYPES = {"boolean": "Boolean", "integer": "Integer", "decimal": "Decimal", "date": "Date", "datetime": "DateTime", "quantity": "Quantity"}
@@ -21,11 +23,19 @@ _TYPES = {"boolean": "Boolean", "integer": "Integer", "decimal": "Decimal", "dat
 _TEXT_TYPES = ("string", "code", "uri", "id")
 
 
+_NUMBERS = count()
+_STEP = r"__step\d+__"
+
+
 class Compiler:
-    """Compiles trees for one root. ``resolved``: a map column from reference texts to resources, for resolve()."""
+    """Compiles trees for one root. ``resolved``: a map column from reference texts to resources, for resolve().
+
+    ``steps``: where given, the value and the error of each step of a path become columns of their own, which later steps name: (name, column) in
+    order, for ``with_steps``. Plans then grow with the number of steps. Inside of lambdas, where columns cannot be, ``let`` does the same.
+    """
 
-    def __init__(self, resolved: Column | None = None, resolved_type: T.DataType | None = None):
-        self.resolved, self.resolved_type = resolved, resolved_type
+    def __init__(self, resolved: Column | None = None, resolved_type: T.DataType | None = None, steps: list[tuple[str, Column]] | None = None):
+        self.resolved, self.resolved_type, self.steps, self.inside = resolved, resolved_type, steps, 0
 
     def eval(self, node, focus: Coll) -> Coll:
         if isinstance(node, Literal):
@@ -35,24 +45,51 @@ class Compiler:
         if isinstance(node, Name):
             return self.head(node.name, focus)
         if isinstance(node, Member):
-            source = self.eval(node.source, focus)
-            return access(source, node.name)
+            return access(self.eval(node.source, focus), node.name)
         if isinstance(node, Index):
-            return self.index(node, focus)
+            return self.bound(self.index(node, focus))
         if isinstance(node, Call):
             from ..functions.library import call
 
-            source = focus if node.source is None else self.eval(node.source, focus)
-            return call(self, node.name, source, node.args, focus)
+            source = focus if node.source is None else self.operand(node.source, focus)
+            return self.bound(call(self, node.name, source, node.args, focus))
         if isinstance(node, TypeTest):
-            source = self.eval(node.source, focus)
-            return type_is(source, node.type_name) if node.op == "is" else of_type(source, node.type_name)
+            source = self.operand(node.source, focus)
+            return self.bound(type_is(source, node.type_name) if node.op == "is" else of_type(source, node.type_name))
         if isinstance(node, Binary):
-            left, right = (numeric(self.eval(n, focus)) for n in (node.left, node.right))
+            left, right = (numeric(self.operand(n, focus)) for n in (node.left, node.right))
             unit = node.right.unit if isinstance(node.right, Literal) else None
-            return binary(node.op, left, right, unit).with_error(left.error, right.error)
+            return self.bound(binary(node.op, left, right, unit))
         raise PathError(f"cannot evaluate {node!r}")
 
+    def operand(self, node, focus: Coll) -> Coll:
+        """A tree's value as a step of its own, so that what is made of it can name it several times."""
+        got = self.eval(node, focus)
+        return got if isinstance(node, Literal) else self.bound(got)
+
+    def of_item(self, node, item: Coll) -> Coll:
+        """A criterion's or projection's value for an item, within a lambda."""
+        self.inside += 1
+        try:
+            return self.eval(node, item)
+        finally:
+            self.inside -= 1
+
+    def bound(self, c: Coll) -> Coll:
+        if self.steps is None or self.inside:
+            return c
+        error = None if c.error is None else self._step(c.error)
+        if c.alternatives:
+            return replace(c, alternatives=tuple(self.bound(a) for a in c.alternatives), error=error)
+        return replace(c, col=c.col if c.kind == "Empty" else self._step(c.col), error=error)
+
+    def _step(self, col: Column) -> Column:
+        if simple(col) and "[" not in str(col):  # fields of a column are steps: what is above the first steps must not name the column
+            return col
+        name = f"__step{next(_NUMBERS)}__"
+        self.steps.append((name, col))
+        return F.col(name)
+
     def head(self, name: str, focus: Coll) -> Coll:
         """An identifier at the start: the item itself where it is of that type, else its member."""
         if focus.type_name == name:
@@ -65,7 +102,7 @@ class Compiler:
         return access(focus, name)
 
     def index(self, node: Index, focus: Coll) -> Coll:
-        source, at = merged(self.eval(node.source, focus)), single(self.eval(node.index, focus))
+        source, at = merged(self.operand(node.source, focus)), single(self.operand(node.index, focus))
         if at.kind == "Empty":
             return empty(F.lit(True))
         if at.kind != "Integer":
@@ -177,7 +214,7 @@ def of_type(c: Coll, name: str) -> Coll:
     if c.many:
         got = array(F.filter(c.col, match), c)
     else:
-        got = replace(c, col=F.when(match(c.col), c.col))
+        got = replace(c, col=let(c.col, lambda x: F.when(match(x), x)))
     want = _TYPES.get(name.removeprefix("System.").lower(), "String" if name.removeprefix("System.").lower() in _TEXT_TYPES else None)
     if c.kind == "Any" and want in ("Boolean", "Integer", "Decimal", "String", "Date", "DateTime"):
         kind = {"Boolean": "boolean", "Integer": "long", "Decimal": DECIMAL.simpleString()}.get(want, "string")
@@ -193,7 +230,7 @@ def type_is(c: Coll, name: str) -> Coll:
     one = single(c)
     if one.kind == "Empty":
         return empty(c.error)
-    return scalar(F.when(one.col.isNotNull(), _matcher(one, name)(one.col)), "Boolean", one.error)
+    return scalar(let(one.col, lambda x: F.when(x.isNotNull(), _matcher(one, name)(x))), "Boolean", one.error)
 
 
 # Operators
@@ -260,14 +297,14 @@ def equality(a: Coll, b: Coll) -> Coll:
         return scalar(F.lit(None).cast("boolean"), "Boolean")
     qa, qb = (None, None) if a.many or b.many else (quantity(a), quantity(b))
     if qa is not None and qb is not None:
-        same = F.when(qa.col["unit"] == qb.col["unit"], qa.col["value"] == qb.col["value"])
+        same = let(qa.col, lambda x: let(qb.col, lambda y: F.when(x["unit"] == y["unit"], x["value"] == y["value"])))
         return scalar(same, "Boolean")
     a, b = merged(a), merged(b)
     if not a.many and not b.many:
-        return scalar(F.when(a.col.isNotNull() & b.col.isNotNull(), equal_items(a, a.col, b, b.col)), "Boolean")
-    x, y = items(a), items(b)
-    pairs = F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(equal_items(a, p, b, q), F.lit(False))), lambda v: v)
-    return scalar(F.when((F.size(x) > 0) & (F.size(y) > 0), F.when(F.size(x) == F.size(y), pairs).otherwise(False)), "Boolean")
+        return scalar(let(a.col, lambda x: let(b.col, lambda y: F.when(x.isNotNull() & y.isNotNull(), equal_items(a, x, b, y)))), "Boolean")
+    pairs = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(equal_items(a, p, b, q), F.lit(False))), lambda v: v)
+    both = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.when(F.size(x) == F.size(y), pairs(x, y)).otherwise(False))
+    return scalar(let(items(a), lambda x: let(items(b), lambda y: both(x, y))), "Boolean")
 
 
 def equivalence(a: Coll, b: Coll) -> Coll:
@@ -277,18 +314,19 @@ def equivalence(a: Coll, b: Coll) -> Coll:
     def plain(c: Coll, x: Column) -> Column:
         return F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))) if c.kind in TEXT_KINDS else x
 
-    x, y = items(a), items(b)
     if "Empty" in (a.kind, b.kind):
-        return scalar(F.size(x) == F.size(y), "Boolean")
-    pairs = F.zip_with(x, y, lambda p, q: F.coalesce(equal_items(a, plain(a, p), b, plain(b, q)), F.lit(False)))
-    return scalar(F.when(F.size(x) == F.size(y), F.forall(pairs, lambda v: v)).otherwise(False), "Boolean")
+        return scalar(F.size(items(a)) == F.size(items(b)), "Boolean")
+    pairs = lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(equal_items(a, plain(a, p), b, plain(b, q)), F.lit(False)))
+    both = lambda x, y: F.when(F.size(x) == F.size(y), F.forall(pairs(x, y), lambda v: v)).otherwise(False)
+    return scalar(let(items(a), lambda x: let(items(b), lambda y: both(x, y))), "Boolean")
 
 
 def comparison(op: str, a: Coll, b: Coll) -> Coll:
     qa, qb = quantity(a), quantity(b)
     apply = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     if qa is not None and qb is not None:
-        return scalar(F.when(qa.col["unit"] == qb.col["unit"], apply(qa.col["value"], qb.col["value"])), "Boolean", qa.error, qb.error)
+        same = let(qa.col, lambda x: let(qb.col, lambda y: F.when(x["unit"] == y["unit"], apply(x["value"], y["value"]))))
+        return scalar(same, "Boolean", qa.error, qb.error)
     a, b = single(a), single(b)
     a, b = like(a, b), like(b, a)
     if "Empty" in (a.kind, b.kind):
@@ -318,10 +356,10 @@ def membership(one: Coll, many: Coll) -> Coll:
     if many.kind == "Empty":
         return scalar(F.when(one.col.isNotNull(), False), "Boolean", one.error)
     if one.dtype == many.dtype and one.kind == many.kind and one.kind not in ("Complex", "Any", "Quantity"):
-        found = F.array_contains(items(many), one.col)
+        found = lambda v: F.array_contains(items(many), v)
     else:
-        found = F.exists(items(many), lambda x: F.coalesce(equal_items(many, x, one, one.col), F.lit(False)))
-    return scalar(F.when(one.col.isNotNull(), found), "Boolean", one.error)
+        found = lambda v: F.exists(items(many), lambda x: F.coalesce(equal_items(many, x, one, v), F.lit(False)))
+    return scalar(let(one.col, lambda v: F.when(v.isNotNull(), found(v))), "Boolean", one.error)
 
 
 def alike(a: Coll, b: Coll) -> tuple[Coll, Coll]:
@@ -359,10 +397,10 @@ def distinct(c: Coll) -> Coll:
 def binary(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
     """``unit``: that of b where it is a literal quantity, which spares the choice between units at run time."""
     if op in ("=", "!="):
-        got = equality(a, b)
+        got = equality(a, b).with_error(a.error, b.error)
         return got if op == "=" else replace(got, col=~got.col)
     if op in ("~", "!~"):
-        got = equivalence(a, b)
+        got = equivalence(a, b).with_error(a.error, b.error)
         return got if op == "~" else replace(got, col=~got.col)
     if op in ("<", "<=", ">", ">="):
         return comparison(op, a, b)
@@ -371,7 +409,7 @@ def binary(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
         got = {"and": lambda: x & y, "or": lambda: x | y, "xor": lambda: x != y, "implies": lambda: ~x | y}[op]()
         return scalar(got, "Boolean", ex, ey)
     if op == "in":
-        return membership(a, b)
+        return membership(a, b).with_error(b.error)
     if op == "|":
         return union(a, b)
     if op == "&":
@@ -400,9 +438,9 @@ def arithmetic(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
     if a.kind in ("Date", "DateTime") and qb is not None and op in "+-":
         amount = qb.col["value"] if op == "+" else -qb.col["value"]
         if unit is not None:
-            return replace(a, col=temporal.add(a.col, amount, unit)).with_error(b.error)
-        units = [F.when(qb.col["unit"] == u, temporal.add(a.col, amount, u)) for u in temporal.UNITS]
-        return replace(a, col=F.coalesce(*units)).with_error(b.error)
+            return replace(a, col=let(a.col, lambda x: let(amount, lambda n: temporal.add(x, n, unit)))).with_error(b.error)
+        units = lambda x, q: F.coalesce(*(F.when(q["unit"] == u, temporal.add(x, q["value"] if op == "+" else -q["value"], u)) for u in temporal.UNITS))
+        return replace(a, col=let(a.col, lambda x: let(qb.col, lambda q: units(x, q)))).with_error(b.error)
     if qa is not None and qb is not None:
         if op not in "+-":
             return replace(empty(), kind="Empty").with_error(*errors)
@@ -509,6 +547,17 @@ def _quoted(x: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
 
 
+def with_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a compiler's steps as columns, and their names. Steps that name no others come first, together: only they read the table's own columns, so
+    that it is read by the fields that they need; the others follow in as few projections as they allow."""
+    depth: dict[str, int] = {}
+    for name, col in steps:
+        depth[name] = 1 + max((depth[n] for n in re.findall(_STEP, str(col))), default=-1)
+    for d in range(max(depth.values(), default=-1) + 1):
+        df = df.select("*", *(col.alias(name) for name, col in steps if depth[name] == d))
+    return df, list(depth)
+
+
 def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result", errors: str | None = "error", strict: bool = False, render: bool = False, resolved: str | None = None) -> DataFrame:
     """``df`` with the result of ``expression`` on its struct ``column``.
 
@@ -517,16 +566,18 @@ def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result"
     ``operators.graph.resolve_map``, in which resolve() looks references up.
     """
     known = (F.col(resolved), df.schema[resolved].dataType.valueType) if resolved else (None, None)
-    found = evaluate(F.col(column), df.schema[column].dataType, expression, *known)
+    compiler = Compiler(*known, steps=[])
+    found = merged(compiler.bound(merged(compiler.eval(parse(expression), of_column(F.col(column), df.schema[column].dataType)))))
     value = rendered(found) if render else native(found)
+    df, names = with_steps(df, compiler.steps)
     if found.error is None:
         out = df.withColumn(output, value)
-        return out.withColumn(errors, F.lit(False)) if errors and not strict else out
+        return (out.withColumn(errors, F.lit(False)) if errors and not strict else out).drop(*names)
     failed = F.coalesce(found.error, F.lit(False))
     if strict:
-        return df.withColumn(output, F.when(failed, F.raise_error(F.lit(f"evaluation failed: {expression}"))).otherwise(value))
+        return df.withColumn(output, F.when(failed, F.raise_error(F.lit(f"evaluation failed: {expression}"))).otherwise(value)).drop(*names)
     out = df.withColumn(output, F.when(~failed, value))
-    return out.withColumn(errors, failed) if errors else out
+    return (out.withColumn(errors, failed) if errors else out).drop(*names)
 
 
 def evaluate_json(docs: DataFrame, expression: str, column: str = "json", schema: T.StructType | None = None) -> DataFrame:

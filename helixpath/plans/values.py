@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -45,6 +46,16 @@ class Coll:
         return replace(self, error=reduce(lambda a, b: a | b, (F.coalesce(e, F.lit(False)) for e in found)) if found else None)
 
 
+def simple(x: Column) -> bool:
+    """A column, a lambda's variable, or a field of one: what may be named again at no cost."""
+    return re.fullmatch(r"Column<'(namedlambdavariable\(\)|[\w.`\[\]']+)'>", str(x)) is not None
+
+
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that it names several times, but that is computed, and stands in the plan, once."""
+    return make(x) if simple(x) else F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def empty(error: Column | None = None) -> Coll:
     return Coll(F.lit(None).cast("string"), T.StringType(), "Empty", error=error)
 
@@ -136,7 +147,7 @@ def text_of(x: Column, kind: str, dtype: T.DataType) -> Column:
     if kind == "Complex":
         return F.to_json(x)
     if kind == "Quantity":
-        return F.concat(number_text(x["value"], DECIMAL), F.lit(" '"), x["unit"], F.lit("'"))
+        return let(x, lambda q: F.concat(number_text(q["value"], DECIMAL), F.lit(" '"), q["unit"], F.lit("'")))
     if kind == "Any":
         return x["text"]
     return number_text(x, dtype) if kind == "Decimal" else x.cast("string")
@@ -155,9 +166,9 @@ def numeric(c: Coll) -> Coll:
 def number_text(x: Column, dtype: T.DataType) -> Column:
     """A decimal without the zeros that its column's scale adds; a source text as it is, but for exponents."""
     if isinstance(dtype, T.StringType):
-        return F.when(F.lower(x).contains("e"), number_text(x.try_cast(DECIMAL), DECIMAL)).otherwise(x)
+        return let(x, lambda t: F.when(F.lower(t).contains("e"), number_text(t.try_cast(DECIMAL), DECIMAL)).otherwise(t))
     text = x.cast(DECIMAL).cast("string") if not isinstance(dtype, T.DecimalType) else x.cast("string")
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t))
 
 
 def merged(c: Coll) -> Coll:

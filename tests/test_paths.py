@@ -144,3 +144,29 @@ def test_numbers_keep_their_text_and_errors_stay_in_their_row(spark):
             if want is None and got == "error":
                 wrong.append((e, got, want))
     assert not wrong
+
+
+LONG = [
+    ("n{}.count()", ".skip(1)", 60), ("n{}.count()", ".where($this > 0).tail()", 30), ("name.select(given{}.count()).first()", ".tail()", 40), ("t{}", ".substring(0).trim()", 20), ("n.first(){}", " + 1", 40),
+    ("n.select($this{}).first()", " + 1", 30), ("(t = t){}", " = true", 20), ("iif(n.first() = 1, t, 'y'){}", ".upper().lower()", 20), ("name.where(given{}.exists()).count()", ".where($this != 'x')", 20),
+]
+
+
+def test_plans_grow_with_the_steps(spark):
+    raw = spark.createDataFrame([(json.dumps({"n": [1, 2, 3] * 30, "t": " abc ", "name": [{"given": ["a", "b"]}, {"given": ["c"]}]}),)], "json string")
+    rows = typed(raw, inferred_schema(raw))
+    for form, step, most in LONG:
+        size = {}
+        for n in (most // 4, most // 2, most):
+            found = fhirpath(rows, "resource", form.format(step * n), render=True).select("result", "error")
+            size[n] = len(found._jdf.queryExecution().analyzed().toString())
+        assert size[most] - size[most // 2] < 3 * (size[most // 2] - size[most // 4]) + 5_000, (form, size)
+        assert not found.first()["error"], form
+
+
+def test_steps_leave_columns_and_pruning_alone(spark, tmp_path):
+    raw = spark.createDataFrame([(json.dumps(PERSON),)], "json string")
+    typed(raw, inferred_schema(raw)).select("resource").write.parquet(str(tmp_path / "p"))
+    found = fhirpath(spark.read.parquet(str(tmp_path / "p")), "resource", "name.family.first() & id & name.family.skip(0).last()", errors=None)
+    assert found.columns == ["resource", "result"] and found.first()["result"] == "Wintera7Winter"
+    assert "ReadSchema: struct<resource:struct<id:string,name:array<struct<family:string>>>>" in found.select("result")._jdf.queryExecution().executedPlan().toString()
