@@ -13,14 +13,19 @@ from pyspark.sql import types as T
 from ..plans import compiler as C
 from ..plans.syntax import Literal, PathError, as_type_name
 from ..plans.values import (
-    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, item_errors, items, let, merged, numeric, of_column, present, scalar,
-    single, size, text_of,
+    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, by_form, empty, for_each, forms, item_errors, items, let, merged, numeric, of_column, present, scalar,
+    single, size, text_of, variant_items,
 )
 from . import temporal
 
 _LIBRARY: dict[tuple[str, int], Callable] = {}
 #: Functions that pass items on as they are, decimals as their source texts.
-_KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType")
+_KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType", "toInteger", "convertsToInteger", "toBoolean", "convertsToBoolean", "children", "descendants", "distinct", "repeat", "extension", "resolve")
+#: Functions of one item, of whichever kind it is.
+_OF_ONE = (
+    "not", "length", "upper", "lower", "trim", "startsWith", "endsWith", "contains", "indexOf", "replace", "substring", "split", "toChars", "matches", "replaceMatches", "abs", "ceiling", "floor", "truncate",
+    "round", "sqrt", "exp", "ln", "log", "power", "toString", "toInteger", "toDecimal", "toBoolean", "convertsToString", "convertsToInteger", "convertsToDecimal", "convertsToBoolean", "convertsToDate", "convertsToDateTime",
+)
 
 
 def call(compiler, name: str, source: Coll, args: tuple, focus: Coll) -> Coll:
@@ -28,7 +33,11 @@ def call(compiler, name: str, source: Coll, args: tuple, focus: Coll) -> Coll:
     found = _LIBRARY.get((name, len(args)))
     if found is None:
         raise PathError(f"unknown function {name} of {len(args)} arguments")
-    return found(compiler, source if name in _KEEPING else numeric(source), args, focus)
+    plain = (lambda c: c) if name in _KEEPING else numeric
+    if name in _OF_ONE and (whole := merged(source)).kind == "Any":
+        one = single(whole)
+        return by_form([(when, found(compiler, plain(form), args, focus)) for when, form in forms(one, quantities=False)], one.error)
+    return found(compiler, plain(source), args, focus)
 
 
 def _function(name: str, *counts: int):
@@ -246,22 +255,28 @@ def _repeat(compiler, c, args, focus):
     return C.distinct(array(F.concat(*map(items, parts)), parts[0])).with_error(error)
 
 
-#: Rounds of repeat() over values of one type, of which the last must bring nothing new: else it is an error of the row.
-ROUNDS = 16
+#: Rounds of repeat() over values of one type: so many for all rows, then so many more for rows that need them. What still brings new values then does not end: an error of the row.
+ROUNDS = (16, 4_096)
 
 
 def _rounds(compiler, c: Coll, node, found: list[Coll]) -> Coll:
     """repeat() where results have the type of what they come from: each round projects the values that the one before brought."""
+    kind = T.ArrayType(c.dtype)
+
     def step(acc: Column, _: Column) -> Column:
         fresh = merged(_project(compiler, Coll(acc["fresh"], c.dtype, c.kind, True), node))
-        new = F.array_except(F.array_distinct(items(fresh).cast(kind)), acc["seen"])
-        return F.struct(F.concat(acc["seen"], new).cast(kind).alias("seen"), new.cast(kind).alias("fresh"))
+        new = lambda xs: F.struct(F.concat(acc["seen"], xs).cast(kind).alias("seen"), xs.cast(kind).alias("fresh"))
+        return F.when(F.size(acc["fresh"]) == 0, acc).otherwise(let(F.array_except(F.array_distinct(items(fresh).cast(kind)), acc["seen"]), new))
 
-    kind = T.ArrayType(c.dtype)
     before = C.distinct(array(F.concat(*(items(f) for f in found)), found[-1])) if all(f.dtype == c.dtype for f in found) else c
-    start = F.struct(items(before).cast(kind).alias("seen"), items(c).cast(kind).alias("fresh"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return Coll(end["seen"], c.dtype, c.kind, True).with_error(F.size(end["fresh"]) > 0)
+    state = F.struct(items(before).cast(kind).alias("seen"), items(c).cast(kind).alias("fresh"))
+
+    def on(n: int) -> Callable[[Column], Column]:  # a row without new values goes no further
+        return lambda s: F.when(F.size(s["fresh"]) == 0, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(n)), s, step))
+
+    for n in ROUNDS:
+        state = let(state, on(n))
+    return Coll(state["seen"], c.dtype, c.kind, True).with_error(F.size(state["fresh"]) > 0)
 
 
 @_function("iif", 2, 3)
@@ -301,19 +316,48 @@ def _fields(c: Coll) -> list[Coll]:
     """The children of complex items by field, in the order of names."""
     if c.alternatives:
         return [f for a in c.alternatives for f in _fields(a)]
+    if c.kind == "Any":
+        return [_mixed_children(c)]
     if not isinstance(c.dtype, T.StructType) or c.kind != "Complex":
         return []
     return [replace(C._field(c, name, None), error=None) for name in sorted(c.dtype.fieldNames())]
 
 
+def _mixed_children(c: Coll) -> Coll:
+    """The children of the objects among items of mixed kinds, in the order of their keys."""
+
+    def children(x: Column) -> Column:
+        entries = F.map_entries(F.try_parse_json(F.when(x["kind"] == "Complex", x["text"])).try_cast("map<string,variant>"))
+        keyed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), variant_items(e["value"]).alias("xs")))
+        return F.coalesce(F.flatten(F.transform(F.array_sort(keyed, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), lambda e: e["xs"])), F.array().cast(T.ArrayType(ANY_TYPE)))
+
+    return Coll(F.flatten(F.transform(items(c), children)), ANY_TYPE, "Any", True)
+
+
+#: Levels of objects within parts of mixed kinds that descendants() takes; more of them are an error of the row.
+_MIXED_LEVELS = 8
+
+
 def _levels(c: Coll, depth: int | None) -> Coll:
-    if c.many and depth == 1:
+    if c.kind == "Any" and depth != 1:
+        level, found = c, []
+        for _ in range(_MIXED_LEVELS):
+            level = _mixed_children(level)
+            found.append(level.col)
+        return Coll(F.concat(*found), ANY_TYPE, "Any", True, c.error).with_error(F.exists(level.col, lambda x: x["kind"] == "Complex"))
+    if c.many and depth == 1 and c.kind != "Any":
         nested, like = for_each(c, lambda x: _levels(x, 1))
         return array(nested, like, c.error)
     level, found = [c], []
     while level and (depth is None or depth > 0):
         level = [f for x in level for f in _fields(x)]
         found += level
+        mixed = [f for f in level if merged(f).kind == "Any"] if depth is None else []
+        for f in mixed:
+            below = _levels(merged(f), None)
+            found.append(replace(below, error=None))
+            c = c.with_error(below.error)
+        level = [f for f in level if all(f is not m for m in mixed)]
         depth = None if depth is None else depth - 1
     if not found:
         return empty(c.error)
@@ -546,7 +590,7 @@ def _power(compiler, c, args, focus):
 
 
 def _to_text(c: Coll) -> Column:
-    if c.kind in ("Complex", "Empty"):
+    if c.kind in ("Complex", "Empty", "Object"):
         return F.lit(None).cast("string")
     if c.kind == "Any":
         return F.when(c.col["kind"] != "Complex", c.col["text"])
@@ -554,10 +598,10 @@ def _to_text(c: Coll) -> Column:
 
 
 def _to_integer(c: Coll) -> Column:
-    if c.kind == "Integer":
-        return c.col.cast("long")
-    if c.kind == "Boolean":
+    if c.kind in ("Integer", "Boolean"):
         return c.col.cast("long")
+    if c.kind == "Decimal" and isinstance(c.dtype, T.StringType):
+        return F.when(C.is_whole(c.col), c.col.try_cast("long"))
     if c.kind == "String":
         return F.when(c.col.rlike(r"^[+-]?[0-9]+$"), c.col.try_cast("long"))
     return F.lit(None).cast("long")
@@ -578,6 +622,8 @@ def _to_boolean(c: Coll) -> Column:
         return c.col
     if c.kind == "Integer":
         return F.when(c.col == 1, True).when(c.col == 0, False)
+    if c.kind == "Decimal" and isinstance(c.dtype, T.StringType):
+        return F.when(c.col == "1", True).when(c.col == "0", False)
     if c.kind == "String":
         low = F.lower(c.col)
         return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False)

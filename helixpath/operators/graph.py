@@ -5,16 +5,13 @@ All functions take documents as ``sources.documents.checked`` gives them (path,
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialized
-
-#: Documents nest no deeper than this; a deeper one is an error, never cut.
-DEEPEST = 64
-
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
@@ -79,70 +76,80 @@ def contained(found: DataFrame) -> DataFrame:
     return rows.select("path", "owner_path", "contained_id", F.format_string("%s.contained[%d]", "owner_path", "n").alias("element_path"))
 
 
+def reference_places(value: object, place: str) -> Iterator[tuple[str, str]]:
+    """The place and text of every text under a key ``reference``, at any depth."""
+    left = [(place, value)]
+    while left:
+        at, v = left.pop()
+        if isinstance(v, dict):
+            for key, inner in v.items():
+                if key == "reference" and isinstance(inner, str):
+                    yield f"{at}.{key}", inner
+                elif isinstance(inner, dict | list):
+                    left.append((f"{at}.{key}", inner))
+        elif isinstance(v, list):
+            left += [(f"{at}[{n}]", inner) for n, inner in enumerate(v) if isinstance(inner, dict | list)]
+
+
 def references(found: DataFrame) -> DataFrame:
     """(path, owner_path, owner_type, owner_id, element_path, raw, flavor) of every text under a key ``reference``, at any depth.
 
-    One pass for each level of nesting: the level's values are exploded, the next level are those that hold others.
+    One pass over the resources, without a shuffle: those whose JSON holds the key at all are walked where they are.
     """
-    level = found.select("path", F.col("element_path").alias("owner_path"), F.col("resource_type").alias("owner_type"), F.col("id").alias("owner_id"), "element_path", "v")
-    parts = []
-    for _ in range(DEEPEST):
-        inner = level.lateralJoin(found.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        at = F.when(F.col("key").isNull(), F.concat("element_path", F.lit("["), "pos", F.lit("]"))).otherwise(F.concat("element_path", F.lit("."), "key"))
-        inner = inner.select("path", "owner_path", "owner_type", "owner_id", at.alias("element_path"), "key", F.col("value").alias("v"), F.schema_of_variant("value").alias("kind"))
-        inner = materialized(inner.where("kind like 'OBJECT%' or kind like 'ARRAY%' or (key = 'reference' and kind = 'STRING')"), "level")
-        parts.append(inner.where("kind = 'STRING'"))
-        level = inner.where("kind <> 'STRING'").drop("key", "kind")
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"documents nest deeper than {DEEPEST} levels")
-    rows = reduce(DataFrame.unionByName, parts).withColumn("raw", F.col("v").cast("string"))
-    return rows.select("path", "owner_path", "owner_type", "owner_id", "element_path", "raw", flavor(F.col("raw")).alias("flavor"))
+    names = ["path", "owner_path", "owner_type", "owner_id", "element_path", "raw"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, texts, rows, places, raws = batch.column("owner_path").to_pylist(), batch.column("json").to_pylist(), [], [], []
+            for n, (owner, text) in enumerate(zip(owners, texts, strict=True)):
+                for place, raw in reference_places(json.loads(text), owner):
+                    rows.append(n)
+                    places.append(place)
+                    raws.append(raw)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in names[:4]), pa.array(places, pa.string()), pa.array(raws, pa.string())], names)
+
+    rows = found.select("path", F.col("element_path").alias("owner_path"), F.col("resource_type").alias("owner_type"), F.col("id").alias("owner_id"), F.to_json("v").alias("json"))
+    rows = rows.where(F.contains("json", F.lit('"reference"'))).mapInArrow(walk, ", ".join(f"{n} string" for n in names))
+    return rows.withColumn("flavor", flavor(F.col("raw")))
 
 
 def _tail(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"([A-Za-z]\w*/[^/]+)$", 1), F.lit(""))
 
 
+def _own_name(owner: Column, id_: Column) -> Column:
+    """What a contained resource is called in the table of names, which no identity is."""
+    return F.concat(F.lit("#"), owner, F.lit("#"), id_)
+
+
 def resolve(refs: DataFrame, ids: DataFrame, inside: DataFrame) -> DataFrame:
     """``refs`` with target_path, target_element and candidates (documents that hold the identity): nulls where nothing fits.
 
     Contained references stay in their owner; others look into their own document first, then into all, where the lowest path wins. An
-    absolute one that is not found as it stands is looked up by its last two parts. Each step takes only the references that it can find and
-    the steps before did not, so no join meets nulls; distinct texts are joined to the identities first, so that a much-used target is one row there.
+    absolute one that is not found as it stands is looked up by its last two parts. Names in the own document, contained ones among them, are one
+    join, names anywhere another; only absolute references that their own document lacks are joined again, by their last parts. Nothing is written.
     """
-    name = F.when(F.col("flavor") == "contained", F.substring("raw", 2, 1_000_000)).otherwise(F.col("raw"))
-    left = refs.select(F.struct(*refs.columns).alias("ref"), "path", "owner_path", "flavor", name.alias("name"))
-    own = inside.select("path", "owner_path", F.col("contained_id").alias("name"), F.col("element_path").alias("element"))
-    here = [left.where("flavor = 'contained'").join(own, ["path", "owner_path", "name"], "left").select("ref", F.when(F.col("element").isNotNull(), F.col("path")).alias("target_path"), "element", F.col("element").isNotNull().cast("long").alias("candidates"))]
-    left = left.where("flavor <> 'contained'").select("ref", "path", "name", "flavor")
-    local = ids.select("path", F.col("identity").alias("name"), F.col("element_path").alias("element"))
-    every = ids.groupBy(F.col("identity").alias("name")).agg(F.min(F.struct("path", "element_path")).alias("first"), F.count("*").alias("candidates"))
-    tail = F.col("flavor") == "absolute"
-
-    def step(rows: DataFrame, by_tail: bool, anywhere: bool) -> DataFrame:
-        """What is left of ``rows``; what is found is kept."""
-        if by_tail:
-            rows, other = rows.where(tail & _tail(F.col("name")).isNotNull()), rows.where(~(tail & _tail(F.col("name")).isNotNull()))
-        rows = rows.withColumn("wanted", _tail(F.col("name")) if by_tail else F.col("name"))
-        if anywhere:
-            targets = rows.select("wanted").distinct().join(every.withColumnRenamed("name", "wanted"), "wanted").select("wanted", F.col("first.path").alias("target_path"), F.col("first.element_path").alias("element"), "candidates")
-            met = rows.join(targets, "wanted", "left")
-        else:
-            met = rows.join(local.withColumnRenamed("name", "wanted"), ["path", "wanted"], "left").withColumns({"target_path": F.col("path"), "candidates": F.lit(1).cast("long")})
-        met = materialized(met, "met")
-        here.append(met.where("element is not null").select("ref", "target_path", "element", "candidates"))
-        missed = met.where("element is null").select(*left.columns)
-        return missed.unionByName(other) if by_tail else missed
-
-    rest = left
-    for anywhere in (False, True):
-        for by_tail in (False, True):
-            rest = step(rest, by_tail, anywhere)
-    here.append(rest.select("ref", F.lit(None).cast("string").alias("target_path"), F.lit(None).cast("string").alias("element"), F.lit(0).cast("long").alias("candidates")))
-    out = reduce(DataFrame.unionByName, here)
-    return out.select("ref.*", "target_path", F.col("element").alias("target_element"), "candidates")
+    own = inside.select("path", _own_name(F.col("owner_path"), F.col("contained_id")).alias("name"), F.col("element_path").alias("element"))
+    local = ids.select("path", F.col("identity").alias("name"), F.col("element_path").alias("element")).unionByName(own)
+    every = ids.groupBy(F.col("identity").alias("name")).agg(F.min(F.struct("path", "element_path")).alias("first"), F.count("*").alias("holders"))
+    name = F.when(F.col("flavor") == "contained", _own_name(F.col("owner_path"), F.substr("raw", F.lit(2)))).otherwise(F.col("raw"))
+
+    def looked_up(rows: DataFrame, key: Column, here: str, there: str) -> DataFrame:
+        """``rows`` with ``here``, the place of the name in its own document, and ``there``, (place, holders) of it in any."""
+        rows = rows.withColumn("name", key).join(local.withColumnRenamed("element", here), ["path", "name"], "left")
+        return rows.join(every.select("name", F.struct("first", "holders").alias(there)), "name", "left").drop("name")
+
+    met = looked_up(refs.select(F.struct(*refs.columns).alias("ref"), "path", "flavor", name.alias("wanted")), F.col("wanted"), "h0", "t0")
+    again = (F.col("flavor") == "absolute") & F.col("h0").isNull() & _tail(F.col("wanted")).isNotNull()
+    tailed = looked_up(met.where(again), _tail(F.col("wanted")), "h1", "t1")
+    rest = met.where(~again).withColumns({"h1": F.lit(None).cast("string"), "t1": F.lit(None).cast(tailed.schema["t1"].dataType)})
+    place = F.coalesce(F.col("h0"), F.col("h1"))
+    anywhere = F.when(place.isNull(), F.coalesce(F.col("t0"), F.col("t1")))
+    return tailed.unionByName(rest).select(
+        "ref.*", F.when(place.isNotNull(), F.col("path")).otherwise(anywhere["first"]["path"]).alias("target_path"), F.coalesce(place, anywhere["first"]["element_path"]).alias("target_element"),
+        F.when(place.isNotNull(), 1).otherwise(F.coalesce(anywhere["holders"], F.lit(0))).cast("long").alias("candidates"),
+    )
 
 
 def usages(resolved: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:

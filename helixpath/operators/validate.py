@@ -1,6 +1,6 @@
 """Validation of documents against schema tables, as a DataFrame of issues.
 
-Objects are walked level by level. What a type's part of the schema says of its children (their names and typed forms, what must
+Objects are walked level by level, with one write of each level's values, from which its issues and the next level are made. What a type's part of the schema says of its children (their names and typed forms, what must
 be there) is one row for each (type, prefix), and goes to every task: the schema does not grow with the documents, and its size is checked. So a
 level is one pass without a shuffle.
 """
@@ -43,7 +43,6 @@ RULES = {
 }
 #: Rows of the elements table that are sent to every task at most; all of R4 has under 10,000.
 MOST_ELEMENTS = 100_000
-DEEPEST = 64
 
 
 def _specification(tables: dict[str, DataFrame]) -> DataFrame:
@@ -61,7 +60,7 @@ def _specification(tables: dict[str, DataFrame]) -> DataFrame:
     out = e.groupBy("type", "prefix").agg(
         F.flatten(F.collect_list("entries")).alias("entries"),
         F.collect_list(F.when(F.col("min") > 0, F.struct("name", "keys"))).alias("required"),
-        F.collect_list(F.when(F.col("choice"), F.struct("name", F.slice("keys", 2, 1000).alias("keys")))).alias("choices"),
+        F.collect_list(F.when(F.col("choice"), F.struct("name", F.slice("keys", F.lit(2), F.size("keys")).alias("keys")))).alias("choices"),
     )
     # of equal keys the first by path counts, as a plain element does before another's typed form
     entries = F.array_distinct(F.transform("entries", lambda x: x["key"]))
@@ -92,22 +91,18 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
     primitive = kinds.join(patterns, F.col("t_name") == F.col("p_name"), "left").drop("p_name")
     nodes = docs.where("doc_error is null").select("path", F.col("resource_type").alias("element_path"), F.col("resource_type").alias("type"), F.lit("").alias("prefix"), "v", F.lit(True).alias("named"))
     issues, walked = [], []
-    for _ in range(DEEPEST):
-        level = materialized(nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name"), "level")
-        if level.isEmpty():
-            break
+    while True:  # ends with the deepest document, which is no deeper than documents.DEEPEST
+        level = nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name")
         issues.append(level.where("named and t_kind is null").select("path", "element_path", F.lit("unknown_type").alias("rule"), F.col("type").alias("first"), F.lit(None).cast("string").alias("second")))
         objects = level.where("t_kind is not null").drop("t_kind", "named")
         walked.append(objects)
         values, found = _children(objects, spec)
         values = materialized(values, "values")
         issues += [found, values.where("rule is not null").select("path", "element_path", "rule", "first", "second")]
+        if values.where("type is not null").isEmpty():
+            break
         nodes, found = _descend(values.where("type is not null"), primitive)
         issues.append(found)
-    else:
-        raise ValueError(f"documents nest deeper than {DEEPEST} levels")
-    if not issues:
-        return docs.sparkSession.createDataFrame([], ISSUES)
     out = _worded(reduce(DataFrame.unionByName, issues))
     if invariants and walked:
         for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"]):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from decimal import Decimal, localcontext
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import temporal
-from ..sources.documents import JSON_TEXT, SOURCE_NUMBER
+from ..sources.documents import JSON_TEXT, MARKED, NUMBER_MARK, SOURCE_NUMBER
 from .syntax import Binary, Call, Index, Literal, Member, Name, PathError, This, TypeTest, parse
 from .values import (
-    DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, empty, for_each, items, kind_of, let, merged, number_text, numeric, of_column, present, scalar,
-    simple, single, text_of,
+    ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, by_form, empty, for_each, forms, items, let, merged, number_text, numeric, of_column, present, scalar,
+    simple, single, text_of, unmarked, variant_items,
 )
 
 _TYPES = {"boolean": "Boolean", "integer": "Integer", "decimal": "Decimal", "date": "Date", "datetime": "DateTime", "quantity": "Quantity"}
@@ -57,7 +58,12 @@ class Compiler:
             source = self.operand(node.source, focus)
             return self.bound(type_is(source, node.type_name) if node.op == "is" else of_type(source, node.type_name))
         if isinstance(node, Binary):
-            left, right = (numeric(self.operand(n, focus)) for n in (node.left, node.right))
+            node = folded(node)
+            if isinstance(node, Literal):
+                return literal(node)
+            left, right = (self.operand(n, focus) for n in (node.left, node.right))
+            if node.op not in ("|", "+", "-", "*"):
+                left, right = numeric(left), numeric(right)
             unit = node.right.unit if isinstance(node.right, Literal) else None
             return self.bound(binary(node.op, left, right, unit))
         raise PathError(f"cannot evaluate {node!r}")
@@ -111,13 +117,27 @@ class Compiler:
         return replace(source, col=got, many=False).with_error(at.error, at.col.isNull())
 
 
+def folded(node):
+    """A sum, difference or product of integers that are written out, as one: a Decimal where it has more than 64 bits."""
+    if not isinstance(node, Binary) or node.op not in ("+", "-", "*"):
+        return node
+    left, right = folded(node.left), folded(node.right)
+    if not (isinstance(left, Literal) and isinstance(right, Literal) and left.kind in NUMBER_KINDS and right.kind in NUMBER_KINDS):
+        return node
+    x, y = Decimal(left.value), Decimal(right.value)
+    with localcontext() as exact:
+        exact.prec = 60
+        got = {"+": x + y, "-": x - y, "*": x * y}[node.op]
+    if left.kind == right.kind == "Integer" and -(2**63) <= got < 2**63:
+        return Literal("Integer", int(got))
+    return Literal("Decimal", got)
+
+
 def literal(node: Literal) -> Coll:
     if node.kind == "Quantity":
         return scalar(F.struct(F.lit(node.value).cast(DECIMAL).alias("value"), F.lit(node.unit).alias("unit")), "Quantity")
     if node.kind == "Decimal":
-        scale = max(1, -node.value.as_tuple().exponent)
-        kind = T.DecimalType(min(38, max(scale + 1, len(node.value.as_tuple().digits) + 1)), scale)
-        return Coll(F.lit(node.value).cast(kind), kind, "Decimal")
+        return Coll(F.lit(f"{node.value:f}"), T.StringType(), "Decimal")
     if node.kind == "Integer":
         return scalar(F.lit(node.value).cast("long"), "Integer")
     return scalar(F.lit(node.value), node.kind)
@@ -133,6 +153,8 @@ def access(c: Coll, name: str) -> Coll:
         return _field(c, name, None)
     if c.kind == "Untyped":
         raise PathError(f"{name} lies deeper than the schema is typed; give struct_of a greater depth")
+    if c.kind == "Any":
+        return _mixed_access(c, name)
     if c.kind != "Complex":
         return empty(c.error)
     names = c.dtype.fieldNames()
@@ -153,6 +175,26 @@ def access(c: Coll, name: str) -> Coll:
     return _choice(found, c.error)
 
 
+def _mixed_access(c: Coll, name: str) -> Coll:
+    """Children of objects among items of mixed kinds, which are JSON texts: by exact key, else by the first key of a choice element."""
+
+    def children(x: Column) -> Column:
+        held = F.try_parse_json(F.when(x["kind"] == "Complex", x["text"])).try_cast("map<string,variant>")
+
+        def of(m: Column) -> Column:
+            form = F.get(F.array_sort(F.filter(F.map_keys(m), lambda k: k.rlike(f"^{re.escape(name)}[A-Z]"))), F.lit(0))
+            chosen = let(form, lambda k: F.coalesce(*(F.when(k == name + t, variant_items(F.try_element_at(m, k), t)) for t in ("Date", "DateTime")), _tagged(variant_items(F.try_element_at(m, k)), F.substr(k, F.lit(len(name) + 1)))))
+            return F.when(F.map_contains_key(m, name), variant_items(F.try_element_at(m, F.lit(name)))).otherwise(chosen)
+
+        return F.coalesce(let(held, of), F.array().cast(T.ArrayType(ANY_TYPE)))
+
+    return Coll(F.flatten(F.transform(items(c), children)), ANY_TYPE, "Any", True, c.error)
+
+
+def _tagged(xs: Column, suffix: Column) -> Column:
+    return F.transform(xs, lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), suffix.alias("type")))
+
+
 def _choice(found: list[Coll], error: Column | None) -> Coll:
     if not found:
         return empty(error)
@@ -163,7 +205,10 @@ def _choice(found: list[Coll], error: Column | None) -> Coll:
 
 def _field(c: Coll, name: str, suffix: str | None) -> Coll:
     dtype = c.dtype[name].dataType
-    got = of_column(c.member(name), T.ArrayType(dtype) if c.many else dtype)
+    got = of_column(c.member(name), T.ArrayType(dtype) if c.many else dtype, suffix if isinstance(dtype, T.VariantType) else None)
+    if c.dtype[name].metadata.get(MARKED):
+        plain = lambda x: F.ltrim(x, F.lit(NUMBER_MARK))
+        got = replace(got, col=F.transform(got.col, plain) if got.many else plain(got.col))
     kind = suffix if got.kind == "String" and suffix in ("Date", "DateTime") else got.kind
     if got.kind == "String" and c.dtype[name].metadata.get(SOURCE_NUMBER):
         kind = "Decimal"
@@ -188,6 +233,8 @@ def _matcher(c: Coll, name: str):
                 return kind == "string"
             return (kind == want) | ((kind == "complex") & (tag == want))
         return any_match
+    if c.kind == "Decimal" and isinstance(c.dtype, T.StringType) and want in ("integer", "decimal"):
+        return lambda x: is_whole(x) if want == "integer" else ~is_whole(x)
     if c.kind in ("Boolean", "Integer", "Decimal", "Quantity"):
         return lambda x: F.lit(_TYPES.get(want) == c.kind)
     if c.kind in ("Date", "DateTime"):
@@ -204,6 +251,11 @@ def _matcher(c: Coll, name: str):
     return lambda x: F.lit(False)
 
 
+def is_whole(x: Column) -> Column:
+    """Whether a number's source text is that of an integer of 64 bits: among decimals of other documents it is one still."""
+    return x.rlike(r"^-?\d+$") & x.try_cast("long").isNotNull()
+
+
 def of_type(c: Coll, name: str) -> Coll:
     """The items of a type. Keeps their static type where it is known, so that paths can go on."""
     if c.alternatives:
@@ -224,6 +276,8 @@ def of_type(c: Coll, name: str) -> Coll:
 
 
 def type_is(c: Coll, name: str) -> Coll:
+    if c.alternatives and any(a.kind == "Any" for a in c.alternatives):
+        c = merged(c)
     if c.alternatives:
         found = [type_is(a, name) for a in c.alternatives]
         return scalar(F.coalesce(*(f.col for f in found)), "Boolean", c.error)
@@ -287,7 +341,7 @@ def equal_items(a: Coll, x: Column, b: Coll, y: Column) -> Column:
     if a.kind != b.kind:
         return F.lit(False)
     if a.kind in ("Complex", "Quantity"):
-        return F.to_json(x) == F.to_json(y)
+        return text_of(x, a.kind, a.dtype) == text_of(y, b.kind, b.dtype)
     return x == y
 
 
@@ -321,14 +375,25 @@ def equivalence(a: Coll, b: Coll) -> Coll:
     return scalar(let(items(a), lambda x: let(items(b), lambda y: both(x, y))), "Boolean")
 
 
+def of_forms(make, a: Coll, b: Coll) -> Coll | None:
+    """``make(a, b)`` for each pair of kinds that items of mixed kinds can be of; None where both are of known kinds."""
+    a, b = (merged(c) if c.alternatives and any(x.kind == "Any" for x in c.alternatives) else c for c in (a, b))
+    if "Any" not in (a.kind, b.kind):
+        return None
+    a, b = (single(c) if c.kind == "Any" or quantity(c) is None else c for c in (a, b))
+    return by_form([(p & q, make(x, y)) for p, x in forms(a) for q, y in forms(b)], a.error, b.error)
+
+
 def comparison(op: str, a: Coll, b: Coll) -> Coll:
+    mixed = of_forms(lambda x, y: comparison(op, numeric(x), numeric(y)), a, b)
+    if mixed is not None:
+        return mixed
     qa, qb = quantity(a), quantity(b)
     apply = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     if qa is not None and qb is not None:
         same = let(qa.col, lambda x: let(qb.col, lambda y: F.when(x["unit"] == y["unit"], apply(x["value"], y["value"]))))
         return scalar(same, "Boolean", qa.error, qb.error)
     a, b = single(a), single(b)
-    a, b = like(a, b), like(b, a)
     if "Empty" in (a.kind, b.kind):
         return empty().with_error(a.error, b.error)
     numbers = a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS
@@ -369,9 +434,10 @@ def alike(a: Coll, b: Coll) -> tuple[Coll, Coll]:
         a = replace(b, col=F.array().cast(T.ArrayType(b.dtype)), many=True, error=a.error)
     if b.kind == "Empty":
         b = replace(a, col=F.array().cast(T.ArrayType(a.dtype)), many=True, error=b.error)
-    if a.kind == b.kind and a.dtype.simpleString() == b.dtype.simpleString():
+    texts = any(c.kind == "Decimal" and isinstance(c.dtype, T.StringType) for c in (a, b))  # equal by value, shown as written
+    if a.kind == b.kind and a.dtype.simpleString() == b.dtype.simpleString() and not texts:
         return a, b
-    if a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS:
+    if a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS and not texts:
         widen = lambda c: Coll(F.transform(items(c), lambda x: x.try_cast(DECIMAL)), DECIMAL, "Decimal", True, c.error)
         if a.kind == b.kind == "Integer":
             widen = lambda c: Coll(F.transform(items(c), lambda x: x.cast("long")), T.LongType(), "Integer", True, c.error)
@@ -422,16 +488,19 @@ def joined(a: Coll, b: Coll) -> Coll:
     a, b = single(a), single(b)
     parts, errors = [], [a.error, b.error]
     for c in (a, b):
+        text = F.when(c.col["kind"] == "String", c.col["text"]) if c.kind == "Any" else c.col
         if c.kind not in ("String", "Empty"):
-            errors.append(c.col.isNotNull())
-        parts.append(F.coalesce(c.col, F.lit("")) if c.kind == "String" else F.lit(""))
+            errors.append(c.col.isNotNull() & (text.isNull() if c.kind == "Any" else F.lit(True)))
+        parts.append(F.coalesce(text, F.lit("")) if c.kind in ("String", "Any") else F.lit(""))
     return scalar(F.concat(*parts), "String", *errors)
 
 
 def arithmetic(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
+    mixed = of_forms(lambda x, y: arithmetic(op, x, y, unit), a, b)
+    if mixed is not None:
+        return mixed
     qa, qb = quantity(a), quantity(b)
     a, b = single(a) if qa is None else a, single(b) if qb is None else b
-    a, b = like(a, b), like(b, a)
     errors = (a.error, b.error)
     if "Empty" in (a.kind, b.kind):
         return empty().with_error(*errors)
@@ -451,7 +520,7 @@ def arithmetic(op: str, a: Coll, b: Coll, unit: str | None = None) -> Coll:
         q, n = (qa, b) if qa is not None else (qb, a)
         if op not in "*/":
             return empty(present(a) & present(b)).with_error(*errors)
-        value = _decimal(op, q.col["value"], n.col)
+        value = _decimal(op, q.col["value"], numeric(n).col)
         return scalar(F.when(value.isNotNull(), F.struct(value.try_cast(DECIMAL).alias("value"), q.col["unit"].alias("unit"))), "Quantity", *errors)
     if qb is not None and a.kind in NUMBER_KINDS and op == "/":
         return empty().with_error(*errors)
@@ -487,8 +556,25 @@ def _decimal(op: str, x: Column, y: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), result), F.lit(0))
 
 
+def _of_scale(op: str, a: Coll, b: Coll) -> Coll:
+    """A sum, difference or product of source texts and integers, itself a text: with the zeros that its scale has."""
+
+    def scale(c: Coll) -> Column:
+        return F.when(F.contains(c.col, F.lit(".")), F.length(F.substring_index(c.col, ".", -1))).otherwise(0) if c.kind == "Decimal" else F.lit(0)
+
+    digits = F.least(scale(a) + scale(b) if op == "*" else F.greatest(scale(a), scale(b)), F.lit(18))
+    value = _decimal(op, numeric(a).col, numeric(b).col).try_cast(DECIMAL).cast("string")
+    text = let(value, lambda t: let(digits, lambda n: F.substr(t, F.lit(1), F.instr(t, ".") + F.when(n == 0, -1).otherwise(n))))
+    got = Coll(text, T.StringType(), "Decimal")
+    return got.with_error(a.col.isNotNull() & b.col.isNotNull() & got.col.isNull())
+
+
 def number(op: str, a: Coll, b: Coll) -> Coll:
     """Empty for a division by zero; a result that does not fit is an error."""
+    decimals = [c for c in (a, b) if c.kind == "Decimal"]
+    if op in ("+", "-", "*") and decimals and all(isinstance(c.dtype, T.StringType) for c in decimals):
+        return _of_scale(op, a, b)
+    a, b = numeric(a), numeric(b)
     x, y = a.col, b.col
     whole = a.kind == b.kind == "Integer"
     there = x.isNotNull() & y.isNotNull()
@@ -501,7 +587,8 @@ def number(op: str, a: Coll, b: Coll) -> Coll:
         return scalar(quotient, "Integer")
     if whole and op != "/":
         apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-        return scalar(apply(x.cast("long"), y.cast("long")), "Integer")
+        got = apply(x.cast("long"), y.cast("long"))
+        return scalar(got, "Integer", there & got.isNull())
     got = _decimal(op, x, y).try_cast(DECIMAL)
     return scalar(got, "Decimal", there & got.isNull() & ((y != 0) if op == "/" else F.lit(True)))
 
@@ -522,21 +609,25 @@ def native(c: Coll) -> Column:
     """The result as one plain column: a value for singletons, an array for collections. Quantities keep value and unit."""
     if c.kind == "Empty":
         return F.lit(None).cast("string")
-    return F.transform(c.col, lambda x: x["text"]) if c.kind == "Any" and c.many else c.col["text"] if c.kind == "Any" else c.col
+    shown = lambda x: F.when(x["kind"] == "Complex", unmarked(x["text"])).otherwise(x["text"])
+    return F.transform(c.col, shown) if c.kind == "Any" and c.many else shown(c.col) if c.kind == "Any" else c.col
 
 
 def rendered(c: Coll) -> Column:
     """The result as JSON array text, the way an evaluation is shown: complex items as objects, quantities as value and unit."""
+    amount = lambda value, unit: F.concat(F.lit('{"value":'), value, F.lit(',"unit":'), _quoted(unit), F.lit("}"))
+
     def one(x: Column) -> Column:
         if c.kind == "Any":
-            bare = F.array(*map(F.lit, ("Boolean", "Integer", "Decimal", "Complex")))
-            return F.when(F.array_contains(bare, x["kind"]), x["text"]).otherwise(_quoted(x["text"]))
+            told, kind = x["text"], x["kind"]
+            shown = F.when(kind.isin("Boolean", "Integer", "Decimal"), told).when(kind.isin("Complex", "Array"), unmarked(told))
+            return shown.when(kind == "Quantity", amount(F.regexp_extract(told, r"^(\S+) ", 1), F.regexp_extract(told, r"(?s)^\S+ '(.*)'$", 1))).otherwise(_quoted(told))
         if c.kind == "Complex":
-            return F.to_json(x)
+            return unmarked(text_of(x, c.kind, c.dtype))
         if c.kind == "Untyped":
             return x
         if c.kind == "Quantity":
-            return F.concat(F.lit('{"value":'), number_text(x["value"], DECIMAL), F.lit(',"unit":'), _quoted(x["unit"]), F.lit("}"))
+            return amount(number_text(x["value"], DECIMAL), x["unit"])
         text = text_of(x, c.kind, c.dtype)
         return _quoted(text) if c.kind in TEXT_KINDS else text
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.documents import NUMBER_MARK, SOURCE_NUMBER
+
 ANY_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("type", T.StringType())])
 DECIMAL = T.DecimalType(38, 18)
 QUANTITY_TYPE = T.StructType([T.StructField("value", DECIMAL), T.StructField("unit", T.StringType())])
@@ -85,8 +87,43 @@ def kind_of(dtype: T.DataType) -> str:
     return "String"
 
 
+def variant_items(v: Column, type_name: str | None = None, depth: int = 4) -> Column:
+    """The items of a part of mixed kinds, each with its own kind. Arrays are flattened; within so many others they are an item of kind Array, which fits nothing."""
+
+    def one(x: Column, shape: Column) -> Column:
+        text = x.try_cast("string")
+        number = text.startswith(NUMBER_MARK)
+        of_texts = "Date" if type_name == "Date" else "DateTime" if type_name == "DateTime" else "String"
+        kind = (
+            F.when(shape == "BOOLEAN", "Boolean").when(shape == "BIGINT", "Integer").when(shape.startswith("OBJECT"), "Complex").when(shape.startswith("ARRAY"), "Array")
+            .when(shape == "STRING", F.when(number, "Decimal").otherwise(of_texts)).otherwise("Decimal")
+        )
+        told = F.when(kind.isin("Complex", "Array"), F.to_json(x)).when((shape == "STRING") & number, F.substr(text, F.lit(2))).otherwise(text)
+        named = F.lit(type_name).cast("string") if type_name else F.when(shape.startswith("OBJECT"), F.try_variant_get(x, "$.resourceType", "string"))
+        return F.struct(kind.alias("kind"), told.alias("text"), named.alias("type"))
+
+    def some(x: Column) -> Column:
+        shape = F.schema_of_variant(x)
+        none = F.array().cast(T.ArrayType(ANY_TYPE))
+        flat = F.flatten(F.transform(x.try_cast("array<variant>"), lambda y: variant_items(y, type_name, depth - 1))) if depth else F.array(one(x, shape))
+        return F.when(x.isNull() | (shape == "VOID"), none).when(shape.startswith("ARRAY"), flat).otherwise(F.array(one(x, shape))).cast(T.ArrayType(ANY_TYPE))
+
+    return let(v, some)
+
+
 def of_column(col: Column, dtype: T.DataType, type_name: str | None = None) -> Coll:
-    """A column of documents, or any part of one. Arrays are flattened and lose their nulls."""
+    """A column of documents, or any part of one. Arrays are flattened and lose their nulls. Variants within documents are parts of mixed kinds."""
+    base = dtype
+    while isinstance(base, T.ArrayType):
+        base = base.elementType
+    if isinstance(base, T.VariantType):
+        while isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.ArrayType):
+            col, dtype = F.flatten(F.array_compact(col)), dtype.elementType
+        if isinstance(dtype, T.ArrayType):
+            col = F.flatten(F.transform(F.coalesce(col, F.array().cast(dtype)), lambda x: variant_items(x, type_name)))
+        else:
+            col = variant_items(col, type_name)
+        return Coll(col, ANY_TYPE, "Any", True, type_name=type_name)
     if isinstance(dtype, T.ArrayType):
         while isinstance(dtype.elementType, T.ArrayType):
             col, dtype = F.flatten(F.array_compact(col)), dtype.elementType
@@ -125,6 +162,47 @@ def single(c: Coll) -> Coll:
     return replace(c, col=F.get(c.col, F.lit(0)), many=False).with_error(F.size(c.col) > 1)
 
 
+#: What an item of kind Any is read as, by its kind.
+_READ = {"Boolean": T.BooleanType(), "Integer": T.LongType(), "Decimal": T.StringType(), "String": T.StringType(), "Date": T.StringType(), "DateTime": T.StringType()}
+
+
+def forms(c: Coll, quantities: bool = True) -> list[tuple[Column, Coll]]:
+    """What one item can be: the condition of each kind, and the item as that, null where it is another. An item of a known kind is one form. ``quantities``:
+    whether objects with a number and a unit are ones."""
+    if c.kind != "Any" or c.many:
+        return [(F.lit(True), c)]
+    typed = lambda k, t: F.when(c.col["kind"] == k, c.col["text"].try_cast(t))
+    out = [(c.col["kind"] == k, Coll(typed(k, t), t, k)) for k, t in _READ.items()]
+    if not quantities:
+        other = c.col["kind"].isin("Complex", "Array", "Quantity")
+        return [*out, (other, Coll(F.when(other, c.col["text"]), T.StringType(), "Object"))]
+    parsed = F.try_parse_json(F.when(c.col["kind"] == "Complex", c.col["text"]))
+    value, unit = F.try_variant_get(parsed, "$.value", "string"), F.coalesce(F.try_variant_get(parsed, "$.code", "string"), F.try_variant_get(parsed, "$.unit", "string"))
+    number = F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.value", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") | value.startswith(NUMBER_MARK), F.ltrim(value, F.lit(NUMBER_MARK)).try_cast(DECIMAL))
+    amount = F.when(number.isNotNull() & unit.isNotNull(), F.struct(number.alias("value"), unit.alias("unit")))
+    out.append((amount.isNotNull(), Coll(amount, QUANTITY_TYPE, "Quantity")))
+    other = c.col["kind"].isin("Complex", "Array") & amount.isNull()
+    return [*out, (other, Coll(F.when(other, c.col["text"]), T.StringType(), "Object"))]
+
+
+def by_form(cases: list[tuple[Column, Coll]], *errors: Column | None) -> Coll:
+    """The result of the case whose condition holds, at most one does: of its own kind where all cases have one, else of kind Any."""
+    errors = (*errors, *(F.coalesce(when, F.lit(False)) & got.error for when, got in cases if got.error is not None))
+    cases = [(when, merged(got)) for when, got in cases]
+    cases = [(when, got) for when, got in cases if got.kind != "Empty"]
+    if not cases:
+        return empty().with_error(*errors)
+    first = cases[0][1]
+    if len({(got.kind, got.dtype.simpleString(), got.many) for _, got in cases}) == 1:
+        if first.many:
+            return replace(first, col=F.concat(*(F.when(F.coalesce(when, F.lit(False)), got.col).otherwise(F.array().cast(T.ArrayType(got.dtype))) for when, got in cases)), error=None).with_error(*errors)
+        return replace(first, col=F.coalesce(*(F.when(when, got.col) for when, got in cases)), error=None).with_error(*errors)
+    none = F.array().cast(T.ArrayType(ANY_TYPE))
+    parts = F.concat(*(F.when(F.coalesce(when, F.lit(False)), items(as_any(got))).otherwise(none) for when, got in cases))
+    many = any(got.many for _, got in cases)
+    return Coll(parts if many else F.get(parts, F.lit(0)), ANY_TYPE, "Any", many).with_error(*errors)
+
+
 def as_any(c: Coll) -> Coll:
     """Items with their kind and text, for collections of mixed types. Texts of complex items are their JSON."""
     if c.alternatives:
@@ -141,11 +219,34 @@ def as_any(c: Coll) -> Coll:
     return Coll(F.transform(items(c), one), ANY_TYPE, "Any", True, c.error)
 
 
+def _has_numbers(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(f.metadata.get(SOURCE_NUMBER) or _has_numbers(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.ArrayType) and _has_numbers(dtype.elementType)
+
+
+def _marked(x: Column, dtype: T.DataType, number: bool = False) -> Column:
+    """An object whose numbers that are source texts have a mark, so that its JSON tells them from texts."""
+    if isinstance(dtype, T.ArrayType) and (number or _has_numbers(dtype)):
+        return F.transform(x, lambda y: _marked(y, dtype.elementType, number))
+    if number:
+        return F.concat(F.lit(NUMBER_MARK), F.ltrim(x, F.lit(NUMBER_MARK)))
+    if not isinstance(dtype, T.StructType) or not _has_numbers(dtype):
+        return x
+    make = lambda y: F.when(y.isNotNull(), F.struct(*(_marked(y[f.name], f.dataType, bool(f.metadata.get(SOURCE_NUMBER))).alias(f.name) for f in dtype.fields)))
+    return let(x, make)
+
+
+def unmarked(json: Column) -> Column:
+    """JSON with its marked numbers as numbers."""
+    return F.regexp_replace(json, r'"\\u0003(-?[0-9][0-9.eE+-]*)"', "$1")
+
+
 def text_of(x: Column, kind: str, dtype: T.DataType) -> Column:
     if kind in TEXT_KINDS or kind == "Untyped":
         return x
     if kind == "Complex":
-        return F.to_json(x)
+        return F.to_json(_marked(x, dtype))
     if kind == "Quantity":
         return let(x, lambda q: F.concat(number_text(q["value"], DECIMAL), F.lit(" '"), q["unit"], F.lit("'")))
     if kind == "Any":

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders that a scan leaves out, and how many files an editor's scan takes at most (the default configuration, fixed values).
-IGNORED = ("node_modules", ".git", "target", "dist", "build")
+IGNORED = (".git", "node_modules", "target", ".tests")
 MOST_FILES = 2_000
+#: Levels of arrays and objects that a document has at most (fixed value); a deeper one is an error of that document.
+DEEPEST = 127
 #: Marks, in a field's metadata, texts that are the decimals of a document as they were written.
 SOURCE_NUMBER = "source_number"
+#: Stands before such a text where a document's parts are of mixed kinds, so that it is told from a text; JSON has no such character. A field's metadata say so.
+NUMBER_MARK = "\x03"
+MARKED = "marked"
 #: Marks texts that are the JSON of an object which is not typed.
 JSON_TEXT = "json_text"
 _NONCE = "1f0c7be2d1"
@@ -21,21 +26,36 @@ _NONCE = "1f0c7be2d1"
 def parse_json(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else; null otherwise.
 
-    Spark's parser stops after the first value, so the text is parsed as the first of two items of an array.
+    Spark's parser stops after the first value, so the text is parsed as the first of two items of an array. Of repeated keys the last counts, which Spark has
+    a setting for: it is set here, in the session, so that all that parse agree, in any order of calls.
     """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_NONCE}"]')))
     whole = F.try_variant_get(pair, "$[1]", "string") == _NONCE
     only = F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(whole & only & (F.trim(text) != ""), F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def _depth(text: Column) -> Column:
+    """How deep arrays and objects nest; 0 where no more than DEEPEST are opened at all."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return F.when(opened > DEEPEST, F.aggregate(F.split(brackets, ""), start, step)["most"]).otherwise(0)
+
+
 def checked(docs: DataFrame) -> DataFrame:
-    """``docs`` (path, json, ...) with ``v``, ``resource_type`` and ``doc_error``: null for an object with a text resourceType."""
-    v = parse_json(F.col("json"))
+    """``docs`` (path, json, ...) with ``v``, ``resource_type`` and ``doc_error``: null for an object with a text resourceType, no deeper than DEEPEST."""
+    v = F.when(_depth(F.col("json")) <= DEEPEST, parse_json(F.col("json")))
     out = docs.withColumn("v", v)
     kind = F.schema_of_variant("v")
     name = F.when(F.schema_of_variant(F.try_variant_get("v", "$.resourceType", "variant")) == "STRING", F.try_variant_get("v", "$.resourceType", "string"))
-    error = F.when(F.col("v").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(name.isNull(), "no resourceType")
+    error = F.when(F.col("v").isNull() & (_depth(F.col("json")) > DEEPEST), "nested too deep").when(F.col("v").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(name.isNull(), "no resourceType")
     return out.withColumns({"resource_type": F.when(kind.startswith("OBJECT"), name), "doc_error": error})
 
 
@@ -45,7 +65,6 @@ def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED
     Files below a folder named in ``ignore`` are left out; of more than ``most`` files the first by path stay (None: all; an editor's scan takes MOST_FILES). ``since``: only
     files changed after that time, for a rescan.
     """
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json"))
     base = "file:" + root if "://" not in root and root.startswith("/") else root
@@ -66,29 +85,35 @@ def skipped(docs: DataFrame) -> DataFrame:
 
 
 def inferred_schema(docs: DataFrame, column: str = "json") -> T.StructType:
-    """The schema that holds all documents, from one pass over them. Parts of mixed types become text."""
+    """The schema that holds all documents, from one pass over them. Parts of mixed kinds stay variants, which paths take item by item."""
     return schema_of(docs.select(F.schema_of_variant_agg(parse_json(F.col(column))).alias("s")).first()["s"])
 
 
 def schema_of(text: str | None) -> T.StructType:
     """The struct that the text of a variant's schema describes; one without fields where that is no object."""
     ddl = text or "OBJECT<>"
-    for found, spark_type in (("OBJECT<", "STRUCT<"), ("VOID", "STRING"), ("VARIANT", "STRING")):  # only where a type stands, not in names
+    for found, spark_type in (("OBJECT<", "STRUCT<"), ("VOID", "STRING")):  # only where a type stands, not in names
         ddl = re.sub(rf"(^|: |ARRAY<){found}", rf"\1{spark_type}", ddl)
     ddl = re.sub(r"([<,]\s*)([A-Za-z_][\w\-]*)\s*:", r"\1`\2`:", ddl)
     parsed = T._parse_datatype_string(ddl) if ddl.startswith("STRUCT<") and ddl != "STRUCT<>" else T.StructType()
-    return _roomy(parsed)
+    return _roomy(parsed, {SOURCE_NUMBER: True} | ({MARKED: True} if _mixed(parsed) else {}))
 
 
-def _roomy(dtype: T.DataType) -> T.DataType:
+def _roomy(dtype: T.DataType, mark: dict[str, bool]) -> T.DataType:
     """Decimals as their source texts, which keep all digits and zeros."""
     if isinstance(dtype, T.StructType):
-        return T.StructType([T.StructField(f.name, _roomy(f.dataType), True, {SOURCE_NUMBER: True} if _decimals(f.dataType) else None) for f in dtype.fields])
+        return T.StructType([T.StructField(f.name, _roomy(f.dataType, mark), True, mark if _decimals(f.dataType) else None) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
-        return T.ArrayType(_roomy(dtype.elementType))
+        return T.ArrayType(_roomy(dtype.elementType, mark))
     return T.StringType() if _decimals(dtype) else dtype
 
 
+def _mixed(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_mixed(f.dataType) for f in dtype.fields)
+    return _mixed(dtype.elementType) if isinstance(dtype, T.ArrayType) else isinstance(dtype, T.VariantType)
+
+
 def _decimals(dtype: T.DataType) -> bool:
     while isinstance(dtype, T.ArrayType):
         dtype = dtype.elementType
@@ -97,12 +122,13 @@ def _decimals(dtype: T.DataType) -> bool:
 
 def typed(docs: DataFrame, schema: T.StructType | str, column: str = "json", output: str = "resource") -> DataFrame:
     """``docs`` with the documents as a struct column, which paths read by fields: columns that no path needs are not parsed."""
-    exact = isinstance(schema, T.StructType) and SOURCE_NUMBER in schema.json()
-    return docs.withColumn(output, F.from_json(_with_texts(F.col(column)) if exact else F.col(column), schema, {"mode": "PERMISSIVE"}))
+    mixed = isinstance(schema, T.StructType) and _mixed(schema)
+    exact = mixed or (isinstance(schema, T.StructType) and SOURCE_NUMBER in schema.json())
+    return docs.withColumn(output, F.from_json(_with_texts(F.col(column), NUMBER_MARK if mixed else "") if exact else F.col(column), schema, {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}))
 
 
-def _with_texts(text: Column) -> Column:
-    """JSON whose numbers with a fraction or an exponent are texts: the parser would read them as doubles.
+def _with_texts(text: Column, mark: str = "") -> Column:
+    """JSON whose numbers with a fraction or an exponent are texts, ``mark`` before each: the parser would read them as doubles.
 
     Between quotes stand, by turns, what is outside and inside of texts, once escaped quotes are out of the way: two control characters, which JSON
     has not, stand for them meanwhile.
@@ -110,6 +136,6 @@ def _with_texts(text: Column) -> Column:
     slash, quote = "\x01", "\x02"
     plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
     number = r"(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))"
-    parts = F.transform(F.split(plain, '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, number, '"$1"')).otherwise(x))
+    parts = F.transform(F.split(plain, '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, number, f'"{mark}$1"')).otherwise(x))
     joined = F.array_join(parts, '"')
     return F.when(text.rlike(f"[{slash}{quote}]"), text).otherwise(F.replace(F.replace(joined, F.lit(quote), F.lit('\\"')), F.lit(slash), F.lit("\\\\")))

@@ -21,7 +21,7 @@ FILES = {
     "people/dora.json": {"resourceType": "Practitioner", "id": "dora", "name": [{"text": "Dr Dora"}]},
     "forms/intake.json": {"resourceType": "Questionnaire", "id": "intake", "status": "draft", "code": [{"display": "Intake"}]},
     "settings.json": {"theme": "dark"},
-    "dist/old.json": {"resourceType": "Practitioner", "id": "old"},
+    "target/old.json": {"resourceType": "Practitioner", "id": "old"}, ".tests/x.json": {"resourceType": "Practitioner", "id": "x"}, "dist/kept.json": {"resourceType": "Practitioner", "id": "kept"},
 }
 
 
@@ -43,7 +43,7 @@ def docs(spark, workspace):
 
 
 def test_scan(spark, workspace, docs):
-    assert {r["path"] for r in docs.select("path").collect()} == {"clinics/north.json", "archive/north.json", "clinics/group.json", "people/dora.json", "forms/intake.json", "settings.json", "broken.json"}
+    assert {r["path"] for r in docs.select("path").collect()} == {"clinics/north.json", "archive/north.json", "clinics/group.json", "people/dora.json", "forms/intake.json", "settings.json", "broken.json", "dist/kept.json"}
     assert skipped(docs).first()["skipped"] == 2
     some, clipped = read_files(spark, workspace, most=2)
     assert clipped and some.count() == 2
@@ -62,7 +62,7 @@ def test_graph(docs):
     labels = {r["element_path"] + " " + r["path"]: r["label"] for r in found.collect()}
     assert labels["Practitioner people/dora.json"] == "[Practitioner] Dr Dora (dora)" and labels["Organization clinics/north.json"] == "Organization/north"
     ids, refs = graph.identities(docs, found), graph.references(found)
-    assert {r["identity"] for r in ids.collect()} == {"Organization/north", "Organization/group", "Communication/note-3", "Bundle/c7", "urn:uuid:9a", "Practitioner/dora", "Questionnaire/intake"}
+    assert {r["identity"] for r in ids.collect()} == {"Organization/north", "Organization/group", "Communication/note-3", "Bundle/c7", "urn:uuid:9a", "Practitioner/dora", "Practitioner/kept", "Questionnaire/intake"}
     resolved = graph.resolve(refs, ids, graph.contained(found)).cache()
     got = {r["raw"]: (r["flavor"], r["target_path"], r["target_element"], r["candidates"]) for r in resolved.collect()}
     group = ("clinics/group.json", "Bundle.entry[0].resource", 1)
@@ -164,9 +164,9 @@ def test_definitions(spark, tmp_path):
     assert [tuple(r) for r in tables["patterns"].collect()] == [("code", "[a-z]+")]
 
 
-def test_mixed_types_become_text(spark):
+def test_mixed_kinds_stay_variants(spark):
     schema = inferred_schema(spark.createDataFrame([('{"a": 1, "b": {"c": true}}',), ('{"a": "x", "d": [1.5]}',)], "json string"))
-    assert schema.simpleString() == "struct<a:string,b:struct<c:boolean>,d:array<string>>"
+    assert schema.simpleString() == "struct<a:variant,b:struct<c:boolean>,d:array<string>>"
 
 
 def test_stream(spark, workspace):
@@ -213,3 +213,33 @@ def test_schema_from_definitions(spark):
 def test_names_that_look_like_types(spark):
     schema = inferred_schema(spark.createDataFrame([('{"VOIDED": null, "OBJECT": {"VARIANT_x": [null, {"a-b": 1}]}}',)], "json string"))
     assert schema.simpleString() == "struct<OBJECT:struct<VARIANT_x:array<struct<a-b:bigint>>>,VOIDED:string>"
+
+
+def nested(levels):
+    doc = {"reference": "Patient/1"}
+    for n in range(levels):
+        doc = {"item": doc} if n % 2 else [doc]
+    return {"resourceType": "Questionnaire", "id": f"q{levels}", "item": doc}
+
+
+def test_depth_is_an_error_of_its_document(spark):
+    texts = [json.dumps(nested(n)) for n in (0, 60, 125, 126, 500)] + ['{"resourceType":"Patient","id":"' + "[{" * 300 + '\\"[["}']
+    docs = checked(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, json string"))
+    assert [r["doc_error"] for r in docs.orderBy("path").collect()] == [None, None, None, "nested too deep", "nested too deep", None]
+    refs = graph.references(graph.resources(docs)).collect()
+    assert sorted(r["path"] for r in refs) == ["0", "1", "2"] and max(len(r["element_path"]) for r in refs) > 125 * 4
+    deep = checked(docs.sparkSession.createDataFrame([("a", json.dumps(nested(20))), ("b", texts[3])], "path string, json string"))
+    assert validate.validate(deep, definitions.bundled(spark)).select("path").distinct().count() >= 1
+
+
+def test_repeated_keys_in_any_order_of_calls(spark):
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    docs = spark.createDataFrame([("a", '{"resourceType":"Patient","id":"1","id":"2"}')], "path string, json string")
+    assert checked(docs).select("doc_error", F.to_json("v").alias("v")).first() == (None, '{"id":"2","resourceType":"Patient"}')
+
+
+def test_ids_of_any_length(spark):
+    name = "x" * 1_000_100
+    docs = checked(spark.createDataFrame([("a", json.dumps({"resourceType": "Observation", "id": "o", "contained": [{"resourceType": "Patient", "id": name}], "subject": {"reference": "#" + name}}))], "path string, json string"))
+    found = graph.resources(docs)
+    assert graph.resolve(graph.references(found), graph.identities(docs, found), graph.contained(found)).first()["target_element"] == "Observation.contained[0]"
