@@ -21,6 +21,8 @@ from . import temporal
 _LIBRARY: dict[tuple[str, int], Callable] = {}
 #: Functions that pass items on as they are, decimals as their source texts.
 _KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType", "toInteger", "convertsToInteger", "toBoolean", "convertsToBoolean", "children", "descendants", "distinct", "repeat", "extension", "resolve")
+#: Functions whose arguments are evaluated on each item.
+OF_ITEMS = ("where", "select", "exists", "all", "repeat")
 #: Functions of one item, of whichever kind it is.
 _OF_ONE = (
     "not", "length", "upper", "lower", "trim", "startsWith", "endsWith", "contains", "indexOf", "replace", "substring", "split", "toChars", "matches", "replaceMatches", "abs", "ceiling", "floor", "truncate",
@@ -378,16 +380,8 @@ def _extension(compiler, c, args, focus):
 
 @_function("resolve", 0)
 def _resolve(compiler, c, args, focus):
-    """The resources that texts and objects with a ``reference`` name, from the compiler's map; none without a map."""
-    c = merged(c)
-    if c.kind == "Complex" and "reference" in c.dtype.fieldNames():
-        c = C.access(c, "reference")
-    if compiler.resolved is None or c.kind != "String":
-        return empty(c.error)
-    find = lambda r: F.try_element_at(compiler.resolved, r)
-    if not c.many:
-        return of_column(find(c.col), compiler.resolved_type).with_error(c.error)
-    return of_column(F.transform(c.col, find), T.ArrayType(compiler.resolved_type)).with_error(c.error)
+    """The compiler resolves itself: it knows the call."""
+    return empty(c.error)
 
 
 # Texts

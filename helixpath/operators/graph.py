@@ -11,6 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.compiler import Resolver, fhirpath
+from ..plans.shared import materialized
+from ..plans.syntax import Binary, Call, Index, Member, Name, TypeTest, parse
+from ..sources.documents import schema_of, typed
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -168,14 +174,54 @@ def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.where("target_path is null")
 
 
-def resolve_map(docs: DataFrame, refs: DataFrame, targets: DataFrame, key: str = "path") -> DataFrame:
-    """``docs`` with ``resolved``: a map from each document's reference texts to their targets.
+class Targets:
+    """The resources of documents, as rows to evaluate paths on and as what resolve() finds.
 
-    ``refs`` (key, raw) are joined to ``targets`` (identity, resource) and grouped back by document, so that resolve() inside an expression is a lookup.
+    ``rows``: (path, element_path, resource), the resource typed by ``type``, which holds all of them, contained ones too. ``type`` may be given. Fields of
+    targets that a path does not name are left out of its joins by ``paths``.
     """
-    pairs = refs.select(key, "raw").distinct().join(targets.select(F.col("identity").alias("raw"), "resource"), "raw")
-    maps = pairs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "resource"))).alias("resolved"))
-    return docs.join(maps, key, "left")
+
+    def __init__(self, docs: DataFrame, type_: T.StructType | None = None):
+        found = materialized(resources(docs), "resources")
+        within = found.select("path", F.col("element_path").alias("owner"), F.posexplode(_get("v", "$.contained", "array<variant>")).alias("n", "v"))
+        within = within.select("path", F.format_string("%s.contained[%d]", "owner", "n").alias("element_path"), "v").where(F.schema_of_variant("v").startswith("OBJECT"))
+        every = found.select("path", "element_path", "v", F.lit(False).alias("inside")).unionByName(within.withColumn("inside", F.lit(True)))
+        self.identities, self.contained = materialized(identities(docs, found), "identities"), materialized(contained(found), "contained")
+        self.type = type_ or schema_of(every.select(F.schema_of_variant_agg("v").alias("s")).first()["s"])
+        # typed and written once: later reads take the fields that they need
+        self.all = materialized(typed(every.select("path", "element_path", "inside", F.to_json("v").alias("json")), self.type).drop("json"), "typed")
+        self.rows = self.all.where("not inside").drop("inside")
+
+    def resolver(self, names: set[str] | None = None, owner: str = "element_path") -> tuple[Resolver, T.StructType]:
+        """A resolver for ``fhirpath`` and the type of what it finds: all fields, or those that ``names`` can mean. The rows need path and element_path, which
+        together are a key; ``owner``: the column of the resource that a row belongs to, in which #names are looked up."""
+        kept = [f for f in self.type.fields if names is None or f.name in ("resourceType", "id", *names) or any(f.name.startswith(n) and f.name[len(n)].isupper() for n in names)]
+        target = T.StructType(kept)
+        held = self.all.select(F.col("path").alias("target_path"), F.col("element_path").alias("target_element"), F.struct(*(F.col("resource")[f.name].alias(f.name) for f in kept)).alias("target"))
+
+        def attach(df: DataFrame, name: str, texts: list[str]) -> DataFrame:
+            wanted = df.select("path", "element_path", F.col(owner).alias("owner_path"), F.explode(F.array_distinct(F.concat(*texts))).alias("raw")).distinct()
+            met = resolve(wanted.withColumn("flavor", flavor(F.col("raw"))), self.identities, self.contained).where("target_path is not null")
+            # one row for each text of a row that is found, at most as many as the row's path yields
+            maps = met.join(held, ["target_path", "target_element"]).groupBy("path", "element_path").agg(F.map_from_entries(F.collect_list(F.struct("raw", "target"))).alias(name))
+            return df.join(materialized(maps, "targets"), ["path", "element_path"], "left")  # written, so that the next level's join computes none of this again
+
+        return attach, target
+
+    def paths(self, expression: str, rows: DataFrame | None = None, **options) -> DataFrame:
+        """``rows`` (default: all resources) with the result of ``expression``, in which resolve() finds what the references name: in the own resource, the own
+        document, or any; see ``resolve``. References of targets are looked up from the row's own place as well."""
+        resolver, target = self.resolver(_names(parse(expression)))
+        return fhirpath(self.rows if rows is None else rows, "resource", expression, resolver=resolver, target=target, **options)
+
+
+def _names(node, parent=None) -> set[str] | None:
+    """The member names of a tree; None where what a resolve() finds, or the whole of an object, can be a result."""
+    if isinstance(node, Call) and (node.name in ("children", "descendants", "repeat") or (node.name == "resolve" and not isinstance(parent, Member))):
+        return None
+    parts = {Member: lambda: (node.source,), Call: lambda: (node.source, *node.args), Index: lambda: (node.source, node.index), Binary: lambda: (node.left, node.right), TypeTest: lambda: (node.source,)}.get(type(node), tuple)()
+    found = [_names(x, node) for x in parts if x is not None]
+    return None if any(f is None for f in found) else {node.name for _ in (0,) if isinstance(node, Name | Member)}.union(*found)
 
 
 def owner_path(element_path: Column) -> Column:

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.compiler import Compiler, boolean
+from ..plans.compiler import Compiler, boolean, with_steps
 from ..plans.shared import materialized
 from ..plans.syntax import PathError, parse
 from ..plans.values import of_column
 from ..sources.documents import schema_of
+from .graph import Targets, owner_path
 
 ISSUES = "path string, element_path string, severity string, category string, message string, rule string, hint string"
 #: Each rule's category and message; {0} and {1} are what the rule fills in. Repairs go by the rule.
@@ -80,10 +81,11 @@ def _kind(v: Column) -> Column:
     return F.when(v.isNull(), "VOID").when(s.startswith("OBJECT"), "OBJECT").when(s.startswith("ARRAY"), "ARRAY").otherwise(F.regexp_replace(s, r"\(.*$", ""))
 
 
-def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = True) -> DataFrame:
+def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = True, targets: Targets | None = None) -> DataFrame:
     """ISSUES of the documents that ``sources.documents.checked`` gives; those with a doc_error have none.
 
-    Structural rules are errors; invariants bring their own severity. An expression that can't be evaluated, or is not false, gives no issue.
+    Structural rules are errors; invariants bring their own severity. An expression that can't be evaluated, or is not false, gives no issue. ``targets``: where
+    resolve() in an invariant finds what references name; without it, it finds nothing.
     """
     spec = materialized(_specification(tables), "specification")
     kinds = tables["types"].select(F.col("name").alias("t_name"), F.col("kind").alias("t_kind"))
@@ -105,7 +107,7 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
         issues.append(found)
     out = _worded(reduce(DataFrame.unionByName, issues))
     if invariants and walked:
-        for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"]):
+        for part in _invariants(reduce(DataFrame.unionByName, walked), tables["constraints"], targets):
             out = out.unionByName(part)
     return out
 
@@ -186,7 +188,7 @@ def _descend(values: DataFrame, primitive: DataFrame) -> tuple[DataFrame, DataFr
     return down.select("path", "element_path", target.alias("type"), prefix.alias("prefix"), "v", nested.alias("named")), found
 
 
-def _invariants(walked: DataFrame, constraints: DataFrame) -> list[DataFrame]:
+def _invariants(walked: DataFrame, constraints: DataFrame, targets: Targets | None) -> list[DataFrame]:
     """Issues of the constraints declared on (type, prefix), for objects walked as that. Objects of such places are written once, in a folder for each
     place; each is typed by what its objects hold, and all its expressions are evaluated in one pass over that folder."""
     places: dict[tuple[str, str], list] = {}
@@ -203,25 +205,29 @@ def _invariants(walked: DataFrame, constraints: DataFrame) -> list[DataFrame]:
             continue
         schema = schema_of(held[place])
         schema = schema if schema.fields else T.StructType([T.StructField("id", T.StringType())])  # of objects that are all empty
-        checks = []
+        checks, steps = [], []
+        resolver, target = targets.resolver(owner="owner") if targets else (None, None)
         for r in places[type_, prefix]:
-            failed = _fails(F.col("x"), schema, r["expression"])
+            failed = _fails(F.col("x"), schema, r["expression"], steps, target)
             if failed is not None:
                 parts = (("severity", r["severity"]), ("category", "invariant"), ("message", f"{r['key']}: {r['human']}"), ("rule", "invariant"), ("hint", r["key"]))
                 checks.append(F.when(failed, F.struct(*(F.lit(x).alias(n) for n, x in parts))))
         if checks:
-            typed = some.where(F.col("place") == place).select("path", "element_path", F.from_json(F.to_json("v"), schema).alias("x"))
+            typed = some.where(F.col("place") == place).select("path", "element_path", owner_path(F.col("element_path")).alias("owner"), F.from_json(F.to_json("v"), schema).alias("x"))
+            typed, _ = with_steps(typed, steps, resolver)
             out.append(typed.select("path", "element_path", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("path", "element_path", "i.*"))
     return out
 
 
-def _fails(x: Column, schema: T.StructType, expression: str) -> Column | None:
-    """True where the expression is a single false. None where it can't be compiled: a gap of the engine must not invent issues."""
+def _fails(x: Column, schema: T.StructType, expression: str, steps: list, target: T.StructType | None) -> Column | None:
+    """True where the expression is a single false, of ``steps`` that it adds. None where it can't be compiled: a gap of the engine must not invent issues."""
+    own: list = []
+    compiler = Compiler(own, target)
     try:
-        got = Compiler().eval(parse(expression), of_column(x, schema))
+        value, error = boolean(compiler.bound(compiler.eval(parse(expression), of_column(x, schema))))
     except PathError:
         return None
-    value, error = boolean(got)
+    steps += own
     return F.coalesce(~value, F.lit(False)) & (F.lit(True) if error is None else ~F.coalesce(error, F.lit(False)))
 
 

@@ -149,16 +149,36 @@ def fhir_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fhir_resolve_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resolve() within an expression: the region of each patient's organization, two references away."""
-    patients, organizations = R.patients(spark, sf_dir), R.organizations(spark, sf_dir)
-    known = organizations.select(F.concat(F.lit("Organization/"), F.col("resource.id")).alias("identity"), "resource")
-    up = organizations.select(F.concat(F.lit("Organization/"), F.col("resource.id")).alias("path"), F.col("resource"), F.col("resource.partOf.reference").alias("raw"))
-    step = graph.resolve_map(up.select("path", "resource"), up.where("raw is not null").select("path", "raw"), known)
-    step = fhirpath(step, "resource", "partOf.resolve().name", "region", errors=None, resolved="resolved")
-    regions = step.select(F.col("path").alias("identity"), F.struct(F.col("region")).alias("resource"))
-    refs = patients.select(F.col("key").alias("path"), F.col("resource.managingOrganization.reference").alias("raw"))
-    rows = graph.resolve_map(patients.withColumnRenamed("key", "path"), refs, regions)
-    rows = fhirpath(rows, "resource", "managingOrganization.resolve().region", errors=None, resolved="resolved")
-    return rows.select(F.col("path").alias("key"), "result")
+    docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
+    targets = graph.Targets(_parsed(docs))
+    rows = targets.rows.where("resource.resourceType = 'Patient'")
+    found = targets.paths("managingOrganization.resolve().partOf.resolve().name", rows, errors=None)
+    return found.select(F.col("resource.id").cast("long").alias("key"), F.get("result", F.lit(0)).alias("result"))
+
+
+def fhir_resolve_flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of all flavors in paths: each order's bundle has a claim that names its patient by urn, its provider within itself, its insurer by
+    another server's url, which two files hold; claims of customers that are divisible by 3 name a patient that does not exist."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+    order, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    pick = lambda **fields: F.struct(*(x.alias(n) for n, x in fields.items()))
+    link = lambda x: pick(reference=x)
+    insurer = F.concat(F.lit("http://example.org/fhir/Organization/"), (F.col("o_custkey") % 25).cast("string"))
+    claim = pick(
+        resourceType=F.lit("Claim"), id=order, contained=F.array(pick(resourceType=F.lit("Practitioner"), id=F.lit("pr"), name=F.col("o_orderpriority"))),
+        patient=link(F.when(F.col("o_custkey") % 3 == 0, "urn:uuid:none").otherwise(F.concat(F.lit("urn:uuid:"), customer))), provider=link(F.lit("#pr")), insurer=F.array(link(insurer), link(F.lit("#none"))),
+    )
+    patient = pick(resourceType=F.lit("Patient"), id=customer, birthDate=F.lit("1980-01-02"))
+    entry = F.array(pick(fullUrl=F.concat(F.lit("urn:uuid:"), customer), resource=F.to_json(patient)), pick(fullUrl=F.lit(None).cast("string"), resource=F.to_json(claim)))
+    text = F.concat(F.lit('{"resourceType":"Bundle","id":"b'), order, F.lit('","entry":['), F.array_join(F.transform(entry, lambda e: F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"fullUrl":"'), e["fullUrl"], F.lit('",')), F.lit("")), F.lit('"resource":'), e["resource"], F.lit("}"))), ","), F.lit("]}"))
+    bundles = orders.select(F.concat(F.lit("b/"), order).alias("path"), text.alias("json"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("file", F.explode(F.array(F.lit("m"), F.lit("z"))))
+    named = pick(resourceType=F.lit("Organization"), id=F.col("n_nationkey").cast("string"), name=F.concat("file", F.lit(" "), "n_name"))
+    docs = checked(bundles.union(nation.select(F.concat("file", F.lit("/"), F.col("n_nationkey").cast("string")), F.to_json(named))))
+    targets = graph.Targets(_parsed(docs))
+    rows = targets.rows.where("resource.resourceType = 'Claim'")
+    found = targets.paths("patient.resolve().id & '|' & provider.resolve().name & '|' & insurer.where(resolve().exists()).resolve().name & '|' & insurer.select(resolve().name).count().toString()", rows, errors=None)
+    return found.select(F.col("resource.id").cast("long").alias("key"), "result")
 
 
 def fhir_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +204,7 @@ _GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fhir_usages": (fhir_usages, "SELECT CAST(n_nationkey AS VARCHAR) AS id, count(c_custkey) AS usages FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'R' || r_regionkey, count(n_nationkey) FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"),
     "fhir_unresolved": (fhir_unresolved, "SELECT raw, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 1 THEN 'Person/' ELSE 'Patient/' END || user_id AS raw FROM events WHERE event_id % 2 = 1 OR user_id NOT IN (SELECT c_custkey FROM customer)) GROUP BY raw"),
     "fhir_resolve_in_path": (fhir_resolve_in_path, "SELECT c_custkey AS key, r_name AS result FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    "fhir_resolve_flavors": (fhir_resolve_flavors, "SELECT o_orderkey AS key, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END || '|' || o_orderpriority || '|m ' || n_name || '|1' AS result FROM orders JOIN nation ON n_nationkey = o_custkey % 25"),
     "fhir_outline": (fhir_outline, "SELECT 'Patient/' || c_custkey AS identity, '[Patient] A ' || c_name || ' (' || c_custkey || ')' AS label FROM customer UNION ALL SELECT 'Organization/' || n_nationkey, 'Organization/' || n_nationkey FROM nation UNION ALL SELECT 'Organization/R' || r_regionkey, 'Organization/R' || r_regionkey FROM region"),
     "fhir_validate": (fhir_validate, "SELECT path, CASE k WHEN 1 THEN 'Patient.shoeSize' WHEN 2 THEN 'Patient.name' WHEN 3 THEN 'Patient.active' WHEN 4 THEN 'Patient.birthDate' WHEN 5 THEN 'Patient.deceased' WHEN 6 THEN 'Patient.contact[0]' END AS element_path, 'error' AS severity, CASE k WHEN 1 THEN 'unknown' WHEN 2 THEN 'cardinality' WHEN 3 THEN 'type' WHEN 4 THEN 'format' WHEN 5 THEN 'choice' WHEN 6 THEN 'invariant' END AS category FROM (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey % 10 AS k FROM customer) WHERE k BETWEEN 1 AND 6 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'Patient', 'warning', 'invariant' FROM customer"),
 }

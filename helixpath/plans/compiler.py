@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from decimal import Decimal, localcontext
 from itertools import count
 
@@ -28,15 +29,22 @@ _NUMBERS = count()
 _STEP = r"__step\d+__"
 
 
-class Compiler:
-    """Compiles trees for one root. ``resolved``: a map column from reference texts to resources, for resolve().
+@dataclass(frozen=True)
+class Lookup:
+    """A step that is a join: a map from the reference texts in column ``texts`` to the resources they name."""
+
+    texts: str
+
 
-    ``steps``: where given, the value and the error of each step of a path become columns of their own, which later steps name: (name, column) in
-    order, for ``with_steps``. Plans then grow with the number of steps. Inside of lambdas, where columns cannot be, ``let`` does the same.
+class Compiler:
+    """Compiles trees for one root. ``steps``: where given, the value and the error of each step of a path become columns of their own, which later
+    steps name: (name, column) in order, for ``with_steps``. Plans then grow with the number of steps. Inside of lambdas, where columns cannot be, ``let``
+    does the same. ``target``: the type of the resources that resolve() finds; without one, or without steps, it finds none.
     """
 
-    def __init__(self, resolved: Column | None = None, resolved_type: T.DataType | None = None, steps: list[tuple[str, Column]] | None = None):
-        self.resolved, self.resolved_type, self.steps, self.inside = resolved, resolved_type, steps, 0
+    def __init__(self, steps: list[tuple[str, Column | Lookup]] | None = None, target: T.StructType | None = None):
+        self.steps, self.target, self.inside = steps, target, 0
+        self.found: dict[int, Column] = {}  # the targets of the references that a resolve() in a lambda meets, by the call
 
     def eval(self, node, focus: Coll) -> Coll:
         if isinstance(node, Literal):
@@ -53,6 +61,10 @@ class Compiler:
             from ..functions.library import call
 
             source = focus if node.source is None else self.operand(node.source, focus)
+            if node.name == "resolve" and not node.args:
+                return self.bound(self.resolve(node, source))
+            if not self.inside:
+                self.look_ahead(node, source, focus)
             return self.bound(call(self, node.name, source, node.args, focus))
         if isinstance(node, TypeTest):
             source = self.operand(node.source, focus)
@@ -73,6 +85,38 @@ class Compiler:
         got = self.eval(node, focus)
         return got if isinstance(node, Literal) else self.bound(got)
 
+    def resolve(self, node: Call, c: Coll) -> Coll:
+        """The resources that texts, and objects with a ``reference``, name; none for what names none."""
+        texts = reference_texts(c)
+        if texts is None or self.target is None or self.steps is None or (self.inside and id(node) not in self.found):
+            return empty(c.error)
+        known = self.found[id(node)] if self.inside else self.lookup(texts)
+        if not texts.many:
+            return of_column(F.try_element_at(known, texts.col), self.target).with_error(texts.error)
+        return of_column(F.transform(texts.col, lambda r: F.try_element_at(known, r)), T.ArrayType(self.target)).with_error(texts.error)
+
+    def lookup(self, texts: Coll) -> Column:
+        wanted, name = f"__step{next(_NUMBERS)}__", f"__step{next(_NUMBERS)}__"
+        self.steps += [(wanted, items(texts)), (name, Lookup(wanted))]
+        return F.col(name)
+
+    def look_ahead(self, node: Call, source: Coll, focus: Coll) -> None:
+        """References that the arguments of a call resolve for each item are looked up before, for all items."""
+        if self.target is None or self.steps is None:
+            return
+        from ..functions.library import OF_ITEMS, _project
+
+        if node.name not in OF_ITEMS:
+            return
+        for part in _calls(node.args):  # inner ones first
+            own = part.source if part.source is not None else This()
+            if part.name == "resolve" and not part.args:
+                texts = reference_texts(self.bound(_project(self, source, own)))
+                if texts is not None:
+                    self.found[id(part)] = self.lookup(texts)
+            elif part.name in OF_ITEMS:
+                self.look_ahead(part, self.bound(_project(self, source, own)), source)
+
     def of_item(self, node, item: Coll) -> Coll:
         """A criterion's or projection's value for an item, within a lambda."""
         self.inside += 1
@@ -117,6 +161,34 @@ class Compiler:
         return replace(source, col=got, many=False).with_error(at.error, at.col.isNull())
 
 
+def reference_texts(c: Coll) -> Coll | None:
+    """The texts of references among the items, texts themselves or objects with one; None where the type of the items has none."""
+    c = merged(c)
+    if c.kind in ("Complex", "Any") and (c.kind == "Any" or "reference" in c.dtype.fieldNames()):
+        of_objects = merged(access(c, "reference"))
+        if c.kind == "Any":
+            texts = F.transform(F.filter(F.concat(items(c), items(of_objects)), lambda x: x["kind"] == "String"), lambda x: x["text"])
+            return Coll(texts, T.StringType(), "String", True, c.error)
+        c = of_objects
+    return c if c.kind == "String" else None
+
+
+def _calls(node) -> list[Call]:
+    """The calls within trees that are evaluated on the same items, the inner ones first; not those in criteria of inner calls."""
+    from ..functions.library import OF_ITEMS
+
+    if isinstance(node, tuple):
+        return [c for x in node for c in _calls(x)]
+    if isinstance(node, Call):
+        inner = _calls(node.source) + ([] if node.name in OF_ITEMS else _calls(node.args))
+        return [*inner, node]
+    if isinstance(node, Member | TypeTest):
+        return _calls(node.source)
+    if isinstance(node, Index):
+        return _calls((node.source, node.index))
+    return _calls((node.left, node.right)) if isinstance(node, Binary) else []
+
+
 def folded(node):
     """A sum, difference or product of integers that are written out, as one: a Decimal where it has more than 64 bits."""
     if not isinstance(node, Binary) or node.op not in ("+", "-", "*"):
@@ -600,11 +672,6 @@ def _truncated(x: Column) -> Column:
 # Entry points
 
 
-def evaluate(col: Column, dtype: T.DataType, expression: str, resolved: Column | None = None, resolved_type: T.DataType | None = None) -> Coll:
-    """The collection an expression yields on a struct column."""
-    return merged(Compiler(resolved, resolved_type).eval(parse(expression), of_column(col, dtype)))
-
-
 def native(c: Coll) -> Column:
     """The result as one plain column: a value for singletons, an array for collections. Quantities keep value and unit."""
     if c.kind == "Empty":
@@ -638,29 +705,41 @@ def _quoted(x: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
 
 
-def with_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, list[str]]:
+Resolver = Callable[[DataFrame, str, list[str]], DataFrame]
+
+
+def with_steps(df: DataFrame, steps: list[tuple[str, Column | Lookup]], resolver: Resolver | None = None) -> tuple[DataFrame, list[str]]:
     """``df`` with a compiler's steps as columns, and their names. Steps that name no others come first, together: only they read the table's own columns, so
-    that it is read by the fields that they need; the others follow in as few projections as they allow."""
+    that it is read by the fields that they need; the others follow in as few projections as they allow. ``resolver`` (df, name, texts) adds the map
+    column of lookups, for the texts in all of those columns."""
     depth: dict[str, int] = {}
     for name, col in steps:
-        depth[name] = 1 + max((depth[n] for n in re.findall(_STEP, str(col))), default=-1)
+        named = [col.texts] if isinstance(col, Lookup) else re.findall(_STEP, str(col))
+        depth[name] = 1 + max((depth[n] for n in named), default=-1)
     for d in range(max(depth.values(), default=-1) + 1):
-        df = df.select("*", *(col.alias(name) for name, col in steps if depth[name] == d))
+        level = [(name, col) for name, col in steps if depth[name] == d]
+        df = df.select("*", *(col.alias(name) for name, col in level if not isinstance(col, Lookup)))
+        joined = [(name, col.texts) for name, col in level if isinstance(col, Lookup)]
+        if joined:  # all of a level are one join
+            first = joined[0][0]
+            df = resolver(df, first, [texts for _, texts in joined])
+            df = df.select("*", *(F.col(first).alias(name) for name, _ in joined[1:]))
     return df, list(depth)
 
 
-def fhirpath(df: DataFrame, column: str, expression: str, output: str = "result", errors: str | None = "error", strict: bool = False, render: bool = False, resolved: str | None = None) -> DataFrame:
+def fhirpath(
+    df: DataFrame, column: str, expression: str, output: str = "result", errors: str | None = "error", strict: bool = False, render: bool = False, resolver: Resolver | None = None, target: T.StructType | None = None
+) -> DataFrame:
     """``df`` with the result of ``expression`` on its struct ``column``.
 
     ``errors``: the name of a boolean column, true for rows in which evaluation fails (their result is null); None adds none.
-    ``strict`` raises instead. ``render`` gives JSON array text for any type of result. ``resolved``: the map column of
-    ``operators.graph.resolve_map``, in which resolve() looks references up.
+    ``strict`` raises instead. ``render`` gives JSON array text for any type of result. ``resolver`` and ``target``, the type of what it finds: those of
+    ``operators.graph.Targets``, by which resolve() joins; without them it finds nothing.
     """
-    known = (F.col(resolved), df.schema[resolved].dataType.valueType) if resolved else (None, None)
-    compiler = Compiler(*known, steps=[])
+    compiler = Compiler([], target if resolver else None)
     found = merged(compiler.bound(merged(compiler.eval(parse(expression), of_column(F.col(column), df.schema[column].dataType)))))
     value = rendered(found) if render else native(found)
-    df, names = with_steps(df, compiler.steps)
+    df, names = with_steps(df, compiler.steps, resolver)
     if found.error is None:
         out = df.withColumn(output, value)
         return (out.withColumn(errors, F.lit(False)) if errors and not strict else out).drop(*names)
