@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import library
 from ..operators import graph, repair, validate
-from ..sources import definitions
-from ..sources.documents import checked, read_files, skipped
+from ..sources import definitions, index
+from ..sources.documents import checked, inferred_schema, read_files, skipped, typed
 from ..streaming import documents as streaming
 from . import resources as R
 from .compiler import evaluate_json, fhirpath
 from .shared import deleted_at_end, materialized, new_path
-from .syntax import PathError, parse
+from .syntax import is_expression
 from .values import items, scalar
 
 
@@ -27,37 +28,40 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
-# Files and streams. Nations are few: one file each.
+# Files and streams: a file for each supplier, which Spark's tasks write
 
 
-def _files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a file for each nation: by key, in an ignored folder, without a type, broken, or an Organization."""
-    root = deleted_at_end(spark, new_path(spark, "files"))
-    jvm = spark._jvm.org.apache.hadoop.fs
-    store = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in _table(spark, sf_dir, "nation").collect():
-        k = r["n_nationkey"]
-        folder = ("node_modules", "a", "b", "c", "c/d")[k % 5]
-        text = ('{"resourceType":"Patient"}', '{"title":1}', '{"resourceType":', f'{{"resourceType":"Organization","id":"{k}"}}', f'{{"resourceType":"Organization","id":"{k}"}}')[k % 5]
-        out = store.create(jvm.Path(f"{root}/{folder}/{k}.json"))
-        out.writeBytes(text)
-        out.close()
+_FOLDERS = ("node_modules", "a", "b", "c", "c/d")
+
+
+def _files(spark: SparkSession, sf_dir: str, folders: tuple[int, ...] = (0, 1, 2, 3, 4), root: str | None = None) -> str:
+    """A folder with a file for each supplier: by key, in an ignored folder, without a type, broken, or an Organization."""
+    root = root or deleted_at_end(spark, new_path(spark, "files"))
+    key = F.col("s_suppkey")
+    for n in folders:
+        text = (_text('{"resourceType":"Patient","id":"', key, '"}'), _text('{"title":', key, "}"), _text('{"resourceType":', key), *(_text('{"resourceType":"Organization","id":"', key, '","partOf":{"reference":"Organization/', key - 1, '"}}'),) * 2)[n]
+        _table(spark, sf_dir, "supplier").where(key % 5 == n).select(text).write.mode("append").option("maxRecordsPerFile", 1).text(f"{root}/{_FOLDERS[n]}")
     return root
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.regexp_extract("json", r"([0-9]+)", 1).cast("long").alias("key"), "resource_type", "doc_error")
+
+
 def fhir_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a folder, what they are, or why they are none."""
-    docs = checked(read_files(spark, _files(spark, sf_dir))[0])
-    return docs.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).cast("long").alias("key"), "resource_type", "doc_error")
+    return _numbered(checked(read_files(spark, _files(spark, sf_dir), pattern="*.txt")[0]))
 
 
 def fhir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many files scans take: all, bounded, changed after a time, and how many documents are no resources."""
-    root = _files(spark, sf_dir)
-    files, _ = read_files(spark, root)
-    some, clipped = read_files(spark, root, most=7)
-    later, _ = read_files(spark, root, since="2100-01-01")
-    every, _ = read_files(spark, root, ignore=())
+    root = _files(spark, sf_dir, (0, 1, 2, 3))
+    before = read_files(spark, root, ignore=(), pattern="*.txt")[0].agg(F.max("modified")).first()[0]
+    _files(spark, sf_dir, (4,), root)
+    files, _ = read_files(spark, root, pattern="*.txt")
+    some, clipped = read_files(spark, root, most=7, pattern="*.txt")
+    later, _ = read_files(spark, root, since=str(before), pattern="*.txt")
+    every, _ = read_files(spark, root, ignore=(), pattern="*.txt")
     counts = [("all", files), ("bounded" if clipped else "not bounded", some), ("later", later), ("without ignored folders", every)]
     rows = [df.agg(F.count("*").alias("files")).select(F.lit(name).alias("scan"), "files") for name, df in counts]
     rows.append(skipped(checked(files)).select(F.lit("skipped").alias("scan"), F.col("skipped").alias("files")))
@@ -67,12 +71,25 @@ def fhir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def fhir_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index after files were added and deleted: what a rescan takes over, reads and removes, and the references it holds then."""
+    root = _files(spark, sf_dir, (2, 3))
+    first = index.rescan(spark, root, pattern="*.txt")
+    _files(spark, sf_dir, (4,), root)  # new files
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{_FOLDERS[2]}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # the broken ones go
+    more = _table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 3").select(_text('{"resourceType":"Organization","id":"', F.col("s_suppkey"), '","partOf":{"reference":"Organization/none"}}'))
+    more.write.option("maxRecordsPerFile", 1).text(f"{root}/{_FOLDERS[3]}-new")  # others of the same resources
+    second = index.rescan(spark, root, first, pattern="*.txt")
+    refs = second.table(spark, "references").groupBy(F.when(F.col("raw") == "Organization/none", "none").otherwise("other").alias("what")).agg(F.count("*").alias("n"))
+    counts = spark.createDataFrame([("kept", second.kept), ("read", second.read), ("removed", second.removed)], "what string, n long")
+    return counts.union(refs)
+
+
 def fhir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same folder as a stream, written as it comes and read back."""
     out, seen = deleted_at_end(spark, new_path(spark, "streamed")), deleted_at_end(spark, new_path(spark, "stream-state"))
-    docs = streaming.read_stream(spark, _files(spark, sf_dir), files_per_batch=10)
-    docs = docs.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).cast("long").alias("key"), "resource_type", "doc_error")
-    docs.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    _numbered(streaming.read_stream(spark, _files(spark, sf_dir), files_per_batch=500, pattern="*.txt", ignore=())).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("key long, resource_type string, doc_error string").parquet(out)
 
 
@@ -257,16 +274,27 @@ def fhir_decimal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fhir_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which texts are expressions. Regions are few: their names make the texts."""
-    rows = []
-    for r in _table(spark, sf_dir, "region").collect():
-        name = r["r_name"].split()[0]
-        try:
-            parse((f"{name}.count()", f"{name}..x", f"({name}", f"{name} and", f"{name}[0].x = 1 'mg'")[r["r_regionkey"] % 5])
-            rows.append((r["r_regionkey"], True))
-        except PathError:
-            rows.append((r["r_regionkey"], False))
-    return spark.createDataFrame(rows, "key long, valid boolean")
+    """Which of a table's texts are expressions."""
+
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([is_expression(t) for t in batch.column("text").to_pylist()], pa.bool_())], ["key", "valid"])
+
+    name = F.translate("c_name", "#", "")
+    forms = [_text(name, ".count()"), _text(name, "..x"), _text("(", name), _text(name, " and"), _text(name, "[0].x = 1 'mg'")]
+    texts = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.get(F.array(*forms), (F.col("c_custkey") % 5).cast("int")).alias("text"))
+    return texts.mapInArrow(valid, "key long, valid boolean")
+
+
+def fhir_mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part that is a number, a text, an object or a list by its document: each document gives what it gives alone."""
+    k, total = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    values = [k.cast("string"), _text('"', F.col("o_orderpriority"), '"'), total.cast("string"), _text('{"value":', total, ',"code":"USD"}'), _text("[", k, ',"', F.col("o_orderstatus"), '"]')]
+    orders = _table(spark, sf_dir, "orders").select(k.alias("key"), _text('{"resourceType":"Basic","total":', F.get(F.array(*values), (k % 5).cast("int")), "}").alias("json"))
+    out = typed(orders, inferred_schema(orders)).select("key", "resource")
+    for name, path in (("whole", "total"), ("sum", "total.ofType(integer).first() + 1"), ("price", "total.value"), ("texts", "total.where($this is string).count()"), ("more", "total.first() > 5")):
+        out = fhirpath(out, "resource", path, output=name, errors=f"{name}_error", render=True)
+    return out.select("key", "whole", "sum", "price", "texts", "more", "more_error")
 
 
 def fhir_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,12 +337,13 @@ _RESOLVED = _ENTRIES + """,
     UNION ALL SELECT k, g, p, 'endpoint[2].reference', 'http://x.example/fhir/Organization/' || (k + 1), 'absolute', k + 1 FROM entry),
   found AS (SELECT 'R' || r.g AS path, 'Bundle.entry[' || r.p || '].resource' AS owner, place, raw, flavor, 'R' || t.g AS target_path, 'Bundle.entry[' || t.p || '].resource' AS target_element, CAST(t.k IS NOT NULL AS BIGINT) AS candidates FROM refs r LEFT JOIN named t ON t.k = r.t
     UNION ALL SELECT 'R' || g, 'Bundle.entry[' || p || '].resource', 'endpoint[0].reference', '#e0', 'contained', CASE WHEN k % 3 = 0 THEN 'R' || g END, CASE WHEN k % 3 = 0 THEN 'Bundle.entry[' || p || '].resource.contained[0]' END, CAST(k % 3 = 0 AS BIGINT) FROM entry)"""
-_FILE = "SELECT n_nationkey AS key, CASE WHEN n_nationkey % 5 = {0} THEN 'Patient' WHEN n_nationkey % 5 >= 3 THEN 'Organization' END AS resource_type, CASE n_nationkey % 5 WHEN 1 THEN 'no resourceType' WHEN 2 THEN 'not JSON' END AS doc_error FROM nation"
+_FILE = "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 5 = {0} THEN 'Patient' WHEN s_suppkey % 5 >= 3 THEN 'Organization' END AS resource_type, CASE s_suppkey % 5 WHEN 1 THEN 'no resourceType' WHEN 2 THEN 'not JSON' END AS doc_error FROM supplier"
 _BALANCE = "CAST(c_acctbal AS DECIMAL(18,2))"
 
 SCENARIOS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "fhir_files": (fhir_files, _FILE.format(-1) + " WHERE n_nationkey % 5 <> 0"),
-    "fhir_scan": (fhir_scan, "SELECT 'all' AS scan, count(*) AS files FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'bounded', 7 UNION ALL SELECT 'later', 0 UNION ALL SELECT 'without ignored folders', count(*) FROM nation UNION ALL SELECT 'skipped', count(*) FROM nation WHERE n_nationkey % 5 IN (1, 2)"),
+    "fhir_files": (fhir_files, _FILE.format(-1) + " WHERE s_suppkey % 5 <> 0"),
+    "fhir_scan": (fhir_scan, "SELECT 'all' AS scan, count(*) AS files FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT 'bounded', 7 UNION ALL SELECT 'later', count(*) FROM supplier WHERE s_suppkey % 5 = 4 UNION ALL SELECT 'without ignored folders', count(*) FROM supplier UNION ALL SELECT 'skipped', count(*) FROM supplier WHERE s_suppkey % 5 IN (1, 2)"),
+    "fhir_rescan": (fhir_rescan, "SELECT 'kept' AS what, count(*) AS n FROM supplier WHERE s_suppkey % 5 = 3 UNION ALL SELECT 'read', count(*) FROM supplier WHERE s_suppkey % 5 >= 3 UNION ALL SELECT 'removed', count(*) FROM supplier WHERE s_suppkey % 5 = 2 UNION ALL SELECT 'none', count(*) FROM supplier WHERE s_suppkey % 5 = 3 UNION ALL SELECT 'other', count(*) FROM supplier WHERE s_suppkey % 5 >= 3"),
     "fhir_stream": (fhir_stream, _FILE.format(0)),
     "fhir_definitions": (fhir_definitions, "SELECT r_name AS type, n_name AS path, CAST(n_nationkey % 2 AS BIGINT) AS min, n_nationkey % 3 = 0 AS max_many, n_nationkey % 2 = 0 AS choice, CASE WHEN n_nationkey % 5 = 4 THEN '#' || r_name ELSE 'string,Quantity' END AS types FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 1"),
     "fhir_constraints": (fhir_constraints, "SELECT r_name AS type, n_name AS path, 'n-' || n_nationkey AS key, 'error' AS severity, n_name AS human FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 1 AND n_nationkey % 4 = 0"),
@@ -329,7 +358,11 @@ SCENARIOS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fhir_clean_rate": (fhir_clean_rate, "SELECT 'clean' AS what, count(*) FILTER (c_custkey % 13 = 8) AS n, count(*) AS documents FROM customer WHERE c_custkey % 13 <> 6 UNION ALL SELECT 'qty-3', count(*), count(*) FROM customer WHERE c_custkey % 13 = 9 HAVING count(*) > 0"),
     "fhir_repair": (fhir_repair, _repair_sql()),
     "fhir_decimal_text": (fhir_decimal_text, f"SELECT c_custkey AS key, '[' || CAST({_BALANCE} AS VARCHAR) || ']' AS result FROM customer"),
-    "fhir_parse_errors": (fhir_parse_errors, "SELECT CAST(r_regionkey AS BIGINT) AS key, r_regionkey % 5 IN (0, 4) AS valid FROM region"),
+    "fhir_parse_errors": (fhir_parse_errors, "SELECT c_custkey AS key, c_custkey % 5 IN (0, 4) AS valid FROM customer"),
+    "fhir_mixed_kinds": (fhir_mixed_kinds, """WITH o AS (SELECT o_orderkey AS key, o_orderkey % 5 AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, '"' || o_orderpriority || '"' AS priority, '"' || o_orderstatus || '"' AS status FROM orders)
+      SELECT key, '[' || CASE k WHEN 0 THEN CAST(key AS VARCHAR) WHEN 1 THEN priority WHEN 2 THEN total WHEN 3 THEN '{"code":"USD","value":' || total || '}' ELSE key || ',' || status END || ']' AS whole,
+             CASE WHEN k IN (0, 4) THEN '[' || (key + 1) || ']' ELSE '[]' END AS sum, CASE WHEN k = 3 THEN '[' || total || ']' ELSE '[]' END AS price, CASE WHEN k IN (1, 4) THEN '[1]' ELSE '[0]' END AS texts,
+             CASE WHEN k IN (0, 4) THEN CASE WHEN key > 5 THEN '[true]' ELSE '[false]' END WHEN k = 2 THEN CASE WHEN CAST(total AS DECIMAL(18,2)) > 5 THEN '[true]' ELSE '[false]' END END AS more, k IN (1, 3) AS more_error FROM o"""),
     "fhir_registered": (fhir_registered, "SELECT c_custkey AS key, 'A' || substr(c_mktsegment, 1, 1) AS result FROM customer"),
     "fhir_singleton": (_with_error(R.patients, "name.given.where($this = 'A' or $this = 'BUILDING').single().lower()", "string"), "SELECT c_custkey AS key, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'a' END AS result, c_mktsegment = 'BUILDING' AS error FROM customer"),
     "fhir_singleton_text": (_with_error(R.patients, "name.given.where($this = 'A' or $this = 'BUILDING').length()", "bigint"), "SELECT c_custkey AS key, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(1 AS BIGINT) END AS result, c_mktsegment = 'BUILDING' AS error FROM customer"),

@@ -59,18 +59,28 @@ def checked(docs: DataFrame) -> DataFrame:
     return out.withColumns({"resource_type": F.when(kind.startswith("OBJECT"), name), "doc_error": error})
 
 
-def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, most: int | None = None, since: str | None = None) -> tuple[DataFrame, bool]:
-    """(path, modified, json) of all ``*.json`` files below ``root``, and whether some were left out.
+def within(root: str, ignore: tuple[str, ...]) -> Column:
+    """Whether a file's path below ``root`` goes through none of the ignored folders."""
+    base = "file:" + root if "://" not in root and root.startswith("/") else root
+    inner = F.regexp_replace("path", "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*"), "")
+    return ~F.exists(F.split(inner, "/"), lambda part: part.isin(*ignore)) if ignore else F.lit(True)
+
+
+def listed(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, pattern: str = "*.json") -> DataFrame:
+    """(path, modified) of the files below ``root``, which are not read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).format("binaryFile").load(root)
+    return files.select("path", F.col("modificationTime").alias("modified")).where(within(root, ignore))
+
+
+def read_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, most: int | None = None, since: str | None = None, pattern: str = "*.json") -> tuple[DataFrame, bool]:
+    """(path, modified, json) of all files below ``root`` whose names fit ``pattern``, and whether some were left out.
 
     Files below a folder named in ``ignore`` are left out; of more than ``most`` files the first by path stay (None: all; an editor's scan takes MOST_FILES). ``since``: only
-    files changed after that time, for a rescan.
+    files changed after that time; ``sources.index`` keeps what was read before.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json"))
-    base = "file:" + root if "://" not in root and root.startswith("/") else root
-    inner = F.regexp_replace("path", "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*"), "")
-    if ignore:
-        files = files.where(~F.exists(F.split(inner, "/"), lambda part: part.isin(*ignore)))
+    files = files.where(within(root, ignore))
     if since is not None:
         files = files.where(F.col("modified") > F.lit(since).cast("timestamp"))
     if most is None:

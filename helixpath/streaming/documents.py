@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.documents import checked
+from ..sources.documents import IGNORED, checked, within
 
 
-def read_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000) -> DataFrame:
-    """(path, modified, json, v, resource_type, doc_error) of ``*.json`` files below ``root``, each once, as ``sources.documents`` gives them."""
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_batch).text(root, wholetext=True)
-    return checked(files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json")))
+def read_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000, pattern: str = "*.json", ignore: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(path, modified, json, v, resource_type, doc_error) of the files below ``root`` whose names fit ``pattern``, each once, as ``sources.documents`` gives them.
+    Files below a folder named in ``ignore`` are left out."""
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).text(root, wholetext=True)
+    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("json"))
+    return checked(files.where(within(root, ignore)))
 
 
 def counts(docs: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
