@@ -214,19 +214,17 @@ def decode_column(media: DataFrame, keep_payload: bool = True) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_features(m.as_py()) for m in batch.column("media")]
-            columns = [batch.column("doc_id"), batch.column("n_bytes")]
-            for k in range(len(schema) - 2):
-                field_ = schema.field(k + 2)
-                columns.append(pa.array([o[k] if keep_payload or field_.name != "payload" else None for o in out], field_.type))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for part in slices(batch, "media"):
+                out = [_features(m.as_py(), keep_payload) for m in part.column("media")]
+                columns = [part.column("doc_id"), part.column("n_bytes"), *(pa.array([o[k] for o in out], schema.field(k + 2).type) for k in range(len(schema) - 2))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in FEATURES.split(", "))])
     return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, FEATURES)
 
 
-def _features(media: bytes | None) -> tuple:
+def _features(media: bytes | None, keep_payload: bool) -> tuple:
     found = demux(media or b"")
     stream, rate = samples_stream(found)
     pages, packets = sum(s.pages for s in found.streams.values()), sum(len(s.packets) for s in found.streams.values())
@@ -246,4 +244,4 @@ def _features(media: bytes | None) -> tuple:
         f"streams={len(found.streams)};pages={pages};packets={packets};damage={sum(damage)};ms={round(seconds * 1000)};"
         f"mean={total / n:.3f};rms={(squares / n) ** 0.5:.3f};crossings={crossings}"
     )
-    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), size, digest, feature, payload, len(found.streams), pages, packets, *damage, seconds)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), size, digest, feature, payload if keep_payload else None, len(found.streams), pages, packets, *damage, seconds)
