@@ -12,7 +12,9 @@ from .scratch import saved
 #: A word: a run of characters that are not ASCII white space (fixed pattern).
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fraction in so many decimal digits: with the digits of a slot's number, their product is an exact 38-digit decimal.
+DIGITS = 26
+GOLDEN = (math.isqrt(5 * 10 ** (2 * DIGITS)) - 10**DIGITS) // 2
 #: Slots are numbered within chunks of so many.
 CHUNK_SLOTS = 1 << 16
 
@@ -90,11 +92,12 @@ def schedule(spark, targets: DataFrame, block: int) -> DataFrame:
     q = running_sums(q, by_source(), {"low": "quota"}).withColumn("high", F.col("low") + F.col("quota"))
     q = saved(q, "quotas")
     total = q.agg(F.sum("quota")).first()[0] or 0
-    point = F.col("slot") * F.lit(GOLDEN)
-    point = (point - F.floor(point)) * F.lit(float(total))
+    # in decimals: a double's fraction of slot * ratio loses a bit with each doubling of the slots
+    turns = F.col("slot").cast("decimal(12,0)") * F.lit(str(GOLDEN)).cast(f"decimal({DIGITS},0)")
+    point = (turns % F.lit(str(10**DIGITS)).cast(f"decimal({DIGITS + 1},0)")).cast("double") / F.lit(float(10**DIGITS)) * F.lit(float(total))
     # The sources cut [0, total) into whole numbers: each slot meets the source that holds its
-    # point by a join on the part of a grid, to which a source belongs wherever it reaches.
-    cells = 4096
+    # point by a join on the part of a grid, to which a source belongs wherever it reaches; there are as many parts as sources at least.
+    cells = max(4096, 4 * q.count())
     width = F.lit(max(float(total), 1.0) / cells)
     slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", F.floor(F.col("point") / width))
     reach = q.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("cell"))
