@@ -199,6 +199,7 @@ def _with_rare_seeds(docs: DataFrame, items: Items) -> Broadcast:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     frequency = np.zeros(len(items.seeds), np.int64)
     frequency[rows.column("seed").to_numpy()] = rows.column("n").to_numpy()
     items.keep_rarest(frequency)
@@ -212,8 +213,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     columns are left out.
     """
     schema = "doc_id long, item_id long, score double, first_word long, last_word long"
-    out = None
-    for items, _ in item_blocks(benchmark, least):
+    out, done = None, False
+    for items, done in item_blocks(benchmark, least):
         shared = _with_rare_seeds(docs, items)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip((ids, items_, score, first, last), kinds, strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
+        if not done or out is not None:  # of several blocks each one's matches are written, so that the executors hold one block at a time
+            part = saved(part, "matches")
+            shared.destroy()
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -247,5 +251,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
-        docs = docs if last else saved(docs, "clean")
+        if not last:
+            docs = saved(docs, "clean")
+            shared.destroy()
     return docs
