@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import library
-from ..operators import graph, repair, validate
+from ..operators import graph, positions, repair, validate
 from ..sources import definitions, index
 from ..sources.documents import checked, inferred_schema, read_files, skipped, typed
 from ..streaming import documents as streaming
@@ -246,6 +246,34 @@ def fhir_clean_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate.union(counts)
 
 
+#: What marks the place of each of these defects in its text, the first of it; None: the document itself, where an element is missing or none of its own.
+_MARKS = [None, None, None, '"birthDate"', '{"type":"group"}', '"%s"', None, '"_shoe"', None, '"valueQuantity"', '"resource"', '"name"', '"birthDate"']
+
+
+def _in_lines(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(',"'), F.lit(',\n  "')), F.lit("[{"), F.lit("[\n{"))
+
+
+def fhir_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of documents with one defect and several lines, with their ranges in the texts, as a list of findings that was written and read back."""
+    docs = checked(_by_key(spark, sf_dir, [t for t, _ in _DEFECTS]).select("path", _in_lines(F.col("json")).alias("json")))
+    folder = deleted_at_end(spark, new_path(spark, "findings"))
+    positions.save_findings(validate.validate(docs, definitions.bundled(spark)), docs, folder)
+    return positions.findings(spark, folder).select("filename", "lnum", "col", "end_lnum", "end_col", "type", "element_path", "rule")
+
+
+def fhir_owner_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in bundles of each customer's orders, an entry in a line: the entry that holds the point, or none."""
+    o = _table(spark, sf_dir, "orders")
+    line = _text('{"resource":{"resourceType":"Basic","id":"', F.col("o_orderkey"), '","status":"', F.col("o_orderstatus"), '"}}')
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
+    docs = o.groupBy("o_custkey").agg(_text('{"resourceType":"Bundle","entry":[\n', F.array_join(lines, ",\n"), "\n]}").alias("json"))
+    docs = materialized(docs.select(F.col("o_custkey").cast("string").alias("path"), "json"), "bundles")
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    points = o.select(F.col("o_custkey").cast("string").alias("path"), row.alias("row"), (F.col("o_orderkey") % 70).cast("long").alias("col"), F.col("o_orderkey").alias("key"))
+    return positions.owner_at(points, checked(docs)).select("key", "row", "col", "element_path", "resource_type", "id")
+
+
 #: Documents and what repairs make of them; %s is the key. White space goes only where something is repaired.
 _REPAIRS = [
     ('{"resourceType":"Patient","shoe":1.50,"id":"%s"}', '{"resourceType":"Patient","id":"%s"}'),
@@ -323,6 +351,19 @@ def _issue_sql() -> str:
     return f"SELECT * FROM (SELECT CAST(c_custkey AS VARCHAR) AS path, {', '.join(parts)} FROM customer) WHERE rule IS NOT NULL"
 
 
+def _findings_sql() -> str:
+    """Start and end of a mark are the lengths of what stands before them; its line and column follow from the ends of lines in that."""
+    texts = _cases("t", [x for x, _ in _DEFECTS], len(_DEFECTS))
+    parts = [_cases(name, [d and d[k] for _, d in _DEFECTS], len(_DEFECTS)) for k, name in ((0, "element_path"), (2, "rule"))]
+    lined = lambda x: f"replace(replace(replace({x}, '%s', CAST(c_custkey AS VARCHAR)), ',\"', ',' || chr(10) || '  \"'), '[{{', '[' || chr(10) || '{{')"
+    line = lambda x: f"1 + length({x}) - length(replace({x}, chr(10), ''))"
+    column = lambda x: f"CASE WHEN strpos({x}, chr(10)) = 0 THEN length({x}) + 1 ELSE strpos(reverse({x}), chr(10)) END"
+    return f"""WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS filename, {texts}, {_cases("m", _MARKS, len(_MARKS))}, {", ".join(parts)}, c_custkey FROM customer),
+      e AS (SELECT filename, element_path, rule, {lined("t")} AS t, {lined("m")} AS m FROM d WHERE rule IS NOT NULL),
+      f AS (SELECT *, CASE WHEN m IS NULL THEN '' ELSE substr(t, 1, strpos(t, m) - 1) END AS a, CASE WHEN m IS NULL THEN t ELSE substr(t, 1, strpos(t, m) - 1 + length(m)) END AS b FROM e)
+      SELECT filename, {line("a")} AS lnum, {column("a")} AS col, {line("b")} AS end_lnum, {column("b")} AS end_col, 'E' AS type, element_path, rule FROM f"""
+
+
 def _repair_sql() -> str:
     return f"SELECT path, replace(t, '%s', path) AS repaired FROM (SELECT CAST(c_custkey AS VARCHAR) AS path, {_cases('t', [x for _, x in _REPAIRS], len(_REPAIRS))} FROM customer)"
 
@@ -355,6 +396,10 @@ SCENARIOS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fhir_ambiguous": (fhir_ambiguous, "SELECT 'm/' || n_nationkey AS path, 'Organization/' || t AS raw, CASE WHEN t > 24 THEN NULL WHEN t % 2 = 0 THEN 'b/' || t ELSE 'm/' || t END AS target_path, CASE WHEN t > 24 THEN 0 ELSE 1 + CAST(t % 2 = 0 AS BIGINT) + CAST(t % 3 = 0 AS BIGINT) END AS candidates FROM (SELECT n_nationkey, (n_nationkey + 1) % 30 AS t FROM nation)"),
     "fhir_locate": (fhir_locate, _ENTRIES + " SELECT k AS key, 'Bundle.entry[' || p || '].resource' || CASE WHEN k % 2 = 0 THEN '.name' ELSE '' END AS found_path, k % 2 = 0 AS exact, name AS text, 'Bundle.entry[' || p || '].resource' AS owner FROM n"),
     "fhir_validate_rules": (fhir_validate_rules, _issue_sql()),
+    "fhir_findings": (fhir_findings, _findings_sql()),
+    "fhir_owner_at": (fhir_owner_at, """WITH o AS (SELECT o_orderkey AS key, CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row, o_orderkey % 70 AS col, 57 + length(CAST(o_orderkey AS VARCHAR)) AS stop FROM orders),
+      h AS (SELECT *, col >= 12 AND col < stop AS held FROM o)
+      SELECT key, row, col, CASE WHEN held THEN 'Bundle.entry[' || (row - 1) || '].resource' END AS element_path, CASE WHEN held THEN 'Basic' END AS resource_type, CASE WHEN held THEN CAST(key AS VARCHAR) END AS id FROM h"""),
     "fhir_clean_rate": (fhir_clean_rate, "SELECT 'clean' AS what, count(*) FILTER (c_custkey % 13 = 8) AS n, count(*) AS documents FROM customer WHERE c_custkey % 13 <> 6 UNION ALL SELECT 'qty-3', count(*), count(*) FROM customer WHERE c_custkey % 13 = 9 HAVING count(*) > 0"),
     "fhir_repair": (fhir_repair, _repair_sql()),
     "fhir_decimal_text": (fhir_decimal_text, f"SELECT c_custkey AS key, '[' || CAST({_BALANCE} AS VARCHAR) || ']' AS result FROM customer"),
