@@ -25,9 +25,10 @@ WORDS = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 4
-#: Candidates that are compared with each other in one task. Of more, each block is compared with the first one, and then those outside
-#: the group's largest class with all others, a pair of blocks in a task.
+#: Candidates that are compared with each other in one task, and the runs of words that they have together (a longer text is a block by itself). Of more, each block
+#: is compared with the first one, and then those outside the largest class with all others that they may resemble, a pair of blocks in a task.
 BLOCK = 1_024
+BLOCK_RUNS = 4_000_000
 #: Links that one task holds before it reduces them to a spanning forest.
 HELD = 1_000_000
 
@@ -98,9 +99,10 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = band_keys(*shingles(part.column("text"))).view(np.int64)
+                hashes, first = shingles(part.column("text"))
+                keys = band_keys(hashes, first).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("text_hash"), lists], ["text_hash", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.array(np.diff(first)), lists], ["text_hash", "runs", "keys"])
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         names = group.column("text_hash").to_numpy()
@@ -108,18 +110,25 @@ def copy_links(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return pa.table({"src": names[src], "dst": names[dst]})
 
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("text_hash"))
-    once = texts.mapInArrow(scan, "text_hash long, keys array<long>").dropDuplicates(["text_hash"])
-    bands = saved(once, "bands").select("text_hash", F.explode("keys").alias("key"))
+    once = saved(texts.mapInArrow(scan, "text_hash long, runs long, keys array<long>").dropDuplicates(["text_hash"]), "bands")
+    bands = once.select("text_hash", F.explode("keys").alias("key"))
     shared = saved(bands.groupBy("key").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("key", "low"), "shared")
     near = bands.join(shared, "key").where("text_hash <> low").select(F.col("text_hash").alias("src"), F.col("low").alias("dst"))
-    groups = saved(components(near.union(fingerprint_copies(docs)).distinct()), "candidates")
+    prints = saved(fingerprint_copies(docs), "prints")
+    groups = components(near.union(prints).distinct()).join(once.select(F.col("text_hash").alias("node"), "runs"), "node")
+    groups = saved(groups, "candidates")
     members = saved(_first_texts(docs, groups), "members")
     compared = lambda dealt: dealt.join(members, "text_hash").select("root", "a", "b", "text_hash", "text").groupBy("root", "a", "b").applyInArrow(compare, "src long, dst long")
-    large = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "root")
+    large = groups.join(groups.groupBy("root").agg(_blocks().alias("blocks")).where("blocks > 1"), "root")
+    small = groups.join(large.select("root").distinct(), "root", "left_anti").withColumn("main", F.lit(False))
     if large.isEmpty():
-        return compared(_with_others(groups.withColumn("main", F.lit(False))))
+        return compared(_with_others(small))
     links = saved(compared(_with_first_block(large)), "links")
-    return links.union(compared(_with_others(_main_classes(groups, large, links))))
+    classes = saved(_classes(large, links), "classes")
+    met = bands.join(shared.select("key"), "key").select(F.col("text_hash").alias("node"), F.col("key").alias("unit"))
+    met = met.union(components(prints).select("node", F.col("root").alias("unit")))
+    rest = _cheaper(classes, met.join(classes, "node"))
+    return links.union(compared(_with_others(small.select("root", "node", "runs", "main").union(rest))))
 
 
 def _first_texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -142,18 +151,47 @@ def _with_first_block(large: DataFrame) -> DataFrame:
     return rows.select("root", F.lit(0).alias("a"), F.explode(others).alias("b"), F.col("node").alias("text_hash"))
 
 
-def _main_classes(groups: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root, main): main for what is in its large group's largest class by ``links``."""
-    classes = large.join(components(links).select("node", F.col("root").alias("class")), "node", "left").select("node", "root", F.coalesce("class", "node").alias("class"))
-    most = classes.groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
-    main = classes.join(most, ["root", "class"], "left_semi").select("node", F.lit(True).alias("main"))
-    return saved(groups.join(main, "node", "left").select("node", "root", F.coalesce("main", F.lit(False)).alias("main")), "classes")
+def _blocks(which: Column | None = None) -> Column:
+    """Of how many blocks a group's rows are: all, or those that ``which`` takes."""
+    which = F.lit(True) if which is None else which
+    return F.ceil(F.greatest(F.count_if(which) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("runs"))), F.lit(0)) / BLOCK_RUNS)).cast("int")
+
+
+def _classes(large: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, node, runs, class): what ``links`` connect in large groups."""
+    found = components(links).select("node", F.col("root").alias("class"))
+    return large.join(found, "node", "left").select("root", "node", "runs", F.coalesce("class", "node").alias("class"))
+
+
+def _with_main(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, node, runs, class, ...) with main for what is in its group's largest class."""
+    most = rows.groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
+    return rows.join(most.withColumn("main", F.lit(True)), ["root", "class"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
+
+
+def _cheaper(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """(root, node, runs, main): what is still to be compared of each large group, by the way that sends fewer texts.
+
+    Either the group as a whole: what is outside its largest class with all others. Or each band, and each class of fingerprints, by itself, those outside its
+    largest class with all others in it: a pair of candidates shares one of these, so no link is lost, and texts that only a chain of chance matches connects do not
+    meet. Bands of one class need nothing, of bands with the same texts one is enough.
+    """
+    sent = lambda rows, by: rows.groupBy("root", *by).agg(F.count_if("main").alias("same"), F.count_if(~F.col("main")).alias("rest"), _blocks(F.col("main")).alias("s"), _blocks(~F.col("main")).alias("r")).where("rest > 0").select("root", *by, F.expr("same * r + rest * (r + s)").alias("sent"))
+    whole = _with_main(classes)
+    units = met.groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"), (F.min("class") < F.max("class")).alias("mixed"))
+    units = units.where("mixed").groupBy("n", "x", "y").agg(F.min("unit").alias("unit")).select("unit")
+    rows = met.join(units, "unit").select(F.col("root").alias("whole"), F.col("unit").alias("root"), "node", "runs", "class").distinct()
+    parts = saved(_with_main(rows), "parts")
+    by_part = sent(parts, ["whole"]).groupBy("whole").agg(F.sum("sent").alias("by_part")).withColumnRenamed("whole", "root")
+    way = saved(sent(whole, []).join(by_part, "root", "left").select("root", (F.coalesce("by_part", F.lit(0)) < F.col("sent")).alias("parted")), "ways")
+    parted = way.where("parted").select(F.col("root").alias("whole"))
+    one = whole.join(way.where("not parted").select("root"), "root", "left_semi").select("root", "node", "runs", "main")
+    return one.union(parts.join(parted, "whole", "left_semi").select("root", "node", "runs", "main"))
 
 
 def _with_others(rows: DataFrame) -> DataFrame:
     """(root, a, b, text_hash): pairs of blocks whose texts may still need a link. What is main in its group meets only the rest of it; the rest meets all."""
-    number = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = rows.groupBy("root").agg(number(F.count_if(~F.col("main"))).alias("rest"), number(F.count_if("main")).alias("same")).where("rest > 0")
+    sizes = rows.groupBy("root").agg(_blocks(~F.col("main")).alias("rest"), _blocks(F.col("main")).alias("same")).where("rest > 0")
     rows = rows.join(sizes, "root")
     met = F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("main"), 0).otherwise(F.col("same")))
     block = F.when(F.col("main"), F.col("rest") + _block(F.greatest("same", F.lit(1)))).otherwise(_block(F.col("rest")))

@@ -60,12 +60,12 @@ def test_classes_are_those_of_brute_force(spark, monkeypatch, block):
 def test_a_large_group_is_not_compared_with_itself(spark, monkeypatch):
     """One class of 200 texts, and texts that are candidates of it: only the first round and the rest's meetings are dealt."""
     monkeypatch.setattr(near_copies, "BLOCK", 10)
-    groups = spark.createDataFrame([(k, 0) for k in range(200)], "node long, root long")
+    groups = spark.createDataFrame([(k, 0, 1) for k in range(200)], "node long, root long, runs long")
     large = groups.withColumn("blocks", F.lit(20))
     first = near_copies._with_first_block(large)
     assert 200 < first.count() < 450 and {r["a"] for r in first.collect()} == {0}
     linked = spark.createDataFrame([(k, 0) for k in range(1, 195)], "src long, dst long")
-    rows = near_copies._main_classes(groups, large, linked)
+    rows = near_copies._with_main(near_copies._classes(large, linked))
     assert {r["node"] for r in rows.where("not main").collect()} == set(range(195, 200))
     dealt = [(r["a"], r["b"], r["text_hash"]) for r in near_copies._with_others(rows).collect()]
     together = {}
@@ -74,7 +74,35 @@ def test_a_large_group_is_not_compared_with_itself(spark, monkeypatch):
     met = {frozenset((x, y)) for t in together.values() for x in t for y in t if x != y}
     assert all(frozenset((x, y)) in met for x in range(195, 200) for y in range(200) if x != y) and len(dealt) < 320
     whole = spark.createDataFrame([(k, 0) for k in range(1, 200)], "src long, dst long")
-    assert near_copies._with_others(near_copies._main_classes(groups, large, whole)).count() == 0
+    assert near_copies._with_others(near_copies._with_main(near_copies._classes(large, whole))).count() == 0
+
+
+@pytest.mark.parametrize("most", [("BLOCK", 7), ("BLOCK_RUNS", 400)])
+def test_a_chain_of_resembling_texts_is_compared_by_its_bands(spark, monkeypatch, most):
+    """Each text resembles the next one (0.75), so that candidates are one group of 140; texts of two classes in a band meet, the ends of the chain do not."""
+    monkeypatch.setattr(near_copies, *most)
+    rng = random.Random(2)
+    words = [f"c{k}" for k in range(900)]
+    texts = [words[8 * k : 8 * k + 60] for k in range(100)]
+    for k in range(0, 100, 5):
+        for _ in range(2):
+            copy = list(texts[k])
+            copy[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+            texts.append(copy)
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    sent = []
+    cheaper = near_copies._cheaper
+
+    def counted(classes, met):
+        out = cheaper(classes, met)
+        sent.append((near_copies._with_others(near_copies._with_main(classes)).count(), near_copies._with_others(out).count(), classes.select("root").distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_cheaper", counted)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
+    (whole, dealt, groups), = sent
+    assert groups == 1 and dealt <= whole
 
 
 def test_stage_on_documents(spark):
