@@ -16,11 +16,11 @@ from ..plans.values import (
     ANY_TYPE, DECIMAL, NUMBER_KINDS, TEXT_KINDS, Coll, array, as_any, by_form, empty, for_each, forms, item_errors, items, let, merged, numeric, of_column, present, scalar,
     single, size, text_of, variant_items,
 )
-from . import temporal
+from . import decimals, temporal
 
 _LIBRARY: dict[tuple[str, int], Callable] = {}
 #: Functions that pass items on as they are, decimals as their source texts.
-_KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType", "toInteger", "convertsToInteger", "toBoolean", "convertsToBoolean", "children", "descendants", "distinct", "repeat", "extension", "resolve")
+_KEEPING = ("where", "select", "first", "last", "tail", "skip", "take", "single", "iif", "toString", "exists", "all", "count", "empty", "ofType", "toInteger", "convertsToInteger", "toBoolean", "convertsToBoolean", "children", "descendants", "distinct", "repeat", "extension", "resolve", "sqrt", "power")
 #: Functions whose arguments are evaluated on each item.
 OF_ITEMS = ("where", "select", "exists", "all", "repeat")
 #: Functions of one item, of whichever kind it is.
@@ -562,7 +562,13 @@ def _real(name: str, make: Callable, *parameters: tuple[str, ...]) -> None:
     _LIBRARY[name, len(parameters)] = run
 
 
-_real("sqrt", lambda x: F.when(x >= 0, F.sqrt(x)))
+@_function("sqrt", 0)
+def _sqrt(compiler, c, args, focus):
+    n = _number(c)
+    got = decimals.text(decimals.root(decimals.read(text_of(n.col, n.kind, n.dtype))))
+    return Coll(got, T.StringType(), "Decimal", wide=True).with_error(n.error)
+
+
 _real("exp", F.exp)
 _real("ln", lambda x: F.when(x > 0, F.ln(x)))
 _real("log", lambda x, b: F.when((x > 0) & (b > 0) & (b != 1), F.ln(x) / F.nullif(F.ln(b), F.lit(0.0))), NUMBER_KINDS)
@@ -570,13 +576,15 @@ _real("log", lambda x, b: F.when((x > 0) & (b > 0) & (b != 1), F.ln(x) / F.nulli
 
 @_function("power", 1)
 def _power(compiler, c, args, focus):
+    """Whole exponents are exact to the digits that fit; others are computed in double precision."""
     n, e = _number(c), _argument(compiler, args[0], focus, NUMBER_KINDS)
+    if e.kind == "Integer":
+        got = decimals.text(decimals.power(decimals.read(text_of(n.col, n.kind, n.dtype)), e.col))
+        if n.kind == "Integer" and isinstance(getattr(args[0], "value", None), int) and args[0].value >= 0:
+            return scalar(got.try_cast("long"), "Integer", n.error, e.error)
+        return Coll(got, T.StringType(), "Decimal", wide=True).with_error(n.error, e.error)
     raised = lambda x, y: F.when((x >= 0) | (y == F.floor(y)), F.when((x != 0) | (y >= 0), F.pow(x, y)))
     got = let(n.col.cast("double"), lambda x: let(e.col.cast("double"), lambda y: raised(x, y)))
-    if n.kind == e.kind == "Integer":
-        whole = got.try_cast("decimal(38,0)").try_cast("long")
-        if isinstance(getattr(args[0], "value", None), int) and args[0].value >= 0:
-            return scalar(whole, "Integer", n.error, e.error)
     return scalar(got.try_cast(DECIMAL), "Decimal", n.error, e.error)
 
 

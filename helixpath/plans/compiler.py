@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import temporal
+from ..functions import decimals, temporal
 from ..sources.documents import JSON_TEXT, MARKED, NUMBER_MARK, SOURCE_NUMBER
 from .syntax import Binary, Call, Index, Literal, Member, Name, PathError, This, TypeTest, parse
 from .values import (
@@ -74,7 +74,7 @@ class Compiler:
             if isinstance(node, Literal):
                 return literal(node)
             left, right = (self.operand(n, focus) for n in (node.left, node.right))
-            if node.op not in ("|", "+", "-", "*"):
+            if node.op not in ("|", "+", "-", "*", "/", "=", "!=", "<", "<=", ">", ">="):
                 left, right = numeric(left), numeric(right)
             unit = node.right.unit if isinstance(node.right, Literal) else None
             return self.bound(binary(node.op, left, right, unit))
@@ -397,7 +397,7 @@ def quantity(c: Coll) -> Coll | None:
 
 def equal_items(a: Coll, x: Column, b: Coll, y: Column) -> Column:
     if a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS:
-        return x == y
+        return numbers_compare(lambda p, q: p == q, a, x, b, y)
     if a.kind in TEXT_KINDS and b.kind in TEXT_KINDS:
         return F.lit(False) if {a.kind, b.kind} == {"Date", "DateTime"} else x == y
     if "Any" in (a.kind, b.kind):
@@ -457,7 +457,7 @@ def of_forms(make, a: Coll, b: Coll) -> Coll | None:
 
 
 def comparison(op: str, a: Coll, b: Coll) -> Coll:
-    mixed = of_forms(lambda x, y: comparison(op, numeric(x), numeric(y)), a, b)
+    mixed = of_forms(lambda x, y: comparison(op, x, y), a, b)
     if mixed is not None:
         return mixed
     qa, qb = quantity(a), quantity(b)
@@ -470,7 +470,9 @@ def comparison(op: str, a: Coll, b: Coll) -> Coll:
         return empty().with_error(a.error, b.error)
     numbers = a.kind in NUMBER_KINDS and b.kind in NUMBER_KINDS
     texts = a.kind in TEXT_KINDS and b.kind in TEXT_KINDS and {a.kind, b.kind} != {"Date", "DateTime"}
-    if numbers or texts:
+    if numbers:
+        return scalar(let(a.col, lambda x: let(b.col, lambda y: numbers_compare(apply, a, x, b, y))), "Boolean", a.error, b.error)
+    if texts:
         return scalar(apply(a.col, b.col), "Boolean", a.error, b.error)
     return empty(a.col.isNotNull() & b.col.isNotNull()).with_error(a.error, b.error)
 
@@ -628,17 +630,52 @@ def _decimal(op: str, x: Column, y: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), result), F.lit(0))
 
 
+_EXACT = {"+": decimals.plus, "-": decimals.minus, "*": decimals.times, "/": decimals.over}
+
+
+def exactly(op: str, a: Coll, b: Coll) -> Coll:
+    """A result in decimals of 96 bits, of texts and itself one."""
+    x, y = (decimals.read(c.col if c.wide else text_of(c.col, c.kind, c.dtype)) for c in (a, b))
+    return Coll(decimals.text(_EXACT[op](x, y)), T.StringType(), "Decimal", wide=True)
+
+
 def _of_scale(op: str, a: Coll, b: Coll) -> Coll:
-    """A sum, difference or product of source texts and integers, itself a text: with the zeros that its scale has."""
+    """A sum, difference or product of source texts and integers, itself a text: with the zeros that its scale has. Of what is computed to 28 digits
+    it is exact; else Spark's decimals do, which spares plans the lambdas: of 18 digits after the point, for sums also 28, or 9 beyond 20 before it."""
+    there = a.col.isNotNull() & b.col.isNotNull()
+    if a.wide or b.wide:
+        got = exactly(op, a, b)
+        return got.with_error(there & got.col.isNull())
 
     def scale(c: Coll) -> Column:
         return F.when(F.contains(c.col, F.lit(".")), F.length(F.substring_index(c.col, ".", -1))).otherwise(0) if c.kind == "Decimal" else F.lit(0)
 
-    digits = F.least(scale(a) + scale(b) if op == "*" else F.greatest(scale(a), scale(b)), F.lit(18))
-    value = _decimal(op, numeric(a).col, numeric(b).col).try_cast(DECIMAL).cast("string")
-    text = let(value, lambda t: let(digits, lambda n: F.substr(t, F.lit(1), F.instr(t, ".") + F.when(n == 0, -1).otherwise(n))))
-    got = Coll(text, T.StringType(), "Decimal")
-    return got.with_error(a.col.isNotNull() & b.col.isNotNull() & got.col.isNull())
+    def shown(value: Column, n: Column) -> Column:
+        return let(value.cast("string"), lambda t: F.substr(t, F.lit(1), F.instr(t, ".") + F.when(n == 0, -1).otherwise(n)))
+
+    def summed(form: str) -> Column:
+        x, y = (c.col.try_cast(form) for c in (a, b))
+        return (F.try_add(x, y) if op == "+" else F.try_subtract(x, y)).try_cast(form)
+
+    plain = _decimal(op, numeric(a).col, numeric(b).col).try_cast(DECIMAL)
+    if op == "*":
+        text = let(F.least(scale(a) + scale(b), F.lit(18)), lambda n: shown(plain, n))
+    else:
+        ways = lambda n: F.coalesce(F.when(n > 18, shown(summed("decimal(37,28)"), F.least(n, F.lit(28)))), shown(plain, F.least(n, F.lit(18))), shown(summed("decimal(37,9)"), F.least(n, F.lit(9))))
+        text = let(F.greatest(scale(a), scale(b)), ways)
+    return Coll(text, T.StringType(), "Decimal").with_error(there & text.isNull())
+
+
+def numbers_compare(apply: Callable[[Column, Column], Column], a: Coll, x: Column, b: Coll, y: Column) -> Column:
+    """``apply`` to two numbers. Source texts of up to 20 characters are Spark's decimals without a loss; longer ones are compared to all their digits."""
+    texts = [isinstance(c.dtype, T.StringType) for c in (a, b)]
+    if not any(texts):
+        return apply(x, y)
+    short = [F.length(v) <= 20 for v, t in zip((x, y), texts, strict=True) if t]
+    value = lambda c, v, t: v.try_cast(DECIMAL) if t else v
+    key = lambda c, v: decimals.order(text_of(v, c.kind, c.dtype))
+    plain, whole = apply(value(a, x, texts[0]), value(b, y, texts[1])), lambda: apply(key(a, x), key(b, y))
+    return F.when(short[0] & short[-1], plain).when(x.isNotNull() & y.isNotNull(), F.coalesce(whole(), plain))
 
 
 def number(op: str, a: Coll, b: Coll) -> Coll:
@@ -646,7 +683,7 @@ def number(op: str, a: Coll, b: Coll) -> Coll:
     decimals = [c for c in (a, b) if c.kind == "Decimal"]
     if op in ("+", "-", "*") and decimals and all(isinstance(c.dtype, T.StringType) for c in decimals):
         return _of_scale(op, a, b)
-    a, b = numeric(a), numeric(b)
+    written, a, b = (a, b), numeric(a), numeric(b)
     x, y = a.col, b.col
     whole = a.kind == b.kind == "Integer"
     there = x.isNotNull() & y.isNotNull()
@@ -661,8 +698,11 @@ def number(op: str, a: Coll, b: Coll) -> Coll:
         apply = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
         got = apply(x.cast("long"), y.cast("long"))
         return scalar(got, "Integer", there & got.isNull())
+    if op == "/":
+        got = exactly(op, *written)
+        return got.with_error(there & got.col.isNull() & (y != 0))
     got = _decimal(op, x, y).try_cast(DECIMAL)
-    return scalar(got, "Decimal", there & got.isNull() & ((y != 0) if op == "/" else F.lit(True)))
+    return scalar(got, "Decimal", there & got.isNull())
 
 
 def _truncated(x: Column) -> Column:

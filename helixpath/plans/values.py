@@ -27,7 +27,7 @@ class Coll:
     ``error``: true for rows in which evaluation fails. ``alternatives``: the typed forms of a choice element, at most one of which is
     not empty in a row; ``col`` is not used then. ``kind`` Any has items of ANY_TYPE, of mixed types. Decimals of JSON documents
     are their source texts (a dtype of string) until something is computed from them. ``stored``: ``col``, and the array of the table it was made
-    of, of which a member step reads that member only.
+    of, of which a member step reads that member only. ``wide``: decimals that are computed to 28 digits, as texts; sums of such are, too.
     """
 
     col: Column | None
@@ -38,6 +38,7 @@ class Coll:
     type_name: str | None = None
     alternatives: tuple[Coll, ...] = ()
     stored: tuple[Column, Column] | None = None
+    wide: bool = False
 
     def member(self, name: str) -> Column:
         """The field of the items, nulls among them where this is an array."""
@@ -68,7 +69,7 @@ def scalar(col: Column, kind: str, *errors: Column | None) -> Coll:
 
 
 def array(col: Column, like: Coll, *errors: Column | None) -> Coll:
-    return Coll(col, like.dtype, like.kind, True, like.error, like.type_name).with_error(*errors)
+    return Coll(col, like.dtype, like.kind, True, like.error, like.type_name, wide=like.wide).with_error(*errors)
 
 
 def kind_of(dtype: T.DataType) -> str:

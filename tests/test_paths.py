@@ -121,10 +121,12 @@ def test_nested_columns_are_pruned(spark, tmp_path):
 
 NUMBERS = [
     ("a", ["0.10"]), ("a + 0.2", ["0.30"]), ("b", ["12345678901234567890.123456789012345678"]), ("many", ["1.50", "-2.0", "3.25"]), ("many.where($this > 0)", ["1.50", "3.25"]), ("a.toString() & 'x'", ['"0.10x"']),
-    ("0.1234567890123456 * 1", ["0.1234567890123456"]), ("100000000000000000.5 * 2", ["200000000000000001.0"]), ("many.select($this * 2.0)", ["3.000", "-4.00", "6.500"]), ("123456789012345.5 / 3", None), ("b * b", "error"), ("b + b", "error"), ("1 / 0", []), ("a = 0.1", ["true"]), ("a in many", ["false"]), ("(a | 0.1).count()", ["1"]),
+    ("0.1234567890123456 * 1", ["0.1234567890123456"]), ("100000000000000000.5 * 2", ["200000000000000001.0"]), ("many.select($this * 2.0)", ["3.000", "-4.00", "6.500"]), ("123456789012345.5 / 3", ["41152263004115.166666666666667"]), ("b * b", "error"), ("b + b", ["24691357802469135780.246913578"]), ("1 / 0", []), ("a = 0.1", ["true"]), ("a in many", ["false"]), ("(a | 0.1).count()", ["1"]),
     ("many.distinct().count()", ["3"]), ("t.matches('[')", "error"), ("t.matches('(?=x)')", "error"), ("t.matches(bad)", "error"), ("t.matches(good)", ["true"]), ("t.replaceMatches('(', 'x')", "error"), ("t.replaceMatches(bad, 'x')", "error"), ("nothing.matches('[')", []),
     ("t.replaceMatches('(b)', '<$1>')", ['"a<b>c"']), ("t.replaceMatches('b', '$1$')", ['"a$c"']), ("t.replaceMatches('(b)', '${1}\\\\')", ['"ab\\\\c"']), ("tags.repeat($this)", ['"x"', '"y"']), ("tags.repeat(iif($this = 'x', 'z', $this))", ['"z"', '"y"']),
     ("tags.repeat($this & 'x')", "error"), ("q.value", ["1.50"]), ("(q * 2).value", ["3"]), ("q", ['{"unit":"mg","value":1.50}']), ("q + q", ['{"value":3,"unit":"mg"}']), ("q = q", ["true"]), ("a.round(1)", ["0.1"]), ("b.round(2)", "error"),
+    ("1 / 3", ["0.3333333333333333333333333333"]), ("1.50 / 3", ["0.50"]), ("1 / 3 * 3", ["0.9999999999999999999999999999"]), ("1 / 3 = 0.333333333333333333", ["false"]), ("b > 12345678901234567890.1234567", ["true"]), ("many.where($this / 3 > 0.5)", ["3.25"]),
+    ("2.sqrt()", ["1.4142135623730950488016887242"]), ("(-1).sqrt()", []), ("3.power(39)", ["4052555153018976267"]), ("1.1.power(2)", ["1.21"]), ("2.power(-2)", ["0.25"]), ("0.power(-1)", []),
 ]
 
 
