@@ -64,7 +64,7 @@ PATHS |= {
     "fhir_empty": (R.patients, "name.given.where($this = 'BUILDING').empty()", "boolean", "SELECT c_custkey AS key, c_mktsegment <> 'BUILDING' AS result FROM customer"),
     "fhir_single": (R.patients, "name.given.where($this != 'A').single()", "string", "SELECT c_custkey AS key, c_mktsegment AS result FROM customer"),
     "fhir_divide": (R.patients, f"{_BALANCE} / 4", "decimal(18,4)", f"SELECT c_custkey AS key, CAST({_SQL_BALANCE} * 0.25 AS DECIMAL(18,4)) AS result FROM customer"),
-    "fhir_reciprocal": (R.patients, "1 / id.toInteger()", "string", "SELECT c_custkey AS key, CASE WHEN c_custkey = 1 THEN '1' ELSE rtrim('0.' || lpad(CAST((CAST('10000000000000000000000000000' AS HUGEINT) + c_custkey // 2) // c_custkey AS VARCHAR), 28, '0'), '0') END AS result FROM customer"),
+    "fhir_reciprocal": (R.patients, "1 / id.toInteger()", "string", "SELECT c_custkey AS key, CASE WHEN c_custkey = 1 THEN '1' ELSE rtrim('0.' || lpad(CAST((CAST('10000000000000000000000000000' AS HUGEINT) + c_custkey // 2) // nullif(c_custkey, 0) AS VARCHAR), 28, '0'), '0') END AS result FROM customer"),
     "fhir_wide_sum": (R.patients, "99999999999999999999.50 + id.toInteger()", "string", "SELECT c_custkey AS key, CAST(CAST('99999999999999999999' AS HUGEINT) + c_custkey AS VARCHAR) || '.50' AS result FROM customer"),
     "fhir_string_plus": (R.patients, "name.family.first() + '/' + id", "string", "SELECT c_custkey AS key, c_name || '/' || c_custkey AS result FROM customer"),
     "fhir_unary": (R.patients, "-id.toInteger() + +5", "bigint", "SELECT c_custkey AS key, 5 - c_custkey AS result FROM customer"),
