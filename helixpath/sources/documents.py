@@ -60,10 +60,14 @@ def checked(docs: DataFrame) -> DataFrame:
 
 
 def within(root: str, ignore: tuple[str, ...]) -> Column:
-    """Whether a file's path below ``root`` goes through none of the ignored folders."""
+    """Whether a file's path below ``root`` goes through none of the ignored folders.
+
+    One pattern and no lambda: Spark's driver applies this filter to the listed files, in several threads where a plan reads them more than once, and lambda
+    variables are shared between those.
+    """
     base = "file:" + root if "://" not in root and root.startswith("/") else root
-    inner = F.regexp_replace("path", "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*"), "")
-    return ~F.exists(F.split(inner, "/"), lambda part: part.isin(*ignore)) if ignore else F.lit(True)
+    start = re.escape(base.rstrip("/")).replace("file:", "file:/*")
+    return ~F.col("path").rlike(rf"(?s)^(?:{start})?+(?:.*/)?(?:{'|'.join(map(re.escape, ignore))})(?:/|\z)") if ignore else F.lit(True)
 
 
 def listed(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNORED, pattern: str = "*.json") -> DataFrame:

@@ -314,3 +314,16 @@ def test_rescan_keeps_reads_and_removes(spark, tmp_path):
         os.remove(tmp_path / f"{i}.json")
     three = index.rescan(spark, str(tmp_path), two)
     assert (three.kept, three.read, three.removed) == (0, 0, 3) and three.table(spark, "resources").count() == 0
+
+
+def test_ignored_folders_are_left_out_of_scans_that_run_at_once(spark, tmp_path):
+    from functools import reduce
+
+    for folder in ("a", "node_modules/b", "c/target"):
+        (tmp_path / folder).mkdir(parents=True)
+        for n in range(400):
+            (tmp_path / folder / f"{n}.json").write_text("{}")
+    files, _ = read_files(spark, str(tmp_path))
+    for _ in range(3):
+        scans = [files.agg(F.count_if(F.length("json") < 1000 + n).alias("n")) for n in range(8)]
+        assert {r["n"] for r in reduce(lambda a, b: a.union(b), scans).collect()} == {400}
