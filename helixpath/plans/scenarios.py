@@ -32,15 +32,29 @@ def _text(*parts: Column | str) -> Column:
 
 
 _FOLDERS = ("node_modules", "a", "b", "c", "c/d")
+#: Files that one task writes of a folder, about.
+_FILES_PER_TASK = 250
+
+
+#: Hadoop's settings for a folder of small files: tasks move their own files into place, where version 1 of the committer leaves that to the driver, one by one; and
+#: local files have no second file of checksums.
+_SMALL_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def _one_each(texts: DataFrame, root: str, rows: int) -> None:
+    """Appends a file for each of about ``rows`` rows to a folder. A file costs milliseconds, so tasks grow with the files."""
+    dealt = texts.repartition(rows // _FILES_PER_TASK + 1, texts.columns[0])
+    dealt.write.mode("append").options(**_SMALL_FILES).option("maxRecordsPerFile", 1).text(root)
 
 
 def _files(spark: SparkSession, sf_dir: str, folders: tuple[int, ...] = (0, 1, 2, 3, 4), root: str | None = None) -> str:
     """A folder with a file for each supplier: by key, in an ignored folder, without a type, broken, or an Organization."""
     root = root or deleted_at_end(spark, new_path(spark, "files"))
-    key = F.col("s_suppkey")
+    key, suppliers = F.col("s_suppkey"), _table(spark, sf_dir, "supplier")
+    rows = suppliers.count() // len(_FOLDERS)
     for n in folders:
         text = (_text('{"resourceType":"Patient","id":"', key, '"}'), _text('{"title":', key, "}"), _text('{"resourceType":', key), *(_text('{"resourceType":"Organization","id":"', key, '","partOf":{"reference":"Organization/', key - 1, '"}}'),) * 2)[n]
-        _table(spark, sf_dir, "supplier").where(key % 5 == n).select(text).write.mode("append").option("maxRecordsPerFile", 1).text(f"{root}/{_FOLDERS[n]}")
+        _one_each(suppliers.where(key % 5 == n).select(text.alias("value")), f"{root}/{_FOLDERS[n]}", rows)
     return root
 
 
