@@ -92,8 +92,8 @@ def fhir_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _files(spark, sf_dir, (4,), root)  # new files
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{_FOLDERS[2]}")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # the broken ones go
-    more = _table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 3").select(_text('{"resourceType":"Organization","id":"', F.col("s_suppkey"), '","partOf":{"reference":"Organization/none"}}'))
-    more.write.option("maxRecordsPerFile", 1).text(f"{root}/{_FOLDERS[3]}-new")  # others of the same resources
+    more = _table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 3").select(_text('{"resourceType":"Organization","id":"', F.col("s_suppkey"), '","partOf":{"reference":"Organization/none"}}').alias("value"))
+    _one_each(more, f"{root}/{_FOLDERS[3]}-new", more.count())  # others of the same resources
     second = index.rescan(spark, root, first, pattern="*.txt")
     refs = second.table(spark, "references").groupBy(F.when(F.col("raw") == "Organization/none", "none").otherwise("other").alias("what")).agg(F.count("*").alias("n"))
     counts = spark.createDataFrame([("kept", second.kept), ("read", second.read), ("removed", second.removed)], "what string, n long")
