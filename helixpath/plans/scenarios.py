@@ -100,10 +100,17 @@ def fhir_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.union(refs)
 
 
+#: The least files of a batch of the stream, and the batches that more files make.
+_FILES_PER_BATCH, _BATCHES = 500, 10
+
+
 def fhir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same folder as a stream, written as it comes and read back."""
+    """The same folder as a stream, written as it comes and read back. What a batch costs beside its files, logs of all batches among them, is paid a bounded number of times."""
     out, seen = deleted_at_end(spark, new_path(spark, "streamed")), deleted_at_end(spark, new_path(spark, "stream-state"))
-    _numbered(streaming.read_stream(spark, _files(spark, sf_dir), files_per_batch=500, pattern="*.txt", ignore=())).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    most = max(_FILES_PER_BATCH, -(-_table(spark, sf_dir, "supplier").count() // _BATCHES))
+    rows = _numbered(streaming.read_stream(spark, _files(spark, sf_dir), files_per_batch=most, pattern="*.txt", ignore=()))
+    with streaming.listed_in_few_tasks(spark):
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("key long, resource_type string, doc_error string").parquet(out)
 
 

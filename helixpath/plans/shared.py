@@ -40,3 +40,12 @@ def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = deleted_at_end(spark, new_path(spark, name))
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tasks for each core that costly rows are dealt to.
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with its rows dealt to all cores by a key. A compressed table of many rows may be one split of a file, and so one task, whatever its rows cost."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *by)

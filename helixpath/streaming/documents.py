@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import TASKS_PER_CORE
 from ..sources.documents import IGNORED, checked, within
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listed_in_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within list each batch's files in tasks for the cores; Spark's own setting gives each file a task, which costs more than its contents."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before)
+
 
 def read_stream(spark: SparkSession, root: str, files_per_batch: int = 1_000, pattern: str = "*.json", ignore: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, modified, json, v, resource_type, doc_error) of the files below ``root`` whose names fit ``pattern``, each once, as ``sources.documents`` gives them.
