@@ -91,7 +91,9 @@ def validate(docs: DataFrame, tables: dict[str, DataFrame], invariants: bool = T
     kinds = tables["types"].select(F.col("name").alias("t_name"), F.col("kind").alias("t_kind"))
     patterns = tables["patterns"].select(F.col("type").alias("p_name"), "pattern")
     primitive = kinds.join(patterns, F.col("t_name") == F.col("p_name"), "left").drop("p_name")
-    nodes = docs.where("doc_error is null").select("path", F.col("resource_type").alias("element_path"), F.col("resource_type").alias("type"), F.lit("").alias("prefix"), "v", F.lit(True).alias("named"))
+    # parsed once: the issues of the first level, its values and what invariants see are made from it
+    docs = materialized(docs.where("doc_error is null").select("path", "resource_type", "v"), "parsed")
+    nodes = docs.select("path", F.col("resource_type").alias("element_path"), F.col("resource_type").alias("type"), F.lit("").alias("prefix"), "v", F.lit(True).alias("named"))
     issues, walked = [], []
     while True:  # ends with the deepest document, which is no deeper than documents.DEEPEST
         level = nodes.join(F.broadcast(kinds), F.col("type") == F.col("t_name"), "left").drop("t_name")
