@@ -15,7 +15,7 @@ from ..sources.documents import checked, inferred_schema, read_files, skipped, t
 from ..streaming import documents as streaming
 from . import resources as R
 from .compiler import evaluate_json, fhirpath
-from .shared import deleted_at_end, materialized, new_path
+from .shared import deleted_at_end, materialized, new_path, spread
 from .syntax import is_expression
 from .values import items, scalar
 
@@ -249,7 +249,7 @@ _DEFECTS: list[tuple[str, tuple[str, str, str] | None]] = [
 def _by_key(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
     key = F.col("c_custkey")
     text = F.element_at(F.array(*map(F.lit, texts)), (key % len(texts) + 1).cast("int"))
-    return checked(_table(spark, sf_dir, "customer").select(key.cast("string").alias("path"), F.replace(text, F.lit("%s"), key.cast("string")).alias("json")))
+    return checked(spread(_table(spark, sf_dir, "customer"), "c_custkey").select(key.cast("string").alias("path"), F.replace(text, F.lit("%s"), key.cast("string")).alias("json")))
 
 
 def fhir_validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
