@@ -13,7 +13,7 @@ from ..sources.documents import checked
 from . import resources as R
 from .compiler import fhirpath
 from .scenarios import SCENARIOS
-from .shared import materialized
+from .shared import materialized, spread
 
 #: name: (resources, path, SQL type of the result, its SQL). Each query returns (key, result); the SQL does, too.
 PATHS: dict[str, tuple[Callable, str, str, str]] = {
@@ -161,7 +161,7 @@ def fhir_resolve_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fhir_resolve_flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of all flavors in paths: each order's bundle has a claim that names its patient by urn, its provider within itself, its insurer by
     another server's url, which two files hold; claims of customers that are divisible by 3 name a patient that does not exist."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
     order, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     pick = lambda **fields: F.struct(*(x.alias(n) for n, x in fields.items()))
     link = lambda x: pick(reference=x)

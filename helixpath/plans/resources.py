@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 MONEY = "decimal(18,2)"
 
 
@@ -14,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, resource): a Patient for each customer."""
-    c = _table(spark, sf_dir, "customer")
+    c = spread(_table(spark, sf_dir, "customer"), "c_custkey")
     return c.select(
         F.col("c_custkey").alias("key"),
         F.struct(
@@ -73,7 +75,7 @@ def benefits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, resource): an Observation for each event. Even ones hold a quantity, odd ones a text: a choice element."""
-    e = _table(spark, sf_dir, "events")
+    e = spread(_table(spark, sf_dir, "events"), "event_id")
     even = F.col("event_id") % 2 == 0
     return e.select(
         F.col("event_id").alias("key"),

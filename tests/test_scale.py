@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from helixpath.plans import catalog, scenarios
+from helixpath.plans import catalog, resources, scenarios
 from helixpath.plans.shared import new_path, shared_dir
 
 
@@ -27,3 +27,13 @@ def test_a_streams_batches_do_not_grow_with_its_files(spark, tmp_path, monkeypat
     assert scenarios.fhir_stream(spark, _suppliers(spark, tmp_path, 200)).count() == 200
     (state,) = set(glob.glob(f"{shared_dir(spark)}/helixpath-stream-state-*")) - before
     assert 5 <= len(glob.glob(f"{state}/commits/[0-9]*")) <= scenarios._BATCHES
+
+
+def test_costly_rows_of_one_split_are_dealt_to_all_cores(spark, tmp_path):
+    customers = spark.range(1, 2_001, numPartitions=1).selectExpr("id as c_custkey", "concat('C', id) as c_name", "0 as c_nationkey", "1.5D as c_acctbal", "'BUILDING' as c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 2_001, numPartitions=1).selectExpr("id as event_id", "timestamp'2020-01-01' as ts", "id as user_id", "'click' as event_type", "2.5D as value").write.parquet(f"{tmp_path}/events.parquet")
+    costly = [catalog.QUERIES["fhir_sqrt"](spark, str(tmp_path)), resources.observations(spark, str(tmp_path)), scenarios._by_key(spark, str(tmp_path), ["{}"])]
+    for rows in costly:
+        rows_of_tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows_of_tasks) == 2_000 and len(rows_of_tasks) >= spark.sparkContext.defaultParallelism
