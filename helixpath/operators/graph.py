@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ..plans.compiler import Resolver, fhirpath
 from ..plans.shared import materialized
 from ..plans.syntax import Binary, Call, Index, Member, Name, TypeTest, parse
-from ..sources.documents import schema_of, typed
+from ..plans.values import let
+from ..sources.documents import is_object, schema_of, typed
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -45,12 +46,20 @@ def label(v: Column, resource_type: Column, id_: Column, fallback: Column) -> Co
     return F.when(human.isNotNull(), F.format_string("[%s] %s (%s)", resource_type, human, F.coalesce(id_, F.lit("?")))).otherwise(fallback)
 
 
+def held() -> Column:
+    """The (position, element_path, resource_type, id) of ``resources`` as an array in the row of their document, which is parsed once and stays where it is."""
+    one = lambda v, n, place: F.struct(n.alias("position"), place.alias("element_path"), _text(v, "$.resourceType").alias("resource_type"), _text(v, "$.id").alias("id"))
+    entry = lambda v, n: F.when(is_object(v), one(v, n, F.format_string("Bundle.entry[%d].resource", n)))
+    entries = F.transform(_get("v", "$.entry", "array<variant>"), lambda e, n: let(_get(e, "$.resource", "variant"), lambda v: entry(v, n)))
+    return F.when(F.col("resource_type") == "Bundle", F.array_compact(entries)).otherwise(F.array(one(F.col("v"), F.lit(0), F.col("resource_type"))))
+
+
 def resources(docs: DataFrame) -> DataFrame:
     """(path, position, element_path, resource_type, id, full_url, label, v): the entries of bundles, and all other documents."""
     good = docs.where("doc_error is null")
     entries = good.where("resource_type = 'Bundle'").select("path", F.posexplode(_get("v", "$.entry", "array<variant>")).alias("position", "e"))
     entries = entries.select("path", "position", F.format_string("Bundle.entry[%d].resource", "position").alias("element_path"), _text("e", "$.fullUrl").alias("full_url"), _get("e", "$.resource", "variant").alias("v"))
-    entries = entries.where(F.schema_of_variant("v").startswith("OBJECT"))
+    entries = entries.where(is_object(F.col("v")))
     roots = good.where("resource_type <> 'Bundle'").select("path", F.lit(0).alias("position"), F.col("resource_type").alias("element_path"), F.lit(None).cast("string").alias("full_url"), "v")
     out = entries.unionByName(roots).withColumns({"resource_type": _text("v", "$.resourceType"), "id": _text("v", "$.id")})
     plain = F.concat(F.coalesce("resource_type", F.lit("?")), F.lit("/"), F.coalesce("id", F.lit("?")))
@@ -184,7 +193,7 @@ class Targets:
     def __init__(self, docs: DataFrame, type_: T.StructType | None = None):
         found = materialized(resources(docs), "resources")
         within = found.select("path", F.col("element_path").alias("owner"), F.posexplode(_get("v", "$.contained", "array<variant>")).alias("n", "v"))
-        within = within.select("path", F.format_string("%s.contained[%d]", "owner", "n").alias("element_path"), "v").where(F.schema_of_variant("v").startswith("OBJECT"))
+        within = within.select("path", F.format_string("%s.contained[%d]", "owner", "n").alias("element_path"), "v").where(is_object(F.col("v")))
         every = found.select("path", "element_path", "v", F.lit(False).alias("inside")).unionByName(within.withColumn("inside", F.lit(True)))
         self.identities, self.contained = materialized(identities(docs, found), "identities"), materialized(contained(found), "contained")
         self.type = type_ or schema_of(every.select(F.schema_of_variant_agg("v").alias("s")).first()["s"])

@@ -12,17 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph
 
 _TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]+')
+_JSON, _SPACE = json.JSONDecoder(parse_int=str, parse_float=str, strict=False), re.compile(r"[ \t\r\n]*")
 #: Rows of one Arrow batch that a document's nodes are given out in.
 BATCH = 20_000
-#: Bytes of a text that share a bin in the search for owners.
+#: Bytes of a line that share a bin in the search for owners.
 BIN = 4_096
 RANGE = ("start_row", "start_col", "end_row", "end_col")
+_PIECES = "path string, row long, start_col long, end_col long, element_path string, resource_type string, id string"
 _NODES = "path string, element_path string, start long, end long, start_row long, start_col long, end_row long, end_col long"
 #: The letter of each severity in a list of findings.
 LETTERS = {"error": "E", "warning": "W", "information": "I"}
@@ -90,21 +93,79 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.where("doc_error is null").select("path", "json", "resource_type").mapInArrow(scan, _NODES)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(path, row, start, width) of the lines of each text, without their ends."""
+def value_spans(text: str, at: int, steps: tuple[str | None, ...], found: list[tuple[int, int, int]], number: int = 0) -> int:
+    """The end of the value at ``at`` of a JSON text. ``found`` gets (number of the item it lies in, start, end) of the values that lie ``steps`` below: keys, None for any
+    item. All others are passed over by the decoder, a repeated key's values are all found."""
+    if not steps or text[at] != ("[" if steps[0] is None else "{"):
+        end = _JSON.raw_decode(text, at)[1]
+        if not steps:
+            found.append((number, at, end))
+        return end
+    keyed, n, at = text[at] == "{", 0, _SPACE.match(text, at + 1).end()
+    while text[at] not in "]}":
+        key = None
+        if keyed:
+            key, at = _JSON.raw_decode(text, at)
+            at = _SPACE.match(text, _SPACE.match(text, at).end() + 1).end()
+        at = value_spans(text, at, steps[1:], found, number if keyed else n) if key == steps[0] else _JSON.raw_decode(text, at)[1]
+        at = _SPACE.match(text, at).end()
+        if text[at] == ",":
+            at = _SPACE.match(text, at + 1).end()
+        n += 1
+    return at + 1
+
+
+def resource_spans(text: str, root: str) -> np.ndarray:
+    """(position, start, end) of the resources of a document as ``graph.resources`` counts them, by bytes: the entries of a bundle, or the document."""
+    found: list[tuple[int, int, int]] = []
+    value_spans(text, _SPACE.match(text).end(), ("entry", None, "resource") if root == "Bundle" else (), found)
+    spans = np.array(found, np.int64).reshape(-1, 3)
+    if not text.isascii():
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        spans[:, 1:] = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])[spans[:, 1:]]
+    return spans
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """(path, row, start_col, end_col, element_path, resource_type, id): what each resource's text covers of each of its lines, up to end_col; the end of a line belongs to it.
+
+    One pass over the texts, without a shuffle and without a filter, which would parse them again for each column that it names. Of resources only spans leave it, many documents' in a batch.
+    """
+    names = [f.split()[0] for f in _PIECES.split(", ")]
+
+    def rows(batch: pa.RecordBatch, held: pa.StructArray, found: list) -> pa.RecordBatch:
+        doc, which, *numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+        texts = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in numbers), *(held.field(n).take(pa.array(which)) for n in (1, 2, 3))]
+        return pa.RecordBatch.from_arrays([texts[0], *texts[1:4], *(t.cast(pa.string()) for t in texts[4:])], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, text in zip(*batch.columns, strict=True):
-                raw = text.as_py().encode()
-                start = _line_starts(raw)
-                width = np.diff(np.append(start, len(raw) + 1)) - 1
-                for n in range(0, len(start), BATCH):
-                    part = slice(n, n + BATCH)
-                    row = np.arange(n, n + len(start[part]))
-                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(row), pa.string()), pa.array(row), pa.array(start[part]), pa.array(width[part])], ["path", "row", "start", "width"])
-
-    return docs.where("doc_error is null").select("path", "json").mapInArrow(scan, "path string, row long, start long, width long")
+            column = batch.column("held")
+            held, at, found, size = column.flatten(), 0, [], 0
+            places = held.field(0).to_pylist()
+            for n, count in enumerate(pc.fill_null(pc.list_value_length(column), 0).to_pylist()):
+                known, at = dict(zip(places[at : at + count], range(at, at + count), strict=True)), at + count
+                if not known:
+                    continue
+                text = batch.column("json")[n].as_py()
+                raw, spans = text.encode(), resource_spans(text, batch.column("resource_type")[n].as_py())
+                spans = np.array([(known[place], start, end) for place, start, end in spans.tolist() if place in known], np.int64).reshape(-1, 3)
+                starts = _line_starts(raw)
+                first = np.searchsorted(starts, spans[:, 1], "right") - 1
+                much = np.searchsorted(starts, spans[:, 2] - 1, "right") - first
+                which, start, end = (np.repeat(x, much) for x in spans.T)
+                row = np.repeat(first - np.cumsum(much) + much, much) + np.arange(len(which))
+                after = np.append(starts, len(raw) + 1)[row + 1]
+                found.append((np.full(len(row), n), which, row, np.maximum(start - starts[row], 0), np.minimum(end, after) - starts[row]))
+                size += len(row)
+                if size >= BATCH:
+                    yield rows(batch, held, found)
+                    found, size = [], 0
+            if found:
+                yield rows(batch, held, found)
+
+    held = F.when(F.col("doc_error").isNull(), graph.held())
+    return docs.select("path", "json", "resource_type", held.alias("held")).mapInArrow(scan, _PIECES)
 
 
 def ranges(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,18 +188,19 @@ def ranges(places: DataFrame, docs: DataFrame) -> DataFrame:
 def owner_at(points: DataFrame, docs: DataFrame) -> DataFrame:
     """``points`` (path, row, col, ...) with element_path, resource_type and id of the resource whose text holds the point: an entry of a bundle, or a document; else nulls.
 
-    A range join: resources go to the bins of bytes that they cover and points to theirs, so neither a document of many resources nor one of many points meets in one task.
+    A range join: resources go to the bins of lines that they cover and points to theirs, so neither a document of many resources nor one of many points meets in one task,
+    and a bin has no more resources than its bytes hold. Texts are parsed and scanned once; they and the spans are never sent to all tasks, however small they look in a file.
     """
-    asked = points.select("path", "row", "col").where("path is not null and row is not null and col is not null").distinct()
-    some = docs.join(asked.select("path").distinct(), "path", "left_semi")
     bin_ = lambda c: F.floor(c / BIN)
-    spans = nodes(some).where(r"element_path rlike '^[^.\\[]+$|^Bundle\\.entry\\[[0-9]+\\]\\.resource$'").select("path", "element_path", "start", "end")
-    spans = graph.resources(some).select("path", "element_path", "resource_type", "id").join(spans, ["path", "element_path"])
-    spans = spans.withColumn("bin", F.explode(F.sequence(bin_(F.col("start")), bin_(F.col("end") - 1))))
-    at = asked.join(lines(some), ["path", "row"]).where("col between 0 and width").select("path", "row", "col", (F.col("start") + F.col("col")).alias("offset"))
-    met = at.withColumn("bin", bin_(F.col("offset"))).join(spans, ["path", "bin"]).where("offset >= start and offset < end")
-    met = met.groupBy("path", "row", "col").agg(F.min(F.struct("element_path", "resource_type", "id")).alias("x")).select("path", "row", "col", "x.*")
-    return points.join(met, ["path", "row", "col"], "left")
+    some = docs.join(points.select("path").distinct(), "path", "left_semi")
+    spans = pieces(some).withColumn("_bin", F.explode(F.sequence(bin_(F.col("start_col")), bin_(F.col("end_col") - 1))))
+    bins = spans.groupBy("path", "row", "_bin").agg(F.collect_list(F.struct("start_col", "end_col", "element_path", "resource_type", "id")).alias("_held"))
+    met = points.withColumn("_bin", bin_(F.col("col"))).join(bins.hint("merge"), ["path", "row", "_bin"], "left")
+    holds = F.filter("_held", lambda h: (h["start_col"] <= F.col("col")) & (F.col("col") < h["end_col"]))
+    owner = F.array_min(F.transform(holds, lambda h: F.struct(h["element_path"], h["resource_type"], h["id"])))
+    keys = ["path", "row", "col"]
+    met = met.select(*keys, *(c for c in points.columns if c not in keys), owner.alias("_owner"))
+    return met.select("*", *(F.col("_owner")[c].alias(c) for c in ("element_path", "resource_type", "id"))).drop("_owner")
 
 
 #: What ``save_findings`` writes: lines and columns count from 1 here, as in lists that editors read; 1 and 1 where a place has no range.

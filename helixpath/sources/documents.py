@@ -36,6 +36,11 @@ def parse_json(text: Column) -> Column:
     return F.when(whole & only & (F.trim(text) != ""), F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def is_object(v: Column) -> Column:
+    """Whether a VARIANT is an object; null of null. By its first character as JSON: the schema of a value would be put together of all its parts, which costs many times as much."""
+    return F.to_json(v).startswith("{")
+
+
 def _depth(text: Column) -> Column:
     """How deep arrays and objects nest; 0 where no more than DEEPEST are opened at all."""
     brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
@@ -53,10 +58,10 @@ def checked(docs: DataFrame) -> DataFrame:
     """``docs`` (path, json, ...) with ``v``, ``resource_type`` and ``doc_error``: null for an object with a text resourceType, no deeper than DEEPEST."""
     v = F.when(_depth(F.col("json")) <= DEEPEST, parse_json(F.col("json")))
     out = docs.withColumn("v", v)
-    kind = F.schema_of_variant("v")
+    is_one = F.ltrim(F.col("json"), F.lit(" \t\r\n")).startswith("{")  # what parsed is an object where it begins as one
     name = F.when(F.schema_of_variant(F.try_variant_get("v", "$.resourceType", "variant")) == "STRING", F.try_variant_get("v", "$.resourceType", "string"))
-    error = F.when(F.col("v").isNull() & (_depth(F.col("json")) > DEEPEST), "nested too deep").when(F.col("v").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(name.isNull(), "no resourceType")
-    return out.withColumns({"resource_type": F.when(kind.startswith("OBJECT"), name), "doc_error": error})
+    error = F.when(F.col("v").isNull() & (_depth(F.col("json")) > DEEPEST), "nested too deep").when(F.col("v").isNull(), "not JSON").when(~is_one, "not an object").when(name.isNull(), "no resourceType")
+    return out.withColumns({"resource_type": F.when(is_one, name), "doc_error": error})
 
 
 def within(root: str, ignore: tuple[str, ...]) -> Column:

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +98,35 @@ def test_tables_without_rows(spark):
     assert positions.nodes(docs).count() == 0
     assert positions.ranges(spark.createDataFrame([], "path string, element_path string"), docs).count() == 0
     assert positions.owner_at(spark.createDataFrame([], "path string, row long, col long"), docs).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(values, st.lists(values, max_size=3), st.sampled_from([None, 2]), st.booleans())
+def test_spans_of_resources_are_those_of_their_places(value, more, indent, ascii_):
+    document = {"é": value, "entry": [{"x": value, "resource": v, "y": [v]} for v in [value, *more]] + [value], "z": more}
+    text = " " + json.dumps(document, indent=indent, ensure_ascii=ascii_) + "\n"
+    nodes = {place: (a, b) for place, a, b, _, _ in positions.node_spans(text.encode(), "Bundle")}
+    found = {f"Bundle.entry[{n}].resource": (a, b) for n, a, b in positions.resource_spans(text, "Bundle").tolist()}
+    assert found == {place: nodes[place] for place in nodes if re.fullmatch(r"Bundle\.entry\[\d+\]\.resource", place)}
+    assert positions.resource_spans(text, "Patient").tolist() == [[0, *nodes["Bundle"]]]
+
+
+def test_owners_come_of_one_pass_over_the_texts_and_are_not_sent_to_all_tasks(spark, tmp_path):
+    spark.createDataFrame([("a", '{"resourceType":"Patient",\n\n"id":"1"}'), ("b", '{"resourceType":"Bundle","entry":[{"resource":5,"resource":{"resourceType":"Basic","id":"é"}},{"resource":[]}]} ')], "path string, json string").write.parquet(f"{tmp_path}/docs")
+    points = [("a", 0, 0), ("a", 0, 26), ("a", 0, 27), ("a", 1, 0), ("a", 1, 1), ("a", 2, 8), ("a", 2, 9), ("b", 0, 46), ("b", 0, 59), ("b", 0, 92), ("b", 0, 93), ("b", 0, 108), ("none", 0, 0), (None, 0, 0), ("a", None, 0)]
+    asked = spark.createDataFrame(points, "path string, row long, col long")
+    found = positions.owner_at(asked, checked(spark.read.parquet(f"{tmp_path}/docs")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "SortMergeJoin [path" in plan
+    patient, basic, none = ("Patient", "Patient", "1"), ("Bundle.entry[0].resource", "Basic", "é"), (None,) * 3
+    held = dict(zip(points, [patient, patient, none, patient, none, patient, none, basic, basic, basic, none, none, none, none, none], strict=True))
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found.collect()} == held
+
+
+def test_a_documents_kind_is_told_without_the_schema_of_its_parts(spark):
+    texts = {"o": ' \n{"resourceType":"A"}', "n": '{"resourceType":1}', "a": '[{"resourceType":"A"}]', "s": '"{"', "z": "null", "b": "{} {}"}
+    docs = _docs(spark, list(texts.items()))
+    assert {r["path"]: (r["resource_type"], r["doc_error"]) for r in docs.collect()} == {
+        "o": ("A", None), "n": (None, "no resourceType"), "a": (None, "not an object"), "s": (None, "not an object"), "z": (None, "not an object"), "b": (None, "not JSON"),
+    }
+    assert "schema_of_variant(v" not in docs._jdf.queryExecution().analyzed().toString().lower().replace("schemaofvariant", "schema_of_variant")
