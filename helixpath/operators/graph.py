@@ -109,7 +109,8 @@ def reference_places(value: object, place: str) -> Iterator[tuple[str, str]]:
 def references(found: DataFrame) -> DataFrame:
     """(path, owner_path, owner_type, owner_id, element_path, raw, flavor) of every text under a key ``reference``, at any depth.
 
-    One pass over the resources, without a shuffle: those whose JSON holds the key at all are walked where they are.
+    One pass over the resources, without a shuffle: those whose JSON holds the key at all are walked where they are. What is found is written once: ``resolve`` reads
+    it twice, and would walk the resources twice.
     """
     names = ["path", "owner_path", "owner_type", "owner_id", "element_path", "raw"]
 
@@ -126,7 +127,7 @@ def references(found: DataFrame) -> DataFrame:
 
     rows = found.select("path", F.col("element_path").alias("owner_path"), F.col("resource_type").alias("owner_type"), F.col("id").alias("owner_id"), F.to_json("v").alias("json"))
     rows = rows.where(F.contains("json", F.lit('"reference"'))).mapInArrow(walk, ", ".join(f"{n} string" for n in names))
-    return rows.withColumn("flavor", flavor(F.col("raw")))
+    return materialized(rows.withColumn("flavor", flavor(F.col("raw"))), "references")
 
 
 def _tail(raw: Column) -> Column:

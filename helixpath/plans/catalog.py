@@ -116,7 +116,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
 
 def _graph(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _parsed(docs)
-    found = materialized(graph.resources(docs), "resources")
+    found = materialized(graph.resources(docs).drop("label"), "resources")  # labels cost more than all else of a resource
     ids = materialized(graph.identities(docs, found), "identities")
     return found, ids, graph.resolve(graph.references(found), ids, graph.contained(found))
 

@@ -29,8 +29,19 @@ def parse_json(text: Column) -> Column:
     Spark's parser stops after the first value, so the text is parsed as the first of two items of an array. Of repeated keys the last counts, which Spark has
     a setting for: it is set here, in the session, so that all that parse agree, in any order of calls.
     """
+    _last_key_counts()
+    return _only(text, _pair(text))
+
+
+def _last_key_counts() -> None:
     SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_NONCE}"]')))
+
+
+def _pair(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_NONCE}"]')))
+
+
+def _only(text: Column, pair: Column) -> Column:
     whole = F.try_variant_get(pair, "$[1]", "string") == _NONCE
     only = F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(whole & only & (F.trim(text) != ""), F.try_variant_get(pair, "$[0]", "variant"))
@@ -56,8 +67,9 @@ def _depth(text: Column) -> Column:
 
 def checked(docs: DataFrame) -> DataFrame:
     """``docs`` (path, json, ...) with ``v``, ``resource_type`` and ``doc_error``: null for an object with a text resourceType, no deeper than DEEPEST."""
-    v = F.when(_depth(F.col("json")) <= DEEPEST, parse_json(F.col("json")))
-    out = docs.withColumn("v", v)
+    _last_key_counts()
+    # the pair is a column of its own: within one expression a text would be parsed each time that the pair is named
+    out = docs.withColumn("_pair", F.when(_depth(F.col("json")) <= DEEPEST, _pair(F.col("json")))).withColumn("v", _only(F.col("json"), F.col("_pair"))).drop("_pair")
     is_one = F.ltrim(F.col("json"), F.lit(" \t\r\n")).startswith("{")  # what parsed is an object where it begins as one
     name = F.when(F.schema_of_variant(F.try_variant_get("v", "$.resourceType", "variant")) == "STRING", F.try_variant_get("v", "$.resourceType", "string"))
     error = F.when(F.col("v").isNull() & (_depth(F.col("json")) > DEEPEST), "nested too deep").when(F.col("v").isNull(), "not JSON").when(~is_one, "not an object").when(name.isNull(), "no resourceType")

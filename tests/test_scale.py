@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixpath.plans import catalog, resources, scenarios
 from helixpath.plans.shared import new_path, shared_dir
+from helixpath.sources.documents import checked
 
 
 def _suppliers(spark, tmp_path, n):
@@ -37,3 +38,13 @@ def test_costly_rows_of_one_split_are_dealt_to_all_cores(spark, tmp_path):
     for rows in costly:
         rows_of_tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(rows_of_tasks) == 2_000 and len(rows_of_tasks) >= spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_parsed_once_and_their_resources_walked_once(spark, tmp_path):
+    texts = [(f"p/{n}", f'{{"resourceType":"Patient","id":"{n}","managingOrganization":{{"reference":"{r}"}}}}') for n, r in enumerate(["Organization/1", "http://x.org/Organization/1", "#no", "Organization/2"])]
+    spark.createDataFrame([*texts, ("o", '{"resourceType":"Organization","id":"1"}')], "path string, json string").write.parquet(f"{tmp_path}/docs")
+    docs = checked(spark.read.parquet(f"{tmp_path}/docs"))
+    found, _, resolved = catalog._graph(docs)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (docs, resolved)]
+    assert len(re.findall(r"parse_?json", plans[0])) == 1 and "mapinarrow" not in plans[1] and "label" not in found.columns
+    assert {r["path"]: r["target_path"] for r in resolved.collect()} == {"p/0": "o", "p/1": "o", "p/2": None, "p/3": None}
