@@ -43,7 +43,9 @@ def label(v: Column, resource_type: Column, id_: Column, fallback: Column) -> Co
     given, family = _text(v, "$.name[0].given[0]"), _text(v, "$.name[0].family")
     name = F.coalesce(_text(v, "$.name[0].text"), F.concat_ws(" ", given, family))
     human = F.coalesce(_text(v, "$.code.text"), _text(v, "$.code.coding[0].display"), F.nullif(name, F.lit("")))
-    return F.when(human.isNotNull(), F.format_string("[%s] %s (%s)", resource_type, human, F.coalesce(id_, F.lit("?")))).otherwise(fallback)
+    # null where ``human`` is, which stands here once and so is computed once
+    marked = F.concat(F.lit("["), F.coalesce(resource_type, F.lit("null")), F.lit("] "), human, F.lit(" ("), F.coalesce(id_, F.lit("?")), F.lit(")"))
+    return F.coalesce(marked, fallback)
 
 
 def held() -> Column:
@@ -55,19 +57,25 @@ def held() -> Column:
 
 
 def resources(docs: DataFrame) -> DataFrame:
-    """(path, position, element_path, resource_type, id, full_url, label, v): the entries of bundles, and all other documents."""
-    good = docs.where("doc_error is null")
-    entries = good.where("resource_type = 'Bundle'").select("path", F.posexplode(_get("v", "$.entry", "array<variant>")).alias("position", "e"))
-    entries = entries.select("path", "position", F.format_string("Bundle.entry[%d].resource", "position").alias("element_path"), _text("e", "$.fullUrl").alias("full_url"), _get("e", "$.resource", "variant").alias("v"))
-    entries = entries.where(is_object(F.col("v")))
-    roots = good.where("resource_type <> 'Bundle'").select("path", F.lit(0).alias("position"), F.col("resource_type").alias("element_path"), F.lit(None).cast("string").alias("full_url"), "v")
-    out = entries.unionByName(roots).withColumns({"resource_type": _text("v", "$.resourceType"), "id": _text("v", "$.id")})
+    """(path, position, element_path, resource_type, id, full_url, label, v): the entries of bundles, and all other documents.
+
+    One pass over the documents, which need not be written before: nothing is filtered until their resources are rows, since a filter by what was parsed would be
+    computed below the parsing, and so parse the texts again.
+    """
+    one = lambda n, url, v: F.struct(n.alias("position"), url.alias("full_url"), v.alias("v"))
+    entry = lambda e, n: let(_get(e, "$.resource", "variant"), lambda v: F.when(is_object(v), one(n, _text(e, "$.fullUrl"), v)))
+    entries = F.array_compact(F.transform(_get("v", "$.entry", "array<variant>"), entry))
+    root = F.array(one(F.lit(0), F.lit(None).cast("string"), F.col("v")))
+    inside = F.col("root_type") == "Bundle"
+    rows = docs.select("path", F.col("resource_type").alias("root_type"), F.explode(F.when(F.col("doc_error").isNull(), F.when(F.col("resource_type") == "Bundle", entries).otherwise(root))).alias("x"))
+    place = F.when(inside, F.format_string("Bundle.entry[%d].resource", "x.position")).otherwise(F.col("root_type"))
+    out = rows.select("path", "x.position", place.alias("element_path"), "x.full_url", "x.v").withColumns({"resource_type": _text("v", "$.resourceType"), "id": _text("v", "$.id")})
     plain = F.concat(F.coalesce("resource_type", F.lit("?")), F.lit("/"), F.coalesce("id", F.lit("?")))
     return out.withColumn("label", label(F.col("v"), F.col("resource_type"), F.col("id"), plain)).select("path", "position", "element_path", "resource_type", "id", "full_url", "label", "v")
 
 
 def outline(docs: DataFrame) -> DataFrame:
-    """(path, identity, label): resources that have an identity, by Type/id or else fullUrl."""
+    """(path, position, identity, label): resources that have an identity, by Type/id or else fullUrl."""
     named = F.concat("resource_type", F.lit("/"), "id")
     rows = resources(docs).withColumn("identity", F.coalesce(named, "full_url")).where("identity is not null")
     return rows.select("path", "position", "identity", label(F.col("v"), F.col("resource_type"), F.col("id"), F.col("identity")).alias("label"))

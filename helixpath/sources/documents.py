@@ -61,7 +61,7 @@ def _depth(text: Column) -> Column:
         now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    opened = F.length(text) - F.length(F.translate(text, "[{", ""))
+    opened = 2 * F.octet_length(text) - F.octet_length(F.replace(text, F.lit("["), F.lit(""))) - F.octet_length(F.replace(text, F.lit("{"), F.lit("")))
     return F.when(opened > DEEPEST, F.aggregate(F.split(brackets, ""), start, step)["most"]).otherwise(0)
 
 

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from helixpath.operators import graph
 from helixpath.plans import catalog, resources, scenarios
 from helixpath.plans.shared import new_path, shared_dir
 from helixpath.sources.documents import checked
@@ -48,3 +49,21 @@ def test_documents_are_parsed_once_and_their_resources_walked_once(spark, tmp_pa
     plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (docs, resolved)]
     assert len(re.findall(r"parse_?json", plans[0])) == 1 and "mapinarrow" not in plans[1] and "label" not in found.columns
     assert {r["path"]: r["target_path"] for r in resolved.collect()} == {"p/0": "o", "p/1": "o", "p/2": None, "p/3": None}
+
+
+def test_an_outline_reads_and_parses_its_documents_once_and_writes_none(spark, tmp_path):
+    entries = '[{"fullUrl":"urn:uuid:1","resource":{"resourceType":"Patient","name":[{"given":["Ada"],"family":"Li"}]}},{"resource":"text"},null,{"fullUrl":3,"resource":{"resourceType":"Device"}},{"resource":{"resourceType":"Device","id":"d","code":{"coding":[{"display":"Pump"}]}}},{"fullUrl":"urn:uuid:2","resource":{"name":[{"text":"x"}]}}]'
+    texts = {"a": '{"resourceType":"Patient","id":"1","name":[{"family":"Li"}]}', "b": '{"resourceType":"Bundle","id":"b","entry":' + entries + "}", "c": '{"resourceType":"Bundle"}', "d": '{"id":"2"}', "e": "[", "f": '{"resourceType":"Patient"}'}
+    texts["g"] = '{"resourceType":"Patient","id":"é","name":[{"text":"é[{"}],"x":' + "[" * 126 + "]" * 126 + "}"  # 127 levels in all: as deep as a document may be
+    texts["h"] = '{"resourceType":"Patient","id":"deep","x":' + "[" * 127 + "]" * 127 + "}"
+    texts["i"] = '{"resourceType":"Patient","id":"wide","x":[' + "[],{}," * 100 + "[]]}"
+    spark.createDataFrame(list(texts.items()), "path string, json string").write.parquet(f"{tmp_path}/docs")
+    outline = graph.outline(checked(spark.read.parquet(f"{tmp_path}/docs")))
+    plan = outline._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len(re.findall(r"parse_?json", plan)) == 1 and plan.count("relation [") == 1
+    assert {(r["path"], r["position"], r["identity"], r["label"]) for r in outline.collect()} == {
+        ("a", 0, "Patient/1", "[Patient] Li (1)"), ("b", 0, "urn:uuid:1", "[Patient] Ada Li (?)"), ("b", 4, "Device/d", "[Device] Pump (d)"), ("b", 5, "urn:uuid:2", "[null] x (?)"),
+        ("g", 0, "Patient/é", "[Patient] é[{ (é)"), ("i", 0, "Patient/wide", "Patient/wide"),
+    }
+    written = set(glob.glob(f"{shared_dir(spark)}/*"))
+    assert catalog.QUERIES["fhir_outline"](spark, "/root/testdata/sf0.001").count() > 0 and set(glob.glob(f"{shared_dir(spark)}/*")) == written
