@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from ..plans.compiler import Resolver, fhirpath
 from ..plans.shared import materialized
 from ..plans.syntax import Binary, Call, Index, Member, Name, TypeTest, parse
 from ..plans.values import let
-from ..sources.documents import is_object, schema_of, typed
+from ..sources.documents import as_written, is_object, schema_of, typed
 
 
 def _get(v: Column | str, path: str, kind: str = "string") -> Column:
@@ -26,18 +27,25 @@ def _get(v: Column | str, path: str, kind: str = "string") -> Column:
 
 def _text(v: Column | str, path: str) -> Column:
     """A text at a path; null for anything else, numbers too."""
-    at = _get(v, path, "variant")
+    return _of_text(_get(v, path, "variant"))
+
+
+def _of_text(at: Column) -> Column:
     return F.when(F.schema_of_variant(at) == "STRING", at.try_cast("string"))
 
 
 def flavor(raw: Column) -> Column:
     """How a reference text names its target."""
     return (
-        F.when(raw.startswith("#"), "contained").when(raw.startswith("urn:uuid:"), "urn-uuid").when(raw.rlike("^https?://"), "absolute")
+        F.when(raw.startswith("#"), "contained").when(raw.startswith("urn:uuid:"), "urn-uuid").when(_absolute(raw), "absolute")
         .when(raw.rlike(r"^[A-Za-z]\w*/.+"), "relative").otherwise("unknown")
     )
 
 
+def _absolute(raw: Column) -> Column:
+    return raw.startswith("http://") | raw.startswith("https://")
+
+
 def label(v: Column, resource_type: Column, id_: Column, fallback: Column) -> Column:
     """code.text, the first coding's display, or the first name; else the fallback."""
     given, family = _text(v, "$.name[0].given[0]"), _text(v, "$.name[0].family")
@@ -139,7 +147,7 @@ def references(found: DataFrame) -> DataFrame:
 
 
 def _tail(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(raw, r"([A-Za-z]\w*/[^/]+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.substring_index(raw, "/", -2), r"([A-Za-z]\w*/[^/]+)$", 1), F.lit(""))
 
 
 def _own_name(owner: Column, id_: Column) -> Column:
@@ -192,30 +200,102 @@ def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.where("target_path is null")
 
 
+#: Resources, contained ones too, of a document at most whose references to each other are looked up within its row (fixed value): a look at each, for each
+#: reference. Those of larger documents are joined.
+NEAR = 64
+#: Targets in other documents, and their bytes as JSON, at most (fixed values) that are one map, a copy for each row and a look at each for each reference. More are joined.
+FAR, FAR_BYTES = 256, 1 << 14
+_ITEMS = "array<struct<position:int,element_path:string,owner:string,name:string,full_url:string,v:variant>>"
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """(path, items, names): a row for each document with its resources, each followed by the objects that it contains. Of a bundle itself there is one without ``v``.
+
+    Items: position (of contained ones that in their owner), element_path, owner (the element path of the resource that contains it), name (Type/id; of contained ones
+    ``_own_name``), full_url and v. Names: both of each item, from the last one on, so that the first that fits counts. What else begins with # names nothing. One
+    pass over the documents, which need not be written before; nothing is filtered, see ``resources``.
+    """
+    none = F.lit(None).cast("string")
+    outside = lambda name: F.when(~name.startswith("#"), name)
+
+    def item(position: Column, place: Column, v: Column, owner: Column = none, name: Column = none, url: Column = none) -> Column:
+        fields = {"position": position, "element_path": place, "owner": owner, "name": name, "full_url": url, "v": v}
+        return F.struct(*(x.alias(n) for n, x in fields.items()))
+
+    def with_contained(v: Column, position: Column, place: Column, url: Column) -> Column:
+        """The items of a resource, null where it is no object: one cast tells that, and what of it is needed."""
+
+        def inner(c: Column, n: Column) -> Column:
+            at = F.concat(place, F.lit(".contained["), n.cast("string"), F.lit("]"))
+            return let(c.try_cast("struct<id:variant>"), lambda x: F.when(x.isNotNull(), item(n, at, c, owner=place, name=_own_name(place, _of_text(x["id"])))))
+
+        def made(x: Column) -> Column:
+            name = F.concat(_of_text(x["resourceType"]), F.lit("/"), _of_text(x["id"]))
+            own = F.array(item(position, place, v, name=name, url=url))
+            return F.when(x.isNotNull(), F.when(x["contained"].isNull(), own).otherwise(F.flatten(F.array(own, F.array_compact(F.transform(x["contained"], inner))))))
+
+        return let(v.try_cast("struct<resourceType:variant,id:variant,contained:array<variant>>"), made)
+
+    def of_entry(e: Column, n: Column) -> Column:
+        return let(F.concat(F.lit("Bundle.entry["), n.cast("string"), F.lit("].resource")), lambda place: with_contained(e["resource"], n, place, _of_text(e["fullUrl"])))
+
+    v, kind = F.col("v"), F.col("resource_type")
+    itself = item(F.lit(-1), kind, F.lit(None).cast("variant"), name=F.concat(F.lit("Bundle/"), _text(v, "$.id")))
+    entries = F.flatten(F.array_compact(F.transform(_get(v, "$.entry", "array<struct<fullUrl:variant,resource:variant>>"), of_entry)))
+    bundle = F.flatten(F.array(F.array(itself), F.coalesce(entries, F.array().cast(_ITEMS))))
+    alone = with_contained(v, F.lit(0), kind, none)
+    items = docs.select("path", F.when(F.col("doc_error").isNull(), F.when(kind == "Bundle", bundle).otherwise(alone)).alias("items"))
+    return items.withColumn("names", F.reverse(F.flatten(F.transform("items", lambda x: F.array(F.coalesce(F.when(x["owner"].isNotNull(), x["name"]), outside(x["name"])), outside(x["full_url"]))))))
+
+
 class Targets:
     """The resources of documents, as rows to evaluate paths on and as what resolve() finds.
 
-    ``rows``: (path, element_path, resource), the resource typed by ``type``, which holds all of them, contained ones too. ``type`` may be given. Fields of
-    targets that a path does not name are left out of its joins by ``paths``.
+    ``rows``: (path, element_path, resource, and near where the documents are plain), the resource typed by ``type``, which holds all of them, contained ones too.
+    ``type`` may be given. Documents are plain where it is not, and nothing in them is of mixed kinds or a decimal: then they stay as they are written, and fields
+    are taken from them where they are named. ``near``: names and values of the row's document, unless it has more than ``NEAR`` resources. Fields of targets that a path does not
+    name are left out by ``paths``.
     """
 
     def __init__(self, docs: DataFrame, type_: T.StructType | None = None):
-        found = materialized(resources(docs), "resources")
-        within = found.select("path", F.col("element_path").alias("owner"), F.posexplode(_get("v", "$.contained", "array<variant>")).alias("n", "v"))
-        within = within.select("path", F.format_string("%s.contained[%d]", "owner", "n").alias("element_path"), "v").where(is_object(F.col("v")))
-        every = found.select("path", "element_path", "v", F.lit(False).alias("inside")).unionByName(within.withColumn("inside", F.lit(True)))
-        self.identities, self.contained = materialized(identities(docs, found), "identities"), materialized(contained(found), "contained")
-        self.type = type_ or schema_of(every.select(F.schema_of_variant_agg("v").alias("s")).first()["s"])
-        # typed and written once: later reads take the fields that they need
-        self.all = materialized(typed(every.select("path", "element_path", "inside", F.to_json("v").alias("json")), self.type).drop("json"), "typed")
-        self.rows = self.all.where("not inside").drop("inside")
+        self.documents = materialized(_members(docs), "members")
+        of_all = self.documents.select(F.size("items").alias("n"), F.explode("items.v").alias("v")).agg(F.schema_of_variant_agg("v").alias("s"), F.max("n").alias("n")).first()
+        self.type, self.large = type_ or schema_of(of_all["s"]), (of_all["n"] or 0) > NEAR
+        self.plain = type_ is None and bool(self.type.fields) and not as_written(self.type) and not any("'" in f.name for f in self.type.fields)
+        near = F.when(F.size("items") <= NEAR, F.struct("names", F.col("items.v").alias("values")))
+        items = self.documents.select("path", near.alias("near"), F.explode("items").alias("x")).where("x.v is not null")
+        self._items, inside = items.drop("near"), F.col("x.owner").isNotNull()
+        if self.plain:  # each field by itself, so that those that are not named are not read
+            resource = F.struct(*(_get("x.v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in self.type.fields)).alias("resource")
+            self.all = self._items.select("path", "x.element_path", inside.alias("inside"), resource)
+            self.rows = items.where(~inside).select("path", "x.element_path", resource, "near")
+        else:  # typed and written once: later reads take the fields that they need
+            self.all = materialized(typed(self._items.select("path", "x.element_path", inside.alias("inside"), F.to_json("x.v").alias("json")), self.type).drop("json"), "typed")
+            self.rows = self.all.where("not inside").drop("inside")
+
+    def _named(self) -> DataFrame:
+        """(name, path, x) of all identities."""
+        every = self.documents.select("path", F.explode("items").alias("x")).where("x.owner is null")
+        return every.select(F.explode(F.array_distinct(F.array_compact(F.array("x.name", "x.full_url")))).alias("name"), "path", "x")
+
+    @cached_property
+    def identities(self) -> DataFrame:
+        rows = self._named().groupBy(F.col("name").alias("identity"), "path").agg(F.max(F.struct("x.position", "x.element_path")).alias("x"))
+        return materialized(rows.select("identity", "path", "x.element_path", "x.position"), "identities")
+
+    @cached_property
+    def contained(self) -> DataFrame:
+        rows = self._items.where("x.owner is not null and x.name is not null").groupBy("path", F.col("x.owner").alias("owner_path"), F.expr("substr(x.name, length(x.owner) + 3)").alias("contained_id"))
+        return materialized(rows.agg(F.max_by("x.element_path", "x.position").alias("element_path")), "contained")
+
+    def _kept(self, names: set[str] | None) -> T.StructType:
+        return T.StructType([f for f in self.type.fields if names is None or f.name in ("resourceType", "id", *names) or any(f.name.startswith(n) and f.name[len(n)].isupper() for n in names)])
 
     def resolver(self, names: set[str] | None = None, owner: str = "element_path") -> tuple[Resolver, T.StructType]:
         """A resolver for ``fhirpath`` and the type of what it finds: all fields, or those that ``names`` can mean. The rows need path and element_path, which
         together are a key; ``owner``: the column of the resource that a row belongs to, in which #names are looked up."""
-        kept = [f for f in self.type.fields if names is None or f.name in ("resourceType", "id", *names) or any(f.name.startswith(n) and f.name[len(n)].isupper() for n in names)]
-        target = T.StructType(kept)
-        held = self.all.select(F.col("path").alias("target_path"), F.col("element_path").alias("target_element"), F.struct(*(F.col("resource")[f.name].alias(f.name) for f in kept)).alias("target"))
+        target = self._kept(names)
+        held = self.all.select(F.col("path").alias("target_path"), F.col("element_path").alias("target_element"), F.struct(*(F.col("resource")[f.name].alias(f.name) for f in target)).alias("target"))
 
         def attach(df: DataFrame, name: str, texts: list[str]) -> DataFrame:
             wanted = df.select("path", "element_path", F.col(owner).alias("owner_path"), F.explode(F.array_distinct(F.concat(*texts))).alias("raw")).distinct()
@@ -226,11 +306,48 @@ class Targets:
 
         return attach, target
 
+    def near_resolver(self, names: set[str] | None = None) -> tuple[Resolver, T.StructType]:
+        """As ``resolver``, for rows of plain documents that have ``near``. A reference is looked up there first, without a join; what is not there by its name, in
+        all documents, and of an absolute one by its last parts: distinct names are joined to their holders, where the lowest path wins and in it the last resource."""
+        target, none = self._kept(names), F.lit(None).cast("string")
+        contained = lambda raw: raw.startswith("#")
+        tail = lambda raw: F.when(_absolute(raw), _tail(raw))
+        at = lambda name: F.nullif(F.array_position("near.names", name), F.lit(0))
+        value = lambda n: F.get(F.col("near.values"), ((F.size("near.names") - n) / 2).cast("int")).try_cast(target)
+        place = lambda raw: F.when(contained(raw), at(F.concat(F.lit("#"), F.col("element_path"), raw))).otherwise(F.coalesce(at(raw), at(tail(raw))))
+
+        def attach(df: DataFrame, name: str, texts: list[str]) -> DataFrame:
+            raws = F.array_except(F.concat(*texts), F.array(none))  # distinct ones, no nulls
+            refs = df.select("path", "element_path", "near", F.explode(raws).alias("raw")).where(~contained(F.col("raw")) & place(F.col("raw")).isNull())
+            refs = refs.select("path", "element_path", "raw", F.posexplode(F.array(F.col("raw"), tail(F.col("raw")))).alias("rank", "name")).where("name is not null")
+            wanted = materialized(refs.select("name").distinct(), "wanted")
+            first = F.min_by(F.struct(F.col("x.v").try_cast(target).alias("target")), F.struct("path", -F.col("x.position")))
+            far = materialized(self._named().join(wanted, "name").groupBy("name").agg(first.alias("first")), "far")
+            n, size = far.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("first"))), F.lit(0))).first()
+            df = df.withColumn("raws", raws)
+            if n <= FAR and size <= FAR_BYTES:
+                known = far.agg(F.map_from_entries(F.collect_list(F.struct("name", "first"))).alias("known"))
+                away = lambda raw: F.coalesce(F.try_element_at("known", raw), F.try_element_at("known", tail(raw)))["target"]
+                found = lambda raw: let(place(raw), lambda n: F.when(n.isNotNull(), value(n)).when(~contained(raw), away(raw)))
+                return df.crossJoin(F.broadcast(known)).withColumn(name, F.map_from_arrays("raws", F.transform("raws", found))).drop("raws", "known")
+            # one row for each text of a row that is found, at most as many as the row's path yields
+            firsts = refs.join(far, "name").groupBy("path", "element_path", "raw").agg(F.min_by("first", "rank").alias("first")).where("first.target is not null")
+            maps = firsts.groupBy("path", "element_path").agg(F.map_from_entries(F.collect_list(F.struct("raw", "first.target"))).alias("away"))
+            near = F.transform("raws", lambda raw: F.struct(raw.alias("raw"), let(place(raw), value).alias("target")))
+            df = df.withColumn(name, F.map_from_entries(F.filter(near, lambda e: e["target"].isNotNull()))).drop("raws").join(materialized(maps, "targets"), ["path", "element_path"], "left")
+            return df.withColumn(name, F.when(F.col("away").isNull(), F.col(name)).otherwise(F.map_concat(F.col(name), F.col("away")))).drop("away")
+
+        return attach, target
+
     def paths(self, expression: str, rows: DataFrame | None = None, **options) -> DataFrame:
         """``rows`` (default: all resources) with the result of ``expression``, in which resolve() finds what the references name: in the own resource, the own
         document, or any; see ``resolve``. References of targets are looked up from the row's own place as well."""
-        resolver, target = self.resolver(_names(parse(expression)))
-        return fhirpath(self.rows if rows is None else rows, "resource", expression, resolver=resolver, target=target, **options)
+        names, rows = _names(parse(expression)), self.rows if rows is None else rows
+        run = lambda df, by: fhirpath(df, "resource", expression, resolver=by[0], target=by[1], **options)
+        if not self.plain or "near" not in rows.columns:
+            return run(rows, self.resolver(names))
+        near = run(rows.where("near is not null") if self.large else rows, self.near_resolver(names)).drop("near")
+        return near.unionByName(run(rows.where("near is null").drop("near"), self.resolver(names))) if self.large else near
 
 
 def _names(node, parent=None) -> set[str] | None:

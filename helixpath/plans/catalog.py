@@ -152,7 +152,7 @@ def fhir_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fhir_resolve_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resolve() within an expression: the region of each patient's organization, two references away."""
     docs = _documents(R.patients(spark, sf_dir), "p").union(_documents(R.organizations(spark, sf_dir), "o"))
-    targets = graph.Targets(_parsed(docs))
+    targets = graph.Targets(docs)
     rows = targets.rows.where("resource.resourceType = 'Patient'")
     found = targets.paths("managingOrganization.resolve().partOf.resolve().name", rows, errors=None)
     return found.select(F.col("resource.id").cast("long").alias("key"), F.get("result", F.lit(0)).alias("result"))
@@ -171,16 +171,16 @@ def fhir_resolve_flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
         patient=link(F.when(F.col("o_custkey") % 3 == 0, "urn:uuid:none").otherwise(F.concat(F.lit("urn:uuid:"), customer))), provider=link(F.lit("#pr")), insurer=F.array(link(insurer), link(F.lit("#none"))),
     )
     patient = pick(resourceType=F.lit("Patient"), id=customer, birthDate=F.lit("1980-01-02"))
-    entry = F.array(pick(fullUrl=F.concat(F.lit("urn:uuid:"), customer), resource=F.to_json(patient)), pick(fullUrl=F.lit(None).cast("string"), resource=F.to_json(claim)))
-    text = F.concat(F.lit('{"resourceType":"Bundle","id":"b'), order, F.lit('","entry":['), F.array_join(F.transform(entry, lambda e: F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"fullUrl":"'), e["fullUrl"], F.lit('",')), F.lit("")), F.lit('"resource":'), e["resource"], F.lit("}"))), ","), F.lit("]}"))
+    url = F.coalesce(F.concat(F.lit('"fullUrl":"urn:uuid:'), customer, F.lit('",')), F.lit(""))
+    text = F.concat(F.lit('{"resourceType":"Bundle","id":"b'), order, F.lit('","entry":[{'), url, F.lit('"resource":'), F.to_json(patient), F.lit('},{"resource":'), F.to_json(claim), F.lit("}]}"))
     bundles = orders.select(F.concat(F.lit("b/"), order).alias("path"), text.alias("json"))
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("file", F.explode(F.array(F.lit("m"), F.lit("z"))))
     named = pick(resourceType=F.lit("Organization"), id=F.col("n_nationkey").cast("string"), name=F.concat("file", F.lit(" "), "n_name"))
     docs = checked(bundles.union(nation.select(F.concat("file", F.lit("/"), F.col("n_nationkey").cast("string")), F.to_json(named))))
-    targets = graph.Targets(_parsed(docs))
-    rows = targets.rows.where("resource.resourceType = 'Claim'")
+    targets = graph.Targets(docs)
+    rows = targets.rows.where("resource.resourceType = 'Claim'").withColumn("key", F.col("resource.id").cast("long"))
     found = targets.paths("patient.resolve().id & '|' & provider.resolve().name & '|' & insurer.where(resolve().exists()).resolve().name & '|' & insurer.select(resolve().name).count().toString()", rows, errors=None)
-    return found.select(F.col("resource.id").cast("long").alias("key"), "result")
+    return found.select("key", "result")
 
 
 def fhir_outline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .values import (
 _TYPES = {"boolean": "Boolean", "integer": "Integer", "decimal": "Decimal", "date": "Date", "datetime": "DateTime", "quantity": "Quantity"}
 #: Type names that a plain text matches, whatever its shape (fixed values).
 _TEXT_TYPES = ("string", "code", "uri", "id")
+#: Functions that leave items out and keep the others as they are.
+_SOME = ("where", "first", "last", "tail", "skip", "take", "single")
 
 
 _NUMBERS = count()
@@ -45,8 +47,11 @@ class Compiler:
     def __init__(self, steps: list[tuple[str, Column | Lookup]] | None = None, target: T.StructType | None = None):
         self.steps, self.target, self.inside = steps, target, 0
         self.found: dict[int, Column] = {}  # the targets of the references that a resolve() in a lambda meets, by the call
+        self.root: Coll | None = None
+        self.known: dict[object, Column] = {}  # the targets of the references of items of the root, by the tree of those
 
     def eval(self, node, focus: Coll) -> Coll:
+        self.root = focus if self.root is None else self.root
         if isinstance(node, Literal):
             return literal(node)
         if isinstance(node, This):
@@ -62,7 +67,7 @@ class Compiler:
 
             source = focus if node.source is None else self.operand(node.source, focus)
             if node.name == "resolve" and not node.args:
-                return self.bound(self.resolve(node, source))
+                return self.bound(self.resolve(node, source, focus))
             if not self.inside:
                 self.look_ahead(node, source, focus)
             return self.bound(call(self, node.name, source, node.args, focus))
@@ -85,21 +90,33 @@ class Compiler:
         got = self.eval(node, focus)
         return got if isinstance(node, Literal) else self.bound(got)
 
-    def resolve(self, node: Call, c: Coll) -> Coll:
+    def resolve(self, node: Call, c: Coll, focus: Coll) -> Coll:
         """The resources that texts, and objects with a ``reference``, name; none for what names none."""
         texts = reference_texts(c)
         if texts is None or self.target is None or self.steps is None or (self.inside and id(node) not in self.found):
             return empty(c.error)
-        known = self.found[id(node)] if self.inside else self.lookup(texts)
+        known = self.found[id(node)] if self.inside else self.lookup(texts, self.origin(node, focus))
         if not texts.many:
             return of_column(F.try_element_at(known, texts.col), self.target).with_error(texts.error)
         return of_column(F.transform(texts.col, lambda r: F.try_element_at(known, r)), T.ArrayType(self.target)).with_error(texts.error)
 
-    def lookup(self, texts: Coll) -> Column:
+    def lookup(self, texts: Coll, origin: object) -> Column:
+        """``origin``: the tree of the items that texts are from, where they are ones of the root. What was looked up for those is not looked up again."""
+        if origin is not None and origin in self.known:
+            return self.known[origin]
         wanted, name = f"__step{next(_NUMBERS)}__", f"__step{next(_NUMBERS)}__"
-        self.steps += [(wanted, items(texts)), (name, Lookup(wanted))]
+        self.steps += [(wanted, texts.col if texts.many else F.array(texts.col)), (name, Lookup(wanted))]
+        if origin is not None:
+            self.known[origin] = F.col(name)
         return F.col(name)
 
+    def origin(self, node: Call, focus: Coll) -> object | None:
+        """The tree of all the items of the root that those before a call are among."""
+        found = node.source
+        while (isinstance(found, Call) and found.name in _SOME) or isinstance(found, Index):
+            found = found.source
+        return (found if found is not None else This()) if focus is self.root else None
+
     def look_ahead(self, node: Call, source: Coll, focus: Coll) -> None:
         """References that the arguments of a call resolve for each item are looked up before, for all items."""
         if self.target is None or self.steps is None:
@@ -113,7 +130,7 @@ class Compiler:
             if part.name == "resolve" and not part.args:
                 texts = reference_texts(self.bound(_project(self, source, own)))
                 if texts is not None:
-                    self.found[id(part)] = self.lookup(texts)
+                    self.found[id(part)] = self.lookup(texts, self.origin(node, focus) if own == This() else None)
             elif part.name in OF_ITEMS:
                 self.look_ahead(part, self.bound(_project(self, source, own)), source)
 
@@ -752,18 +769,19 @@ def with_steps(df: DataFrame, steps: list[tuple[str, Column | Lookup]], resolver
     """``df`` with a compiler's steps as columns, and their names. Steps that name no others come first, together: only they read the table's own columns, so
     that it is read by the fields that they need; the others follow in as few projections as they allow. ``resolver`` (df, name, texts) adds the map
     column of lookups, for the texts in all of those columns."""
-    depth: dict[str, int] = {}
+    depth: dict[str, tuple[int, int]] = {}  # how many lookups come before a step, one after another, and how many steps since
     for name, col in steps:
-        named = [col.texts] if isinstance(col, Lookup) else re.findall(_STEP, str(col))
-        depth[name] = 1 + max((depth[n] for n in named), default=-1)
-    for d in range(max(depth.values(), default=-1) + 1):
-        level = [(name, col) for name, col in steps if depth[name] == d]
-        df = df.select("*", *(col.alias(name) for name, col in level if not isinstance(col, Lookup)))
-        joined = [(name, col.texts) for name, col in level if isinstance(col, Lookup)]
-        if joined:  # all of a level are one join
+        named = [depth[n] for n in ([col.texts] if isinstance(col, Lookup) else re.findall(_STEP, str(col)))]
+        lookups, since = max(named, default=(0, -1))
+        depth[name] = (lookups + 1, 0) if isinstance(col, Lookup) else (lookups, since + 1)
+    for lookups in range(1 + max((n for n, _ in depth.values()), default=-1)):
+        joined = [(name, col.texts) for name, col in steps if isinstance(col, Lookup) and depth[name][0] == lookups]
+        if joined:  # those that can be made at once are one
             first = joined[0][0]
             df = resolver(df, first, [texts for _, texts in joined])
             df = df.select("*", *(F.col(first).alias(name) for name, _ in joined[1:]))
+        for d in range(1 + max((d for n, d in depth.values() if n == lookups), default=-1)):
+            df = df.select("*", *(col.alias(name) for name, col in steps if not isinstance(col, Lookup) and depth[name] == (lookups, d)))
     return df, list(depth)
 
 

@@ -48,8 +48,8 @@ def _only(text: Column, pair: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    """Whether a VARIANT is an object; null of null. By its first character as JSON: the schema of a value would be put together of all its parts, which costs many times as much."""
-    return F.to_json(v).startswith("{")
+    """Whether a VARIANT is an object; null of null. One is a map of its members, whatever they are; its text or its schema would be put together of all its parts, which costs many times as much."""
+    return F.when(v.isNotNull(), v.try_cast("map<string,variant>").isNotNull())
 
 
 def _depth(text: Column) -> Column:
@@ -151,10 +151,14 @@ def _decimals(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.DecimalType | T.DoubleType)
 
 
+def as_written(schema: T.StructType) -> bool:
+    """Whether documents of this type hold what must be read from their texts: decimals, or parts of mixed kinds."""
+    return _mixed(schema) or SOURCE_NUMBER in schema.json()
+
+
 def typed(docs: DataFrame, schema: T.StructType | str, column: str = "json", output: str = "resource") -> DataFrame:
     """``docs`` with the documents as a struct column, which paths read by fields: columns that no path needs are not parsed."""
-    mixed = isinstance(schema, T.StructType) and _mixed(schema)
-    exact = mixed or (isinstance(schema, T.StructType) and SOURCE_NUMBER in schema.json())
+    mixed, exact = (isinstance(schema, T.StructType) and told(schema) for told in (_mixed, as_written))
     return docs.withColumn(output, F.from_json(_with_texts(F.col(column), NUMBER_MARK if mixed else "") if exact else F.col(column), schema, {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}))
 
 

@@ -1,13 +1,15 @@
 """What queries do with more rows: files and costly rows are dealt to many tasks."""
 
 import glob
+import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixpath.operators import graph
 from helixpath.plans import catalog, resources, scenarios
-from helixpath.plans.shared import new_path, shared_dir
+from helixpath.plans.shared import materialized, new_path, shared_dir
 from helixpath.sources.documents import checked
 
 
@@ -67,3 +69,35 @@ def test_an_outline_reads_and_parses_its_documents_once_and_writes_none(spark, t
     }
     written = set(glob.glob(f"{shared_dir(spark)}/*"))
     assert catalog.QUERIES["fhir_outline"](spark, "/root/testdata/sf0.001").count() > 0 and set(glob.glob(f"{shared_dir(spark)}/*")) == written
+
+
+def _linked(spark):
+    org = lambda i, name, up=None: {"resourceType": "Organization", "id": i, "name": name} | ({"partOf": {"reference": up}} if up else {})
+    links = ["#d", "#none", "Organization/o", "urn:uuid:1", "http://x/Organization/o", "http://x/Organization/p", "http://abs/Organization/q", "Bundle/b", "Nobody/1"]
+    listing = {"resourceType": "List", "id": "l", "contained": [{"resourceType": "Device", "id": "d", "name": "old"}, None, {"resourceType": "Device", "id": "d", "name": "inside"}], "link": [{"reference": r} for r in links]}
+    entries = [{"fullUrl": "urn:uuid:1", "resource": org("o", "first")}, {"resource": org("o", "last")}, None, {"resource": "text"}, {"fullUrl": "#d", "resource": listing}]
+    docs = {
+        "b": {"resourceType": "Bundle", "id": "b", "entry": entries}, "c": {"resourceType": "Bundle", "id": "c", "entry": [{"fullUrl": "http://abs/Organization/q", "resource": org("q", "as it stands")}]},
+        "a": org("q", "by its tail"), "p1": org("p", "p1", "Organization/top"), "p2": org("p", "p2"), "t": org("top", "Top", "Organization/top"), "e": {"resourceType": "Bundle"}, "x": {"id": "none"},
+        "s": {"resourceType": "List", "id": "s", "link": [{"reference": r} for r in ("#d", "Organization/p", "Organization/p")]},
+    }
+    return checked(spark.createDataFrame([(p, json.dumps(d)) for p, d in docs.items()], "path string, json string"))
+
+
+@pytest.mark.parametrize(("near", "far"), [(64, 256), (64, 0), (3, 256), (3, 0)])
+def test_references_are_found_alike_in_rows_and_by_joins(spark, monkeypatch, near, far):
+    monkeypatch.setattr(graph, "NEAR", near)
+    monkeypatch.setattr(graph, "FAR", far)
+    targets = graph.Targets(_linked(spark))
+    assert targets.plain and targets.large == (near == 3)
+    found = targets.paths("link.resolve().name.join(', ') & '; ' & link.resolve().partOf.resolve().name.join(', ')", targets.rows.where("resource.resourceType = 'List'"), errors=None)
+    assert {r["path"]: r["result"] for r in found.collect()} == {"b": "inside, last, first, last, p1, as it stands; Top", "s": "p1, p1; Top, Top"}
+
+
+def test_references_of_a_path_are_looked_up_at_once_and_documents_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialized", lambda df, name: (written.append(name), materialized(df, name))[1])
+    monkeypatch.setattr(catalog, "materialized", lambda df, name: (written.append(name), materialized(df, name))[1])
+    rows = catalog.QUERIES["fhir_resolve_flavors"](spark, "/root/testdata/sf0.001").collect()
+    assert written == ["members", "wanted", "far"]
+    assert len(rows) == len({r["key"] for r in rows}) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() and all(r["result"].endswith("|1") for r in rows)
